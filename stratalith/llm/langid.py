@@ -2,9 +2,9 @@
 
 Dictionaries are made of bounded samples of labelled rows: `sample_docs` documents a language, chosen by a hash of their
 text, each giving the slice of `slice_chars` characters at a hashed place, `dict_bytes` in all (less if there are so many languages
-that `total_bytes` would be passed). A text is cut into blocks of `block_bytes`; every block is compressed with every dictionary, so that a
-long text doesn't become its own dictionary, and the sizes are added up over the whole text. A language's share of the
-margin over what the text needs without a dictionary gives the score; texts whose two best languages are closer than `margin` are rejected.
+that `total_bytes` would be passed). A text is reduced to lower-case letters and single spaces and cut into blocks of `block_bytes`; every block is compressed with every dictionary, so that a
+long text doesn't become its own dictionary, and the sizes are added up over the whole text. The score grows from one half with the gap
+between the two best languages; texts with a gap of less than `margin` of their bytes (ties, above all) are rejected.
 
 Defined results: null text or text without a letter gives `und`, score 0 and is rejected; ties go to the language with more
 training rows, then the smaller name; without training rows everything is `und`.
@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_values
 
 UNKNOWN = "und"
+_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def letters_of(text: str) -> bytes:
+    """Lower-cased text with every run of ASCII characters that are no letters as one space: shouting and markup don't count."""
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split())
 
 
 def learn_dictionaries(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, slice_chars: int = 1000, dict_bytes: int = 112 << 10, total_bytes: int = 32 << 20) -> list[tuple[str, bytes]]:
@@ -34,13 +40,13 @@ def learn_dictionaries(training: DataFrame, text_col: str = "text", lang_col: st
     picked = rows.withColumn("_h", F.xxhash64(text_col)).filter(F.pmod("_h", F.lit(1_000_003)) < share[F.col(lang_col)] * 1_000_003)
     length = F.greatest(F.char_length(text_col) - slice_chars, F.lit(0)) + 1
     slices = picked.filter(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), "_h", F.substring(text_col, (F.pmod(F.col("_h"), length) + 1).cast("int"), F.lit(slice_chars)).alias("part")).distinct()
-    pieces: dict[str, list[tuple[int, str]]] = {}
+    pieces: dict[str, list[tuple[int, bytes]]] = {}
     for r in slices.collect():
-        pieces.setdefault(r["lang"], []).append((r["_h"], r["part"]))
+        pieces.setdefault(r["lang"], []).append((r["_h"], letters_of(r["part"])))
     out = []
     for lang, found in sorted(pieces.items(), key=lambda x: (-counts[x[0]], x[0])):
         found.sort()
-        raw = "\n".join(p for _, p in found[:sample_docs]).encode()
+        raw = b"\n".join(p for _, p in found[:sample_docs])
         out.append((lang, raw[-size:]))
     return out
 
@@ -48,7 +54,7 @@ def learn_dictionaries(training: DataFrame, text_col: str = "text", lang_col: st
 class Classifier:
     """Compressors of one worker: made anew from the dictionaries' bytes wherever it is unpickled."""
 
-    def __init__(self, dictionaries: list[tuple[str, bytes]], block_bytes: int = 4096, level: int = 3, short_bytes: int = 600, short_level: int = 19):
+    def __init__(self, dictionaries: list[tuple[str, bytes]], block_bytes: int = 4096, level: int = 6, short_bytes: int = 600, short_level: int = 19):
         self.made = (dictionaries, block_bytes, level, short_bytes, short_level)
         self.block, self.short = block_bytes, short_bytes
         self.langs = [lang for lang, _ in dictionaries]
@@ -73,7 +79,7 @@ class Classifier:
         """Language, score, and margin between the two best languages as a share of the text's bytes."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
-        raw = text.encode("utf-8", "replace")
+        raw = letters_of(text)
         sizes = self.sizes(raw)
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
@@ -83,7 +89,7 @@ class Classifier:
         return self.langs[best], 0.5 + 0.5 * (second - sizes[best]) / max(1, second), margin
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], id_col: str = "doc_id", text_col: str = "text", margin: float = 0.002) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], id_col: str = "doc_id", text_col: str = "text", margin: float = 0.0005) -> DataFrame:
     """One row per document: id_col, lang_pred, score (0 to 1), margin, accepted. Only id and text are read; no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(Classifier(dictionaries))
 
@@ -95,7 +101,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], id_col: str
     return map_batches(docs, [id_col, text_col], fn, f"`{id_col}` {kind}, lang_pred string, score double, margin double, accepted boolean")
 
 
-def keep_identified(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: str = "text", margin: float = 0.002) -> DataFrame:
+def keep_identified(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: str = "text", margin: float = 0.0005) -> DataFrame:
     """Rows of `docs`, unchanged, whose text's language is found with at least `margin`."""
     held = docs.sparkSession.sparkContext.broadcast(Classifier(dictionaries))
     at = docs.columns.index(text_col)

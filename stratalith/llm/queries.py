@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, with the digest of what they decode to."""
     from .sentencepieces import encode_documents, with_decoded
@@ -61,7 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op9_ngram_jaccard, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_main_text, op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op9_ngram_jaccard, op10_license_scan)}
 
 # words of texts: A-Z lower-cased, runs of digits, letters and everything beyond ASCII
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
