@@ -55,6 +55,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import held_out, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    found = score_texts(docs, train_on=docs.filter(~F.coalesce(held_out(), F.lit(False))))
+    return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import duplicate_components
 
@@ -67,7 +75,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_main_text, op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op9_ngram_jaccard, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_main_text, op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op8_lm_score, op9_ngram_jaccard, op10_license_scan)}
 
 # words of texts: A-Z lower-cased, runs of digits, letters and everything beyond ASCII
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
