@@ -55,6 +55,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import held_out, score_texts
 
@@ -75,7 +82,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_main_text, op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op8_lm_score, op9_ngram_jaccard, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_main_text, op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op7_neighbours, op8_lm_score, op9_ngram_jaccard, op10_license_scan)}
 
 # words of texts: A-Z lower-cased, runs of digits, letters and everything beyond ASCII
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
