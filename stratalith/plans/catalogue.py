@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tables  # noqa: F401  (registers its queries)
+from . import grids, tables  # noqa: F401  (register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
