@@ -48,14 +48,14 @@ def forest_importance(rows: DataFrame, names: Sequence[str], label: str = "label
     return rows.sparkSession.createDataFrame(found, "feature string, score double")
 
 
-def learner(name: str, seed: int = 42):
+def learner(name: str, seed: int = 42, boosting_rounds: int = 10):
     """A learner by its key."""
     common = {"labelCol": "label_idx", "featuresCol": "features"}
     return {
         "rf": lambda: RandomForestClassifier(**common, numTrees=50, seed=seed),
         "decisiontree": lambda: DecisionTreeClassifier(**common, maxDepth=10, seed=seed),
         "logistic": lambda: LogisticRegression(**common, family="multinomial", maxIter=100),
-        "xgb": lambda: OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, seed=seed), **common),
+        "xgb": lambda: OneVsRest(classifier=GBTClassifier(maxIter=boosting_rounds, maxDepth=3, stepSize=0.3, seed=seed), **common),
     }[name]()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,13 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
 
 
 def read_occupancy(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of cp1251 text files; each file is one row until its lines are numbered, as blocks are told by order."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "windows-1251").alias("text"))
-    return parse_blocks(whole.select("file", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")))
+    """Blocks of cp1251 text files; each file is one row until its lines are numbered, as blocks are told by order. Spark's decode() doesn't know cp1251."""
+
+    def run(batches):
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lines = raw.as_py().decode("cp1251", "replace").splitlines()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "line_no", "line"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return parse_blocks(files.mapInArrow(run, "file string, line_no long, line string"))
