@@ -129,7 +129,7 @@ def layer_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(G.layer_differences(_days(spark, sf_dir), "user_id", "day", "mean"), 6, "user_id")
 
 
-@query(f"SELECT user_id, round(avg(step), 6) AS mdiffs FROM (SELECT user_id, mean - lag(mean) OVER (PARTITION BY user_id ORDER BY day) AS step FROM {_DAYS}) GROUP BY user_id")
+@query(f"SELECT user_id, round((arg_max(mean, day) - arg_min(mean, day)) / nullif(count(*) - 1, 0), 6) AS mdiffs FROM {_DAYS} GROUP BY user_id")
 def mean_diff_telescoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(G.mean_step(_days(spark, sf_dir), "user_id", "day", "mean"), 6, "user_id")
 
