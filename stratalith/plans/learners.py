@@ -81,3 +81,24 @@ def hier_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in pairs:
         d[labels.index(p["a"]), labels.index(p["b"])] = d[labels.index(p["b"]), labels.index(p["a"])] = p["distance"]
     return spark.createDataFrame([(m, *row) for m in ("single", "weighted", "complete", "average", "median") for row in M.linkage(d, m)], "method string, left int, right int, height double, size int")
+
+
+@query()
+def tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions of a small forest; they add up to its probabilities, which the tests check."""
+    from ..operators import explain as E
+
+    r = rows(spark, sf_dir)
+    data, _ = M.indexed(M.vectors(r))
+    model = M.RandomForestClassifier(labelCol="label_idx", numTrees=5, maxDepth=4, seed=1).fit(data)
+    done = E.tree_attributions(model, r)
+    return done.select("vec_id", F.posexplode("attributions").alias("feature", "attribution")).groupBy("feature").agg(F.avg(F.abs("attribution")).alias("importance"))
+
+
+@query()
+def path_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of values from the thresholds on their decision paths."""
+    r = rows(spark, sf_dir)
+    data, _ = M.indexed(M.vectors(r))
+    model = M.RandomForestClassifier(labelCol="label_idx", numTrees=5, maxDepth=4, seed=1).fit(data)
+    return M.path_margins(model, r).select("vec_id", "total")

@@ -197,6 +197,28 @@ def test_model_files_and_margins(spark, separable, tmp_path):
     assert all(math.isclose(sum(r["by_feature"]), r["total"]) and r["total"] > 0 for r in margins)
 
 
+def test_tree_attributions(spark, separable):
+    from itertools import combinations
+    from math import factorial
+
+    data, _ = M.indexed(M.vectors(separable))
+    model = M.RandomForestClassifier(labelCol="label_idx", numTrees=2, maxDepth=4, seed=3, featureSubsetStrategy="2").fit(data)
+    rows = E.tree_attributions(model, separable.limit(6), 1).collect()
+    probability = {r["vec_id"]: r["probability"][1] for r in model.transform(data).select("vec_id", "probability").collect()}
+    assert all(math.isclose(r["base_value"] + sum(r["attributions"]), probability[r["vec_id"]], abs_tol=1e-9) for r in rows)
+    # brute force over all coalitions of one tree
+    tree = E.Tree(model.trees[1]._call_java("rootNode"))
+    x = np.array(rows[0]["vec"])
+
+    def value(known):
+        return sum(p[1] * np.prod([(lo < x[f] <= hi) if f in known else s for f, (lo, hi, s) in path.items()]) for p, path in tree.leaves)
+
+    for f in range(4):
+        others = [g for g in range(4) if g != f]
+        want = sum(factorial(n) * factorial(3 - n) / factorial(4) * (value({*c, f}) - value(set(c))) for n in range(4) for c in combinations(others, n))
+        assert math.isclose(tree.attributions(x[None, :], 1)[1][0, f], want, abs_tol=1e-9)
+
+
 def test_linkage():
     d = np.array([[0, 1, 4, 5], [1, 0, 3, 6], [4, 3, 0, 2], [5, 6, 2, 0]], float)
     assert [round(x[2], 6) for x in M.linkage(d, "single")] == [1, 2, 3]
