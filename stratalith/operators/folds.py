@@ -107,3 +107,22 @@ def feasibility(rows: DataFrame, label: str, group: str, outer: int = 3, inner:
     if not out["ok"]:
         out["reason"] = "nested model tuning needs at least 3 groups in every class"
     return out
+
+
+def replication_report(rows: DataFrame, label: str, units: dict, outer: int = 3) -> DataFrame:
+    """Per replication unit (name -> group column): groups, classes, fewest groups of a class, and whether grouped and nested folds are feasible."""
+    out = None
+    for name, group in units.items():
+        per = rows.select(F.col(label).alias("label"), group.alias("g")).filter(F.col("g").isNotNull()).groupBy("label").agg(F.countDistinct("g").alias("n"))
+        total = rows.select(group.alias("g")).agg(F.countDistinct("g").alias("groups"))
+        least = F.coalesce(F.min("n"), F.lit(0))
+        part = per.agg(F.count("*").alias("classes"), least.alias("fewest")).join(F.broadcast(total), how="cross")
+        status = F.when((F.col("classes") < 2) | (F.col("fewest") < 2), "unavailable").when(F.col("fewest") < outer, "limited").otherwise("suitable")
+        part = part.select(F.lit(name).alias("unit"), "groups", "classes", "fewest", status.alias("status"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def fixed_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows by the MD5 of their key: a background or a set of rows to explain that is the same on every run."""
+    return rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)

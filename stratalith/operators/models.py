@@ -263,3 +263,15 @@ def _nodes(tree) -> list:
     walk(tree._java_obj.rootNode() if hasattr(tree._java_obj, "rootNode") else tree._call_java("rootNode"))
     return out
 
+
+
+def score_models(aligned: DataFrame, paths: dict[str, str], key: str = "sample_name") -> DataFrame:
+    """One row per sample with `<model>_prediction` and `<model>_confidence`; a model that can't be read or applied gives ERROR and 0.0."""
+    out = aligned.select(key).distinct()
+    for name, path in paths.items():
+        try:
+            found = score(aligned, path, key).select(key, F.col("predicted").alias(f"{name}_prediction"), F.col("confidence").alias(f"{name}_confidence"))
+            out = out.join(found, key, "left")
+        except Exception:  # the other models' columns must not be lost with this one
+            out = out.withColumn(f"{name}_prediction", F.lit("ERROR")).withColumn(f"{name}_confidence", F.lit(0.0))
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import numbers as X
 from ..operators import features as A
+from ..operators import folds as G
 from ..operators import structure as S
 from .registry import query, table
 from .tables import _NEW_SAMPLE_SQL, _SAMPLE_SQL, _broken, _files, samples
@@ -116,3 +117,19 @@ def numeric_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 6
     t = F.when(k == 0, F.col("o_custkey").cast("string")).when(k == 1, " 2.5e3 ").when(k == 2, "x1").when(k == 3, "").when(k == 4, ".5").otherwise("-7.")
     return table(spark, sf_dir, "orders").select("o_orderkey", t.alias("text")).withColumn("value", X.as_number(F.col("text")))
+
+
+@query("SELECT vec_id, label FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 100")
+def explanation_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling operator of explanations: at most 100 rows."""
+    return G.fixed_sample(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", 100)
+
+
+@query(f"""WITH t AS (SELECT string_split(s, '--') AS t FROM {_SAMPLE_SQL}), k AS (SELECT t[5] AS label, t[1] AS date, t[1] || '::' || t[7] AS well, t[1] || '::' || t[7] || '::' || substr(t[8], 4) AS position FROM t),
+u AS (SELECT 'date' AS unit, label, date AS g FROM k UNION ALL SELECT 'well', label, well FROM k UNION ALL SELECT 'position', label, position FROM k)
+SELECT unit, (SELECT count(DISTINCT g) FROM u x WHERE x.unit = p.unit) AS groups, count(*) AS classes, min(n) AS fewest, CASE WHEN count(*) < 2 OR min(n) < 2 THEN 'unavailable' WHEN min(n) < 3 THEN 'limited' ELSE 'suitable' END AS status
+FROM (SELECT unit, label, count(DISTINCT g) AS n FROM u GROUP BY ALL) p GROUP BY unit""")
+def replication_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sample_name")
+    rows = samples(spark, sf_dir).withColumn("label", N.sample_field(s, "label"))
+    return G.replication_report(rows, "label", {u: N.replication_group(s, u) for u in ("date", "well", "position")})

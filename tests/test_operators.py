@@ -193,6 +193,8 @@ def test_model_files_and_margins(spark, separable, tmp_path):
     expected = spark.createDataFrame([(n, i) for i, n in enumerate("wxyz")], "feature string, position int")
     done = M.score(A.align(long, expected), str(tmp_path / "m"))
     assert done.count() == 60 and {r["predicted"] for r in done.collect()} <= {"a", "b"} and done.agg(F.min("confidence")).first()[0] >= 0.5
+    wide = M.score_models(A.align(long, expected), {"good": str(tmp_path / "m"), "gone": str(tmp_path / "none")}).first()
+    assert wide["good_prediction"] in ("a", "b") and (wide["gone_prediction"], wide["gone_confidence"]) == ("ERROR", 0.0)
     margins = M.path_margins(model, separable.limit(5)).collect()
     assert all(math.isclose(sum(r["by_feature"]), r["total"]) and r["total"] > 0 for r in margins)
 
