@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +64,16 @@ def scratch_root(spark: SparkSession) -> str:
     return current.get()
 
 
+_left: list[DataFrame] = []
+
+
+@atexit.register
+def _drop_left() -> None:
+    """What results may still have read goes with the session."""
+    with contextlib.suppress(Exception):
+        drop_scratch(*_left)
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared scratch folder and read it back: cut lineage that outlives any executor."""
     spark = df.sparkSession
@@ -69,12 +81,15 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _left.append(out)
     return out
 
 
 def drop_scratch(*tables: DataFrame | None) -> None:
     """Delete scratch tables that nothing reads any more."""
     for t in tables:
+        if t in _left:
+            _left.remove(t)
         path = getattr(t, "_scratch_path", None)
         if path:
             jvm, sc = t.sparkSession._jvm, t.sparkSession.sparkContext
