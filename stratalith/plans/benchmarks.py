@@ -152,9 +152,9 @@ _CANON = "CASE WHEN lower(r) IN (" + ", ".join(f"'{k}'" for k in N.LEARNERS) + "
 _RAW = rf"(SELECT *, trim(regexp_replace(model, '\s+', ' ', 'g')) AS r FROM {_VALUES})"
 
 
-@query(f"SELECT model, {_CANON} AS learner, count(*) AS n_orders FROM {_RAW}, nation WHERE n_nationkey < 5 GROUP BY ALL")
+@query(f"SELECT model, {_CANON} AS learner, count(*) AS n_orders FROM {_RAW}, nation GROUP BY ALL")
 def canonical_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _results(spark).join(F.broadcast(table(spark, sf_dir, "nation").filter("n_nationkey < 5")), how="cross")
+    rows = _results(spark).join(F.broadcast(table(spark, sf_dir, "nation")), how="cross")
     return rows.select("model", N.canonical_learner(F.col("model")).alias("learner")).groupBy("model", "learner").agg(F.count("*").alias("n_orders"))
 
 
