@@ -138,23 +138,28 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
 
 
 def star_edges(prints: DataFrame) -> DataFrame:
-    """Edges from every set to the least set with an equal part, distinct within a task."""
-    parts = prints.filter("parts is not null").select("doc", F.explode("parts").alias("part"))
+    """Edges from every set to the least set with an equal part, distinct within a task.
+
+    Each part carries the part sent before it. Two sets that agree in both meet in the earlier part's star as well, so only the
+    first of a run of equal parts gives an edge: a few for a near copy, whatever its length.
+    """
+    linked = F.transform("parts", lambda x, i: F.struct(x.alias("part"), F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("parts"), i - 1)).alias("before")))
+    parts = prints.filter("parts is not null").select("doc", F.explode(linked).alias("p")).select("doc", "p.part", "p.before")
     dealt = parts.repartition(F.col("part")).sortWithinPartitions("part", "doc")
 
     def run(batches):
         held, rows = None, []
         kept = 0
         for batch in batches:
-            part, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part, doc, before = (batch.column(i).to_numpy() for i in range(3))
             if not len(part):
                 continue
             new = np.concatenate(([held is None or part[0] != held[0]], part[1:] != part[:-1]))
-            heads = np.where(new, doc, 0)
             at = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
-            lead = np.where(at >= 0, heads[at], held[1] if held else 0)
-            held = (part[-1], lead[-1])
-            other = lead != doc
+            lead = np.where(at >= 0, doc[at], held[1] if held else 0)
+            lead_before = np.where(at >= 0, before[at], held[2] if held else 0)
+            held = (part[-1], lead[-1], lead_before[-1])
+            other = (lead != doc) & ((before != lead_before) | (before == 0))
             rows.append(np.stack([doc[other], lead[other]], axis=1))
             kept += len(rows[-1])
             if kept > 1_000_000:
@@ -168,7 +173,7 @@ def star_edges(prints: DataFrame) -> DataFrame:
             for i in range(0, len(out), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 50_000, 0]), pa.array(out[i : i + 50_000, 1])], names=["src", "dst"])
 
-    return dealt.select("part", "doc").mapInArrow(run, "src long, dst long")
+    return dealt.select("part", "doc", "before").mapInArrow(run, "src long, dst long")
 
 
 class Search:
