@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import numbers as X
+from ..shipping import ship
 
 
 def count_components(on: np.ndarray) -> int:
@@ -43,6 +44,7 @@ def count_components(on: np.ndarray) -> int:
 
 def layer_components(pixels: DataFrame, thresholds: Sequence[float] = tuple(X.THRESHOLDS)) -> DataFrame:
     """(sample_name, z, i, components): components of v / max(v) > threshold. A layer of zeros is one component throughout, as 0 / 0 is no number and isn't cut."""
+    ship(pixels.sparkSession)
     levels = [float(t) for t in thresholds]
 
     def one(layer: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def linear_attributions(long: DataFrame, weights: DataFrame) -> DataFrame:
     """Exact attributions of a linear model: weight * (value - mean of the feature). `weights` (feature, weight) is a model's."""
@@ -107,6 +109,7 @@ def tree_attributions(model, rows: DataFrame, label: int = 0, vec: str = "vec")
 
     base_value + the sum of attributions is the forest's probability. Trees go to the workers once; rows stay where they are.
     """
+    ship(rows.sparkSession)
     trees = [Tree(t._call_java("rootNode")) for t in (model.trees if hasattr(model, "trees") else [model])]
     held = rows.sparkSession.sparkContext.broadcast(trees)
 

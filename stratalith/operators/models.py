@@ -20,6 +20,8 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Grid of the random search, as published for the tuned forest; MLlib has no counterpart of the minimal split size.
 FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2, 4]}
 COMPONENTS = [16, 32, 64, 128, 256, 512, "all"]
@@ -87,6 +89,7 @@ def tuned_forest(rows: DataFrame, k: int, draws: int = 10, fold: str = "fold", s
 
 def svd(rows: DataFrame, n: int, vec: str = "vec") -> np.ndarray:
     """Right singular vectors (features x n) of the uncentred rows, largest first; each vector's largest entry is positive."""
+    ship(rows.sparkSession)
     matrix = RowMatrix(rows.select(vec).rdd.map(lambda r: OldVectors.dense(r[0])))
     v = matrix.computeSVD(n).V.toArray()
     return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
@@ -223,6 +226,7 @@ def path_margins(model, rows: DataFrame, vec: str = "vec") -> DataFrame:
 
     The trees are sent to the workers once; rows stay where they are.
     """
+    ship(rows.sparkSession)
     trees = [_nodes(t) for t in model.trees]
     n = model.numFeatures
     held = rows.sparkSession.sparkContext.broadcast(trees)

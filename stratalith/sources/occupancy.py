@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def _numbers(line: Column) -> Column:
     return F.transform(F.slice(F.split(line, "\t"), 3, 1 << 20), lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double"))
@@ -33,5 +35,6 @@ def read_occupancy(spark: SparkSession, path: str) -> DataFrame:
                 lines = raw.as_py().decode("cp1251", "replace").splitlines()
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "line_no", "line"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return parse_blocks(files.mapInArrow(run, "file string, line_no long, line string"))

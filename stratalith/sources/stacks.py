@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 # fixed values: sizes of TIFF field types, and the tags read
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
@@ -71,6 +73,7 @@ def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
 
 def read_stacks(spark: SparkSession, path: str) -> DataFrame:
     """(sample_name, z, height, width, pixels array<double>), one row per layer; a file is decoded in one task, its layers leave one by one."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path).select("path", "content")
 
     def run(batches):
