@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: bytes.translate table: ASCII letters to lower case, every other ASCII character that is no digit to a space.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -46,6 +48,7 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
             if batch.num_rows:
                 yield from fn(batch)
 
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 

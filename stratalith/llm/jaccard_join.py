@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import binary_values, connected_components, scratch_table, sized, split_tokens
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -333,6 +334,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: st
 
 def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: str | Fraction = "9/10", block: int = 2000, spare: int = 1) -> DataFrame:
     """(id_col, n_shingles, component_id) of every document; links are Jaccard >= threshold on sets of n-word shingles."""
+    ship(docs.sparkSession)
     j = Fraction(threshold)
     prints = scratch_table(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, n, j, spare), "prints")
     candidates = scratch_table(star_edges(prints), "stars")
