@@ -40,6 +40,16 @@ def text_values(column: pa.Array) -> Iterator[str | None]:
         yield column[i].as_py()
 
 
+def prepare(spark: SparkSession) -> None:
+    """The package for the workers, and Arrow batches that stay small with long texts, unless the session's creator has set their size."""
+    ship(spark)
+    if not spark.sparkContext.getConf().contains(_BATCH_ROWS) and int(spark.conf.get(_BATCH_ROWS)) == 10_000:
+        spark.conf.set(_BATCH_ROWS, "1000")
+
+
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Send only `columns` through Arrow to `fn`, batch by batch; nothing is kept between batches."""
 
@@ -48,7 +58,7 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
             if batch.num_rows:
                 yield from fn(batch)
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 

@@ -28,11 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import binary_values, connected_components, scratch_table, sized, split_tokens
+from .common import binary_values, connected_components, prepare, scratch_table, sized, split_tokens
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -131,7 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
                 first = seen.setdefault(key, doc)
                 stands.append(first)
                 parts.append(part_hashes(s, classes).view(np.int64) if first == doc else None)
-                if len(seen) > 500_000:
+                if len(seen) > 250_000:
                     seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["doc", "size", "stand_in", "parts"])
 
@@ -334,7 +333,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: st
 
 def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: str | Fraction = "9/10", block: int = 2000, spare: int = 1) -> DataFrame:
     """(id_col, n_shingles, component_id) of every document; links are Jaccard >= threshold on sets of n-word shingles."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     j = Fraction(threshold)
     prints = scratch_table(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, n, j, spare), "prints")
     candidates = scratch_table(star_edges(prints), "stars")

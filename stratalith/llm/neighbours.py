@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import scratch_table
+from .common import prepare, scratch_table
 
 _STORED = "<f8"
 
@@ -157,7 +156,7 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 def nearest(vectors: DataFrame, queries: Callable[[Column], Column], id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, list_rows: int = 4096, block_rows: int = 4096, sample_rows: int = 65_536, most_lists: int = 4096, copies: int = 4, boundary: float = 0.1, recall: float = 0.98) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` nearest found of every row of `vectors` for whose id `queries` holds."""
-    ship(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     rows, d = valid_vectors(vectors, id_col, vec_col)
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"

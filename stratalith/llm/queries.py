@@ -20,9 +20,9 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, with the digest of what they decode to."""
-    from .sentencepieces import encode_documents, with_decoded
+    from .sentencepieces import encode_documents
 
-    return with_decoded(encode_documents(table(spark, sf_dir, "documents")))
+    return encode_documents(table(spark, sf_dir, "documents"), decoded=True)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ a literal U+2581 decodes to spaces there, as the library has it; `exact` tells w
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections import defaultdict
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, map_batches, scratch_table, text_values
+from .common import map_batches, scratch_table, text_values
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every function here.
 MODEL = os.environ.get("STRATALITH_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 _UNITS = re.compile("\n|▁*[^▁\n]+|▁+")
-_KEPT_UNITS = 300_000
+_KEPT_UNITS = 120_000
 
 
 class Model:
@@ -123,7 +124,7 @@ class Model:
             return True
         key = (a, b)
         if key not in self.fits:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             self.fits[key] = self.merged(a + b) == [a, b]
         return self.fits[key]
@@ -272,11 +273,12 @@ def id_lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32), pa.int32()))
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, giant_chars: int = 65_536, chunk_chars: int = 32_768) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, giant_chars: int = 65_536, chunk_chars: int = 32_768, decoded: bool = False) -> DataFrame:
     """One row per document: id_col, ids array<int>.
 
     Documents up to `giant_chars` are encoded where they are read. Longer ones are dealt out as chunks over all tasks; only
-    chunk edges and ids are shuffled beyond that. Documents are told apart by row, not by id, so repeated ids are fine.
+    chunk edges and ids are shuffled beyond that. Documents are told apart by row, not by id, so repeated ids are fine. With `decoded`,
+    rows have the columns of with_decoded as well, made where the ids are: one Python worker a task instead of two.
     """
     if chunk_chars < 64:
         raise ValueError("chunks must be longer than pieces")
@@ -286,9 +288,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def short(batch):
         model = Model.at(model_file)
-        yield pa.RecordBatch.from_arrays([batch.column(0), id_lists([model.encode(t or "") for t in text_values(batch.column(1))])], names=["id", "ids"])
+        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            ids = id_lists([model.encode(t or "") for t in text_values(part.column(1))])
+            more = decoded_columns(model, ids) if decoded else {}
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, *more.values()], names=["id", "ids", *more])
 
-    plain = map_batches(rows.filter(length <= giant_chars), ["id", "text"], short, f"id {kind}, ids array<int>")
+    plain = map_batches(rows.filter(length <= giant_chars), ["id", "text"], short, f"id {kind}, ids array<int>" + (f", {_DECODED}" if decoded else ""))
     giants = rows.filter(length > giant_chars)
 
     def split(batch):
@@ -334,6 +339,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     traced = map_batches(chunks.join(edges, ["row", "k"]), ["row", "id", "k", "left", "own", "s", "a", "p", "b", "q"], back, f"row long, id {kind}, k int, ids array<int>")
     whole = traced.groupBy("row").agg(F.first("id", ignorenulls=True).alias("id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids")).select("id", "ids")
+    whole = with_decoded(whole, "id", model_file) if decoded else whole
     return plain.union(whole).withColumnRenamed("id", id_col)
 
 
@@ -350,17 +356,24 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
 
 def with_decoded(encoded: DataFrame, id_col: str = "doc_id", model_file: str = MODEL) -> DataFrame:
     """`encoded` with n_tokens and the SHA-256 and length of the decoded text, for round-trip checks without a copy of all texts."""
-    import hashlib
 
     def fn(batch):
-        model = Model.at(model_file)
-        lists = batch.column(1)
-        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        texts = [model.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(offsets), pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in texts], pa.string())], names=[id_col, "ids", "n_tokens", "decoded_chars", "decoded_sha256"])
+        more = decoded_columns(Model.at(model_file), batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more.values()], names=[id_col, "ids", *more])
+
+    return map_batches(encoded, [id_col, "ids"], fn, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, ids array<int>, {_DECODED}")
+
 
-    return map_batches(encoded, [id_col, "ids"], fn, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, ids array<int>, n_tokens long, decoded_chars long, decoded_sha256 string")
+_DECODED = "n_tokens long, decoded_chars long, decoded_sha256 string"
 
 
-__all__ = ["MODEL", "Model", "combine", "decode_documents", "drop_scratch", "edges_of", "encode_documents", "transfer", "with_decoded"]
+def decoded_columns(model: Model, lists: pa.Array) -> dict[str, pa.Array]:
+    """n_tokens, decoded_chars and decoded_sha256 of lists of ids, one text at a time."""
+    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    chars, digests = [], []
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        text = model.decode(flat[a:b])
+        chars.append(len(text))
+        digests.append(hashlib.sha256(text.encode("utf-8", "replace")).hexdigest())
+    return {"n_tokens": pa.array(np.diff(offsets), pa.int64()), "decoded_chars": pa.array(chars, pa.int64()), "decoded_sha256": pa.array(digests, pa.string())}
