@@ -16,7 +16,7 @@ from stratalith.llm.decontaminate import decontaminate
 from stratalith.llm.jaccard_join import keep_first
 from stratalith.llm.langid import keep_identified, learn_dictionaries, training_rows
 from stratalith.llm.secrets import redact_secrets
-from stratalith.llm.sentencepieces import encode_documents, with_decoded
+from stratalith.llm.sentencepieces import encode_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with the digest of what they decode to."""
-    return with_decoded(encode_documents(docs))
+    return encode_documents(docs, decoded=True)
 
 
 STAGES = [
