@@ -1,16 +1,21 @@
 """LM scoring by a hierarchical Pitman-Yor model over all training tokens.
 
-Restaurants: every previous token that is among the `head` most frequent ones, the spelling class (last byte) of any other, and the
-beginning of a text are contexts; their dishes are the head tokens, the end, and spelling classes. All context restaurants share one
-parent, whose base is uniform over outcomes. A token outside the head is drawn from its class's own restaurant, whose base is uniform over
-the class's tokens and one unknown. So every token of every text is a customer, at any size of the corpus.
-
-Counts are gathered over the whole training corpus: token counts by a shuffle, class pairs as at most (head + classes + 1)^2
-sums. Seating is sampled by Gibbs sweeps: the customers of a dish leave and are seated again one after the other
+Restaurants: every previous token, whatever its count, and the beginning of a text have a restaurant of their own whose dishes are the tokens
+that follow, the end among them; the pairs seen are a distributed table. Its parent is the restaurant of the token itself if it is among the
+`head` most frequent ones, else of its spelling class (last byte); their dishes are the head tokens, the end, and spelling classes, and
+they share one parent, whose base is uniform over outcomes. A token outside the head is drawn from its class's own restaurant, whose base is uniform
+over the class's tokens and one unknown. Every token of every text is a customer of its previous token's restaurant, at any size of the corpus;
+customers above are the tables below.
+
+Seating: pairs start with one table each; then `rounds` times the restaurants above are fitted and every pair is seated again given them.
+Restaurants above are sampled by Gibbs sweeps: the customers of a dish leave and are seated again one after the other
 (past 64 in runs of a sixteenth, with one binomial draw a run) given all other tables; each sweep after burn-in gives predictive
 probabilities, and their average scores texts. Tokens of a class with equal counts are exchangeable, so they are seated together as numbers of
 tokens by number of tables. Discounts are n1 / (n1 + 2 n2) of each level's counts.
 
+A text's score is a sum: what its tokens have without their pairs, and for every pair seen in training what it adds. Pairs beyond a broadcast
+table of the most frequent ones are joined, as are tokens beyond the lexicon.
+
 Token counts beyond a broadcast lexicon of bounded size reach the documents through a join on the token.
 
 Defined results: null text is empty and has the end only; repeated rows are scored row by row; a row with a null id is
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import binary_values, prepare, scratch_table, split_tokens
+from .common import binary_values, drop_scratch, prepare, scratch_table, sized, split_tokens
 
 CLASSES = 32
 END = b" "  # no word holds a space
@@ -39,29 +44,61 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2
 
 
-def token_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(token binary, k, c) over column `text`: counted in each task first, then by one shuffle."""
+def pair_keys(words: list[bytes]) -> list[bytes]:
+    """Previous token, space, token; the beginning and the end are empty."""
+    return [u + b" " + w for u, w in zip([b"", *words], [*words, b""], strict=True)]
+
+
+def pair_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
+    """(pair binary, c) over column `text`: counted in each task first, then by one shuffle."""
 
     def run(batches):
         held: Counter[bytes] = Counter()
 
+        def out():
+            pairs = list(held)
+            for i in range(0, len(pairs), 100_000):
+                part = pairs[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([held[t] for t in part], pa.int64())], names=["pair", "c"])
+            held.clear()
+
+        for batch in batches:
+            for raw in binary_values(batch.column(0)):
+                held.update(pair_keys(split_tokens(raw or b"")))
+                if len(held) > flush:
+                    yield from out()
+        yield from out()
+
+    return texts.mapInArrow(run, "pair binary, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+
+
+def token_counts(pairs: DataFrame, flush: int = 200_000) -> DataFrame:
+    """(token binary, k, c, followers, customers) of (pair, c, t): occurrences, tables in the token's restaurant, tables that serve it."""
+
+    def run(batches):
+        held: dict[bytes, list[int]] = {}
+
         def out():
             tokens = list(held)
             for i in range(0, len(tokens), 100_000):
                 part = tokens[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([t[-1] & (CLASSES - 1) for t in part], pa.int32()), pa.array([held[t] for t in part], pa.int64())], names=["token", "k", "c"])
+                sums = zip(*[held[t] for t in part], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([t or END for t in part], pa.binary()), pa.array([(t or END)[-1] & (CLASSES - 1) for t in part], pa.int32()), *(pa.array(x, pa.int64()) for x in sums)], names=["token", "k", "c", "followers", "customers"])
             held.clear()
 
         for batch in batches:
-            for raw in binary_values(batch.column(0)):
-                held[END] += 1
-                if raw:
-                    held.update(split_tokens(raw))
+            for raw, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                u, _, w = raw.partition(b" ")
+                at = held.setdefault(u, [0, 0, 0])
+                at[0] += c
+                at[1] += t
+                held.setdefault(w, [0, 0, 0])[2] += t
                 if len(held) > flush:
                     yield from out()
         yield from out()
 
-    return texts.mapInArrow(run, "token binary, k int, c long").groupBy("token", "k").agg(F.sum("c").alias("c"))
+    made = pairs.select("pair", "c", "t").mapInArrow(run, "token binary, k int, c long, followers long, customers long")
+    return made.groupBy("token", "k").agg(*[F.sum(x).alias(x) for x in ("c", "followers", "customers")])
 
 
 def _bin(c):
@@ -74,12 +111,13 @@ class Lexicon:
 
     def __init__(self, tokens: list[bytes], counts: list[int], head: int):
         self.index = {t: i for i, t in enumerate(tokens)}
+        self.none = len(tokens)  # index of the beginning and the end
         self.counts = np.array(counts, np.int64)
         self.head = head
         self.dishes = np.array([i if i < head else head + (t[-1] & (CLASSES - 1)) for i, t in enumerate(tokens)], np.int32)
         self.end = head + CLASSES  # as a dish the end, as a context the beginning
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def read(self, words: list[bytes], empty: int = 0) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Lexicon indexes (-1: not in it), dishes, and the words that aren't in it."""
         get = self.index.get
         at = np.array([get(w, -1) for w in words], np.int64)
@@ -87,30 +125,44 @@ class Lexicon:
         away = np.flatnonzero(at < 0)
         rest = [words[i] for i in away.tolist()]
         if rest:
-            dishes[away] = [self.head + (w[-1] & (CLASSES - 1)) for w in rest]
+            dishes[away] = [self.head + (w[-1] & (CLASSES - 1)) if w else empty for w in rest]
         return at, dishes, rest
 
 
-def class_pairs(texts: DataFrame, lexicon, size: int) -> DataFrame:
-    """(pair, c): how often dish `pair % size` follows context `pair // size`, summed in each task first."""
+def _ends_of(lex: Lexicon, pairs: list[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Previous tokens, tokens, their lexicon indexes (-1: not in it), contexts and dishes."""
+    split = [p.partition(b" ") for p in pairs]
+    us, ws = [x[0] for x in split], [x[2] for x in split]
+    out: list[np.ndarray] = []
+    for words in (us, ws):
+        at, dishes, _ = lex.read(words, lex.head)
+        empty = np.array([not w for w in words], bool)
+        at[empty], dishes[empty] = lex.none, lex.end
+        out += [at, dishes]
+    return us, ws, out[0], out[2], out[1], out[3]
+
+
+def class_pairs(pairs: DataFrame, lexicon, size: int) -> DataFrame:
+    """(pair, c): tables of (pair, t) by context and dish, `context * size + dish`, summed in each task first."""
 
     def run(batches):
         lex: Lexicon = lexicon.value
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            for raw in binary_values(batch.column(0)):
-                _, dishes, _ = lex.read(split_tokens(raw or b""))
-                context = np.concatenate(([lex.end], dishes))
-                np.add.at(total, context.astype(np.int64) * size + np.append(dishes, lex.end), 1)
+            _, _, _, _, context, dish = _ends_of(lex, batch.column(0).to_pylist())
+            np.add.at(total, context.astype(np.int64) * size + dish, batch.column(1).to_numpy())
         some = np.flatnonzero(total)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["pair", "c"])
 
-    return texts.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return pairs.select("pair", "t").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
 def discount(counts: np.ndarray) -> float:
-    n1, n2 = float((counts == 1).sum()), float((counts == 2).sum())
+    return discount_of(int((counts == 1).sum()), int((counts == 2).sum()))
+
+
+def discount_of(n1: int, n2: int) -> float:
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
 
 
@@ -203,7 +255,7 @@ class Model:
     def _token_curve(rng, bins: dict[int, int], customers: int, strength: float, burn_in: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
         """Counts (0 first) and the averaged probability of a token with that count."""
         n = sum(bins.values())
-        d = discount(np.repeat([c for c in (1, 2)], [min(bins.get(c, 0), 10**7) for c in (1, 2)]))
+        d = discount_of(bins.get(1, 0), bins.get(2, 0))
         at = np.array([0, *sorted(bins)], np.float64)
         tables = float(n)
         total = np.zeros(len(at))
@@ -220,74 +272,219 @@ class Model:
         return token_log(self.by_class[k], counts)
 
 
-def lexicon_logs(model: Model, lex: Lexicon) -> np.ndarray:
+class Trained:
+    """What scoring needs of the restaurants above the pairs: `tokens` (token, c, followers, customers), those of the lexicon as arrays."""
+
+    def __init__(self, tokens: DataFrame, rest: DataFrame, model: Model, lex: Lexicon, info: np.ndarray, ends: tuple[int, int], d: float, strength: float = 1.0):
+        self.tokens, self.rest, self.d, self.strength = tokens, rest, d, strength
+        self.dish, self.curves = model.dish, model.by_class
+        self.opening = spread(*ends, d, strength)
+        # with the beginning and the end last
+        self.spare = np.append(spread(info[:, 0], info[:, 1], d, strength), self.opening)
+        self.logs = np.append(lexicon_logs(model, lex, info[:, 2]), 0.0)
+        self.weights = strength + d * np.append(info[:, 1], ends[1])
+
+
+def spread(c, followers, d: float, strength: float):
+    """log10 share of a restaurant that goes to its parent."""
+    return np.log10((strength + d * np.asarray(followers, np.float64)) / (strength + np.asarray(c, np.float64)))
+
+
+def lexicon_logs(model: Model, lex: Lexicon, customers: np.ndarray) -> np.ndarray:
     """log10 probability of each lexicon token in its class; 0 for head tokens."""
     out = np.zeros(len(lex.counts))
     for k in range(CLASSES):
         mine = np.flatnonzero(lex.dishes == lex.head + k)
         mine = mine[mine >= lex.head]
         if len(mine):
-            out[mine] = model.token(k, lex.counts[mine].astype(np.float64))
+            out[mine] = model.token(k, customers[mine].astype(np.float64))
     return out
 
 
-def train(docs: DataFrame, text_col: str, head: int, lexicon_size: int):
-    """Everything scoring needs: counts table, lexicon, model, and N, V."""
-    spark = docs.sparkSession
-    prepare(spark)
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    counts = scratch_table(token_counts(texts), "tokens")
-    short = F.octet_length("token") <= _LONGEST
-    binned = counts.filter(F.col("token") != F.lit(END)).groupBy("k", short.alias("short"), _bin(F.col("c")).alias("bin")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
-    ends = sum(r[0] for r in counts.filter(F.col("token") == F.lit(END)).select("c").collect())
-    total, distinct = sum(r["c"] for r in binned) + ends, sum(r["n"] for r in binned) + (ends > 0)
-
-    def least(most: int) -> float:
-        """Smallest bin such that at most `most` tokens lie in it or above."""
-        seen, found = 0, math.inf
-        for b in sorted({r["bin"] for r in binned if r["short"]}, reverse=True):
-            seen += sum(r["n"] for r in binned if r["short"] and r["bin"] == b)
-            if seen > most:
-                break
-            found = b
-        return found
-
-    floor, head_floor = least(lexicon_size), least(head)
-    rows = sorted(((-r["c"], bytes(r["token"]), r["bin"]) for r in counts.filter(short & (_bin(F.col("c")) >= F.lit(float(floor))) & (F.col("token") != F.lit(END))).select("token", "c", _bin(F.col("c")).alias("bin")).collect())) if floor < math.inf else []
-    lex = Lexicon([t for _, t, _ in rows], [-c for c, _, _ in rows], sum(b >= head_floor for _, _, b in rows))
+def known_tokens(tokens: DataFrame, head: int, lexicon_size: int) -> tuple[Lexicon, float]:
+    """The most frequent tokens, and the smallest bin of counts they reach (inf: none)."""
+    short = (F.octet_length("token") <= _LONGEST) & (F.col("token") != F.lit(END))
+    bins = sorted(((r["bin"], r["n"]) for r in tokens.filter(short).groupBy(_bin(F.col("c")).alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True)
+
+    floor, head_floor = _least(bins, lexicon_size), _least(bins, head)
+    rows = sorted((-r["c"], bytes(r["token"]), r["bin"]) for r in tokens.filter(short & (_bin(F.col("c")) >= F.lit(float(floor)))).select("token", "c", _bin(F.col("c")).alias("bin")).collect()) if floor < math.inf else []
+    return Lexicon([t for _, t, _ in rows], [-c for c, _, _ in rows], sum(b >= head_floor for _, _, b in rows)), floor
+
+
+def _least(bins: list[tuple[float, int]], most: int) -> float:
+    """Of (bin, number) by falling bin: the smallest bin such that at most `most` lie in it or above."""
+    seen, found = 0, math.inf
+    for b, n in bins:
+        seen += n
+        if seen > most:
+            break
+        found = b
+    return found
+
+
+def fit(pairs: DataFrame, tokens: DataFrame, held, floor: float, d: float) -> Trained:
+    """The restaurants above the pairs, whose customers are the tables of `pairs`."""
+    lex: Lexicon = held.value
     size = lex.head + CLASSES + 1
+    short = F.octet_length("token") <= _LONGEST
+    words = tokens.filter(F.col("token") != F.lit(END))
+    inside = short & (_bin(F.col("c")) >= F.lit(float(floor))) if floor < math.inf else F.lit(False)
+    info = np.zeros((len(lex.counts), 3), np.int64)
+    for r in words.filter(inside).select("token", "c", "followers", "customers").collect() if floor < math.inf else []:
+        info[lex.index[bytes(r["token"])]] = r["c"], r["followers"], r["customers"]
     class_bins: dict[int, Counter] = {}
     class_sums: Counter = Counter()
-    for r in binned:
+    for r in words.groupBy("k", _bin(F.col("customers")).alias("bin")).agg(F.count("*").alias("n"), F.sum("customers").alias("c")).collect():
         class_bins.setdefault(r["k"], Counter())[int(r["bin"])] += r["n"]
         class_sums[r["k"]] += r["c"]
-    for c, t, b in rows[: lex.head]:
-        k = t[-1] & (CLASSES - 1)
-        class_bins[k][int(b)] -= 1
-        class_sums[k] -= -c
-    held = spark.sparkContext.broadcast(lex)
-    pairs = {r[0]: r[1] for r in class_pairs(texts, held, size).collect()}
-    model = Model(pairs, size, lex.head, {k: {c: n for c, n in b.items() if n > 0} for k, b in class_bins.items()}, class_sums)
-    rest = counts.filter(~short | (_bin(F.col("c")) < F.lit(float(floor)))) if floor < math.inf else counts
-    return counts, rest.filter(F.col("token") != F.lit(END)).select("token", "c"), held, model, ends, total, distinct
+    head = {t: i for t, i in lex.index.items() if i < lex.head}
+    if head:
+        for r in words.filter(inside).select("token", "k", "customers", _bin(F.col("customers")).alias("bin")).collect():
+            if bytes(r["token"]) in head:
+                class_bins[r["k"]][int(r["bin"])] -= 1
+                class_sums[r["k"]] -= r["customers"]
+    model = Model({r[0]: r[1] for r in class_pairs(pairs, held, size).collect()}, size, lex.head, {k: {c: n for c, n in b.items() if n > 0} for k, b in class_bins.items()}, class_sums)
+    end = tokens.filter(F.col("token") == F.lit(END)).select("c", "followers").first()
+    rest = words.filter(~inside).select("token", "c", "followers", "customers")
+    return Trained(tokens, rest, model, lex, info, tuple(end) if end else (0, 0), d)
+
+
+def _with_parents(pairs: DataFrame, trained: Trained, held) -> DataFrame:
+    """(pair, c, t, weight, parent): strength and discounted tables of the previous token's restaurant, and the token's probability in the parent."""
+    spark = pairs.sparkSession
+    tools = spark.sparkContext.broadcast((trained.weights, trained.dish, trained.logs, trained.curves, trained.d, trained.strength))
+
+    def look(batches):
+        lex: Lexicon = held.value
+        for batch in batches:
+            us, ws, iu, iw, context, dish = _ends_of(lex, batch.column(0).to_pylist())
+            # in the lexicon: a token no word can be, one of many, so that these rows spread over the join
+            ju, jw = ([w if i < 0 else b"  %d" % (n % 10_007) for n, (w, i) in enumerate(zip(words, at.tolist(), strict=True))] for words, at in ((us, iu), (ws, iw)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(iu), pa.array(iw), pa.array(context.astype(np.int32)), pa.array(dish.astype(np.int32)), pa.array(ju, pa.binary()), pa.array(jw, pa.binary())], names=["pair", "c", "t", "iu", "iw", "context", "dish", "ju", "jw"])
+
+    found = pairs.select("pair", "c", "t").mapInArrow(look, "pair binary, c long, t long, iu long, iw long, context int, dish int, ju binary, jw binary")
+    rest = trained.rest
+    if rest.isEmpty():
+        found = found.withColumn("followers", F.lit(0).cast("long")).withColumn("customers", F.lit(0).cast("long"))
+    else:
+        of_u, of_w = rest.select(F.col("token").alias("ju"), "followers"), rest.select(F.col("token").alias("jw"), "customers")
+        found = found.join(sized(of_u), "ju", "left").join(sized(of_w), "jw", "left")
+
+    def weigh(batches):
+        weights, dishes, logs, curves, d, strength = tools.value
+        head = len(dishes) - CLASSES - 1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            iu, iw, context, dish = (batch.column(x).to_numpy() for x in ("iu", "iw", "context", "dish"))
+            followers, customers = (np.nan_to_num(batch.column(x).to_numpy(zero_copy_only=False).astype(np.float64)) for x in ("followers", "customers"))
+            weight = np.where(iu >= 0, weights[iu], strength + d * followers)
+            log = np.where(iw >= 0, logs[iw], 0.0)
+            for x in np.unique(dish[iw < 0]).tolist():
+                mine = (iw < 0) & (dish == x)
+                log[mine] = token_log(curves[x - head], customers[mine])
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("c"), batch.column("t"), pa.array(weight), pa.array(10.0 ** (dishes[context, dish] + log))], names=["pair", "c", "t", "weight", "parent"])
 
+    return found.select("pair", "c", "t", "iu", "iw", "context", "dish", "followers", "customers").mapInArrow(weigh, "pair binary, c long, t long, weight double, parent double")
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on: DataFrame | None = None, head: int = 512, lexicon_size: int = 1 << 18) -> DataFrame:
+
+def seat_pairs(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, d: float, seed: int) -> np.ndarray:
+    """As `seat`, with draws fixed by a pair's key, however pairs are dealt out; a run moves a pair by its mean number of new tables, rounded at random."""
+    tables = np.minimum(counts, 1)
+    active = np.flatnonzero(counts > 1)
+    i = 1
+    while len(active):
+        x = keys[active].astype(np.uint64) + np.uint64((seed * 1_000_003 + i) * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        draw = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        run = 1 if i < 64 else i // 16
+        w = np.maximum(weight[active], 0.0)
+        p = w / (w + np.maximum(i - d * tables[active], 1e-9))
+        mean = np.minimum(run, counts[active] - i) * p
+        tables[active] += (np.floor(mean) + (draw < mean - np.floor(mean))).astype(np.int64)
+        i += run
+        active = active[counts[active] > i]
+    return tables
+
+
+def seated(pairs: DataFrame, trained: Trained, held, seed: int) -> DataFrame:
+    """(pair, c, t): every pair's customers seated anew, given all other tables."""
+    d = trained.d
+
+    def run(batches):
+        for batch in batches:
+            c, t = batch.column("c").to_numpy(), batch.column("t").to_numpy()
+            weight = (batch.column("weight").to_numpy() - d * t) * batch.column("parent").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("c"), pa.array(seat_pairs(batch.column("key").to_numpy(), c, weight, d, seed))], names=["pair", "c", "t"])
+
+    return _with_parents(pairs, trained, held).withColumn("key", F.xxhash64("pair")).mapInArrow(run, "pair binary, c long, t long")
+
+
+def train(docs: DataFrame, text_col: str, head: int, lexicon_size: int, rounds: int):
+    """Everything scoring needs: restaurants above, the lexicon, what pairs add (pair, c, gain), and the numbers of ends, customers and tokens."""
+    spark = docs.sparkSession
+    prepare(spark)
+    pairs = scratch_table(pair_counts(docs.select(F.col(text_col).cast("binary").alias("text"))).withColumn("t", F.lit(1).cast("long")), "pairs")
+    few = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    d = discount_of(few[0], few[1])
+    tokens = scratch_table(token_counts(pairs), "tokens")
+    lex, floor = known_tokens(tokens, head, lexicon_size)
+    held = spark.sparkContext.broadcast(lex)
+    trained = fit(pairs, tokens, held, floor, d)
+    for k in range(rounds):
+        after = scratch_table(seated(pairs, trained, held, k + 1), "pairs")
+        tables = scratch_table(token_counts(after), "tokens")
+        drop_scratch(pairs, tokens)
+        pairs, tokens = after, tables
+        trained = fit(pairs, tokens, held, floor, d)
+    gain = F.log10(1 + (F.col("c") - F.lit(d) * F.col("t")) / (F.col("weight") * F.col("parent")))
+    gains = scratch_table(_with_parents(pairs, trained, held).select("pair", "c", gain.alias("gain")), "gains")
+    drop_scratch(pairs)
+    total, distinct, ends = tokens.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("token") == F.lit(END), F.col("c")))).first()
+    return trained, held, gains, ends or 0, total or 0, distinct or 0
+
+
+def frequent_pairs(gains: DataFrame, lex: Lexicon, most: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Codes (previous index * (none + 1) + index, sorted) and gains of the most frequent pairs inside the lexicon, and all pairs that aren't there."""
+    short = F.octet_length("pair") <= 2 * _LONGEST + 1
+    bins = sorted(((r["bin"], r["n"]) for r in gains.filter(short).groupBy(_bin(F.col("c")).alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    floor = _least(bins, most)
+    if floor == math.inf:
+        return np.zeros(0, np.int64), np.zeros(0), gains
+    top = gains.filter(short & (_bin(F.col("c")) >= F.lit(float(floor)))).select("pair", "gain").toArrow()
+    names = top["pair"].to_pylist()
+    _, _, iu, iw, _, _ = _ends_of(lex, names)
+    inside = (iu >= 0) & (iw >= 0)
+    codes, gain = (iu * (lex.none + 1) + iw)[inside], top["gain"].to_numpy()[inside]
+    order = np.argsort(codes)
+    # pairs with a token beyond the lexicon stay in the joined table
+    away = [names[i] for i in np.flatnonzero(~inside).tolist()]
+    rest = gains.filter(~short | (_bin(F.col("c")) < F.lit(float(floor))))
+    if away:
+        rest = rest.union(gains.join(F.broadcast(gains.sparkSession.createDataFrame([(x,) for x in away], "pair binary")), "pair", "left_semi"))
+    return codes[order], gain[order], rest
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on: DataFrame | None = None, head: int = 512, lexicon_size: int = 1 << 18, pairs_size: int = 1 << 19, rounds: int = 1) -> DataFrame:
     """One row per row of `docs`: id_col, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     `train_on` are the rows to learn from (default: all of `docs`).
     """
     spark = docs.sparkSession
-    _, rest, held, model, ends, total, distinct = train(docs if train_on is None else train_on, text_col, head, lexicon_size)
+    trained, held, gains, ends, total, distinct = train(docs if train_on is None else train_on, text_col, head, lexicon_size, rounds)
     lex: Lexicon = held.value
     norm = total + distinct + 1
-    tools = spark.sparkContext.broadcast((model.dish, lexicon_logs(model, lex), np.log10((lex.counts + 1) / norm)))
+    codes, gain, rare = frequent_pairs(gains, lex, pairs_size)
+    tools = spark.sparkContext.broadcast((trained.dish, trained.logs + trained.spare, np.log10((lex.counts + 1) / norm), codes, gain))
     end_base, end_known = math.log10((ends + 1) / norm), int(ends > 0)
-    curves = spark.sparkContext.broadcast(model.by_class)
+    curves, d, strength = spark.sparkContext.broadcast(trained.curves), trained.d, trained.strength
+    nothing_seen = F.lit(None).cast("long")
+    rest = trained.rest.withColumn("gain", F.lit(None).cast("double")).union(rare.select("pair", nothing_seen, nothing_seen, nothing_seen, "gain"))
 
     def fn(batches):
         lexicon: Lexicon = held.value
-        dish, logs, base = tools.value
+        dish, logs, base, codes, gain = tools.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -297,11 +494,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at, dishes, others = lexicon.read(words)
                 known = at[at >= 0]
                 context = np.concatenate(([lexicon.end], dishes))
-                value = dish[context, np.append(dishes, lexicon.end)].sum() + logs[known].sum()
+                value = dish[context, np.append(dishes, lexicon.end)].sum() + logs[known].sum() + logs[lexicon.none]
+                before, after = np.concatenate(([lexicon.none], at)), np.append(at, lexicon.none)
+                code = np.where((before >= 0) & (after >= 0), before * (lexicon.none + 1) + after, -1)
+                place = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+                hit = codes[place] == code if len(codes) else np.zeros(len(code), bool)
+                value += gain[place[hit]].sum()
                 sums.append((len(words) + 1, len(known) + end_known, base[known].sum() + end_base, value))
                 for token, tf in Counter(others).items():
                     for column, v in zip(away, (row, token, tf, token[-1] & (CLASSES - 1)), strict=True):
                         column.append(v)
+                # of other pairs, one row a text; a pair has no class
+                for pair, tf in Counter((words[i - 1] if i else b"") + b" " + (words[i] if i < len(words) else b"") for i in np.flatnonzero(~hit).tolist()).items():
+                    for column, v in zip(away, (row, pair, tf, -1), strict=True):
+                        column.append(v)
                 if len(away[0]) > 100_000:
                     yield out(None, None, None, away)
                     away = [[], [], [], []]
@@ -320,7 +526,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pa.array((ids.to_pylist() if n else []) + nothing, id_arrow),
                 *(pa.array([*c, *([0] * m)], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)),
                 # a token no word can be, another for each row, so that these rows spread over the join
-                pa.array([b"\x00 %d" % r for r in (rows.to_pylist() if n else [])] + away[1], pa.binary()),
+                pa.array([b"  %d" % r for r in (rows.to_pylist() if n else [])] + away[1], pa.binary()),
                 pa.array([0] * n + away[2], pa.int64()),
                 pa.array([0] * n + away[3], pa.int32()),
                 pa.array([True] * n + [False] * m, pa.bool_()),
@@ -336,17 +542,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = np.nan_to_num(batch.column("c").to_numpy(zero_copy_only=False).astype(np.float64))
+            c, followers, customers, gained = (np.nan_to_num(batch.column(x).to_numpy(zero_copy_only=False).astype(np.float64)) for x in ("c", "followers", "customers", "gain"))
             tf, k = batch.column("tf").to_numpy().astype(np.float64), batch.column("k").to_numpy()
-            value = batch.column("value").to_numpy().copy()
-            for x in np.unique(k[tf > 0]).tolist():
-                mine = (k == x) & (tf > 0)
-                value[mine] += tf[mine] * token_log(curves.value[x], c[mine])
-            base = batch.column("base").to_numpy() + tf * np.log10((c + 1) / norm)
+            value = batch.column("value").to_numpy() + tf * gained
+            words = (k >= 0) & (tf > 0)
+            for x in np.unique(k[words]).tolist():
+                mine = (k == x) & words
+                value[mine] += tf[mine] * (token_log(curves.value[x], customers[mine]) + spread(c[mine], followers[mine], d, strength))
+            base = batch.column("base").to_numpy() + np.where(words, tf * np.log10((c + 1) / norm), 0.0)
             known = batch.column("n_known").to_numpy() + np.where(c > 0, tf, 0).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("n_tokens"), pa.array(known), pa.array(base), pa.array(value)], names=["row", "id", "n_tokens", "n_known", "base", "value"])
 
-    columns = joined.select("row", "id", "n_tokens", "n_known", "base", "value", "tf", "k", "c")
+    columns = joined.select("row", "id", "n_tokens", "n_known", "base", "value", "tf", "k", "c", "followers", "customers", "gain")
     summed = columns.mapInArrow(add, f"row long, id {kind}, n_tokens long, n_known long, base double, value double").groupBy("row").agg(F.max("id").alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("value").alias("score"))
     return summed.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 

@@ -99,3 +99,36 @@ def test_seating_has_the_right_mean():
     tables = LM.seat(rng, np.full(4000, c), np.full(4000, 0.3), d)
     alike = LM.seat_alike(rng, {c: 4000}, 0.3, d)[c]
     assert abs(tables.mean() - alike) < 0.05 * alike and 1 < alike < c and theta
+
+
+def test_lm_keeps_every_context(spark, docs_of):
+    rare = [f"u{i}x" for i in range(60)]
+    follows = {u: f"w{i}z" for i, u in enumerate(rare)}
+    learn = docs_of([(i, f"{u} {follows[u]}") for i, u in enumerate(rare)] * 3)
+    asked = docs_of([(1, f"{rare[3]} {follows[rare[3]]}"), (2, f"{rare[3]} {follows[rare[4]]}"), (3, f"{rare[4]} {follows[rare[4]]}")])
+    for options in ({"head": 2}, {"head": 2, "lexicon_size": 2, "pairs_size": 2}, {"head": 2, "pairs_size": 0}):
+        got = {r["doc_id"]: r["score"] for r in LM.score_texts(asked, train_on=learn, **options).collect()}
+        assert got[1] > got[2] + 0.5 and got[3] > got[2] + 0.5, options
+
+
+def test_lm_contexts_sum_to_one(spark, docs_of):
+    learn = docs_of(list(enumerate(["a b", "a b", "a cc", "b dd a", "", "dd", "a b a b a b"])))
+    trained, held, gains, *_ = LM.train(learn, "text", 1, 100, 1)
+    lex, known = held.value, {bytes(r["pair"]): r["gain"] for r in gains.collect()}
+    for u, i in lex.index.items():
+        parent = {w: 10 ** (trained.dish[lex.dishes[i], lex.dishes[j]] + trained.logs[j]) for w, j in lex.index.items()}
+        parent[b""] = 10 ** trained.dish[lex.dishes[i], lex.end]
+        unknown = sum(10 ** trained.dish[lex.dishes[i], lex.head + k] * trained.curves[k][1][0] for k in range(LM.CLASSES))
+        total = sum(p * 10 ** known.get(u + b" " + w, 0.0) for w, p in parent.items()) + unknown
+        assert math.isclose(total * 10 ** trained.spare[i], 1, rel_tol=1e-6), u
+
+
+def test_pairs_are_seated_alike():
+    rng = np.random.default_rng(0)
+    for c in (2, 40, 500):
+        tables = LM.seat_pairs(rng.integers(-(2**62), 2**62, 4000), np.full(4000, c), np.full(4000, 0.3), 0.5, 1)
+        assert abs(tables.mean() - LM.seat(rng, np.full(4000, c), np.full(4000, 0.3), 0.5).mean()) < 0.05 * tables.mean()
+
+
+def test_discount_is_not_clipped():
+    assert LM.discount_of(30_000_000, 15_000_000) == 0.5
