@@ -33,10 +33,11 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "cred": 0.7, "creds": 0.8, "bearer": 0.8, "auth": 0.6, "authorization": 0.8, "private": 0.5, "signing": 0.5, "encryption": 0.5, "access": 0.4, "api": 0.4, "key": 0.4, "salt": 0.5, "dsn": 0.5, "connection": 0.3, "session": 0.3, "client": 0.1}
 _HARMLESS = re.compile(r"(?i)^(?:your|my|the|some|example|sample|dummy|test|changeme|change_me|placeholder|none|null|true|false|undefined|todo|xxx+|\*+|\.+|-+|<.*>|\$\{.*\}|\{\{.*\}\}|%\w*%?|\$\w+)", re.ASCII)
 _NAME_LENGTH = 80
-_NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_.\-$]{0,79})["'\]]{0,2}[ \t]{0,8}$""", re.ASCII)
+_NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_.\-$]{0,79})["'\]]{0,2}\Z""", re.ASCII)
 _SIGN = re.compile(r":=|=>|[=:]")
-_VALUE = re.compile(r"""[ \t]{0,8}(?:[rbuf]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_.+/$~^!@#%&*?-]+))""")
-_PLUS = re.compile(r"[ \t]{0,8}\+(?!=)")
+_VALUE = re.compile(r"""(?:[rbuf]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_.+/$~^!@#%&*?-]+))""")
+_SPACE = re.compile(r"(?:\s|\\\r?\n)*")
+_SIGNED = re.compile(r"[ \t]*(?::=|=>|[=:])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*", re.ASCII)
 
@@ -58,37 +59,77 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 4) * min(1.0, 0.4 + 0.2 * classes + len(value) / 64)
 
 
+def expression(text: str, pos: int) -> tuple[list[tuple[int, int, bool]], int]:
+    """(start, end, bare) of the operands from `pos` on, and the place behind them: chains of `+` and literals side by side in
+    parentheses, over white space of any length and line breaks. Behind a line break, what has a sign of its own is a name, and a bare
+    word that is not indented is no value unless it is in parentheses or behind a `+`."""
+    found, depth, plus, end = [], 0, False, pos
+    while True:
+        start = pos
+        while True:
+            pos = _SPACE.match(text, pos).end()
+            if text[pos : pos + 1] != "(":
+                break
+            depth, pos = depth + 1, pos + 1
+        value = _VALUE.match(text, pos)
+        if not value:
+            break
+        bare = value.lastindex == 4
+        if text.find("\n", start, pos) >= 0 and (_SIGNED.match(text, value.end()) or bare and not (depth or plus or text[pos - 1] in " \t")):
+            break
+        found.append((*value.span(value.lastindex), bare))
+        end = pos = value.end()
+        while True:
+            pos = _SPACE.match(text, pos).end()
+            if not depth or text[pos : pos + 1] != ")":
+                break
+            depth, pos = depth - 1, pos + 1
+        plus = text[pos : pos + 1] == "+" and text[pos + 1 : pos + 2] != "="
+        if plus:
+            pos += 1
+        elif not depth or text[pos : pos + 1] not in ("'", '"', "`"):
+            break
+    return found, end
+
+
 def lexed_literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of every literal that reaches a name, scored by the most sensitive name it reaches."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    known: dict[str, int] = {}
+    # of each assignment: weight, literals, and the assignments its constants come from
+    made: list[tuple[float, list[tuple[int, int]], set[int]]] = []
     done = 0
     for sign in _SIGN.finditer(text):
         at = sign.start()
         if at < done:  # inside a literal
             continue
-        head = _NAME.search(text, max(0, at - _NAME_LENGTH - 12), at)
-        if not head or text[at : at + 2] == "==" or text[at - 1 : at] in "=!<>+-*/":
+        if text[at : at + 2] == "==" or text[at - 1 : at] in "=!<>+-*/":
             continue
-        spans, pos = [], sign.end()
-        while value := _VALUE.match(text, pos):
-            group = value.lastindex
-            word = value[group]
-            if group == 4 and _IDENT.fullmatch(word) and word in known:
-                spans += known[word]
-            elif group != 4 or not word.isalpha():  # a bare word is a literal of configuration files only if it isn't plain letters
-                spans.append(value.span(group))
-            pos = value.end()
-            plus = _PLUS.match(text, pos)
-            if not plus:
-                break
-            pos = plus.end()
-        if spans:
-            known[head[1]] = spans[-8:]
-            weight = name_score(head[1])
-            for span in known[head[1]]:
-                best[span] = max(best.get(span, 0.0), weight)
-            done = max(done, pos if spans[-1][1] <= pos else 0)
+        last = at
+        while last > done and text[last - 1] in " \t":
+            last -= 1
+        head = _NAME.search(text, max(0, last - _NAME_LENGTH - 2), last)
+        if not head:
+            continue
+        literals, sources = [], set()
+        operands, end = expression(text, sign.end())
+        for s, e, bare in operands:
+            word = text[s:e]
+            if bare and _IDENT.fullmatch(word) and word in known:
+                sources.add(known[word])
+            elif not bare or not word.isalpha():  # a bare word is a literal of configuration files only if it isn't plain letters
+                literals.append((s, e))
+        if literals or sources:
+            known[head[1]] = len(made)
+            made.append((name_score(head[1]), literals, sources))
+            done = max(done, end)
+    # constants come from earlier assignments: from the last to the first, each hands its weight on
+    weights = [w for w, _, _ in made]
+    best: dict[tuple[int, int], float] = {}
+    for i in range(len(made) - 1, -1, -1):
+        for j in made[i][2]:
+            weights[j] = max(weights[j], weights[i])
+        for span in made[i][1]:
+            best[span] = max(best.get(span, 0.0), weights[i])
     return [(s, e, w * literal_score(text[s:e])) for (s, e), w in best.items() if w > 0]
 
 

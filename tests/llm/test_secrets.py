@@ -56,3 +56,26 @@ def test_query(spark, sf):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     rows = QUERIES["op3_secret_scan"](spark, sf).collect()
     assert len(rows) == len(texts) and all(r["base_sha256"] == digest(base(texts[r["doc_id"]])) for r in rows)
+
+
+def test_lexer_reads_whole_expressions():
+    parts = [f"Zk39fQ1!pL{c}m" for c in "abcdefghijkl"]
+    chain = " + ".join(f'"{p}"' for p in parts)
+    assert found(f"db_pwd = {chain}") == parts
+    assert found(f"x = {chain}\ny = x + x\ndb_pwd = y") == parts
+    for gap in (" " * 9, "\t" * 40, " " * 5000):
+        assert found(f'db_pwd{gap}= "Zk39fQ1!pLm"') == found(f'db_pwd ={gap}"Zk39fQ1!pLm"') == ["Zk39fQ1!pLm"]
+        assert found(f'db_pwd = "Zk39fQ1!pLa"{gap}+{gap}"Zk39fQ1!pLb"') == ["Zk39fQ1!pLa", "Zk39fQ1!pLb"]
+    assert found('db_pwd =\n    "Zk39fQ1!pLm"') == found('db_pwd = (\n  "Zk39fQ1!pLm"\n)') == found("db_pwd:\n  Zk39fQ1!pLm") == ["Zk39fQ1!pLm"]
+    assert found('db_pwd = ("Zk39fQ1!pLa"\n  "Zk39fQ1!pLb" +\n  "Zk39fQ1!pLc")') == ["Zk39fQ1!pLa", "Zk39fQ1!pLb", "Zk39fQ1!pLc"]
+    assert found('db_pwd = "Zk39fQ1!pLa"\n  + "Zk39fQ1!pLb"') == ["Zk39fQ1!pLa", "Zk39fQ1!pLb"]
+    assert found("db_pwd:\n  min_length_9: 8\ndb_pwd=\nhost_name9=x\ndb_pwd=\nsome-Text9 follows") == []
+
+
+def test_lexer_is_linear():
+    import time
+
+    began = time.time()
+    for text in ('a = a + "Zk39fQ1!pLm"\n' * 20_000, "a = a + a\n" * 20_000, "pwd" + " " * 300_000 + "=", "= \n" * 100_000, "pwd=(" * 60_000):
+        S.lexed_literals(text)
+    assert time.time() - began < 20
