@@ -6,7 +6,7 @@ template that marks every turn and escapes control strings inside roles and text
 mask over the texts of the assistant.
 
 Defined results: a null text is empty; a null or unknown role is kept as it is (null: empty); records that no layout fits keep layout null and
-have no turns; turns with equal order are sorted by role, then text. A conversation is one output string, so its size is bounded by
+have no turns; turns with equal order are sorted by role, then text; null turns come last. A conversation is one output string, so its size is bounded by
 what a row can hold; its turns meet in one group for that reason alone.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 # fixed values: control strings of the template
 START, END = "<|im_start|>", "<|im_end|>"
+#: Field that marks a record as a row of a table of turns.
+ROW_MARK = "_table_row"
 
 #: name -> required paths, optional paths, mapping. A mapping is a list of (role, path), or an array path with its role and text fields.
 LAYOUTS: dict[str, dict] = {
@@ -30,6 +32,7 @@ LAYOUTS: dict[str, dict] = {
     "prompt_response": {"required": ["$.prompt", "$.response"], "optional": ["$.system"], "turns": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")]},
     "question_answer": {"required": ["$.question", "$.answer"], "optional": ["$.context"], "turns": [("system", "$.context"), ("user", "$.question"), ("assistant", "$.answer")]},
     "turn_row": {"required": ["$.turn"], "optional": ["$.role", "$.text"], "one": ("$.role", "$.text")},
+    "table_row": {"required": [f"$.{ROW_MARK}"], "optional": ["$.role", "$.text"], "one": ("$.role", "$.text")},
 }
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -135,9 +138,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def conversations_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """One row per conversation: conv_col, turns in order of turn; every row goes through its layout's mapping."""
-    record = F.to_variant_object(F.struct(*[F.col(c) for c in rows.columns if c != conv_col]))
+    # the mark stands for the row, so that one whose columns are all null is a turn too
+    record = F.to_variant_object(F.struct(F.lit(True).alias(ROW_MARK), *[F.col(c) for c in rows.columns if c in ("role", "text")]))
     made = canonical_turns(rows, record, "_turns").select(conv_col, turn_col, F.explode("_turns").alias("_t"))
-    grouped = made.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("turn"), F.col("_t.role").alias("role"), F.col("_t.text").alias("text")))).alias("_rows"))
+    grouped = made.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), F.col("_t.role").alias("role"), F.col("_t.text").alias("text")))).alias("_rows"))
     return grouped.select(conv_col, F.transform("_rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

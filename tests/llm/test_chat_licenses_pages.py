@@ -111,3 +111,9 @@ def test_page_query(spark, sf):
     assert len(rows) == len(pages) and all(r["text"] == truth(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in rows)
     odd = spark.createDataFrame([(1, "u", None, 5), (1, "u", "<p>x</p>", 5)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in extract_pages(odd).collect()) == [("", 0), ("x", 1)]
+
+
+def test_null_turns_are_kept(spark):
+    rows = [(1, None, "assistant", "last"), (1, 0, "user", "first"), (1, None, None, None), (2, None, None, None), (2, None, "user", "x")]
+    made = C.conversations_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in made.collect()} == {1: [("user", "first"), ("", ""), ("assistant", "last")], 2: [("", ""), ("user", "x")]}
