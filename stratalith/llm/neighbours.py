@@ -8,7 +8,7 @@ that its own brute-force neighbours are found with `recall`. Lists are cut into
 a vector with many copies gathers in one task; queries of a list are cut into blocks too.
 
 Scores are inner products of the original vectors in double precision, summed the same way for every pair. Vectors that are null, zero, of another
-than the most frequent length, or hold null or non-finite components take no part. Ties go to the smaller id. An empty table
+than the most frequent length, or hold null or non-finite components take no part. Ties go to the smaller id; of repeated ids the best row counts. An empty table
 gives an empty result; a query gets fewer than `k` rows only if there are fewer candidates.
 """
 
@@ -178,8 +178,9 @@ def nearest(vectors: DataFrame, queries: Callable[[Column], Column], id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([c for h in homes for c in h], pa.int32()), part.column(0).take(pa.array(row)), pa.array([raw[i] for i in row.tolist()], pa.binary())], names=["list", "id", "raw"])
 
     postings = scratch_table(rows.mapInArrow(post, "list int, id long, raw binary"), "postings")
-    counted = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}
-    sizes = np.array([counted.get(c, 0) for c in range(len(index.value.centroids))])
+    held_rows = postings.groupBy("list").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids")).collect()
+    counted, different = {r["list"]: r["rows"] for r in held_rows}, {r["list"]: r["ids"] for r in held_rows}
+    sizes = np.array([different.get(c, 0) for c in range(len(index.value.centroids))])
 
     def ask(batches):
         for batch in batches:
@@ -200,6 +201,7 @@ def nearest(vectors: DataFrame, queries: Callable[[Column], Column], id_col: str
         out: list[list] = [[], [], []]
         if held.num_rows and query.num_rows:
             ids = held["id"].to_numpy()
+            first = np.unique(ids, return_index=True)[1]
             x = np.frombuffer(b"".join(held["raw"].to_pylist()), _STORED).reshape(-1, d)
             asking = query["id"].to_numpy()
             for i in range(0, len(asking), 256):
@@ -209,18 +211,21 @@ def nearest(vectors: DataFrame, queries: Callable[[Column], Column], id_col: str
                 rough[ids[None, :] == some[:, None]] = -np.inf
                 for j in range(len(some)):
                     line = rough[j]
-                    top = np.argpartition(-line, min(k, len(line)) - 1)[:k]
-                    worst = line[top].min()
+                    # k different ids reach at least this
+                    lead = line[first]
+                    top = np.argpartition(-lead, min(k, len(lead)) - 1)[:k]
+                    worst = lead[top].min()
                     near = np.flatnonzero(line >= (worst - 1e-9 * max(1.0, abs(worst)) if np.isfinite(worst) else np.finfo(float).min))
                     score = (x[near] * q[j]).sum(axis=1)
-                    best = np.lexsort((ids[near], -score))[:k]
+                    best = np.lexsort((ids[near], -score))
+                    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])[:k]]
                     out[0] += [int(some[j])] * len(best)
                     out[1] += ids[near][best].tolist()
                     out[2] += score[best].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     found = left.groupBy("list", "b", "a").cogroup(right.groupBy("list", "b", "a")).applyInArrow(search, "query_id long, vec_id long, score double")
-    # postings of one vector in several lists share a rank
+    # one row for the repeats of an id and its postings in several lists
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.dense_rank().over(by_query)).filter(F.col("rank") <= k)
-    return ranked.dropDuplicates(["query_id", "rank"]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    different_ids = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return different_ids.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -132,3 +132,15 @@ def test_pairs_are_seated_alike():
 
 def test_discount_is_not_clipped():
     assert LM.discount_of(30_000_000, 15_000_000) == 0.5
+
+
+def test_repeated_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    near = max(rows[1:], key=lambda r: np.dot(r[1], rows[0][1]))
+    many = [r for r in rows for _ in range(2)] + [near] * 40
+    got = collections.defaultdict(list)
+    for r in nearest(spark.createDataFrame(many, "vec_id long, embedding array<double>"), lambda i: i == 0, block_rows=200).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    want, _ = exact(np.arange(60), np.array([v for _, v in rows]), 0)
+    assert sorted(got[0]) == [(i + 1, v) for i, v in enumerate(want)]
