@@ -56,14 +56,15 @@ def _votes(hits: Column, index: list[tuple[str, int, int, float]]) -> Column:
     return F.array_sort(F.flatten(F.transform(F.filter(hits, lambda h: F.map_contains_key(table, h["w"])), lambda h: F.transform(F.try_element_at(table, h["w"]), lambda e: F.struct(e["t"].alias("t"), (h["i"] - e["p"]).alias("at"), e["p"].alias("p"), e["weight"].alias("weight"))))))
 
 
-#: Folds sorted votes into the best place of each notice: the current notice and place with its sum, and the best so far.
-_FOLD = """aggregate(concat(votes, array(named_struct('t', -1, 'at', 0, 'p', 0, 'weight', 0D))),
-  named_struct('t', -1, 'at', 0, 'sum', 0D, 'best', 0D, 'best_at', 0, 'done', cast(array() as array<struct<t:int,at:int,sum:double>>)),
+def _fold(least: list[float]) -> str:
+    """Folds sorted votes into all places whose sum reaches `least` of their notice: the current notice and place with its sum, and those done."""
+    enough = f"a.t >= 0 AND a.sum >= element_at(array({', '.join(f'{x!r}D' for x in least)}), greatest(a.t, 0) + 1)"
+    return f"""aggregate(concat(votes, array(named_struct('t', -1, 'at', 0, 'p', 0, 'weight', 0D))),
+  named_struct('t', -1, 'at', 0, 'sum', 0D, 'done', cast(array() as array<struct<t:int,at:int,sum:double>>)),
   (a, v) -> CASE
-    WHEN v.t = a.t AND v.at = a.at THEN named_struct('t', a.t, 'at', a.at, 'sum', a.sum + v.weight, 'best', a.best, 'best_at', a.best_at, 'done', a.done)
-    WHEN v.t = a.t THEN named_struct('t', a.t, 'at', v.at, 'sum', v.weight, 'best', greatest(a.best, a.sum), 'best_at', CASE WHEN a.sum > a.best THEN a.at ELSE a.best_at END, 'done', a.done)
-    ELSE named_struct('t', v.t, 'at', v.at, 'sum', v.weight, 'best', 0D, 'best_at', 0, 'done',
-      CASE WHEN a.t < 0 THEN a.done ELSE concat(a.done, array(named_struct('t', a.t, 'at', CASE WHEN a.sum > a.best THEN a.at ELSE a.best_at END, 'sum', greatest(a.best, a.sum)))) END)
+    WHEN v.t = a.t AND v.at = a.at THEN named_struct('t', a.t, 'at', a.at, 'sum', a.sum + v.weight, 'done', a.done)
+    ELSE named_struct('t', v.t, 'at', v.at, 'sum', v.weight, 'done',
+      CASE WHEN {enough} THEN concat(a.done, array(named_struct('t', a.t, 'at', a.at, 'sum', a.sum))) ELSE a.done END)
   END, a -> a.done)"""
 
 
@@ -92,7 +93,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     label_of = lambda h: F.coalesce(*[F.when(stands(h, p), F.lit(label)) for p, label in PHRASES])
     rows = rows.withColumn("_base", F.filter(F.transform("_hits", lambda h: F.struct(h["i"].alias("i"), label_of(h).alias("label"))), lambda b: b["label"].isNotNull()))
-    rows = rows.withColumn("votes", _votes(F.col("_hits"), index)).withColumn("_best", F.expr(_FOLD))
+    rows = rows.withColumn("votes", _votes(F.col("_hits"), index)).withColumn("_places", F.expr(_fold([least * total[t] for t in range(len(NOTICES))])))
 
     def match(b: Column) -> Column:
         found = None
@@ -105,7 +106,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = row if found is None else F.coalesce(found, row)
         return found
 
-    rows = rows.withColumn("matches", F.filter(F.transform("_best", match), lambda m: m.isNotNull()))
+    rows = rows.withColumn("_verified", F.filter(F.transform("_places", match), lambda m: m.isNotNull()))
+
+    def best(label: str) -> Column:
+        mine = F.array_max(F.transform(F.filter("_verified", lambda m: m["label"] == label), lambda m: F.struct(m["coverage"].alias("coverage"), (-m["start"]).alias("before"))))
+        return F.when(mine.isNotNull(), F.struct(F.lit(label).alias("label"), (-mine["before"]).alias("start"), mine["coverage"].alias("coverage")))
+
+    rows = rows.withColumn("matches", F.filter(F.array(*[best(label) for label, *_ in NOTICES]), lambda m: m.isNotNull()))
     base_set = F.array_sort(F.array_distinct(F.transform("_base", lambda b: b["label"])))
     return rows.select(
         id_col,

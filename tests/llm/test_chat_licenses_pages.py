@@ -117,3 +117,12 @@ def test_null_turns_are_kept(spark):
     rows = [(1, None, "assistant", "last"), (1, 0, "user", "first"), (1, None, None, None), (2, None, None, None), (2, None, "user", "x")]
     made = C.conversations_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in made.collect()} == {1: [("user", "first"), ("", ""), ("assistant", "last")], 2: [("", ""), ("user", "x")]}
+
+
+def test_every_place_of_a_notice_is_verified(spark, docs_of):
+    mit = next(text for label, text, _ in L.NOTICES if label == "mit")
+    broken = mit.replace("hereby", "herewith", 1)
+    assert broken != mit
+    got = {r["doc_id"]: r for r in L.scan_licenses(docs_of([(1, broken + " filler " * 30 + mit), (2, broken), (3, mit + " x " + mit)])).collect()}
+    assert (got[1]["labels"], got[1]["score"], got[2]["labels"]) == ("mit", 1.0, "")
+    assert [m["start"] for m in got[1]["matches"]] == [len(broken.split()) + 30] and [m["start"] for m in got[3]["matches"]] == [0]
