@@ -31,15 +31,17 @@ def letters_of(text: str) -> bytes:
 def learn_dictionaries(training: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, slice_chars: int = 1000, dict_bytes: int = 112 << 10, total_bytes: int = 32 << 20) -> list[tuple[str, bytes]]:
     """(language, dictionary) by falling number of training rows; counts come from all rows, dictionaries from a bounded sample."""
     rows = training.filter(F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    lettered = F.col(text_col).rlike(r"\p{L}")
+    found_rows = rows.groupBy(lang_col).agg(F.count("*"), F.approx_count_distinct(F.when(lettered, F.xxhash64(text_col)), 0.02)).collect()
+    counts, texts = {r[0]: r[1] for r in found_rows}, {r[0]: r[2] for r in found_rows}
     if not counts:
         return []
     size = max(1024, min(dict_bytes, total_bytes // len(counts)))
-    # a share of each language by hash, of about sample_docs rows whatever the table's size
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample_docs / n)))])
+    # a share of each language by hash, of more than sample_docs different texts whatever the table's size and its copies
+    share = F.create_map(*[x for lang, n in texts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample_docs / max(1, n))))])
     picked = rows.withColumn("_h", F.xxhash64(text_col)).filter(F.pmod("_h", F.lit(1_000_003)) < share[F.col(lang_col)] * 1_000_003)
     length = F.greatest(F.char_length(text_col) - slice_chars, F.lit(0)) + 1
-    slices = picked.filter(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), "_h", F.substring(text_col, (F.pmod(F.col("_h"), length) + 1).cast("int"), F.lit(slice_chars)).alias("part")).distinct()
+    slices = picked.filter(lettered).select(F.col(lang_col).alias("lang"), "_h", F.substring(text_col, (F.pmod(F.col("_h"), length) + 1).cast("int"), F.lit(slice_chars)).alias("part")).distinct()
     pieces: dict[str, list[tuple[int, bytes]]] = {}
     for r in slices.collect():
         pieces.setdefault(r["lang"], []).append((r["_h"], letters_of(r["part"])))

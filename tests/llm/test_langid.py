@@ -32,3 +32,10 @@ def test_dictionaries_are_bounded(spark):
     learn = spark.createDataFrame([(f"some words number {i} " * 20, f"l{i % 3}") for i in range(3000)], "text string, lang string")
     known = L.learn_dictionaries(learn, sample_docs=50, dict_bytes=4096, total_bytes=6144)
     assert len(known) == 3 and all(len(raw) <= 2048 for _, raw in known)
+
+
+def test_copies_leave_a_dictionary(spark):
+    texts = [f"mots rares numéro {'abcdefghij'[i % 10]}{'klmnop'[i // 10]} " * 5 for i in range(50)]
+    learn = spark.createDataFrame([(t, "fr") for t in texts for _ in range(400)] + [(f"some words {i} " * 5, "en") for i in range(500)], "text string, lang string")
+    known = dict(L.learn_dictionaries(learn))
+    assert sorted(known) == ["en", "fr"] and all(L.letters_of(t) in known["fr"] for t in texts)
