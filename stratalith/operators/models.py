@@ -50,7 +50,7 @@ def forest_importance(rows: DataFrame, names: Sequence[str], label: str = "label
     return rows.sparkSession.createDataFrame(found, "feature string, score double")
 
 
-def learner(name: str, seed: int = 42, boosting_rounds: int = 10):
+def learner(name: str, seed: int = 42, boosting_rounds: int = 100):
     """A learner by its key."""
     common = {"labelCol": "label_idx", "featuresCol": "features"}
     return {
@@ -123,7 +123,7 @@ def ablation(rows: DataFrame, names: Sequence[str], k: int, step: int = 20, fold
     return rows.sparkSession.createDataFrame(found, "top_n int, accuracy double")
 
 
-def learning_curve(rows: DataFrame, ranks: DataFrame, counts: Sequence[int], group: str, test_groups: Sequence, label: str = "label") -> DataFrame:
+def learning_curve(rows: DataFrame, ranks: DataFrame, counts: Sequence[int], group: str, test_groups: Sequence, label: str = "label", trees: int = 200) -> DataFrame:
     """(n_pools, test_group, accuracy): trained on the first n groups of each label without the test group."""
     data, labels = indexed(vectors(rows), label)
     ranked = data.join(F.broadcast(ranks.withColumn(label, F.col(label).cast("string"))), [label, group]).cache()
@@ -132,7 +132,7 @@ def learning_curve(rows: DataFrame, ranks: DataFrame, counts: Sequence[int], gro
         for g in test_groups:
             train = ranked.filter((F.col("pool_rank") <= n + 1) & (F.col(group) != g))
             test = ranked.filter(F.col(group) == g)
-            a = RandomForestClassifier(labelCol="label_idx", numTrees=20, seed=1).fit(train).transform(test).agg(F.avg((F.col("prediction") == F.col("label_idx")).cast("double"))).first()[0]
+            a = RandomForestClassifier(labelCol="label_idx", numTrees=trees, seed=1).fit(train).transform(test).agg(F.avg((F.col("prediction") == F.col("label_idx")).cast("double"))).first()[0]
             found.append((int(n), str(g), None if a is None else float(a)))
     ranked.unpersist()
     return rows.sparkSession.createDataFrame(found, "n_pools int, test_group string, accuracy double")

@@ -10,15 +10,16 @@ from ..operators import models as M
 from ..operators import structure as R
 from .registry import query, table
 
-_N = 12
+_N = 64
+_FOLDS = 3
 _NAMES = [f"d{i}" for i in range(_N)]
 
 
 def rows(spark: SparkSession, sf_dir: str, labels: int = 4) -> DataFrame:
-    """Embeddings as vectors of 12 features with a label that the first two nearly tell."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, _N).alias("vec"))
+    """Embeddings as vectors of all their features with a label that the first two nearly tell."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     label = ((F.get("vec", F.lit(0)) > 0).cast("int") * 2 + (F.get("vec", F.lit(1)) > 0).cast("int")) % labels
-    return S.stratified_folds(v.withColumn("label", label.cast("string")), "label", "vec_id", 3).select("vec_id", "label", "vec", "fold").repartition(8, "vec_id").sortWithinPartitions("vec_id")
+    return S.stratified_folds(v.withColumn("label", label.cast("string")), "label", "vec_id", _FOLDS).select("vec_id", "label", "vec", "fold").repartition(8, "vec_id").sortWithinPartitions("vec_id")
 
 
 @query()
@@ -28,22 +29,22 @@ def rf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tuned_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.tuned_forest(rows(spark, sf_dir), 3, 2)
+    return M.tuned_forest(rows(spark, sf_dir), _FOLDS, M.runtime_config()["draws"])
 
 
 @query()
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.cross_validate(rows(spark, sf_dir), "logistic", 3)
+    return M.cross_validate(rows(spark, sf_dir), "logistic", _FOLDS)
 
 
 @query()
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.cross_validate(rows(spark, sf_dir), "decisiontree", 3)
+    return M.cross_validate(rows(spark, sf_dir), "decisiontree", _FOLDS)
 
 
 @query()
 def boosted_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.cross_validate(rows(spark, sf_dir, 3), "xgb", 3)
+    return M.cross_validate(rows(spark, sf_dir, 3), "xgb", _FOLDS)
 
 
 @query()
@@ -54,7 +55,7 @@ def svd_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.ablation(rows(spark, sf_dir), _NAMES, 2, 5)
+    return M.ablation(rows(spark, sf_dir), _NAMES, _FOLDS, 5)
 
 
 @query()
@@ -67,7 +68,7 @@ def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.evaluate import configuration_grid
 
-    return M.benchmark(rows(spark, sf_dir), configuration_grid([4, "all"], _N, 3), ["dummy", "decisiontree"], 2, 1, [0, 3, 5])
+    return M.benchmark(rows(spark, sf_dir), configuration_grid([4, "all"], _N, 3), ["dummy", "decisiontree"], _FOLDS, 1, [0, 3, 5])
 
 
 @query()

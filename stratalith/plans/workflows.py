@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,7 @@ def generate_features(spark: SparkSession, images: str, voxel: float = 0.13 * 0.
 
 
 def train(rows: DataFrame, names: Sequence[str], target: str, k: int = 3, ci: bool = False) -> DataFrame:
-    """Benchmark of labelled vectors (key, label, vec); the best configuration's forest on all rows is saved at `target`. Returns the result table."""
+    """Benchmark of labelled vectors (key, label, vec); the best configuration's forest, tuned by a random search, is fitted on all rows and saved at `target`. Returns the result table."""
     config = M.runtime_config(ci)
     used = Q.drop_unlabelled(rows)
     k = min(k, S.require_k(used, "label"))
@@ -52,8 +53,12 @@ def train(rows: DataFrame, names: Sequence[str], target: str, k: int = 3, ci: bo
     thresholds = [i for i, n in enumerate(names) if "Threshold" in n]
     plan = V.configuration_grid(config["components"], len(names), len(thresholds))
     results = M.benchmark(folded, plan, ["dummy", "rf"], k, config["repetitions"], thresholds)
+    best = V.best_configuration(results).filter("model = 'rf'").first()
+    if best["n_components"] != "all" or (thresholds and not best["thr_features"]):
+        raise ValueError(f"a saved model takes all columns, not {best['n_components']} components (threshold features only: {not best['thr_features']})")
+    chosen = dict(ast.literal_eval(M.tuned_forest(folded, k, config["draws"]).first()["parameters"]))
     data, labels = M.indexed(M.vectors(used))
-    M.save_model(M.learner("rf").fit(data), names, labels.labels, target, rows.sparkSession)
+    M.save_model(M.learner("rf").setParams(**chosen).fit(data), names, labels.labels, target, rows.sparkSession)
     return results
 
 

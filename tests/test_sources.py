@@ -87,3 +87,26 @@ def test_stream(spark, tmp_path):
     q.stop()
     assert spark.sql("SELECT round(q10, 6), median FROM stats").first() == (0.9, 4.5)
     assert rows.agg(F.count("*")).first()[0] == 10
+
+
+def test_training_saves_the_tuned_forest(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(str(i), "ab"[i % 2], [float(i % 2), float(rng.random())]) for i in range(30)], "sample_name string, label string, vec array<double>")
+    W.train(rows, ["x", "y"], str(tmp_path / "model"), 2, ci=True)
+    best = W.M.tuned_forest(W.S.stratified_folds(rows, "label", "sample_name", 2), 2, 2).first()["parameters"]
+    forest = W.M.load_model(str(tmp_path / "model"), spark)[0].stages[0]
+    assert f"('numTrees', {forest.getNumTrees})" in best and f"('maxDepth', {forest.getMaxDepth()})" in best
+
+
+def test_learner_queries_run_the_whole_job(spark, sf, monkeypatch):
+    from stratalith.plans import learners as N
+
+    asked = {}
+    for name in ("ablation", "benchmark", "tuned_forest"):
+        monkeypatch.setattr(N.M, name, lambda rows, *a, _n=name: asked.update({_n: (rows, a)}))
+    N.ablation(spark, sf), N.benchmark_results(spark, sf), N.tuned_rf(spark, sf)
+    rows = asked["ablation"][0]
+    assert rows.selectExpr("min(size(vec))", "max(size(vec))").first() == (64, 64) and asked["ablation"][1][0] == [f"d{i}" for i in range(64)]
+    folds = rows.select("fold").distinct().count()
+    assert asked["ablation"][1][1] == asked["benchmark"][1][2] == asked["tuned_forest"][1][0] == folds and asked["tuned_forest"][1][1] == 10
+    assert N.M.learner("xgb").getClassifier().getMaxIter() == 100
