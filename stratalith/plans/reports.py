@@ -211,7 +211,7 @@ def progress_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.progress_fraction(_progress(spark, sf_dir)).select("event_id", F.round("percent", 6).alias("percent"))
 
 
-@query("SELECT name, position, CAST(i - 1 AS INTEGER) AS place, round(i * 0.5 - 0.5, 4) AS distance, round(percent, 4) AS percent FROM (SELECT '01022023_' || chr(CAST(65 + n_nationkey AS INTEGER)) || '01' AS name, 'pos00' || CAST(n_regionkey + 1 AS VARCHAR) AS position, i, (n_nationkey * i) % 17 + 0.25::DOUBLE AS percent FROM nation, range(1, 6) t(i))")
+@query("SELECT name, position, CAST(i - 1 AS INTEGER) AS place, round((i * 0.5 - 0.5)::DOUBLE, 4) AS distance, round(percent, 4) AS percent FROM (SELECT '01022023_' || chr(CAST(65 + n_nationkey AS INTEGER)) || '01' AS name, 'pos00' || CAST(n_regionkey + 1 AS VARCHAR) AS position, i, (n_nationkey * i) % 17 + 0.25::DOUBLE AS percent FROM nation, range(1, 6) t(i))")
 def occupancy_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks made of nations, then read by the parser."""
     n = F.col("n_nationkey")
