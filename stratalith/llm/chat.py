@@ -1,13 +1,17 @@
 """Chat formatting by schema fingerprints. DataFrame functions only; no Python on the executors.
 
-A record (a JSON text, or a struct) becomes a variant. Of the field paths that any declared layout knows, those the record has
-are hashed; the hash selects the layout, whose mapping turns the record into canonical turns (role, text). Turns are then written in a
-template that marks every turn and escapes control strings inside roles and texts reversibly, with the spans of a loss
-mask over the texts of the assistant.
+A record (a JSON text as a variant, or the rows of a table) has nested field paths: `$.messages`, `$.messages[].role`, ... Their hash is its
+fingerprint. The fingerprints of the declared layouts select the mapping at once; a record with more fields than a layout declares takes the
+first layout, in order of declaration, whose required paths it has. Names count, values don't: a null in a field is a field. The mapping
+turns the record into canonical turns (role, text). A table of turns has one schema, so its fingerprint is taken once, from
+the schema. Turns are then written in a template that marks every turn and escapes control strings inside roles and texts reversibly, with
+the spans of a loss mask over the texts of the assistant.
 
 Defined results: a null text is empty; a null or unknown role is kept as it is (null: empty); records that no layout fits keep layout null and
-have no turns; turns with equal order are sorted by role, then text; null turns come last. A conversation is one output string, so its size is bounded by
-what a row can hold; its turns meet in one group for that reason alone.
+have no turns, `layout_counts` tells how many; turns with equal order are sorted by role, then text; null turns come last; repeated rows are
+turns of their own. Columns of a table other than its conversation, turn, role and text are left aside, whatever their names; columns of records
+named layout, fingerprint or like the turns are replaced. A conversation is one output string, so its size is bounded by what a row can hold; its
+turns meet in one group for that reason alone.
 """
 
 from __future__ import annotations
@@ -17,27 +21,27 @@ from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 # fixed values: control strings of the template
 START, END = "<|im_start|>", "<|im_end|>"
-#: Field that marks a record as a row of a table of turns.
-ROW_MARK = "_table_row"
 
-#: name -> required paths, optional paths, mapping. A mapping is a list of (role, path), or an array path with its role and text fields.
+#: name -> required paths, optional paths, mapping. A mapping is a list of (role, path), or an array path with its role and text fields,
+#: with turns before it. The first layout that fits counts.
 LAYOUTS: dict[str, dict] = {
-    "messages": {"required": ["$.messages[0].role", "$.messages[0].content"], "optional": [], "each": ("$.messages", "role", "content")},
-    "conversations": {"required": ["$.conversations[0].from", "$.conversations[0].value"], "optional": ["$.system"], "before": [("system", "$.system")], "each": ("$.conversations", "from", "value")},
+    "messages": {"required": ["$.messages[].role", "$.messages[].content"], "optional": ["$.system"], "before": [("system", "$.system")], "each": ("$.messages", "role", "content")},
+    "conversations": {"required": ["$.conversations[].from", "$.conversations[].value"], "optional": ["$.system"], "before": [("system", "$.system")], "each": ("$.conversations", "from", "value")},
     "instruction": {"required": ["$.instruction", "$.output"], "optional": ["$.input", "$.system"], "turns": [("system", "$.system"), ("user", "$.instruction", "$.input"), ("assistant", "$.output")]},
     "prompt_completion": {"required": ["$.prompt", "$.completion"], "optional": ["$.system"], "turns": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion")]},
     "prompt_response": {"required": ["$.prompt", "$.response"], "optional": ["$.system"], "turns": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")]},
     "question_answer": {"required": ["$.question", "$.answer"], "optional": ["$.context"], "turns": [("system", "$.context"), ("user", "$.question"), ("assistant", "$.answer")]},
-    "turn_row": {"required": ["$.turn"], "optional": ["$.role", "$.text"], "one": ("$.role", "$.text")},
-    "table_row": {"required": [f"$.{ROW_MARK}"], "optional": ["$.role", "$.text"], "one": ("$.role", "$.text")},
+    "turn": {"required": ["$.role", "$.text"], "optional": ["$.turn"], "one": ("$.role", "$.text")},
+    "turn_content": {"required": ["$.role", "$.content"], "optional": ["$.turn"], "one": ("$.role", "$.content")},
+    "turn_value": {"required": ["$.from", "$.value"], "optional": ["$.turn"], "one": ("$.from", "$.value")},
 }
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
-KNOWN_PATHS = sorted({p for x in LAYOUTS.values() for p in (*x["required"], *x["optional"])})
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -45,47 +49,91 @@ def path_hash(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def with_parents(paths: list[str]) -> set[str]:
+    """`paths` and the arrays and objects they lie in."""
+    return {p for path in paths for p in (path, path.split("[]")[0])}
+
+
 def layout_hashes() -> dict[str, str]:
     """Fingerprint -> layout, for every choice of a layout's optional paths."""
-    out = {}
+    out: dict[str, str] = {}
     for name, x in LAYOUTS.items():
         for extra in chain.from_iterable(combinations(x["optional"], n) for n in range(len(x["optional"]) + 1)):
-            out[path_hash([*x["required"], *extra])] = name
+            out.setdefault(path_hash(list(with_parents([*x["required"], *extra]))), name)
     return out
 
 
-def fingerprint(record: Column) -> Column:
-    """SHA-256 of the sorted known paths that a variant has."""
-    present = F.filter(F.array(*[F.when(F.try_variant_get(record, p, "variant").isNotNull() & ~F.coalesce(F.is_variant_null(F.try_variant_get(record, p, "variant")), F.lit(True)), F.lit(p)) for p in KNOWN_PATHS]), lambda p: p.isNotNull())
-    return F.sha2(F.array_join(present, "\n"), 256)
+def schema_paths(kind: DataType, at: str = "$") -> list[str]:
+    """Nested field paths of a schema."""
+    if isinstance(kind, ArrayType):
+        return schema_paths(kind.elementType, at + "[]")
+    if isinstance(kind, StructType):
+        return [p for f in kind.fields for p in (f"{at}.{f.name}", *schema_paths(f.dataType, f"{at}.{f.name}"))]
+    return []
+
+
+def schema_layout(schema: StructType, rows_of_turns: bool = False) -> str | None:
+    """The layout of a table's rows by its schema: any, or only one of a turn a row."""
+    paths = set(schema_paths(schema))
+    some = {name: x for name, x in LAYOUTS.items() if "one" in x or not rows_of_turns}
+    exact = layout_hashes().get(path_hash(list(paths)))
+    return exact if exact in some else next((name for name, x in some.items() if paths >= set(x["required"])), None)
+
+
+def field_paths(record: Column) -> Column:
+    """Sorted nested field paths of a variant: its schema, read as names, openings and closings, over a stack of the places they stand at."""
+    parts = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"`(?:[^`]|``)*`: |\w+: |\w+<|>"), F.lit(0))
+    state = F.struct(F.array(F.lit("$")).alias("stack"), F.lit("$").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(a: Column, part: Column) -> Column:
+        top = F.element_at(a["stack"], -1)
+        path = F.concat(top, F.lit("."), F.regexp_replace(part, F.lit("^`|`?: $"), F.lit("")))
+        inside = F.when(part == "ARRAY<", F.concat(a["at"], F.lit("[]"))).otherwise(a["at"])
+        return (
+            F.when(part == ">", F.struct(F.slice(a["stack"], 1, F.greatest(F.size(a["stack"]) - 1, F.lit(1))).alias("stack"), a["at"].alias("at"), a["out"].alias("out")))
+            .when(F.endswith(part, F.lit("<")), F.struct(F.concat(a["stack"], F.array(inside)).alias("stack"), inside.alias("at"), a["out"].alias("out")))
+            .otherwise(F.struct(a["stack"].alias("stack"), path.alias("at"), F.concat(a["out"], F.array(path)).alias("out")))
+        )
+
+    return F.array_sort(F.array_distinct(F.coalesce(F.aggregate(parts, state, step, lambda a: a["out"]), F.expr("cast(array() as array<string>)"))))
 
 
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _named(role: Column) -> Column:
+    names = F.create_map(*[F.lit(v) for kv in ROLES.items() for v in kv])
+    return F.coalesce(F.try_element_at(names, F.coalesce(role, F.lit(""))), role)
+
+
 def _mapping(record: Column, x: dict) -> Column:
     get = lambda p: F.try_variant_get(record, p, "string")
     if "one" in x:
-        return F.array(_turn(get(x["one"][0]), get(x["one"][1])))
+        return F.array(_turn(_named(get(x["one"][0])), get(x["one"][1])))
     if "turns" in x:
-        made = [F.when(get(t[1]).isNotNull(), _turn(F.lit(t[0]), F.concat_ws("\n", *[F.when(get(p) != "", get(p)) for p in t[1:]]) if len(t) > 2 else get(t[1]))) for t in x["turns"]]
+        # optional turns are there if they say something
+        made = [F.when(F.lit(t[1] in x["required"]) | get(t[1]).isNotNull(), _turn(F.lit(t[0]), F.concat_ws("\n", *[F.when(get(p) != "", get(p)) for p in t[1:]]) if len(t) > 2 else get(t[1]))) for t in x["turns"]]
         return F.filter(F.array(*made), lambda t: t.isNotNull())
     path, role, text = x["each"]
-    names = F.create_map(*[F.lit(v) for kv in ROLES.items() for v in kv])
     items = F.from_json(F.to_json(F.try_variant_get(record, path, "variant")), f"array<struct<`{role}`:string,`{text}`:string>>")
-    turns = F.transform(items, lambda m: _turn(F.coalesce(F.try_element_at(names, F.coalesce(m[role], F.lit(""))), m[role]), m[text]))
-    before = F.filter(F.array(*[F.when(get(p).isNotNull(), _turn(F.lit(r), get(p))) for r, p in x.get("before", [])]), lambda t: t.isNotNull()) if x.get("before") else None
-    return F.concat(before, turns) if before is not None else turns
+    turns = F.transform(items, lambda m: _turn(_named(m[role]), m[text]))
+    return F.concat(F.filter(F.array(*[F.when(get(p).isNotNull(), _turn(F.lit(r), get(p))) for r, p in x["before"]]), lambda t: t.isNotNull()), turns)
 
 
 def canonical_turns(records: DataFrame, record: Column, name: str = "turns") -> DataFrame:
-    """`records` with `layout` (null: none fits) and the canonical turns of the variant `record`."""
-    by_hash = layout_hashes()
-    table = F.create_map(*[F.lit(v) for kv in by_hash.items() for v in kv])
-    out = records.withColumn("_record", record).withColumn("_fingerprint", fingerprint(F.col("_record"))).withColumn("layout", F.try_element_at(table, F.col("_fingerprint")))
+    """`records` with `fingerprint`, `layout` (null: none fits) and the canonical turns of the variant `record`."""
+    table = F.create_map(*[F.lit(v) for kv in layout_hashes().items() for v in kv])
+    out = records.withColumn("_record", record).withColumn("_paths", field_paths(F.col("_record"))).withColumn("fingerprint", F.sha2(F.array_join("_paths", "\n"), 256))
+    fits = [F.when(F.size(F.array_except(F.array(*map(F.lit, x["required"])), F.col("_paths"))) == 0, F.lit(layout)) for layout, x in LAYOUTS.items()]
+    out = out.withColumn("layout", F.coalesce(F.try_element_at(table, F.col("fingerprint")), *fits))
     cases = [F.when(F.col("layout") == layout, _mapping(F.col("_record"), x).cast(_TURNS)) for layout, x in LAYOUTS.items()]
-    return out.withColumn(name, F.coalesce(*cases, F.expr(f"cast(array() as {_TURNS})"))).drop("_record", "_fingerprint")
+    return out.withColumn(name, F.coalesce(*cases, F.expr(f"cast(array() as {_TURNS})"))).drop("_record", "_paths")
+
+
+def layout_counts(found: DataFrame) -> DataFrame:
+    """(fingerprint, layout, n) of canonical_turns' rows: layout null tells what no layout fitted."""
+    return found.groupBy("fingerprint", "layout").agg(F.count("*").alias("n"))
 
 
 def from_json_text(col: str) -> Column:
@@ -102,46 +150,63 @@ def unescape(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("<\\p"), F.lit("<|")), F.lit("\\e"), F.lit("\\"))
 
 
-def _starts(lengths: Column) -> Column:
-    """Running sums of an array, without the last."""
+def _fold(lengths: Column) -> Column:
+    """Running sums of a short array, without the last."""
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
     return F.aggregate(lengths, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
 
+def _starts(lengths: Column, block: int = 256) -> Column:
+    """Running sums of an array, without the last: over blocks, then in them, as a fold copies what it has at every step."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / block) - 1, F.lit(0)).cast("int")), lambda b: F.slice(lengths, b * block + 1, block))
+    before = _fold(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)))
+    return F.flatten(F.zip_with(blocks, before, lambda x, at: F.transform(_fold(x), lambda n: n + at)))
+
+
 def format_turns(conversations: DataFrame, turns: str = "turns") -> DataFrame:
     """`conversations` with `formatted` and `loss_mask`, spans (start, end) in code points of the assistant's texts in it."""
     marked = F.transform(F.col(turns), lambda t: F.struct(F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("learn")))
     tail = len(END) + 1
     out = conversations.withColumn("_marked", marked).withColumn("formatted", F.array_join(F.transform("_marked", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), ""))
-    out = out.withColumn("_at", _starts(F.transform("_marked", lambda t: (F.char_length(t["head"]) + F.char_length(t["body"]) + tail).cast("long"))))
+    out = out.withColumn("_lengths", F.transform("_marked", lambda t: (F.char_length(t["head"]) + F.char_length(t["body"]) + tail).cast("long"))).withColumn("_at", _starts(F.col("_lengths")))
     spans = F.zip_with("_marked", "_at", lambda t, at: F.when(t["learn"], F.struct((at + F.char_length(t["head"])).alias("start"), (at + F.char_length(t["head"]) + F.char_length(t["body"])).alias("end"))))
-    return out.withColumn("loss_mask", F.filter(spans, lambda s: s.isNotNull())).drop("_marked", "_at")
+    return out.withColumn("loss_mask", F.filter(spans, lambda s: s.isNotNull())).drop("_marked", "_lengths", "_at")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """`formatted` with `read`: turns parsed from the formatted string, `learn` telling which texts lie under the loss mask."""
     parts = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 2**31 - 1 - 2)
-    out = formatted.withColumn("_parts", parts).withColumn("_at", _starts(F.transform("_parts", lambda p: (F.char_length(p) + len(START)).cast("long"))))
+    out = formatted.withColumn("_parts", parts).withColumn("_lengths", F.transform("_parts", lambda p: (F.char_length(p) + len(START)).cast("long"))).withColumn("_at", _starts(F.col("_lengths")))
     head = lambda p: F.substring_index(p, "\n", 1)
-    starts = F.transform("loss_mask", lambda s: s["start"])
+    # turns and spans sorted together by where their text begins: a turn is learned if a span comes just before it
+    place = lambda at, i: F.struct(at.cast("long").alias("at"), i.cast("int").alias("i"))
+    texts = F.zip_with("_parts", "_at", lambda p, at: at + len(START) + F.char_length(head(p)) + 1)
+    both = F.array_sort(F.concat(F.transform("loss_mask", lambda s: place(s["start"], F.lit(-1))), F.transform(texts, lambda at, i: place(at, i))))
+    out = out.withColumn("_both", both)
+    learned = F.filter(F.transform("_both", lambda x, n: F.when(x["i"] >= 0, (n > 0) & (F.get(F.col("_both"), n - 1)["i"] == -1) & (F.get(F.col("_both"), n - 1)["at"] == x["at"]))), lambda x: x.isNotNull())
     read = F.zip_with(
         "_parts",
-        "_at",
-        lambda p, at: F.struct(
+        "_learn",
+        lambda p, learn: F.struct(
             unescape(F.replace(head(p), F.lit("\\n"), F.lit("\n"))).alias("role"),
             unescape(F.substring(p, F.char_length(head(p)) + 2, F.char_length(p) - F.char_length(head(p)) - 1 - len(END) - 1)).alias("text"),
-            F.array_contains(starts, at + len(START) + F.char_length(head(p)) + 1).alias("learn"),
+            F.coalesce(learn, F.lit(False)).alias("learn"),
         ),
     )
-    return out.withColumn("read", read).drop("_parts", "_at")
+    return out.withColumn("_learn", learned).withColumn("read", read).drop("_parts", "_lengths", "_at", "_both", "_learn")
+
 
+def conversations_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", layout: str | None = None) -> DataFrame:
+    """One row per conversation: conv_col, turns in order of turn. The fingerprint of the table's schema selects the mapping (or `layout` names it).
 
-def conversations_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """One row per conversation: conv_col, turns in order of turn; every row goes through its layout's mapping."""
-    # the mark stands for the row, so that one whose columns are all null is a turn too
-    record = F.to_variant_object(F.struct(F.lit(True).alias(ROW_MARK), *[F.col(c) for c in rows.columns if c in ("role", "text")]))
-    made = canonical_turns(rows, record, "_turns").select(conv_col, turn_col, F.explode("_turns").alias("_t"))
-    grouped = made.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), F.col("_t.role").alias("role"), F.col("_t.text").alias("text")))).alias("_rows"))
+    A row of one turn is a turn even if all its columns are null.
+    """
+    layout = layout or schema_layout(rows.schema, rows_of_turns=True)
+    if layout is None or "one" not in LAYOUTS[layout]:
+        raise ValueError(f"no layout of turns fits columns {rows.columns}")
+    role, text = (F.coalesce(F.col(f"`{p[2:]}`").cast("string"), F.lit("")) for p in LAYOUTS[layout]["one"])
+    turn = F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), _named(role).alias("role"), text.alias("text"))
+    grouped = rows.groupBy(conv_col).agg(F.array_sort(F.collect_list(turn)).alias("_rows"))
     return grouped.select(conv_col, F.transform("_rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

@@ -50,6 +50,37 @@ def test_layouts(spark):
     assert [got[i] for i in (5, 6, 7)] == [(None, [])] * 3
 
 
+def test_layouts_with_more_fields_and_nulls(spark):
+    texts = ['{"messages":[{"role":"user","content":null},{"role":"assistant","content":"x","name":"n"}],"system":"s"}', '{"instruction":"do","output":"ok","prompt":"p"}', '{"messages":[{"role":"user","content":"hi"}],"meta":{"a b":[{"x":[1]}]}}', '{"prompt":null,"response":"r"}', '{"zzz":{"messages":[{"role":"u","content":"t"}]}}', '{"role":"human","content":"c"}', '{"messages":[]}']
+    made = C.canonical_turns(spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "i int, j string, layout string"), C.from_json_text("j"))
+    got = {r["i"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in made.collect()}
+    assert got[0] == ("messages", [("system", "s"), ("user", ""), ("assistant", "x")])
+    assert got[1] == ("instruction", [("user", "do"), ("assistant", "ok")])
+    assert got[2] == ("messages", [("user", "hi")])
+    assert got[3] == ("prompt_response", [("user", ""), ("assistant", "r")])
+    assert got[4] == got[6] == (None, []) and got[5] == ("turn_content", [("user", "c")])
+    counts = {(r["layout"], r["n"]) for r in C.layout_counts(made).collect()}
+    assert (None, 1) in counts and ("messages", 1) in counts
+    paths = spark.createDataFrame([(texts[2],)], "j string").select(C.field_paths(C.from_json_text("j")).alias("p")).first()["p"]
+    assert paths == ["$.messages", "$.messages[].content", "$.messages[].role", "$.meta", "$.meta.a b", "$.meta.a b[].x"]
+
+
+def test_extra_columns_named_like_paths(spark):
+    rows = [(7, 1, "assistant", "a", "x", "p", None, "m"), (7, 0, "user", "q", "x", None, "o", "m")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, system string, prompt string, output string, messages string")
+    assert [tuple(t) for t in C.conversations_of(df).first()["turns"]] == [("user", "q"), ("assistant", "a")]
+    other = spark.createDataFrame([(1, 0, "human", "hi")], "conv_id long, turn long, `from` string, value string")
+    assert [tuple(t) for t in C.conversations_of(other).first()["turns"]] == [("user", "hi")]
+    assert C.schema_layout(other.schema) == "turn_value"
+
+
+def test_many_turns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", "" if i % 7 == 0 else f"t{i}") for i in range(3000)]
+    made = C.format_turns(C.conversations_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = {r["conv_id"]: tuple(r)[1:5] for r in C.digest(C.read_back(made)).collect()}
+    assert got == {1: turns_digest([r[1:] for r in rows])}
+
+
 def base(t):
     w = WORD.findall((t or "").translate(LOWER))
     found = [(i, label) for p, label in L.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
