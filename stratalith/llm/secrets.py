@@ -1,12 +1,16 @@
 """Secret scans: assignment-aware lexing of source and configuration text, beside three plain patterns.
 
-The lexer walks the assignment signs of a text (`=`, `:`, `:=`, `=>`), reads the target name before and the
-expression behind each, keeps the literals a name stands for (so constants pass through `a = "..."; password = a` and
-through `+` chains), and scores a literal by the most sensitive name it reaches and by its own make. Literals that reach
-`threshold` become spans of kind `pair`, unless a plain pattern's span covers them already.
+The lexer reads assignments: a target name, a sign (`=`, `:`, `:=`, `=>`) and an expression; elements and attributes of markup
+(`<password>..</password>`, `key="password" value=".."`); and indented block values. An expression is read into literals, names and calls:
+strings with escapes, unquoted values, `+` chains, alternatives (`||`, `??`, `or`), literals side by side in parentheses, and the arguments of
+calls but for the key of a look-up (`getenv("KEY")`); comments and white space of any length are passed over. Names link assignments into a graph:
+a name stands for its last definition before, or the first one behind if there is none before. The sensitivity of a target's
+words passes along that graph to every constant it reaches until nothing changes, and a literal is scored by the most sensitive name it reaches
+and by its own make. Literals that reach `threshold` become spans of kind `pair`, unless a plain pattern's span covers them already.
 
 Defined results: null text is empty and has no spans; spans are code points, end exclusive, in order of start, then kind as
-in KINDS, then end. Texts of any length are read whole; the look-back for a name is bounded by the longest name taken.
+in KINDS, then end; a literal met twice is one span with its higher score. Repeated rows are scanned row by row. Columns of the input are never
+mixed with results, whatever their names. Texts of any length are read whole, in linear time.
 """
 
 from __future__ import annotations
@@ -14,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,15 +37,34 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Sensitivity of the words of a target name.
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "cred": 0.7, "creds": 0.8, "bearer": 0.8, "auth": 0.6, "authorization": 0.8, "private": 0.5, "signing": 0.5, "encryption": 0.5, "access": 0.4, "api": 0.4, "key": 0.4, "salt": 0.5, "dsn": 0.5, "connection": 0.3, "session": 0.3, "client": 0.1}
-_HARMLESS = re.compile(r"(?i)^(?:your|my|the|some|example|sample|dummy|test|changeme|change_me|placeholder|none|null|true|false|undefined|todo|xxx+|\*+|\.+|-+|<.*>|\$\{.*\}|\{\{.*\}\}|%\w*%?|\$\w+)", re.ASCII)
-_NAME_LENGTH = 80
-_NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_.\-$]{0,79})["'\]]{0,2}\Z""", re.ASCII)
-_SIGN = re.compile(r":=|=>|[=:]")
-_VALUE = re.compile(r"""(?:[rbuf]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_.+/$~^!@#%&*?-]+))""")
-_SPACE = re.compile(r"(?:\s|\\\r?\n)*")
+# fixed values: whole literals that stand for a secret without being one
+_HARMLESS = re.compile(
+    r"(?:(?:your|my|the|some|an?|example|sample|dummy|test(?:ing)?|fake|mock|default|insert|enter|replace|change|this|none|null|nil|true|false|undefined|todo|placeholder|redacted|hidden|masked|password|passwd|passphrase|pwd|pass|secret|token|api|key|value|name|user|string|here|me|with|of|in|it|id|is|not|empty|\d{1,6}|[-_. ])+|x{3,}|\*+|\.+|-+|<[^<>]*>|\$\{[^}]*\}|\{\{.*\}\}|\{[^}]*\}|%\w*%?|\$\w+|\[[^\]]*\])\Z",
+    re.ASCII | re.IGNORECASE,
+)
+#: Words that speak of a secret or to a reader, so that quoted words with one of them are prose and no passphrase.
+_PROSE = frozenset("a an and are be by can do enter for from has if in is invalid it missing must no not of on or please required should that the this to too was were will with wrong you your password passphrase secret token key".split())
+#: Callees whose first argument is a key to look up.
+_LOOKUPS = frozenset("getenv get env environ getproperty property config setting settings param parameter read lookup fetch var variable variables secret input prompt getpass ask require option options getstring require_env".split())
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-$")
+_FIRST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$")
+_VALUE = re.compile(
+    r"""(?:[rbufRBUF]{1,2}(?=["']))?(?:\"\"\"((?:[^\\"]|\\.|"(?!""))*+)\"\"\"|\'\'\'((?:[^\\']|\\.|'(?!''))*+)\'\'\'|"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|`([^`\n]*+)`|([A-Za-z0-9_.+/$~^!@#%&*?-]++(?:=+(?![A-Za-z0-9_"'=]))?))""",
+    re.DOTALL,
+)
+_BARE = 6
+_CALL = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*+(?=[(\[])", re.ASCII)
+_SPACE = re.compile(r"(?:\s|\\\r?\n)*+")
 _SIGNED = re.compile(r"[ \t]*(?::=|=>|[=:])")
+_JOIN = re.compile(r"\|\||\?\?|\?:|\+(?!=)|(?:or|else)\b|,")
+_BLOCK = re.compile(r"[ \t]*[|>][-+]?[0-9]?[ \t]*\r?\n((?:[ \t]*\r?\n)*([ \t]+)[^\n]*)")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>([^<>]++)</([\w.:-]++)\s*+>")
+_ATTRIBUTES = re.compile(r"""\b(?:key|name|id)\s*+=\s*+(["'])([^"'<>\n]*+)\1\s++value\s*+=\s*+(["'])([^"'<>\n]*+)\3""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*", re.ASCII)
+_CONSTANT = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+")
+#: Without one of these a text has no sensitive name.
+_HINTS = sorted({min((h for h in NAME_WEIGHTS if h in w), key=len) for w in NAME_WEIGHTS})
 
 
 def name_score(name: str) -> float:
@@ -50,87 +75,207 @@ def name_score(name: str) -> float:
     return min(1.0, max(best, sum(NAME_WEIGHTS.get(w, 0.0) for w in set(words))))
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: length and character entropy of a literal; placeholders, paths and prose score 0."""
-    if len(value) < 6 or any(c.isspace() for c in value) or _HARMLESS.match(value) or value.startswith(("http://", "https://", "/", "./")):
+def literal_score(value: str, quoted: bool = True) -> float:
+    """0 to 1: length and character entropy of a literal; placeholders, paths and prose score 0, quoted words without prose a passphrase's."""
+    if len(value) < 6 or _HARMLESS.match(value) or value.startswith(("http://", "https://", "/", "./")):
         return 0.0
+    if any(c.isspace() for c in value):
+        words = value.split()
+        phrase = quoted and 3 <= len(words) <= 12 and len(value) >= 15 and "\n" not in value and value[-1] not in ".!?:" and _PROSE.isdisjoint(w.lower().strip(",;") for w in words)
+        return 0.6 if phrase else 0.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     classes = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
     return min(1.0, bits / 4) * min(1.0, 0.4 + 0.2 * classes + len(value) / 64)
 
 
-def expression(text: str, pos: int) -> tuple[list[tuple[int, int, bool]], int]:
-    """(start, end, bare) of the operands from `pos` on, and the place behind them: chains of `+` and literals side by side in
-    parentheses, over white space of any length and line breaks. Behind a line break, what has a sign of its own is a name, and a bare
-    word that is not indented is no value unless it is in parentheses or behind a `+`."""
-    found, depth, plus, end = [], 0, False, pos
+class Blanks:
+    """Passes over white space and comments; remembers where the next end of a line and of a comment is, so that none is looked for twice."""
+
+    def __init__(self, text: str):
+        self.text, self.ends = text, {"\n": (0, -1), "*/": (0, -1)}
+
+    def _next(self, mark: str, pos: int) -> int:
+        asked, found = self.ends[mark]
+        if not asked <= pos <= found:
+            found = self.text.find(mark, pos)
+            found = len(self.text) if found < 0 else found
+            self.ends[mark] = pos, found
+        return found
+
+    def behind(self, pos: int) -> int:
+        text = self.text
+        while True:
+            pos = _SPACE.match(text, pos).end()
+            two = text[pos : pos + 2]
+            if two in ("# ", "#\t", "//"):
+                stop = self._next("\n", pos)
+            elif two == "/*":
+                stop = self._next("*/", pos + 2)
+                stop += 2 if stop < len(text) else 0
+            else:
+                return pos
+            if stop == len(text):  # behind it there is no value
+                return pos
+            pos = stop
+
+
+def expression(text: str, pos: int, blanks: Blanks) -> tuple[list[tuple[int, int, bool]], int]:
+    """(start, end, bare) of the operands from `pos` on, and the place behind them. Behind a line break, what has a sign of its own is a
+    name, and a bare word that is not indented is no value unless it is in brackets or behind an operator."""
+    found: list[tuple[int, int, bool]] = []
+    calls: list[str | None] = []  # open brackets: the callee while its first argument is awaited
+    joined, end = False, pos
     while True:
         start = pos
         while True:
-            pos = _SPACE.match(text, pos).end()
-            if text[pos : pos + 1] != "(":
+            pos = blanks.behind(pos)
+            if text[pos : pos + 1] not in ("(", "[") or not text[pos : pos + 1]:
                 break
-            depth, pos = depth + 1, pos + 1
+            calls.append(None)
+            pos += 1
+        call = _CALL.match(text, pos)
+        if call and text.find("\n", start, pos) < 0:
+            calls.append(call[0].rsplit(".", 1)[-1].lower())
+            end = pos = call.end() + 1
+            joined = True
+            continue
         value = _VALUE.match(text, pos)
         if not value:
-            break
-        bare = value.lastindex == 4
-        if text.find("\n", start, pos) >= 0 and (_SIGNED.match(text, value.end()) or bare and not (depth or plus or text[pos - 1] in " \t")):
-            break
-        found.append((*value.span(value.lastindex), bare))
-        end = pos = value.end()
+            # an empty call, such as f() || "x"
+            if calls and text[pos : pos + 1] in (")", "]") and text[pos : pos + 1]:
+                pass
+            else:
+                break
+        else:
+            bare = value.lastindex == _BARE
+            if text.find("\n", start, pos) >= 0 and (_SIGNED.match(text, value.end()) or bare and not (calls or joined or text[pos - 1] in " \t")):
+                break
+            if calls and _SIGNED.match(text, value.end()) and text[value.end() : value.end() + 2] != "==":
+                break  # an assignment of its own: an argument's name, a key
+            key = bool(calls) and calls[-1] is not None and calls[-1] in _LOOKUPS
+            if calls:
+                calls[-1] = None
+            if not key:
+                found.append((*value.span(value.lastindex), bare))
+            end = pos = value.end()
         while True:
-            pos = _SPACE.match(text, pos).end()
-            if not depth or text[pos : pos + 1] != ")":
+            after = pos
+            pos = blanks.behind(pos)
+            if not calls or text[pos : pos + 1] not in (")", "]") or not text[pos : pos + 1]:
                 break
-            depth, pos = depth - 1, pos + 1
-        plus = text[pos : pos + 1] == "+" and text[pos + 1 : pos + 2] != "="
-        if plus:
-            pos += 1
-        elif not depth or text[pos : pos + 1] not in ("'", '"', "`"):
+            calls.pop()
+            end = pos = pos + 1
+        # a call goes on: .get("X")
+        sign = _JOIN.match(text, pos)
+        if sign and (sign[0] != "," or calls) and not (text.find("\n", after, pos) >= 0 and sign[0] in ("or", "else")):
+            pos, joined = sign.end(), True
+        elif calls and text[pos : pos + 1] in ("'", '"', "`") and text[pos : pos + 1]:
+            joined = True
+        else:
             break
     return found, end
 
 
-def lexed_literals(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of every literal that reaches a name, scored by the most sensitive name it reaches."""
-    known: dict[str, int] = {}
-    # of each assignment: weight, literals, and the assignments its constants come from
-    made: list[tuple[float, list[tuple[int, int]], set[int]]] = []
-    done = 0
-    for sign in _SIGN.finditer(text):
-        at = sign.start()
-        if at < done:  # inside a literal
-            continue
-        if text[at : at + 2] == "==" or text[at - 1 : at] in "=!<>+-*/":
-            continue
-        last = at
-        while last > done and text[last - 1] in " \t":
-            last -= 1
-        head = _NAME.search(text, max(0, last - _NAME_LENGTH - 2), last)
-        if not head:
-            continue
-        literals, sources = [], set()
-        operands, end = expression(text, sign.end())
+def block_value(text: str, pos: int) -> tuple[list[tuple[int, int, bool]], int]:
+    """Lines of an indented block value (`|` or `>` behind the sign) as literals, and the place behind them."""
+    block = _BLOCK.match(text, pos)
+    if not block:
+        return [], pos
+    indent, found, at = block[2], [], block.start(1)
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        if line.strip():
+            if not line.startswith(indent):
+                break
+            found.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip()), False))
+        at = stop + 1
+    return found, min(at, len(text))
+
+
+class Assignments:
+    """Assignments of a text: target, its weight, literals, and the names its expression holds."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.made: list[tuple[float, list[tuple[int, int, bool]], list[str]]] = []
+        self.defined: dict[str, list[int]] = {}
+        self._read()
+        for m in _ELEMENT.finditer(text):
+            if m[1] == m[3]:
+                s, e = m.span(2)
+                self._add(m[1], [(s + len(m[2]) - len(m[2].lstrip()), s + len(m[2].rstrip()), True)], False)
+        for m in _ATTRIBUTES.finditer(text):
+            self._add(m[2], [(*m.span(4), True)], False)
+
+    def _add(self, name: str, operands: list[tuple[int, int, bool]], names_count: bool = True) -> None:
+        literals, names = [], []
         for s, e, bare in operands:
-            word = text[s:e]
-            if bare and _IDENT.fullmatch(word) and word in known:
-                sources.add(known[word])
-            elif not bare or not word.isalpha():  # a bare word is a literal of configuration files only if it isn't plain letters
-                literals.append((s, e))
-        if literals or sources:
-            known[head[1]] = len(made)
-            made.append((name_score(head[1]), literals, sources))
-            done = max(done, end)
-    # constants come from earlier assignments: from the last to the first, each hands its weight on
-    weights = [w for w, _, _ in made]
-    best: dict[tuple[int, int], float] = {}
-    for i in range(len(made) - 1, -1, -1):
-        for j in made[i][2]:
-            weights[j] = max(weights[j], weights[i])
-        for span in made[i][1]:
-            best[span] = max(best.get(span, 0.0), weights[i])
-    return [(s, e, w * literal_score(text[s:e])) for (s, e), w in best.items() if w > 0]
+            word = self.text[s:e]
+            if bare and names_count and _IDENT.fullmatch(word):
+                names.append(word)
+            # a bare word is a literal of configuration files if it stands alone and is neither plain letters nor a constant's name
+            if not bare or not names_count or not (word.isalpha() or _CONSTANT.fullmatch(word) or len(operands) > 1 and _IDENT.fullmatch(word)):
+                literals.append((s, e, not bare))
+        if literals or names:
+            self.defined.setdefault(name, []).append(len(self.made))
+            self.made.append((name_score(name), literals, names))
+
+    def _read(self) -> None:
+        text, done, blanks = self.text, 0, Blanks(self.text)
+        for sign in _SIGNED.finditer(text):
+            at = sign.end() - len(sign[0].lstrip(" \t"))
+            if at < done:  # inside a literal
+                continue
+            if text[at : at + 2] == "==" or text[at : at + 3] == "://" or (at and text[at - 1] in "=!<>+-*/"):
+                continue
+            last = sign.start()
+            while last > done and text[last - 1] in "\"']":
+                last -= 1
+            first = last
+            while first > done and text[first - 1] in _NAME_CHARS:
+                first -= 1
+            while first < last and text[first] not in _FIRST:
+                first += 1
+            if first == last:
+                continue
+            operands, end = block_value(text, sign.end())
+            if not operands:
+                operands, end = expression(text, sign.end(), blanks)
+            self._add(text[first:last], operands)
+            done = max(done, end) if operands else done
+
+    def literals(self) -> list[tuple[int, int, float]]:
+        """(start, end, score): every literal by the highest weight that reaches its assignment along names."""
+        weights = [w for w, _, _ in self.made]
+        known = self.defined
+        for i in sorted(range(len(weights)), key=lambda i: -weights[i]):
+            # the heaviest first, so that every assignment is passed once at most
+            todo = [i] if self.made[i][0] == weights[i] else []
+            while todo:
+                j = todo.pop()
+                for name in self.made[j][2]:
+                    places = known.get(name)
+                    if places:
+                        before = bisect_left(places, j)
+                        k = places[before - 1] if before else next((p for p in places if p != j), j)
+                        if weights[k] < weights[i]:
+                            weights[k] = weights[i]
+                            todo.append(k)
+        best: dict[tuple[int, int], float] = {}
+        for w, (_, literals, names) in zip(weights, self.made, strict=True):
+            for s, e, quoted in literals:
+                word = self.text[s:e]
+                if w > 0 and not (not quoted and word in known and word in names):  # a known name is no literal
+                    best[s, e] = max(best.get((s, e), 0.0), w * literal_score(word, quoted))
+        return [(s, e, w) for (s, e), w in best.items()]
+
+
+def lexed_literals(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, score) of every literal that reaches a sensitive name."""
+    lower = text.lower()
+    return Assignments(text).literals() if any(h in lower for h in _HINTS) else []
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -148,9 +293,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan_text(text: str, threshold: float = 0.5) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans with the lexer's."""
     base = base_spans(text)
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return base, base
-    extra = [(s, 3, e) for s, e, w in lexed_literals(text) if w >= threshold and not any(a <= s and e <= b for a, _, b in base)]
+    extra = sorted((s, 3, e) for s, e, w in lexed_literals(text) if w >= threshold)
+    # base spans by start, with the farthest end so far, so that each literal looks once
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    extra = [x for x in extra if not (n := bisect_right(starts, x[0])) or ends[n - 1] < x[2]]
     return base, sorted(base + extra)
 
 

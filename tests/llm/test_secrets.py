@@ -72,10 +72,88 @@ def test_lexer_reads_whole_expressions():
     assert found("db_pwd:\n  min_length_9: 8\ndb_pwd=\nhost_name9=x\ndb_pwd=\nsome-Text9 follows") == []
 
 
+def test_values_that_begin_like_placeholders():
+    for value in ("myZk39fQ1!pLm", "theR4nd0mK3yZZ9", "testQ9!xwZk31", "yourK8_tzQ41Lp", "someV3ryOddB1ts"):
+        assert found(f'client_pwd = "{value}"') == [value], value
+    for value in ("your_password_here", "test1234", "my-secret-token", "changeme", "<password>", "${DB_PASSWORD}", "{{ vault.pwd }}", "xxxxxxxx", "example_key_123"):
+        assert found(f'client_pwd = "{value}"') == [], value
+
+
+def test_markup_and_blocks():
+    assert found("<config>\n<user>bob</user>\n<dbPwd> Zk39fQ1!pLm </dbPwd></config>") == ["Zk39fQ1!pLm"]
+    assert found('<add key="DbPwd" value="Zk39fQ1!pLm"/>') == ["Zk39fQ1!pLm"]
+    assert found("db_pwd: |\n  Zk39fQ1!pLm\n  Zk39fQ1!pLn\nname: x") == ["Zk39fQ1!pLm", "Zk39fQ1!pLn"]
+    assert found("<pwd>short</pwd> <note>Zk39fQ1!pLm</note>") == []
+
+
+def test_alternatives_calls_and_comments():
+    assert found('db_pwd = getenv("DB_PASSWORD_1x") || "Zk39fQ1!pLm"') == ["Zk39fQ1!pLm"]
+    assert found('db_pwd = os.environ.get("DB_PASSWORD_1x", "Zk39fQ1!pLm")') == ["Zk39fQ1!pLm"]
+    assert found('db_pwd = process.env.X ?? "Zk39fQ1!pLm"') == ["Zk39fQ1!pLm"]
+    assert found('db_pwd = decode("Zk39fQ1!pLm")') == ["Zk39fQ1!pLm"]
+    assert found('connect(host="h", db_pwd="Zk39fQ1!pLm")') == ["Zk39fQ1!pLm"]
+    assert found('db_pwd = # the old one\n  "Zk39fQ1!pLm"') == ["Zk39fQ1!pLm"]
+    assert found('db_pwd = """Zk39fQ1!pLm"""') == ["Zk39fQ1!pLm"]
+
+
+def test_constants_in_any_order():
+    assert found('db_pwd = FALLBACK_1\nother = 3\nFALLBACK_1 = "Zk39fQ1!pLm"') == ["Zk39fQ1!pLm"]
+    assert found('db_pwd = a1\na1 = b1\nb1 = c1\nc1 = "Zk39fQ1!pLm"') == ["Zk39fQ1!pLm"]
+    assert found('a1 = b1\nb1 = a1\nx = "Zk39fQ1!pLm"\ndb_pwd = a1') == []
+    # a name is its last definition before the use
+    assert found('k1 = "Zk39fQ1!pLa"\nk1 = "Zk39fQ1!pLb"\ndb_pwd = k1\nk1 = "Zk39fQ1!pLc"') == ["Zk39fQ1!pLb"]
+
+
+def test_passphrases():
+    assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert found('passphrase = "Enter the words you were given"') == [] and found("password: correct horse battery staple") == []
+
+
+def test_long_names_and_clashing_columns(spark, docs_of):
+    name = "x" * 500 + "_db_pwd"
+    assert found(f'{name} = "Zk39fQ1!pLm"') == ["Zk39fQ1!pLm"]
+    docs = docs_of([(1, 'db_pwd = "Zk39fQ1!pLm"'), (1, 'db_pwd = "Zk39fQ1!pLm"'), (2, "x")], extra="n_assign string, spans string, base_sha256 string, n_pair string")
+    assert sorted((r["doc_id"], r["n_pair"], r["spans"]) for r in S.scan_secrets(docs).collect()) == [(1, 1, "pair:10:21")] * 2 + [(2, 0, "")]
+
+
+def brute_weights(pairs):
+    """Highest weight that reaches each assignment, by repeated passes: (target weight, defined name, names used)."""
+    weights = [w for w, _, _ in pairs]
+    while True:
+        before = list(weights)
+        for j, (_, _, used) in enumerate(pairs):
+            for name in used:
+                places = [i for i, (_, n, _) in enumerate(pairs) if n == name]
+                earlier = [i for i in places if i < j]
+                target = earlier[-1] if earlier else next((i for i in places if i != j), j) if places else None
+                if target is not None:
+                    weights[target] = max(weights[target], weights[j])
+        if weights == before:
+            return weights
+
+
+def test_fixpoint_against_brute_force():
+    import random
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        names = [f"n{i}{rng.choice(['', '_pwd', '_salt', '_key'])}" for i in range(6)]
+        rows, text = [], []
+        for i in range(12):
+            name, used = rng.choice(names), rng.sample(names, rng.randint(0, 2))
+            literal = f"Zk39fQ1!pL{'abcdefghijkl'[i]}"
+            rows.append((S.name_score(name), name, used))
+            text.append(f"{name} = " + " + ".join([f'"{literal}"', *used]))
+        weights = brute_weights(rows)
+        got = {"\n".join(text)[s:e]: w for s, e, w in S.Assignments("\n".join(text)).literals()}
+        want = {f"Zk39fQ1!pL{'abcdefghijkl'[i]}": w * S.literal_score(f"Zk39fQ1!pL{'abcdefghijkl'[i]}") for i, w in enumerate(weights) if w > 0}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want), seed
+
+
 def test_lexer_is_linear():
     import time
 
     began = time.time()
-    for text in ('a = a + "Zk39fQ1!pLm"\n' * 20_000, "a = a + a\n" * 20_000, "pwd" + " " * 300_000 + "=", "= \n" * 100_000, "pwd=(" * 60_000):
+    for text in ('a = a + "Zk39fQ1!pLm"\n' * 20_000, "a = a + a\n" * 20_000, "pwd" + " " * 300_000 + "=", "= \n" * 100_000, "pwd=(" * 60_000, 'pwd="' + '\\"' * 200_000, "<pwd " * 60_000, "<pwd>" * 60_000, 'pwd = """' * 20_000, "pwd: |\n  a\n" * 20_000, "pwd = f(" * 30_000, "pwd" * 100_000 + "=", "pwd=a/*" * 30_000, "pwd=//" * 30_000, "pwd=# " * 30_000):
         S.lexed_literals(text)
     assert time.time() - began < 20
