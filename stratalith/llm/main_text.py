@@ -1,16 +1,20 @@
 """Main text of HTML pages by tree scoring.
 
-A page is read by one tolerant scan into a tree of elements and a list of text blocks. Every block outside boilerplate
-passes points for its length and commas to its ancestors (all to the parent, half to the next, a third to the one above, ...),
-discounted by the share of its text in links. The container with the most points, itself discounted by link density, is taken,
-widened to the article it lies in; siblings that score well or are good paragraphs are kept with it, and every block in it
-that isn't boilerplate is kept in page order.
+A page is read by one tolerant scan into a tree of elements and a list of text blocks. Every paragraph outside boilerplate is worth points
+for its length and commas, discounted by the share of its text in links, and passes them to its ancestors (all to the parent, half to the next, a
+third to the one above, ...). The container with the most points, itself discounted by link density, is taken; names and tags that
+announce an article raise its points by a factor only. A container in an article stands for the whole article. Of the siblings, containers that reach
+a fifth of its points (other articles: half) and good paragraphs and headings are kept with it, and so is every block in them that isn't boilerplate,
+in page order.
 
-Boilerplate is named by tags, roles and words of class and id: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments; lists that are nearly all links are menus too.
+Boilerplate is named by tags, roles, and whole names in class and id: menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments. A name counts if all its words say so or speak of layout (`site-footer`, `comment-list`, not
+`social-science`), and only on boxes and lists; paragraphs, list items and tables go for an advert's or notice's name alone. Lists that
+are nearly all links are menus outside the chosen container, or where the whole page is chosen, and content inside.
 
-Defined results: null or empty html gives the empty text; unclosed and stray tags are tolerated, a comment or script that is never
-closed reaches to the end; character references are decoded once; white space (as Python has it) inside a block becomes one space.
+Defined results: null or empty html gives the empty text; of containers with equal points the first in the page is taken; unclosed and stray tags are
+tolerated, a comment or script that is never closed reaches to the end; character references are decoded once; white space (as Python has it) inside a
+block becomes one space. Repeated rows are read row by row; an empty table gives an empty result; other columns, whatever their names, are not read.
 All work on a page is linear in its length but for the depth at which misnested inline elements are closed.
 """
 
@@ -35,11 +39,18 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})}
 #: Words of class or id that name boilerplate.
 BOILERPLATE_WORDS = frozenset(
-    "nav navbar navigation navigations menu menubar submenu breadcrumb breadcrumbs masthead header topbar footer foot bottombar sidebar sidebars aside rail ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup paywall share sharing shares social socials related recommended recommendations recirc comment comments commentlist disqus respond replies reply discussion widget widgets toolbar pagination pager login signin copyright disclaimer skip skiplink hidden tags toc search outbrain taboola".split()
+    "nav navbar navigation navigations menu menubar submenu breadcrumb breadcrumbs masthead header topbar footer foot bottombar sidebar sidebars aside rail ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup paywall share sharing shares social socials related recommended recommendations recirc comment comments commentlist disqus respond replies reply discussion toolbar pagination pager login signin copyright disclaimer skip skiplink hidden toc search outbrain taboola".split()
 )
+#: Words that speak of place, form or grouping and leave the other words of a name as they are.
+LAYOUT_WORDS = frozenset("site page main global primary secondary left right top bottom upper lower side inner outer inline sticky fixed float box block bar list lists area wrap wrapper container section panel pane module region zone slot unit group row col column item items link links button buttons icon icons title body content text entry post posts article articles story stories thread form message messages info the js id user reader readers".split())
+#: Names that also tell of a paragraph, list item or table that it doesn't belong to the text.
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsored promo promotion cookie cookies consent newsletter paywall".split())
 PROTECTED = frozenset("html body article main".split())
+TEXTUAL = frozenset("p pre blockquote li dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 figure figcaption b i em strong a span code".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-GOOD_WORDS = frozenset("article body content entry main page post story text blog column prose".split())
+GOOD_WORDS = frozenset("article body content entry main post story text prose".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl menu table".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
@@ -50,11 +61,12 @@ _CLOSING = {name: re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE) for name in
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def names_boilerplate(value: str) -> bool:
+def names_boilerplate(value: str, tag: str = "div") -> bool:
     """Does a class or id name boilerplate? Names such as has-sidebar or no-comments speak of the page, not of the element."""
+    telling = ADVERT_WORDS if tag in TEXTUAL else BOILERPLATE_WORDS
     for name in value.split():
-        words = _SPLIT.split(_CAMEL.sub("-", name).lower())
-        if words[0] not in ("has", "with", "no", "without", "is") and not BOILERPLATE_WORDS.isdisjoint(words):
+        words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w and not w.isdigit()]
+        if words and words[0] not in ("has", "with", "no", "without", "is") and not telling.isdisjoint(words) and all(w in BOILERPLATE_WORDS or w in LAYOUT_WORDS for w in words):
             return True
     return False
 
@@ -63,7 +75,7 @@ class Page:
     """Elements by number (parent, tag, boilerplate) and blocks (element, text, characters in links)."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.drop, self.good = [-1], ["#root"], [False], [0.0]
+        self.parent, self.tag, self.drop, self.good = [-1], ["#root"], [False], [1.0]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
 
@@ -192,18 +204,18 @@ class Page:
         flush()
 
     def _element(self, name: str, attributes: str, parent: int) -> int:
-        drop, good = self.drop[parent] or name in BOILERPLATE_TAGS, 0.0
+        drop, good = self.drop[parent] or name in BOILERPLATE_TAGS, 1.0
         if attributes and not drop:
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if key in ("class", "id"):
-                    if name not in PROTECTED and names_boilerplate(value):
+                    if name not in PROTECTED and names_boilerplate(value, name):
                         drop = True
                     elif not GOOD_WORDS.isdisjoint(_SPLIT.split(value.lower())):
-                        good = 25.0
+                        good = 1.5
                 elif key == "role":
                     drop = drop or (name not in PROTECTED and value.lower() in BOILERPLATE_ROLES)
-                    good = 25.0 if value.lower() in ("main", "article") else good
+                    good = 1.5 if value.lower() in ("main", "article") else good
                 elif key == "hidden":
                     drop = True
                 elif key == "aria-hidden":
@@ -213,10 +225,19 @@ class Page:
         self.parent.append(parent)
         self.tag.append(name)
         self.drop.append(drop)
-        self.good.append(good + (25.0 if name in ("article", "main") else 0.0))
+        self.good.append(max(good, 1.5 if name in ("article", "main") else 1.0))
         return len(self.tag) - 1
 
 
+def worth(text: str, linked: int) -> float:
+    """Points of a paragraph: one, its commas, and its length, by the share outside links; of very short ones next to nothing."""
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text)) if len(text) >= 25 else 0.25
+
+
+def good_paragraph(text: str, linked: int) -> bool:
+    return linked < 0.25 * len(text) and (len(text) > 80 or text[-1] in ".!?:\u3002\u2026")
+
+
 def main_blocks(source: str) -> list[str]:
     """Blocks of the main text, in page order."""
     page = Page(source)
@@ -231,52 +252,51 @@ def main_blocks(source: str) -> list[str]:
         chars[x] += len(text)
         links[x] += linked
         rows[x] += 1
-    own = list(chars)
+        at, share = (parent[x] if tag[x] in PARAGRAPHS else x), 1
+        mine = worth(text, linked)
+        while at >= 0 and share <= 5:
+            points[at] += mine / share
+            at, share = parent[at], share + 1
     for x in range(n - 1, 0, -1):
         chars[parent[x]] += chars[x]
         links[parent[x]] += links[x]
         rows[parent[x]] += rows[x]
-    # lists and boxes that are nearly all links are menus
-    menu = [tag[x] in ("ul", "ol", "dl", "table", "div", "section") and rows[x] >= 3 and chars[x] and links[x] > 0.7 * chars[x] for x in range(n)]
-    for x in range(1, n):
-        menu[x] = menu[x] or menu[parent[x]]
-    blocks = [b for b in blocks if not menu[b[0]]] or blocks
-    for x, text, linked in blocks:
-        worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text)) if len(text) >= 25 else 0.25
-        at, share = (parent[x] if tag[x] in PARAGRAPHS else x), 1
-        while at >= 0 and share <= 5:
-            points[at] += worth / share
-            at, share = parent[at], share + 1
-    held = [x for x in range(n) if points[x] > 0 and not drop[x]]
-    value = {x: (points[x] + (page.good[x] if points[x] > 0 else 0)) * (1 - (links[x] / chars[x] if chars[x] else 0)) for x in held}
-    best = max(held, key=lambda x: (value[x], -x), default=0)
-    # widen to the outermost article or main around it, or around what is most of the page's text
-    at, widest = best, None
+    value = [points[x] * page.good[x] * (1 - links[x] / chars[x]) if chars[x] and not drop[x] and tag[x] not in TEXTUAL else 0.0 for x in range(n)]
+    best = max(range(n), key=lambda x: (value[x], -x))
+    # an article, else the main element, stands for what lies in it
+    around, at = {"article": None, "main": None}, best
     while at > 0:
-        if tag[at] in ("article", "main"):
-            widest = at
+        if tag[at] in around:
+            around[tag[at]] = at
         at = parent[at]
-    if widest is not None:
-        best, roots = widest, {widest}
-    else:
-        while parent[best] > 0 and tag[parent[best]] not in ("body", "html") and chars[parent[best]] > 1.2 * chars[best]:
-            best = parent[best]
-        roots = {best}
-        least = max(3.0, 0.2 * value.get(best, 0.0))
+    whole = next((x for x in around.values() if x is not None), None)
+    best = best if whole is None else whole
+    roots, loose = {best}, False
+    if tag[best] not in ("body", "html", "#root"):
+        beside = parent[best]
+        peers = max(3.0, (0.5 if tag[best] == "article" else 0.2) * value[best])
+        for x in range(1, n):
+            if parent[x] == beside and x != best and chars[x] and tag[x] not in TEXTUAL and value[x] >= peers and (tag[best] != "article" or tag[x] == "article"):
+                roots.add(x)
+        loose = whole is None
+    page_wide = tag[best] in ("body", "html", "#root")
+    menu = [False] * n
+    if page_wide:
         for x in range(1, n):
-            if parent[x] == parent[best] and x != best and chars[x]:
-                density = links[x] / chars[x]
-                if value.get(x, 0.0) >= least or (tag[x] in PARAGRAPHS and own[x] and density < 0.25):
-                    roots.add(x)
-        if best > 0 and tag[parent[best]] in ("body", "#root", "html") and own[parent[best]]:
-            roots.add(parent[best])
-    if widest is not None:  # other articles of the page that score as well belong to it
-        least = max(3.0, 0.2 * value.get(best, 0.0))
-        roots |= {x for x in range(1, n) if tag[x] == tag[best] and parent[x] == parent[best] and value.get(x, 0.0) >= least}
+            menu[x] = menu[parent[x]] or ((tag[x] in LISTS or tag[x] in ("div", "section")) and rows[x] >= 3 and links[x] > 0.7 * chars[x])
     inside = [False] * n
     for x in range(n):
-        inside[x] = x in roots or (x > 0 and inside[parent[x]])
-    return [text for x, text, _ in blocks if inside[x]]
+        inside[x] = (x in roots or (x > 0 and inside[parent[x]])) and not menu[x]
+    beside = parent[best]
+
+    def kept(x: int, text: str, linked: int) -> bool:
+        if inside[x]:
+            return True
+        # paragraphs and headings beside the container
+        return loose and (x == beside or parent[x] == beside and tag[x] in TEXTUAL) and (tag[x] in HEADINGS and linked < 0.25 * len(text) or good_paragraph(text, linked))
+
+    found = [text for x, text, linked in blocks if kept(x, text, linked)]
+    return found or [text for _, text, _ in blocks]
 
 
 def main_text(source: str | None) -> str:

@@ -127,6 +127,44 @@ def test_pages():
         main_text(hostile)
 
 
+LONG_TEXT = "This long paragraph speaks of a thing, then of another, and at last of a third one which nobody had asked for."
+
+
+def test_article_keeps_its_content():
+    refs = "".join(f"<li><a href=/{i}>Reference {i}</a></li>" for i in range(5))
+    page = f'<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{LONG_TEXT}</p><table class="widget"><tr><td>cell</td></tr></table><div class="social-science"><p>Social science text.</p></div><p class="reply">She gave a reply.</p><ul>{refs}</ul><div class="share-buttons">Share this</div><div id="comments"><p>First, great, really!</p></div><p class="ad">Buy</p></article></body>'
+    assert main_text(page).split("\n") == ["Title", LONG_TEXT, "cell", "Social science text.", "She gave a reply.", *(f"Reference {i}" for i in range(5))]
+
+
+def test_scores_choose():
+    def box(name, paragraphs):
+        return f"<div class={name}>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div>"
+
+    story, short = [LONG_TEXT] * 3, [f"A short line, number {i}." for i in range(4)]
+    menu = "<div class=c3><ul>" + "".join(f"<li><a href=/{i}>A link to another page, number {i}, with many, many, many words</a></li>" for i in range(12)) + "</ul></div>"
+    for page in ("".join((box("c1", short), box("c2", story), menu)), "".join((menu, box("c2", story), box("c1", short)))):
+        assert main_text(f"<body><div class=wrap>{page}</div></body>") == "\n".join(story)
+    # the same number of paragraphs: length and commas decide
+    few = ["No commas in this rather plain line here."] * 3
+    assert main_text(f"<body><div><div class=c1>{box('x', few)}</div><div class=c2>{box('y', story)}</div></div></body>") == "\n".join(story)
+
+
+def test_pages_without_an_article_and_with_two():
+    box = "<div class=x><p>buy now, today, please.</p></div>"
+    page = f"<body><div id=page><h1>Title</h1><div class=k><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div>{box}</div></body>"
+    assert main_text(page) == f"Title\n{LONG_TEXT}\n{LONG_TEXT}"
+    teaser = "<article><h2>Other</h2><p>A teaser of another story, in short.</p></article>"
+    assert main_text(f"<main><article><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></article>{teaser}</main>") == f"{LONG_TEXT}\n{LONG_TEXT}"
+    # of equal ones the first
+    assert main_text(f"<body><div><section><div><p>{LONG_TEXT}</p></div></section></div></body>") == LONG_TEXT
+
+
+def test_empty_pages_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", "t", 9)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in extract_pages(df).collect()] == [(1, "u", "x", 1)]
+    assert extract_pages(df.limit(0)).collect() == []
+
+
 def test_page_query(spark, sf):
     import html
 
