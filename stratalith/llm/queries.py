@@ -79,7 +79,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches", "places")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_main_text, op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op7_neighbours, op8_lm_score, op9_ngram_jaccard, op10_license_scan)}

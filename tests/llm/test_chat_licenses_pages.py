@@ -116,6 +116,79 @@ def test_license_index_agrees_with_brute_force(spark, docs_of):
     assert (L.NOTICES[t][0], start) == (got["label"], got["start"]) and abs(got["coverage"] - weight / sum(w for _, x, _, w in index if x == t)) < 1e-9
 
 
+def brute_places(text, keys=24, least=0.6, slack=4):
+    """(label, start, coverage) of every place, by plain loops over all offsets."""
+    words, index = WORD.findall((text or "").translate(LOWER)), L.rare_words(keys)
+    vocabulary = {w for _, x, _ in L.NOTICES for w in x.split()}
+    out = []
+    for t, (label, notice, phrases) in enumerate(L.NOTICES):
+        mine = [(w, p, weight) for w, x, p, weight in index if x == t]
+        total = sum(w for *_, w in mine)
+        votes = sorted((i - p, p, weight) for i, w in enumerate(words) for x, p, weight in mine if x == w)
+        windows = []
+        for v in votes:
+            if windows and v[0] <= windows[-1][-1][0] + slack:
+                windows[-1].append(v)
+            else:
+                windows.append([v])
+        for window in windows:
+            coverage = sum({p: weight for _, p, weight in window}.values()) / total
+            weights = {}
+            for at, _, weight in window:
+                weights[at] = weights.get(at, 0) + weight
+            start = min(weights, key=lambda a: (-round(weights[a], 9), a))
+            begin = max(window[0][0], 0)
+            stretch = " " + " ".join(w for w in words[begin : begin + max(window[-1][0] + len(notice.split()) + slack - begin, 1)] if w in vocabulary) + " "
+            if coverage >= least - 1e-12 and all(f" {p} " in stretch for p in phrases):
+                out.append((label, max(start, 0), round(min(1.0, coverage), 9)))
+    return sorted(out)
+
+
+def perturbed(text, rng):
+    """A notice as it stands in files: line marks, now and then a word put in, left out or changed."""
+    words, out = text.split(), []
+    width = rng.randint(7, 12)
+    for i, w in enumerate(words):
+        if i % width == 0:
+            out.append(rng.choice(["#", "//", "rem", "dnl", "c", " *"]))
+        x = rng.random()
+        if x < 0.005:
+            out += [w, "inserted"]
+        elif x < 0.01:
+            pass
+        elif x < 0.015:
+            out.append("changed")
+        else:
+            out.append(rng.choice([w, w, w.capitalize(), w + ","]))
+    return " ".join(out)
+
+
+def test_perturbed_notices(spark, docs_of):
+    import random
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(240):
+        label, text, _ = L.NOTICES[i % len(L.NOTICES)]
+        rows.append((i, "intro word " * rng.randint(0, 20) + perturbed(text, rng) + " tail" * rng.randint(0, 30)))
+        want[i] = label
+    got = {r["doc_id"]: r for r in L.scan_licenses(docs_of(rows)).collect()}
+    found = sum(want[i] in got[i]["labels"].split(",") for i in want)
+    assert found / len(want) >= 0.9
+    assert not any(set(got[i]["labels"].split(",")) - {want[i], "", *base(dict(rows)[i])[4].split(",")} for i in want)
+    for i, t in rows[:60]:
+        assert sorted((m["label"], m["start"], round(m["coverage"], 9)) for m in got[i]["places"]) == brute_places(t), i
+
+
+def test_line_marks_and_every_place(spark, docs_of):
+    mit = next(text for label, text, _ in L.NOTICES if label == "mit")
+    words = mit.split()
+    marked = " ".join(["rem", *words[:20], "rem", *words[20:]])
+    got = {r["doc_id"]: r for r in L.scan_licenses(docs_of([(1, marked), (2, mit + " x " * 9 + mit), (3, "")] + [(4, mit)] * 2, extra="places string, matches string, labels string, _words string")).collect()}
+    assert got[1]["labels"] == got[4]["labels"] == "mit" and len(got[2]["places"]) == 2
+    assert [m["start"] for m in got[2]["places"]] == [0, len(words) + 9] and got[3]["places"] == []
+
+
 def test_pages():
     page = '<body><div id=top class="menu"><a href=1>a</a></div><div class=content><p>Hello, world this is a long paragraph with text, and commas.<p>Second &amp; third &lt;b&gt; <a href=x>link</a> text\n here.</div><div id="comments"><p>I like this article, it is great, really.</p></div><footer>foo</footer>'
     assert main_text(page) == "Hello, world this is a long paragraph with text, and commas.\nSecond & third <b> link text here."
