@@ -7,7 +7,8 @@ long text doesn't become its own dictionary, and the sizes are added up over the
 between the two best languages; texts with a gap of less than `margin` of their bytes (ties, above all) are rejected.
 
 Defined results: null text or text without a letter gives `und`, score 0 and is rejected; ties go to the language with more
-training rows, then the smaller name; without training rows everything is `und`.
+training rows, then the smaller name; without training rows everything is `und`. Texts of any length are compressed at one level. Repeated rows are
+predicted row by row, and count once for the dictionaries; other columns, whatever their names, are neither read nor changed; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, text_values
 
 UNKNOWN = "und"
+#: zstandard level of every text, short or long.
+LEVEL = 6
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -56,12 +59,11 @@ def learn_dictionaries(training: DataFrame, text_col: str = "text", lang_col: st
 class Classifier:
     """Compressors of one worker: made anew from the dictionaries' bytes wherever it is unpickled."""
 
-    def __init__(self, dictionaries: list[tuple[str, bytes]], block_bytes: int = 4096, level: int = 6, short_bytes: int = 600, short_level: int = 19):
-        self.made = (dictionaries, block_bytes, level, short_bytes, short_level)
-        self.block, self.short = block_bytes, short_bytes
+    def __init__(self, dictionaries: list[tuple[str, bytes]], block_bytes: int = 4096, level: int = LEVEL):
+        self.made = (dictionaries, block_bytes, level)
+        self.block = block_bytes
         self.langs = [lang for lang, _ in dictionaries]
-        self.fast = [self._compressor(raw, level) for _, raw in dictionaries]
-        self.slow = [self._compressor(raw, short_level) for _, raw in dictionaries]
+        self.tools = [self._compressor(raw, level) for _, raw in dictionaries]
 
     def __reduce__(self):
         return Classifier, self.made
@@ -73,9 +75,8 @@ class Classifier:
         return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def sizes(self, raw: bytes) -> list[int]:
-        tools = self.slow if len(raw) <= self.short else self.fast
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
-        return [sum(len(t.compress(b)) for b in blocks) for t in tools]
+        return [sum(len(t.compress(b)) for b in blocks) for t in self.tools]
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, and margin between the two best languages as a share of the text's bytes."""
