@@ -144,3 +144,38 @@ def test_repeated_vectors(spark):
         got[r["query_id"]].append((r["rank"], r["vec_id"]))
     want, _ = exact(np.arange(60), np.array([v for _, v in rows]), 0)
     assert sorted(got[0]) == [(i + 1, v) for i, v in enumerate(want)]
+
+
+def recall_of(spark, x, figures, **options):
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    by = collections.defaultdict(set)
+    for r in nearest(df, lambda i: i % 20 == 0, figures=figures, **options).collect():
+        by[r["query_id"]].add(r["vec_id"])
+    ids = np.arange(len(x))
+    asked = ids[ids % 20 == 0].tolist()
+    assert sorted(by) == asked and all(len(by[q]) == 20 for q in asked)
+    return sum(len(by[q] & set(exact(ids, x, q)[0])) for q in asked) / (20 * len(asked))
+
+
+def clustered(n, seed):
+    """Vectors of 60 clusters with norms between 0.3 and 3."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, n)] + 0.4 * rng.normal(size=(n, 16))
+    return x / np.linalg.norm(x, axis=1)[:, None] * rng.uniform(0.3, 3.0, n)[:, None]
+
+
+def test_recall_with_many_lists(spark):
+    pairs = []
+    for n in (4000, 8000):
+        figures = {}
+        assert recall_of(spark, clustered(n, 4), figures, list_rows=50) >= 0.9
+        assert figures["lists"] >= 64 and figures["pairs"] < 0.6 * n * (n // 20) * 4
+        pairs.append(figures["pairs"])
+    assert pairs[1] < 3.2 * pairs[0]  # twice the queries read lists of the same length
+
+
+def test_two_levels(spark):
+    figures = {}
+    assert recall_of(spark, clustered(6000, 5), figures, list_rows=50, top_lists=12, sample_rows=2000) >= 0.9
+    assert figures["lists"] > 60
