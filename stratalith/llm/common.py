@@ -63,7 +63,7 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and Spark is local (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
@@ -72,6 +72,8 @@ def scratch_root(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratalith-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -101,8 +103,8 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 def drop_scratch(*tables: DataFrame | None) -> None:
     """Delete scratch tables that nothing reads any more."""
     for t in tables:
-        if t in _left:
-            _left.remove(t)
+        if any(t is x for x in _left):
+            _left[:] = [x for x in _left if x is not t]
         path = getattr(t, "_scratch_path", None)
         if path:
             jvm, sc = t.sparkSession._jvm, t.sparkSession.sparkContext
@@ -110,22 +112,33 @@ def drop_scratch(*tables: DataFrame | None) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def scratch_scope():
+    """Scratch tables written inside are deleted behind: for results that have been written themselves."""
+    before = list(_left)
+    yield
+    drop_scratch(*[t for t in _left if not any(t is x for x in before)])
+
+
 def sized(table: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """A scratch table of a few numbers a row, marked for broadcast only if it was counted and is small; shuffled otherwise."""
     return F.broadcast(table) if table.count() <= most_rows else table
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, heavy_degree: int = 200, most_heavy: int = 100_000) -> DataFrame:
     """Smallest node reachable from each node of `edges` (src, dst): alternating large-star and small-star rounds.
 
-    Every round is two aggregations and joins on the edges that are left, so no component is ever
-    collected; each round is cut by a scratch table. Returns (node, component), nodes of `edges` only.
+    Every round is two aggregations and joins on the edges that are left, so no component is ever collected; each round is cut by a
+    scratch table. Nodes of more than `heavy_degree` edges get their least neighbour by broadcast, so that no task holds a star's
+    edges; of E edges at most `most_heavy` nodes can have more than 2 E / most_heavy, which the degree is raised to. Returns (node, component),
+    nodes of `edges` only.
     """
 
-    def stars(e: DataFrame, large: bool) -> DataFrame:
+    def stars(e: DataFrame, large: bool, degree: int) -> DataFrame:
         both = e.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(e.select(F.col("dst").alias("u"), F.col("src").alias("v"))) if large else e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        heavy = F.broadcast(least.filter(F.col("n") > degree).select("u", "m"))
+        joined = both.join(heavy.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= degree).select("u", "m"), "u").union(both.join(heavy, "u"))
         if large:
             out = joined.filter("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
         else:
@@ -133,12 +146,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return out.filter("src <> dst").distinct()
 
     now = scratch_table(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
-    fingerprint = None
+    fingerprint, n = None, now.count()
     for _ in range(max_rounds):
-        after = scratch_table(stars(stars(now, True), False), "cc")
+        degree = max(heavy_degree, -(-2 * n // most_heavy))
+        half = scratch_table(stars(now, True, degree), "cc")
+        after = scratch_table(stars(half, False, degree), "cc")
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        drop_scratch(now)
-        now = after
+        drop_scratch(now, half)
+        now, n = after, seen[0]
         if tuple(seen) == fingerprint:
             break
         fingerprint = tuple(seen)

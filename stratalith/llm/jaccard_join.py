@@ -10,12 +10,14 @@
 3. T-occurrence search. In a candidate group the sets are indexed by shingle. A set of size a looks for partners that share at least
    T = ceil(J (a + b) / (1 + J)) shingles: its T-1 longest lists are put aside, the short rest is merged with counts, and what is left is
    probed in the long lists by binary search until it has T or can't reach it. Partners in the same component already are skipped.
-   Groups of over `block` sets are dealt into blocks; after rounds of joins in shuffled blocks, only pairs of blocks that
+   Groups of over `block` sets or `block_shingles` shingles are dealt into blocks; after rounds of joins in shuffled blocks, only pairs of blocks that
    still hold different components are compared, each pair of blocks once, until all are.
 4. Components of the links found, carried to copies.
 
 Defined results: null text and text without words have an empty set, link with nothing and are their own component; a text with fewer than
-`n` words is one shingle; repeated rows of an id are united under that id (sizes are the largest). An empty table gives an empty result.
+`n` words is one shingle; repeated rows of an id are united under that id (sizes are the largest). An empty table gives an empty result. Ids are whole
+numbers, or texts of such (others fail in the cast); rows without an id are in no result of the join, and stay in `keep_first`. Other columns are kept as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, connected_components, prepare, scratch_table, sized, split_tokens
+from .common import binary_values, connected_components, drop_scratch, prepare, scratch_table, sized, split_tokens
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_KEPT_WORDS = 150_000
+#: Bytes of words whose hashes a worker remembers, and the longest word among them.
+_KEPT_BYTES, _LONGEST = 2 << 20, 64
+#: Parts whose first set a task remembers.
+_KEPT_PARTS = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,7 +49,7 @@ class Shingler:
     """Sorted distinct shingle hashes of texts; remembers word hashes."""
 
     def __init__(self, n: int):
-        self.n, self.words = n, {}
+        self.n, self.words, self.held = n, {}, 0
 
     def __call__(self, raw: bytes | None) -> np.ndarray:
         words = split_tokens(raw or b"")
@@ -56,12 +61,18 @@ class Shingler:
         try:
             ids = [known[w] for w in words]
         except KeyError:
-            if len(known) > _KEPT_WORDS:
+            if self.held > _KEPT_BYTES:
                 known.clear()
+                self.held = 0
+            more: dict[bytes, int] = {}
             for w in words:
                 if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            ids = [known[w] for w in words]
+                    if len(w) > _LONGEST or self.held > 2 * _KEPT_BYTES:
+                        more[w] = xxhash.xxh64_intdigest(w)
+                    else:
+                        known[w] = xxhash.xxh64_intdigest(w)
+                        self.held += len(w)
+            ids = [known[w] if w in known else more[w] for w in words]
         h = np.array(ids, np.uint64)
         size = len(words) - self.n + 1
         total = np.zeros(size, np.uint64)
@@ -113,38 +124,58 @@ def part_hashes(shingles: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, spare: int) -> DataFrame:
-    """(doc, size, stand_in, parts): parts only for the first of equal sets in a task, which stands in for the others."""
+    """(doc, size, stand_in, parts, befores, near): parts only for the first of equal sets in a task, which stands in for the others.
+
+    A task sends each part once, with the part before it; later sets with an equal part are joined with the one that sent it (`near`) at once. So
+    near copies of one template send no more rows for a part than there are tasks.
+    """
 
     def run(batches):
-        shingle, classes, seen = Shingler(n), Classes(threshold, spare), {}
+        shingle, classes, seen, leads = Shingler(n), Classes(threshold, spare), {}, {}
+        none = np.empty(0, np.int64)
         for batch in batches:
-            docs_, sizes, stands, parts = batch.column(0).to_pylist(), [], [], []
+            docs_, sizes, stands, near, parts, befores = batch.column(0).to_pylist(), [], [], [], [], []
             for doc, raw in zip(docs_, binary_values(batch.column(1)), strict=True):
                 s = shingle(raw)
                 sizes.append(len(s))
-                if not len(s):
-                    stands.append(doc)
-                    parts.append(None)
-                    continue
-                key = xxhash.xxh128_digest(s.tobytes())
-                first = seen.setdefault(key, doc)
+                first = seen.setdefault(xxhash.xxh128_digest(s.tobytes()), doc) if len(s) else doc
                 stands.append(first)
-                parts.append(part_hashes(s, classes).view(np.int64) if first == doc else None)
+                mine, before, beside = none, none, set()
+                if len(s) and first == doc:
+                    mine = part_hashes(s, classes).view(np.int64)
+                    before = np.concatenate(([0], mine[:-1]))
+                    new = []
+                    for part in mine.tolist():
+                        sender = leads.setdefault(part, doc)
+                        new.append(sender == doc)
+                        if sender != doc:
+                            beside.add(sender)
+                    if beside:
+                        mine, before = mine[new], before[new]
+                    if len(leads) > _KEPT_PARTS:
+                        leads.clear()
+                near.append(sorted(beside))
+                parts.append(mine)
+                befores.append(before)
                 if len(seen) > 250_000:
                     seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["doc", "size", "stand_in", "parts"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in (parts, befores)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), *lists, pa.array(near, pa.list_(pa.int64()))], names=["doc", "size", "stand_in", "parts", "befores", "near"])
+
+    def whole(batches):
+        yield from run(b for b in batches if b.num_rows)
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, size long, stand_in long, parts array<long>")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(whole, "doc long, size long, stand_in long, parts array<long>, befores array<long>, near array<long>")
 
 
 def star_edges(prints: DataFrame) -> DataFrame:
     """Edges from every set to the least set with an equal part, distinct within a task.
 
-    Each part carries the part sent before it. Two sets that agree in both meet in the earlier part's star as well, so only the
+    Two sets that agree in a part and in the part before meet in the earlier part's star as well, so only the
     first of a run of equal parts gives an edge: a few for a near copy, whatever its length.
     """
-    linked = F.transform("parts", lambda x, i: F.struct(x.alias("part"), F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("parts"), i - 1)).alias("before")))
-    parts = prints.filter("parts is not null").select("doc", F.explode(linked).alias("p")).select("doc", "p.part", "p.before")
+    parts = prints.filter(F.size("parts") > 0).select("doc", F.explode(F.arrays_zip("parts", "befores")).alias("p")).select("doc", F.col("p.parts").alias("part"), F.col("p.befores").alias("before"))
     dealt = parts.repartition(F.col("part")).sortWithinPartitions("part", "doc")
 
     def run(batches):
@@ -173,7 +204,7 @@ def star_edges(prints: DataFrame) -> DataFrame:
             for i in range(0, len(out), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 50_000, 0]), pa.array(out[i : i + 50_000, 1])], names=["src", "dst"])
 
-    return dealt.select("part", "doc", "before").mapInArrow(run, "src long, dst long")
+    return dealt.select("part", "doc", "before").mapInArrow(run, "src long, dst long").union(prints.filter(F.size("near") > 0).select("doc", F.explode("near")))
 
 
 class Search:
@@ -292,56 +323,73 @@ def search_groups(members: DataFrame, keys: list[str], n: int, threshold: Fracti
     return members.groupBy(*keys).applyInArrow(one, "doc long, label long")
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, block: int, rounds: int = 2) -> DataFrame:
-    """Edges (src, dst) that span every component of candidate `groups` (node, component)."""
-    sizes = groups.groupBy("component").count()
-    wide = sizes.filter(F.col("count") > block)
+def verified_links(docs: DataFrame, groups: DataFrame, prints: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, block: int, block_shingles: int, rounds: int = 2) -> DataFrame:
+    """Edges (src, dst) that span every component of candidate `groups` (node, component), as a scratch table.
+
+    A set weighs as much of a block as it is of `block` sets or of `block_shingles` shingles, whichever is more; blocks weigh about one at most.
+    """
+    weight = F.greatest(F.lit(1.0 / block), F.col("size") / float(block_shingles))
+    weighed = groups.join(prints.groupBy("doc").agg(F.max("size").alias("size")), F.col("node") == F.col("doc")).select("doc", F.col("component").alias("g"), weight.alias("w"))
+    weighed = scratch_table(weighed, "weighed")
+    wide = weighed.groupBy("g").agg(F.sum("w").alias("w")).filter(F.col("w") > 1.0).select("g", F.ceil("w").cast("int").alias("blocks"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    members = texts.join(sized(groups.select(F.col("node").alias("doc"), F.col("component").alias("g"))), "doc").withColumn("label", F.col("doc"))
-    n_wide = wide.count()
-    if not n_wide:
-        return search_groups(members, ["g"], n, threshold).select(F.col("doc").alias("src"), F.col("label").alias("dst")).filter("src <> dst")
+    members = texts.join(sized(weighed), "doc").withColumn("label", F.col("doc"))
+    linked = lambda found: found.select(F.col("doc").alias("src"), F.col("label").alias("dst")).filter("src <> dst")
+    if wide.isEmpty():
+        edges = scratch_table(linked(search_groups(members.select("g", "doc", "label", "text"), ["g"], n, threshold)), "links")
+        drop_scratch(weighed)
+        return edges
     members = scratch_table(members, "members")
-    wide = wide.select(F.col("component").alias("g"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    narrow = members.join(wide.select("g"), "g", "left_anti")
-    edges = scratch_table(search_groups(narrow, ["g"], n, threshold).select(F.col("doc").alias("src"), F.col("label").alias("dst")).filter("src <> dst"), "links")
+    narrow = members.join(wide.select("g"), "g", "left_anti").select("g", "doc", "label", "text")
+    parts = [scratch_table(linked(search_groups(narrow, ["g"], n, threshold)), "links")]
     big = scratch_table(members.join(wide, "g"), "big")
+    drop_scratch(members)
     labels = big.select("doc", F.col("doc").alias("label"))
     for r in range(rounds):
-        dealt = big.drop("label").join(labels, "doc").withColumn("b", F.pmod(F.xxhash64(F.col("doc"), F.lit(r)), F.col("blocks")))
-        found = scratch_table(search_groups(dealt, ["g", "b"], n, threshold).select(F.col("doc").alias("src"), F.col("label").alias("dst")).union(labels.select(F.col("doc").alias("src"), F.col("label").alias("dst"))).filter("src <> dst"), "links")
-        edges = edges.union(found)
-        labels = scratch_table(big.select("doc").join(connected_components(found).withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("label")), "labels")
+        dealt = big.drop("label").join(labels, "doc").withColumn("b", F.pmod(F.xxhash64(F.col("doc"), F.lit(r)), F.col("blocks"))).select("g", "b", "doc", "label", "text")
+        found = scratch_table(linked(search_groups(dealt, ["g", "b"], n, threshold)).union(linked(labels)), "links")
+        parts.append(found)
+        after = scratch_table(big.select("doc").join(connected_components(found).withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("label")), "labels")
+        drop_scratch(labels)
+        labels = after
     # groups of which more than one component is left: a block holds one large component's part, or small ones
-    state = scratch_table(big.select("doc", "g").join(labels, "doc"), "state")
+    state = scratch_table(big.select("doc", "g", "w").join(labels, "doc"), "state")
     open_groups = state.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g")
-    if open_groups.isEmpty():
-        return edges
-    left = state.join(open_groups, "g")
-    by_label = left.groupBy("g", "label").count().withColumn("large", F.col("count") * 2 > block)
-    small = by_label.groupBy("g").agg(F.coalesce(F.sum(F.when(~F.col("large"), F.col("count"))), F.lit(0)).alias("rest"))
-    placed = left.join(by_label, ["g", "label"]).join(small, "g").withColumn("owner", F.when(F.col("large"), F.col("label"))).withColumn("parts", F.ceil(F.when(F.col("large"), F.col("count")).otherwise(F.col("rest")) / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).withColumn("cell", F.struct(F.coalesce("owner", F.lit(-1)).alias("owner"), "part"))
-    placed = scratch_table(placed.select("g", "doc", "label", "cell"), "placed")
-    cells = placed.select("g", "cell").distinct()
-    pairs = cells.alias("x").join(cells.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.cell") <= F.col("y.cell")) & ((F.col("x.cell.owner") != F.col("y.cell.owner")) | (F.col("x.cell.owner") == -1)))
-    pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.cell").alias("c1"), F.col("y.cell").alias("c2"))
-    sides = pairs.select("g", "c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cell"))
-    pool = sides.join(placed, ["g", "cell"]).join(big.select("doc", "text"), "doc")
-    last = search_groups(pool, ["g", "c1", "c2"], n, threshold).select(F.col("doc").alias("src"), F.col("label").alias("dst")).filter("src <> dst")
-    return edges.union(last)
-
-
-def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: str | Fraction = "9/10", block: int = 2000, spare: int = 1) -> DataFrame:
+    placed = None
+    if not open_groups.isEmpty():
+        left = state.join(open_groups, "g")
+        by_label = left.groupBy("g", "label").agg(F.sum("w").alias("held")).withColumn("large", F.col("held") * 2 > 1.0)
+        small = by_label.groupBy("g").agg(F.coalesce(F.sum(F.when(~F.col("large"), F.col("held"))), F.lit(0.0)).alias("rest"))
+        cells_of = left.join(by_label, ["g", "label"]).join(small, "g").withColumn("owner", F.when(F.col("large"), F.col("label"))).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.when(F.col("large"), F.col("held")).otherwise(F.col("rest"))).cast("int"))).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).withColumn("cell", F.struct(F.coalesce("owner", F.lit(-1)).alias("owner"), "part"))
+        placed = scratch_table(cells_of.select("g", "doc", "label", "cell"), "placed")
+        cells = placed.select("g", "cell").distinct()
+        pairs = cells.alias("x").join(cells.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.cell") <= F.col("y.cell")) & ((F.col("x.cell.owner") != F.col("y.cell.owner")) | (F.col("x.cell.owner") == -1)))
+        pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.cell").alias("c1"), F.col("y.cell").alias("c2"))
+        sides = pairs.select("g", "c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cell"))
+        pool = sides.join(placed, ["g", "cell"]).join(big.select("doc", "text"), "doc").select("g", "c1", "c2", "doc", "label", "text")
+        parts.append(scratch_table(linked(search_groups(pool, ["g", "c1", "c2"], n, threshold)), "links"))
+    drop_scratch(weighed, big, labels, state, placed)
+    edges = parts[0]
+    for x in parts[1:]:
+        edges = edges.union(x)
+    every = scratch_table(edges.distinct(), "links")
+    drop_scratch(*parts)
+    return every
+
+
+def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: str | Fraction = "9/10", block: int = 2000, block_shingles: int = 2_000_000, spare: int = 1) -> DataFrame:
     """(id_col, n_shingles, component_id) of every document; links are Jaccard >= threshold on sets of n-word shingles."""
     prepare(docs.sparkSession)
     j = Fraction(threshold)
     prints = scratch_table(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, n, j, spare), "prints")
     candidates = scratch_table(star_edges(prints), "stars")
     groups = scratch_table(connected_components(candidates), "groups")
-    links = scratch_table(verified_links(docs, groups, id_col, text_col, n, j, block), "links")
+    links = verified_links(docs, groups, prints, id_col, text_col, n, j, block, block_shingles)
+    drop_scratch(candidates, groups)
     found = connected_components(links.select("src", "dst").union(prints.filter("size > 0 and stand_in <> doc").select(F.col("doc").alias("src"), F.col("stand_in").alias("dst"))))
     sizes = prints.groupBy("doc").agg(F.max("size").alias("n_shingles"))
     kind = docs.schema[id_col].dataType
+    drop_scratch(links)
     out = sizes.join(found, F.col("doc") == F.col("node"), "left").select(F.col("doc").cast(kind).alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     return out
 

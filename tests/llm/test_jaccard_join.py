@@ -59,3 +59,41 @@ def test_odd_tables(spark, docs_of):
 def test_query(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, QUERIES["op9_ngram_jaccard"](spark, sf).collect())) == brute(docs)
+
+
+def test_blocks_are_bounded_by_shingles(spark, docs_of):
+    docs = list(enumerate(near_copies(2, groups=3, size=12)))
+    assert sorted(map(tuple, J.duplicate_components(docs_of(docs, extra="n_shingles string, component_id string, size string, parts string"), block_shingles=200).collect())) == brute(docs)
+
+
+def test_components_with_heavy_nodes(spark):
+    from stratalith.llm.common import connected_components
+
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(59, 140)]
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long"), heavy_degree=5, most_heavy=1000).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in nodes)
+
+
+def test_a_task_sends_a_part_once(spark, docs_of):
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(300):
+        copy = list(base)
+        copy[i % 120] = f"z{i}"
+        docs.append((i, " ".join(copy)))
+    prints = J.fingerprints(docs_of(docs).repartition(3), "doc_id", "text", 3, J.Fraction("9/10"), 1)
+    most = prints.selectExpr("explode(parts) AS part").groupBy("part").count().selectExpr("max(count)").first()[0]
+    assert most <= 3
