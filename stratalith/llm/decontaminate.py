@@ -1,13 +1,14 @@
 """Benchmark decontamination: a broadcast hash set of normalised benchmark word windows, scanned over every document.
 
-Each benchmark item becomes windows of `n` consecutive words (an item with fewer words is one window).
-Workers map document words to ids of the benchmark's vocabulary, so that only runs of benchmark words can be
-a window; runs are looked up in the hash set as exact id tuples, which also verifies them. The hash set of one block
-of items is bounded by `block_bytes`; a larger benchmark is taken block by block, and the blocks' hits are
+Each benchmark item becomes windows of `n` consecutive words (an item with fewer words is one window). Words are numbered by the benchmark's
+vocabulary, windows are a sorted array of 64-bit hashes of their numbers. Workers map document words to numbers, so that only runs of
+benchmark words can be a window; those are looked up in the hashes, and every hit is verified number by number. The hash set of one block
+of items is bounded by `block_bytes` of their texts; a larger benchmark is taken block by block, and the blocks' hits are
 united per document, so the result is the same at any size.
 
 Defined results: null or wordless text has no words and is never hit; null or wordless items give no window; repeated
-items and repeated documents are each handled as rows of their own (window owners are item ids).
+items and repeated documents are each handled as rows of their own (window owners are item ids). Other columns, whatever their names, are kept as
+they are or not read.
 """
 
 from __future__ import annotations
@@ -25,19 +26,37 @@ from .common import binary_values, map_batches, scratch_table, split_words
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
+def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all windows of `size` word numbers."""
+    total = np.zeros(len(ids) - size + 1, np.uint64)
+    for k in range(size):
+        total = (total ^ ids[k : len(ids) - size + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return total
+
+
 class WindowSet:
-    """Windows of one block of items: vocabulary ids, and exact id tuples by window length."""
+    """Windows of one block of items: the vocabulary, all items' word numbers, and by window length sorted hashes with places and owners."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.by_length: dict[int, dict[tuple[int, ...], list[str]]] = {}
-        for item_id, raw in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words(raw or b"")]
+        self.names = [str(item_id) for item_id, _ in items]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        parts, at = [], 0
+        for owner, (_, raw) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words(raw or b"")], np.int32)
             size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                owners = self.by_length.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), [])
-                if not owners or owners[-1] != str(item_id):
-                    owners.append(str(item_id))
+            if size:
+                hashes = window_hashes(ids, size)
+                found.setdefault(size, []).append((hashes, np.arange(at, at + len(hashes), dtype=np.int64), np.full(len(hashes), owner, np.int32)))
+                parts.append(ids)
+                at += len(ids)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.by_length = {}
+        for size, some in found.items():
+            hashes, places, owners = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[size] = hashes[order], places[order], owners[order]
 
     def scan(self, raw: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, merged hit runs of words (start, end), and the items with an occurring window."""
@@ -45,17 +64,23 @@ class WindowSet:
         if not words or not self.by_length:
             return len(words), [], set()
         get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter((get(w, 0) for w in words), dtype=np.int32, count=len(words))
         known = np.concatenate(([0], np.cumsum(ids > 0)))
         spans, items = [], set()
-        for size, windows in self.by_length.items():
+        for size, (hashes, places, owners) in self.by_length.items():
             if len(words) < size:
                 continue
-            for i in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
-                owners = windows.get(tuple(ids[i : i + size].tolist()))
-                if owners is not None:
+            asked = np.flatnonzero(known[size:] - known[:-size] == size)
+            if not len(asked):
+                continue
+            wanted = window_hashes(ids, size)[asked]
+            low, high = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+            for i, a, b in zip(asked[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                mine = ids[i : i + size]
+                same = [k for k in range(a, b) if np.array_equal(self.words[places[k] : places[k] + size], mine)]
+                if same:
                     spans.append((i, i + size))
-                    items.update(owners)
+                    items.update(self.names[owners[k]] for k in same)
         spans.sort()
         runs: list[tuple[int, int]] = []
         for s, e in spans:
@@ -73,7 +98,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
     return benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("binary").alias("raw"), F.pmod(F.xxhash64(text_col, id_col), F.lit(blocks)).alias("block")), blocks
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: id_col, n_words, runs array<struct<start,end>> (hit words), items array<string>.
 
     Only the id and the text of `docs` are read. With one block no shuffle is needed; with more, hits
@@ -111,7 +136,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return merged.join(kept.select("row", F.col("old").alias(id_col)), "row").select(id_col, "n_words", "runs", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, mode: str = "documents", block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, mode: str = "documents", block_bytes: int = 4 << 20) -> DataFrame:
     """`docs` without benchmark text: mode "documents" drops every hit document, "spans" cuts the hit words out of the text.
 
     All columns of `docs` are returned as they are (in "spans" mode only `text_col` changes: from the first byte

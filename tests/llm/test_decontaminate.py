@@ -63,3 +63,23 @@ def test_query(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op6_decontamination"](spark, sf).collect())) == brute(docs, items)
+
+
+def test_large_benchmark_in_little_memory():
+    import pickle
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randint(0, 60_000)}" for _ in range(700)).encode()) for i in range(900)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    made = D.WindowSet(items, 10)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size > 4 << 20 or held < 14 * size
+    # a block of 4 MB stays below 60 MB in a worker; a benchmark of 20 MB is five of them, one after the other
+    assert held < 60 << 20 and len(pickle.dumps(made)) < 8 * size
+    text = items[5][1].split()
+    n, runs, found = made.scan(b" ".join([b"x"] * 3 + text[20:40] + [b"y"]))
+    assert (n, runs, found) == (24, [(3, 23)], {"5"})
