@@ -100,16 +100,28 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, files = _place(spark, path)
+    return files.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, files = _place(spark, path)
+    files.delete(p, True)
+
+
 def drop_scratch(*tables: DataFrame | None) -> None:
     """Delete scratch tables that nothing reads any more."""
     for t in tables:
-        if any(t is x for x in _left):
-            _left[:] = [x for x in _left if x is not t]
+        _left[:] = [x for x in _left if x is not t]
         path = getattr(t, "_scratch_path", None)
         if path:
-            jvm, sc = t.sparkSession._jvm, t.sparkSession.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            remove(t.sparkSession, path)
 
 
 @contextlib.contextmanager

@@ -12,7 +12,8 @@ paths meet at such cuts: a chunk with cuts only needs the lattice left of its fi
 units between cuts, like all of a document that fits one chunk, are encoded by the library and remembered.
 
 Defined results: null or empty text has no ids and decodes to the empty string; ids equal the library's. A text with
-a literal U+2581 decodes to spaces there, as the library has it; `exact` tells whether decoding gives the text back.
+a literal U+2581 decodes to spaces there, as the library has it. Of equally ranked merges the leftmost comes first, as in the library. Repeated rows
+are encoded row by row; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from .common import map_batches, scratch_table, text_values
 MODEL = os.environ.get("STRATALITH_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 _UNITS = re.compile("\n|▁*[^▁\n]+|▁+")
-_KEPT_UNITS = 120_000
+#: Characters of stretches between cuts whose ids a worker remembers (about 120,000 words), and the longest stretch among them.
+_KEPT_CHARS, _LONGEST_UNIT = 1_000_000, 64
 
 
 class Model:
@@ -69,22 +71,29 @@ class Model:
             raise ValueError("this model has pieces across cuts")
         self.longest = max(map(len, self.ids))
         self.units: dict[str, bytes] = {}
+        self.held = 0
         self.fits: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
         self.head = len(self.lib.encode("\n"))
 
     # -- encoding by cuts ---------------------------------------------------------------------------------------------
 
-    def remember(self, units: list[str]) -> None:
-        """Have the ids of all `units` (stretches between cuts) in self.units as int32 bytes."""
+    def ids_of(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of `units` (stretches between cuts) as int32 bytes; short ones are remembered in self.units."""
         new = [u for u in set(units) if u not in self.units]
-        if len(self.units) + len(new) > _KEPT_UNITS:
+        if self.held > _KEPT_CHARS:
             self.units.clear()
+            self.held = 0
             new = list(set(units))
+        long_ones: dict[str, bytes] = {}
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for u, ids in zip(part, self.lib.encode(["\n" + u for u in part], num_threads=1), strict=True):
-                self.units[u] = np.array(ids[self.head :], dtype=np.int32).tobytes()
+                into = self.units if len(u) <= _LONGEST_UNIT and self.held <= 2 * _KEPT_CHARS else long_ones
+                into[u] = np.array(ids[self.head :], dtype=np.int32).tobytes()
+                if into is self.units:
+                    self.held += len(u)
+        return long_ones
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -97,8 +106,8 @@ class Model:
         try:
             return np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int32)
         except KeyError:
-            self.remember(units)
-            return np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int32)
+            more = self.ids_of(units)
+            return np.frombuffer(b"".join([self.units[u] if u in self.units else more[u] for u in units]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
@@ -276,7 +285,7 @@ def id_lists(found: list[np.ndarray]) -> pa.Array:
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, giant_chars: int = 65_536, chunk_chars: int = 32_768, decoded: bool = False) -> DataFrame:
     """One row per document: id_col, ids array<int>.
 
-    Documents up to `giant_chars` are encoded where they are read. Longer ones are dealt out as chunks over all tasks; only
+    Documents up to `giant_chars` are encoded where they are read: a switch of path, for memory, that changes no id. Longer ones are dealt out as chunks over all tasks; only
     chunk edges and ids are shuffled beyond that. Documents are told apart by row, not by id, so repeated ids are fine. With `decoded`,
     rows have the columns of with_decoded as well, made where the ids are: one Python worker a task instead of two.
     """

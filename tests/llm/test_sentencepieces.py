@@ -52,3 +52,21 @@ def test_query(spark, sf, lib):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     for r in QUERIES["op2_sentencepiece"](spark, sf).collect():
         assert r["ids"] == lib.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_clashing_columns_and_default_giants(spark, docs_of):
+    import sentencepiece
+
+    text = "Some words, and then some more; " * 4000
+    assert len(text) > 65_536
+    docs = docs_of([(1, text), (1, text), (2, None)], extra="ids string, n_tokens string, decoded_chars string, decoded_sha256 string, row string, k string")
+    rows = P.encode_documents(docs, decoded=True).collect()
+    want = sentencepiece.SentencePieceProcessor(model_file=P.MODEL).encode(text)
+    assert sorted((r["doc_id"], r["ids"] == want, r["n_tokens"], r["decoded_chars"]) for r in rows) == [(1, True, len(want), len(text))] * 2 + [(2, False, 0, 0)]
+
+
+def test_remembered_units_are_bounded():
+    model = P.Model(P.MODEL)
+    for i in range(40):
+        model.encode(" ".join(f"word{i}x{j}" for j in range(5000)) + " " + "long" * 500)
+    assert model.held < 3 * P._KEPT_CHARS and max(map(len, model.units)) <= P._LONGEST_UNIT
