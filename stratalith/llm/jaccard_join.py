@@ -124,9 +124,9 @@ def part_hashes(shingles: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, spare: int) -> DataFrame:
-    """(doc, size, stand_in, parts, befores, near): parts only for the first of equal sets in a task, which stands in for the others.
+    """(doc, size, stand_in, parts, near): parts only for the first of equal sets in a task, which stands in for the others.
 
-    A task sends each part once, with the part before it; later sets with an equal part are joined with the one that sent it (`near`) at once. So
+    A task sends each part once; later sets with an equal part are joined with the one that sent it (`near`) at once. So
     near copies of one template send no more rows for a part than there are tasks.
     """
 
@@ -134,16 +134,15 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
         shingle, classes, seen, leads = Shingler(n), Classes(threshold, spare), {}, {}
         none = np.empty(0, np.int64)
         for batch in batches:
-            docs_, sizes, stands, near, parts, befores = batch.column(0).to_pylist(), [], [], [], [], []
+            docs_, sizes, stands, near, parts = batch.column(0).to_pylist(), [], [], [], []
             for doc, raw in zip(docs_, binary_values(batch.column(1)), strict=True):
                 s = shingle(raw)
                 sizes.append(len(s))
                 first = seen.setdefault(xxhash.xxh128_digest(s.tobytes()), doc) if len(s) else doc
                 stands.append(first)
-                mine, before, beside = none, none, set()
+                mine, beside = none, set()
                 if len(s) and first == doc:
                     mine = part_hashes(s, classes).view(np.int64)
-                    before = np.concatenate(([0], mine[:-1]))
                     new = []
                     for part in mine.tolist():
                         sender = leads.setdefault(part, doc)
@@ -151,46 +150,39 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
                         if sender != doc:
                             beside.add(sender)
                     if beside:
-                        mine, before = mine[new], before[new]
+                        mine = mine[new]
                     if len(leads) > _KEPT_PARTS:
                         leads.clear()
                 near.append(sorted(beside))
                 parts.append(mine)
-                befores.append(before)
                 if len(seen) > 250_000:
                     seen.clear()
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in (parts, befores)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), *lists, pa.array(near, pa.list_(pa.int64()))], names=["doc", "size", "stand_in", "parts", "befores", "near"])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), lists, pa.array(near, pa.list_(pa.int64()))], names=["doc", "size", "stand_in", "parts", "near"])
 
     def whole(batches):
         yield from run(b for b in batches if b.num_rows)
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(whole, "doc long, size long, stand_in long, parts array<long>, befores array<long>, near array<long>")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(whole, "doc long, size long, stand_in long, parts array<long>, near array<long>")
 
 
 def star_edges(prints: DataFrame) -> DataFrame:
-    """Edges from every set to the least set with an equal part, distinct within a task.
-
-    Two sets that agree in a part and in the part before meet in the earlier part's star as well, so only the
-    first of a run of equal parts gives an edge: a few for a near copy, whatever its length.
-    """
-    parts = prints.filter(F.size("parts") > 0).select("doc", F.explode(F.arrays_zip("parts", "befores")).alias("p")).select("doc", F.col("p.parts").alias("part"), F.col("p.befores").alias("before"))
+    """Edges from every set to the least set with an equal part, distinct within a task."""
+    parts = prints.filter(F.size("parts") > 0).select("doc", F.explode("parts").alias("part"))
     dealt = parts.repartition(F.col("part")).sortWithinPartitions("part", "doc")
 
     def run(batches):
-        held, rows = None, []
-        kept = 0
+        held, rows, kept = None, [], 0
         for batch in batches:
-            part, doc, before = (batch.column(i).to_numpy() for i in range(3))
+            part, doc = (batch.column(i).to_numpy() for i in range(2))
             if not len(part):
                 continue
             new = np.concatenate(([held is None or part[0] != held[0]], part[1:] != part[:-1]))
             at = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
             lead = np.where(at >= 0, doc[at], held[1] if held else 0)
-            lead_before = np.where(at >= 0, before[at], held[2] if held else 0)
-            held = (part[-1], lead[-1], lead_before[-1])
-            other = (lead != doc) & ((before != lead_before) | (before == 0))
+            held = (part[-1], lead[-1])
+            other = lead != doc
             rows.append(np.stack([doc[other], lead[other]], axis=1))
             kept += len(rows[-1])
             if kept > 1_000_000:
@@ -204,7 +196,7 @@ def star_edges(prints: DataFrame) -> DataFrame:
             for i in range(0, len(out), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 50_000, 0]), pa.array(out[i : i + 50_000, 1])], names=["src", "dst"])
 
-    return dealt.select("part", "doc", "before").mapInArrow(run, "src long, dst long").union(prints.filter(F.size("near") > 0).select("doc", F.explode("near")))
+    return dealt.select("part", "doc").mapInArrow(run, "src long, dst long").union(prints.filter(F.size("near") > 0).select("doc", F.explode("near")))
 
 
 class Search:

@@ -9,8 +9,8 @@ def shingles(t, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute(docs):
-    sets = {i: shingles(t) for i, t in docs}
+def brute(docs, n=3, percent=90):
+    sets = {i: shingles(t, n) for i, t in docs}
     up = {i: i for i in sets}
 
     def find(x):
@@ -22,7 +22,7 @@ def brute(docs):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return sorted((i, len(sets[i]), find(i)) for i in ids)
@@ -49,6 +49,12 @@ def test_brute_force(spark, docs_of):
         assert got == want, options
 
 
+def test_other_shingles_and_thresholds(spark, docs_of):
+    docs = list(enumerate(near_copies(3, groups=4, size=10)))
+    got = sorted(map(tuple, J.duplicate_components(docs_of(docs), n=5, threshold="4/5").collect()))
+    assert got == brute(docs, 5, 80)
+
+
 def test_odd_tables(spark, docs_of):
     assert J.duplicate_components(docs_of([])).count() == 0
     assert [tuple(r) for r in J.duplicate_components(docs_of([(5, "a b c d"), (5, "a b c d"), (5, None)])).collect()] == [(5, 2, 5)]
