@@ -49,7 +49,7 @@ def test_odd_rows_go_through(spark, sf, tmp_path):
     assert CP.run(spark, f"{tmp_path}/none").count() == 0
 
 
-def test_a_failed_run_goes_on(spark, sf, monkeypatch):
+def test_a_failed_run_goes_on(spark, sf, monkeypatch, tmp_path):
     import pytest
 
     calls = []
@@ -66,7 +66,7 @@ def test_a_failed_run_goes_on(spark, sf, monkeypatch):
 
     monkeypatch.setattr(CP, "STAGES", [noted(n, s, n == "secret_scan") for n, s in stages])
     with pytest.raises(RuntimeError):
-        CP.run(spark, sf, run_id="resumed-run-of-the-test")
+        CP.run(spark, sf, run_id=f"test-{tmp_path.name}-{id(calls)}")
     monkeypatch.setattr(CP, "STAGES", [noted(n, s, False) for n, s in stages])
     calls.clear()
-    assert CP.run(spark, sf, run_id="resumed-run-of-the-test").count() > 100 and calls == ["secret_scan", "sentencepiece"]
+    assert CP.run(spark, sf, run_id=f"test-{tmp_path.name}-{id(calls)}").count() > 100 and calls == ["secret_scan", "sentencepiece"]
