@@ -1,564 +1,792 @@
 """LM scoring by a hierarchical Pitman-Yor model over all training tokens.
 
-Restaurants: every previous token, whatever its count, and the beginning of a text have a restaurant of their own whose dishes are the tokens
-that follow, the end among them; the pairs seen are a distributed table. Its parent is the restaurant of the token itself if it is among the
-`head` most frequent ones, else of its spelling class (last byte); their dishes are the head tokens, the end, and spelling classes, and
-they share one parent, whose base is uniform over outcomes. A token outside the head is drawn from its class's own restaurant, whose base is uniform
-over the class's tokens and one unknown. Every token of every text is a customer of its previous token's restaurant, at any size of the corpus;
-customers above are the tables below.
-
-Seating: pairs start with one table each; then `rounds` times the restaurants above are fitted and every pair is seated again given them.
-Restaurants above are sampled by Gibbs sweeps: the customers of a dish leave and are seated again one after the other
-(past 64 in runs of a sixteenth, with one binomial draw a run) given all other tables; each sweep after burn-in gives predictive
-probabilities, and their average scores texts. Tokens of a class with equal counts are exchangeable, so they are seated together as numbers of
-tokens by number of tables. Discounts are n1 / (n1 + 2 n2) of each level's counts.
-
-A text's score is a sum: what its tokens have without their pairs, and for every pair seen in training what it adds. Pairs beyond a broadcast
-table of the most frequent ones are joined, as are tokens beyond the lexicon.
-
-Token counts beyond a broadcast lexicon of bounded size reach the documents through a join on the token.
+Restaurants: every previous token, whatever its count, and the beginning of a text have a restaurant of their own; its dishes are the tokens that
+follow, the end among them. All of them share one parent, the restaurant of single tokens, whose customers are their tables and whose base is uniform over the
+known tokens and one unknown. Every token of every training text is a customer of its previous token's restaurant.
+
+Seating: pairs start with one table each; then every sweep seats the parent's customers given its base, and all pairs' customers given the parent and the
+other tables of their restaurant: the customers of a dish leave and are seated again one after the other (past 64 in runs of a sixteenth, moved by
+their mean number of new tables, rounded at random). Draws are fixed by token or pair and sweep, however rows are dealt out. All tables of a sweep are seated given those of the
+sweep before, so sweeps run in parallel. Sweeps after `burn_in` are averaged: p(w|u) = (c - d mean(t) + (strength + d mean(T_u)) mean p(w)) / (strength + c_u), which
+sums to one over all tokens. Discounts are n1 / (n1 + 2 n2) of each level's counts.
+
+Tables: tokens are 63-bit hashes; the `lexicon_size` most frequent ones are broadcast and named by their places. Counts of pairs and tokens are sorted arrays
+of keys, packed by differences, one set for each of a number of buckets that follows the texts' bytes (`bucket_bytes`), so no key gathers more rows than there are tasks.
+Who needs values of another bucket's keys (pairs of tokens beyond the lexicon; texts of pairs beyond a broadcast table of the `pairs_size` most frequent
+ones) sends the keys there and has the values back. A text's score is a sum: what its tokens have without their pairs, and what every pair seen in
+training adds, in steps of 2^-24, so that it doesn't depend on the order of summing.
 
 Defined results: null text is empty and has the end only; repeated rows are scored row by row; a row with a null id is
-training data; without training rows every token is unknown.
+training data; without training rows every token is unknown. Tokens that tie at the lexicon's least count stay outside together, as do pairs; they are looked
+up in their buckets then, with the same result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import binary_values, drop_scratch, prepare, scratch_table, sized, split_tokens
+from .common import binary_values, drop_scratch, prepare, scratch_table, split_tokens
 
-CLASSES = 32
-END = b" "  # no word holds a space
-_LONGEST = 64
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_FAR = np.uint64(1 << 63)  # marks ids that are hashes
+END = (1 << 63) - 1  # key of the end, which no word's hash is given
+_STEP = 1 << 24
+#: Bytes of words a worker remembers, and the longest word among them.
+_KEPT_BYTES, _LONGEST = 4 << 20, 64
 
 
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2
 
 
-def pair_keys(words: list[bytes]) -> list[bytes]:
-    """Previous token, space, token; the beginning and the end are empty."""
-    return [u + b" " + w for u, w in zip([b"", *words], [*words, b""], strict=True)]
+# -- arrays -----------------------------------------------------------------------------------------------------------
 
 
-def pair_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(pair binary, c) over column `text`: counted in each task first, then by one shuffle."""
+@functools.lru_cache(maxsize=1)
+def _tools():
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
-    def run(batches):
-        held: Counter[bytes] = Counter()
 
-        def out():
-            pairs = list(held)
-            for i in range(0, len(pairs), 100_000):
-                part = pairs[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([held[t] for t in part], pa.int64())], names=["pair", "c"])
-            held.clear()
+def squeeze(x: np.ndarray) -> bytes:
+    """An array's bytes, those of equal rank side by side, compressed."""
+    raw = np.ascontiguousarray(x)
+    return _tools()[0].compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()) if len(raw) else b""
 
-        for batch in batches:
-            for raw in binary_values(batch.column(0)):
-                held.update(pair_keys(split_tokens(raw or b"")))
-                if len(held) > flush:
-                    yield from out()
-        yield from out()
 
-    return texts.mapInArrow(run, "pair binary, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+def unsqueeze(raw: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    if not raw:
+        return np.zeros(0, kind)
+    flat = np.frombuffer(_tools()[1].decompress(raw), np.uint8)
+    return flat.reshape(kind.itemsize, -1).T.copy(order="C").reshape(-1).view(kind)
 
 
-def token_counts(pairs: DataFrame, flush: int = 200_000) -> DataFrame:
-    """(token binary, k, c, followers, customers) of (pair, c, t): occurrences, tables in the token's restaurant, tables that serve it."""
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
 
-    def run(batches):
-        held: dict[bytes, list[int]] = {}
 
-        def out():
-            tokens = list(held)
-            for i in range(0, len(tokens), 100_000):
-                part = tokens[i : i + 100_000]
-                sums = zip(*[held[t] for t in part], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([t or END for t in part], pa.binary()), pa.array([(t or END)[-1] & (CLASSES - 1) for t in part], pa.int32()), *(pa.array(x, pa.int64()) for x in sums)], names=["token", "k", "c", "followers", "customers"])
-            held.clear()
+def unsqueeze_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(raw, np.uint64), dtype=np.uint64)
 
-        for batch in batches:
-            for raw, c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                u, _, w = raw.partition(b" ")
-                at = held.setdefault(u, [0, 0, 0])
-                at[0] += c
-                at[1] += t
-                held.setdefault(w, [0, 0, 0])[2] += t
-                if len(held) > flush:
-                    yield from out()
-        yield from out()
-
-    made = pairs.select("pair", "c", "t").mapInArrow(run, "token binary, k int, c long, followers long, customers long")
-    return made.groupBy("token", "k").agg(*[F.sum(x).alias(x) for x in ("c", "followers", "customers")])
-
-
-def _bin(c):
-    """Counts below 4096 as they are, larger ones rounded down to a 64th of a power of two."""
-    return F.when(c < 4096, c.cast("double")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2(c.cast("double")) * 64 + 1e-9) / 64)).cast("double"))
-
-
-class Lexicon:
-    """Frequent tokens by falling count: index, counts; the first `head` are dishes of their own."""
-
-    def __init__(self, tokens: list[bytes], counts: list[int], head: int):
-        self.index = {t: i for i, t in enumerate(tokens)}
-        self.none = len(tokens)  # index of the beginning and the end
-        self.counts = np.array(counts, np.int64)
-        self.head = head
-        self.dishes = np.array([i if i < head else head + (t[-1] & (CLASSES - 1)) for i, t in enumerate(tokens)], np.int32)
-        self.end = head + CLASSES  # as a dish the end, as a context the beginning
-
-    def read(self, words: list[bytes], empty: int = 0) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Lexicon indexes (-1: not in it), dishes, and the words that aren't in it."""
-        get = self.index.get
-        at = np.array([get(w, -1) for w in words], np.int64)
-        dishes = self.dishes[at] if len(self.dishes) else np.zeros(len(words), np.int32)
-        away = np.flatnonzero(at < 0)
-        rest = [words[i] for i in away.tolist()]
-        if rest:
-            dishes[away] = [self.head + (w[-1] & (CLASSES - 1)) if w else empty for w in rest]
-        return at, dishes, rest
-
-
-def _ends_of(lex: Lexicon, pairs: list[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Previous tokens, tokens, their lexicon indexes (-1: not in it), contexts and dishes."""
-    split = [p.partition(b" ") for p in pairs]
-    us, ws = [x[0] for x in split], [x[2] for x in split]
-    out: list[np.ndarray] = []
-    for words in (us, ws):
-        at, dishes, _ = lex.read(words, lex.head)
-        empty = np.array([not w for w in words], bool)
-        at[empty], dishes[empty] = lex.none, lex.end
-        out += [at, dishes]
-    return us, ws, out[0], out[2], out[1], out[3]
-
-
-def class_pairs(pairs: DataFrame, lexicon, size: int) -> DataFrame:
-    """(pair, c): tables of (pair, t) by context and dish, `context * size + dish`, summed in each task first."""
 
-    def run(batches):
-        lex: Lexicon = lexicon.value
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            _, _, _, _, context, dish = _ends_of(lex, batch.column(0).to_pylist())
-            np.add.at(total, context.astype(np.int64) * size + dish, batch.column(1).to_numpy())
-        some = np.flatnonzero(total)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["pair", "c"])
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    return pairs.select("pair", "t").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct sorted keys, and the sums of columns by key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c[:0] for c in columns)
 
 
-def discount(counts: np.ndarray) -> float:
-    return discount_of(int((counts == 1).sum()), int((counts == 2).sum()))
+def dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys, in order)."""
+    home = (mixed(keys + _B) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    ends = np.flatnonzero(np.diff(home[order], append=-1)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        yield int(home[order[a]]), order[a:b]
+
+
+def looked_up(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `asked` in sorted `keys`, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def batch_of(schema: dict, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
+
+
+def spark_schema(schema: dict) -> str:
+    return ", ".join(f"{name} {'binary' if t == pa.binary() else 'long' if t == pa.int64() else 'int' if t == pa.int32() else 'double'}" for name, t in schema.items())
+
+
+# -- seating ----------------------------------------------------------------------------------------------------------
 
 
 def discount_of(n1: int, n2: int) -> float:
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
 
 
-def seat(rng: np.random.Generator, counts: np.ndarray, weight: np.ndarray, d: float) -> np.ndarray:
-    """Tables after seating `counts` customers of each dish anew; `weight` is the weight of a new table (strength and all other tables times base)."""
+def seat(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, d: float, seed: int) -> np.ndarray:
+    """Tables after seating `counts` customers of each dish anew; `weight` is that of a new table (strength and the other dishes' discounted tables, times the parent's probability)."""
     tables = np.minimum(counts, 1)
     active = np.flatnonzero(counts > 1)
     i = 1
     while len(active):
+        draw = (mixed(keys[active].astype(np.uint64) + np.uint64((seed * 1_000_003 + i) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(np.float64) / 2.0**53
         run = 1 if i < 64 else i // 16
-        take = np.minimum(run, counts[active] - i)
-        w = weight[active] + 0.0
+        w = np.maximum(weight[active], 0.0)
         p = w / (w + np.maximum(i - d * tables[active], 1e-9))
-        tables[active] += rng.random(len(active)) < p if run == 1 else rng.binomial(take, p)
+        mean = np.minimum(run, counts[active] - i) * p
+        tables[active] += (np.floor(mean) + (draw < mean - np.floor(mean))).astype(np.int64)
         i += run
         active = active[counts[active] > i]
     return tables
 
 
-def seat_alike(rng: np.random.Generator, sizes: dict[int, int], weight: float, d: float) -> dict[int, float]:
-    """Mean number of tables of tokens with each count; `sizes` is count -> number of tokens, all seated together."""
-    state = np.zeros(2, np.int64)
-    state[1] = sum(sizes.values())
-    out, i = {}, 1
-    for c in sorted(sizes):
-        while i < c:
-            run = min(1 if i < 64 else i // 16, c - i)
-            t = np.arange(len(state))
-            p = weight / (weight + np.maximum(i - d * t, 1e-9))
-            if run == 1:
-                up = rng.binomial(state, p)
-                state = np.append(state - up, 0)
-                state[1:] += up
-            else:  # a run moves a token by its mean number of new tables, rounded at random
-                mean = run * p
-                low = np.floor(mean).astype(np.int64)
-                more = rng.binomial(state, mean - low)
-                new = np.zeros(len(state) + int(low.max()) + 1, np.int64)
-                np.add.at(new, t + low, state - more)
-                np.add.at(new, t + low + 1, more)
-                state = new
-            if state[-1] == 0:
-                state = state[: int(np.flatnonzero(state)[-1]) + 1] if state.any() else state[:2]
-            i += run
-        leave = sizes[c]
-        total = int(state.sum())
-        gone = state.copy() if leave >= total else rng.multivariate_hypergeometric(state, leave, method="marginals") if total < 10**9 else np.minimum(state, np.round(state * (leave / total)).astype(np.int64))
-        out[c] = float((gone * np.arange(len(state))).sum() / max(1, gone.sum()))
-        state = state - gone
-    return out
+# -- texts ------------------------------------------------------------------------------------------------------------
 
 
-class Model:
-    """Averaged predictive probabilities: log10 of dish given context, and of a token of a class by its count."""
-
-    def __init__(self, pairs: dict[int, int], size: int, head: int, class_bins: dict[int, dict[int, int]], class_sums: dict[int, int], strength: float = 1.0, burn_in: int = 4, sweeps: int = 8, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.size, self.head = size, head
-        n_tokens = {k: sum(class_bins.get(k, {}).values()) for k in range(CLASSES)}
-        outcomes = np.ones(size)
-        outcomes[head : head + CLASSES] = [n_tokens[k] + 1 for k in range(CLASSES)]
-        base = outcomes / outcomes.sum()
-        key = np.array(sorted(pairs), np.int64)
-        c2 = np.array([pairs[k] for k in key.tolist()], np.int64)
-        u, x = key // size, key % size
-        d2 = discount(c2)
-        rest = np.bincount(u, c2, size) if len(key) else np.zeros(size)
-        t2 = np.minimum(c2, 1)
-        t1 = np.zeros(size, np.int64)
-        total = np.zeros((size, size))
-        for sweep in range(burn_in + sweeps):
-            c1 = np.bincount(x, t2, size).astype(np.int64) if len(key) else np.zeros(size, np.int64)
-            d1 = discount(c1)
-            for _ in range(2 if sweep == 0 else 1):
-                t1 = seat(rng, c1, (strength + d1 * (t1.sum() - t1)) * base, d1)
-            p1 = (np.maximum(c1 - d1 * t1, 0) + (strength + d1 * t1.sum()) * base) / (strength + c1.sum())
-            tu = np.bincount(u, t2, size) if len(key) else np.zeros(size)
-            if len(key):
-                t2 = seat(rng, c2, (strength + d2 * (tu[u] - t2)) * p1[x], d2)
-                tu = np.bincount(u, t2, size)
-            if sweep >= burn_in:
-                p2 = (strength + d2 * tu)[:, None] * p1[None, :]
-                if len(key):
-                    p2[u, x] += np.maximum(c2 - d2 * t2, 0)
-                total += p2 / (strength + rest)[:, None]
-        self.dish = np.log10(total / sweeps)
-        self.by_class = [self._token_curve(rng, class_bins.get(k, {}), class_sums.get(k, 0), strength, burn_in, sweeps) for k in range(CLASSES)]
-
-    @staticmethod
-    def _token_curve(rng, bins: dict[int, int], customers: int, strength: float, burn_in: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (0 first) and the averaged probability of a token with that count."""
-        n = sum(bins.values())
-        d = discount_of(bins.get(1, 0), bins.get(2, 0))
-        at = np.array([0, *sorted(bins)], np.float64)
-        tables = float(n)
-        total = np.zeros(len(at))
-        for sweep in range(burn_in + sweeps):
-            means = seat_alike(rng, bins, (strength + d * tables) / (n + 1), d)
-            tables = sum(means[c] * m for c, m in bins.items())
-            if sweep >= burn_in:
-                kept = np.array([0.0, *(c - d * means[c] for c in sorted(bins))])
-                total += (kept + (strength + d * tables) / (n + 1)) / (strength + customers)
-        return at, total / sweeps
-
-    def token(self, k: int, counts: np.ndarray) -> np.ndarray:
-        """log10 probability, in class k, of tokens with these counts."""
-        return token_log(self.by_class[k], counts)
-
-
-class Trained:
-    """What scoring needs of the restaurants above the pairs: `tokens` (token, c, followers, customers), those of the lexicon as arrays."""
-
-    def __init__(self, tokens: DataFrame, rest: DataFrame, model: Model, lex: Lexicon, info: np.ndarray, ends: tuple[int, int], d: float, strength: float = 1.0):
-        self.tokens, self.rest, self.d, self.strength = tokens, rest, d, strength
-        self.dish, self.curves = model.dish, model.by_class
-        self.opening = spread(*ends, d, strength)
-        # with the beginning and the end last
-        self.spare = np.append(spread(info[:, 0], info[:, 1], d, strength), self.opening)
-        self.logs = np.append(lexicon_logs(model, lex, info[:, 2]), 0.0)
-        self.weights = strength + d * np.append(info[:, 1], ends[1])
-
-
-def spread(c, followers, d: float, strength: float):
-    """log10 share of a restaurant that goes to its parent."""
-    return np.log10((strength + d * np.asarray(followers, np.float64)) / (strength + np.asarray(c, np.float64)))
-
-
-def lexicon_logs(model: Model, lex: Lexicon, customers: np.ndarray) -> np.ndarray:
-    """log10 probability of each lexicon token in its class; 0 for head tokens."""
-    out = np.zeros(len(lex.counts))
-    for k in range(CLASSES):
-        mine = np.flatnonzero(lex.dishes == lex.head + k)
-        mine = mine[mine >= lex.head]
-        if len(mine):
-            out[mine] = model.token(k, customers[mine].astype(np.float64))
-    return out
+def token_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) % END
 
 
-def known_tokens(tokens: DataFrame, head: int, lexicon_size: int) -> tuple[Lexicon, float]:
-    """The most frequent tokens, and the smallest bin of counts they reach (inf: none)."""
-    short = (F.octet_length("token") <= _LONGEST) & (F.col("token") != F.lit(END))
-    bins = sorted(((r["bin"], r["n"]) for r in tokens.filter(short).groupBy(_bin(F.col("c")).alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True)
+class Reader:
+    """Words of texts as ids: places in the lexicon (sorted hashes), else hashes with the top bit set. Without a lexicon, plain hashes."""
 
-    floor, head_floor = _least(bins, lexicon_size), _least(bins, head)
-    rows = sorted((-r["c"], bytes(r["token"]), r["bin"]) for r in tokens.filter(short & (_bin(F.col("c")) >= F.lit(float(floor)))).select("token", "c", _bin(F.col("c")).alias("bin")).collect()) if floor < math.inf else []
-    return Lexicon([t for _, t, _ in rows], [-c for c, _, _ in rows], sum(b >= head_floor for _, _, b in rows)), floor
+    def __init__(self, lexicon: np.ndarray | None = None):
+        self.lexicon, self.known, self.held = lexicon, {}, 0
 
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        try:
+            return np.array([known[w] for w in words], np.uint64)
+        except KeyError:
+            pass
+        if self.held > _KEPT_BYTES:
+            known.clear()
+            self.held = 0
+        new = list({w for w in words if w not in known})
+        ids = np.array([token_hash(w) for w in new], np.uint64)
+        if self.lexicon is not None:
+            at, found = looked_up(self.lexicon, ids)
+            ids = np.where(found, at.astype(np.uint64), ids | _FAR)
+        more: dict[bytes, int] = {}
+        for w, i in zip(new, ids.tolist(), strict=True):
+            if len(w) > _LONGEST or self.held > 2 * _KEPT_BYTES:
+                more[w] = i
+            else:
+                known[w] = i
+                self.held += len(w)
+        return np.array([known[w] if w in known else more[w] for w in words], np.uint64)
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of pairs of ids: of places in the lexicon (`none`: beginning or end) the places, else a hash with the top bit set; and which are such."""
+    far = ((u | w) & _FAR) > 0
+    return np.where(far, mixed(u * _A + mixed(w + _B)) | _FAR, u * np.uint64(none + 1) + w), far
+
+
+def count_tokens(texts: DataFrame, buckets: int, flush: int = 1_000_000) -> DataFrame:
+    """(bucket, n, keys, c) over column `text`: keys of tokens, the end among them, summed in each task, then by bucket."""
+    shape = {"bucket": pa.int32(), "keys": pa.binary(), "c": pa.binary()}
+
+    def run(batches):
+        reader, parts, sums = Reader(), [], [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        pending = 0
+
+        def gather():
+            nonlocal parts, sums, pending
+            keys = np.concatenate([sums[0], *parts])
+            sums = list(summed(keys, np.concatenate([sums[1], np.ones(len(keys) - len(sums[0]), np.int64)])))
+            parts, pending = [], 0
+
+        def out():
+            nonlocal sums
+            rows = [(b, squeeze_keys(sums[0][at]), squeeze(sums[1][at])) for b, at in dealt(sums[0], buckets)] if len(sums[0]) else []
+            sums = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+            return batch_of(shape, rows)
 
-def _least(bins: list[tuple[float, int]], most: int) -> float:
-    """Of (bin, number) by falling bin: the smallest bin such that at most `most` lie in it or above."""
-    seen, found = 0, math.inf
-    for b, n in bins:
-        seen += n
-        if seen > most:
-            break
-        found = b
-    return found
-
-
-def fit(pairs: DataFrame, tokens: DataFrame, held, floor: float, d: float) -> Trained:
-    """The restaurants above the pairs, whose customers are the tables of `pairs`."""
-    lex: Lexicon = held.value
-    size = lex.head + CLASSES + 1
-    short = F.octet_length("token") <= _LONGEST
-    words = tokens.filter(F.col("token") != F.lit(END))
-    inside = short & (_bin(F.col("c")) >= F.lit(float(floor))) if floor < math.inf else F.lit(False)
-    info = np.zeros((len(lex.counts), 3), np.int64)
-    for r in words.filter(inside).select("token", "c", "followers", "customers").collect() if floor < math.inf else []:
-        info[lex.index[bytes(r["token"])]] = r["c"], r["followers"], r["customers"]
-    class_bins: dict[int, Counter] = {}
-    class_sums: Counter = Counter()
-    for r in words.groupBy("k", _bin(F.col("customers")).alias("bin")).agg(F.count("*").alias("n"), F.sum("customers").alias("c")).collect():
-        class_bins.setdefault(r["k"], Counter())[int(r["bin"])] += r["n"]
-        class_sums[r["k"]] += r["c"]
-    head = {t: i for t, i in lex.index.items() if i < lex.head}
-    if head:
-        for r in words.filter(inside).select("token", "k", "customers", _bin(F.col("customers")).alias("bin")).collect():
-            if bytes(r["token"]) in head:
-                class_bins[r["k"]][int(r["bin"])] -= 1
-                class_sums[r["k"]] -= r["customers"]
-    model = Model({r[0]: r[1] for r in class_pairs(pairs, held, size).collect()}, size, lex.head, {k: {c: n for c, n in b.items() if n > 0} for k, b in class_bins.items()}, class_sums)
-    end = tokens.filter(F.col("token") == F.lit(END)).select("c", "followers").first()
-    rest = words.filter(~inside).select("token", "c", "followers", "customers")
-    return Trained(tokens, rest, model, lex, info, tuple(end) if end else (0, 0), d)
-
-
-def _with_parents(pairs: DataFrame, trained: Trained, held) -> DataFrame:
-    """(pair, c, t, weight, parent): strength and discounted tables of the previous token's restaurant, and the token's probability in the parent."""
-    spark = pairs.sparkSession
-    tools = spark.sparkContext.broadcast((trained.weights, trained.dish, trained.logs, trained.curves, trained.d, trained.strength))
-
-    def look(batches):
-        lex: Lexicon = held.value
         for batch in batches:
-            us, ws, iu, iw, context, dish = _ends_of(lex, batch.column(0).to_pylist())
-            # in the lexicon: a token no word can be, one of many, so that these rows spread over the join
-            ju, jw = ([w if i < 0 else b"  %d" % (n % 10_007) for n, (w, i) in enumerate(zip(words, at.tolist(), strict=True))] for words, at in ((us, iu), (ws, iw)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(iu), pa.array(iw), pa.array(context.astype(np.int32)), pa.array(dish.astype(np.int32)), pa.array(ju, pa.binary()), pa.array(jw, pa.binary())], names=["pair", "c", "t", "iu", "iw", "context", "dish", "ju", "jw"])
-
-    found = pairs.select("pair", "c", "t").mapInArrow(look, "pair binary, c long, t long, iu long, iw long, context int, dish int, ju binary, jw binary")
-    rest = trained.rest
-    if rest.isEmpty():
-        found = found.withColumn("followers", F.lit(0).cast("long")).withColumn("customers", F.lit(0).cast("long"))
-    else:
-        of_u, of_w = rest.select(F.col("token").alias("ju"), "followers"), rest.select(F.col("token").alias("jw"), "customers")
-        found = found.join(sized(of_u), "ju", "left").join(sized(of_w), "jw", "left")
-
-    def weigh(batches):
-        weights, dishes, logs, curves, d, strength = tools.value
-        head = len(dishes) - CLASSES - 1
+            for raw in binary_values(batch.column(0)):
+                parts += [reader(split_tokens(raw or b"")), np.array([END], np.uint64)]
+                pending += len(parts[-2]) + 1
+                if pending > flush:
+                    gather()
+                    if len(sums[0]) > flush // 2:
+                        yield out()
+        gather()
+        yield out()
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, c = summed(np.concatenate([unsqueeze_keys(x) for x in table["keys"].to_pylist()]), np.concatenate([unsqueeze(x, np.int64) for x in table["c"].to_pylist()]))
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "keys": [squeeze_keys(keys)], "c": [squeeze(c)]})
+
+    return texts.mapInArrow(run, spark_schema(shape)).groupBy("bucket").applyInArrow(merge, "bucket int, n long, keys binary, c binary")
+
+
+PAIRS = {"bucket": pa.int32(), "far": pa.int32(), "more": pa.int32(), "keys": pa.binary(), "u": pa.binary(), "w": pa.binary(), "c": pa.binary(), "t": pa.binary(), "total": pa.binary()}
+
+
+def count_pairs(texts: DataFrame, lexicon, buckets: int, flush: int = 1_500_000) -> DataFrame:
+    """PAIRS rows over column `text`: counts of pairs by bucket, those within the lexicon and others (far), those counted once and more apart; one table each."""
+    shape = {"bucket": pa.int32(), "keys": pa.binary(), "u": pa.binary(), "w": pa.binary(), "c": pa.binary()}
+
+    def run(batches):
+        reader = Reader(lexicon.value)
+        none = len(lexicon.value)
+        edge = np.array([none], np.uint64)
+        ids: list[np.ndarray] = []
+        held, pending = None, 0
+
+        def gather():
+            nonlocal ids, held, pending
+            every = np.concatenate([x for part in ids for x in (edge, part)] + [edge]) if ids else np.zeros(0, np.uint64)
+            u, w = every[:-1], every[1:]
+            keys, far = pair_keys(u, w, none)
+            new = [(keys[x], u[x], w[x], np.ones(int(x.sum()), np.int64)) for x in (~far, far)]
+            if held is not None:
+                new = [tuple(np.concatenate(x) for x in zip(a, b, strict=True)) for a, b in zip(held, new, strict=True)]
+            held = [_distinct(*x) for x in new]
+            ids, pending = [], 0
+
+        def out():
+            nonlocal held
+            rows = []
+            for f, (keys, u, w, c) in enumerate(held or []):
+                if len(keys):
+                    rows += [(b, squeeze_keys(keys[at]), squeeze(u[at]) if f else b"", squeeze(w[at]) if f else b"", squeeze(c[at])) for b, at in dealt(keys, buckets)]
+            held = None
+            return batch_of(shape, rows)
+
         for batch in batches:
-            if not batch.num_rows:
+            for raw in binary_values(batch.column(0)):
+                ids.append(reader(split_tokens(raw or b"")))
+                pending += len(ids[-1]) + 1
+                if pending > flush:
+                    gather()
+                    if sum(len(x[0]) for x in held) > flush // 2:
+                        yield out()
+        if ids:
+            gather()
+        yield out()
+
+    def merge(table: pa.Table) -> pa.Table:
+        none, rows = len(lexicon.value), []
+        bucket = table["bucket"][0].as_py()
+        columns = [table[x].to_pylist() for x in ("keys", "u", "w", "c")]
+        for f in (0, 1):
+            mine = [i for i, u in enumerate(columns[1]) if bool(u) == bool(f)]
+            if not mine:
                 continue
-            iu, iw, context, dish = (batch.column(x).to_numpy() for x in ("iu", "iw", "context", "dish"))
-            followers, customers = (np.nan_to_num(batch.column(x).to_numpy(zero_copy_only=False).astype(np.float64)) for x in ("followers", "customers"))
-            weight = np.where(iu >= 0, weights[iu], strength + d * followers)
-            log = np.where(iw >= 0, logs[iw], 0.0)
-            for x in np.unique(dish[iw < 0]).tolist():
-                mine = (iw < 0) & (dish == x)
-                log[mine] = token_log(curves[x - head], customers[mine])
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("c"), batch.column("t"), pa.array(weight), pa.array(10.0 ** (dishes[context, dish] + log))], names=["pair", "c", "t", "weight", "parent"])
+            keys, c = np.concatenate([unsqueeze_keys(columns[0][i]) for i in mine]), np.concatenate([unsqueeze(columns[3][i], np.int64) for i in mine])
+            u, w = (np.concatenate([unsqueeze(columns[x][i], np.uint64) for i in mine]) for x in (1, 2)) if f else (keys // np.uint64(none + 1), keys % np.uint64(none + 1))
+            keys, u, w, c = _distinct(keys, u, w, c)
+            for more in (0, 1):
+                at = (c > 1) == bool(more)
+                if at.any():
+                    rows.append((bucket, f, more, squeeze_keys(keys[at]), squeeze(u[at]) if f else b"", squeeze(w[at]) if f else b"", squeeze(c[at]) if more else b"", squeeze(np.ones(int(at.sum()), np.int64)) if more else b"", squeeze(np.zeros(int(at.sum()), np.int64)) if more else b""))
+        return pa.Table.from_batches([batch_of(PAIRS, rows)])
 
-    return found.select("pair", "c", "t", "iu", "iw", "context", "dish", "followers", "customers").mapInArrow(weigh, "pair binary, c long, t long, weight double, parent double")
+    return texts.mapInArrow(run, spark_schema(shape)).groupBy("bucket").applyInArrow(merge, spark_schema(PAIRS))
 
 
-def seat_pairs(keys: np.ndarray, counts: np.ndarray, weight: np.ndarray, d: float, seed: int) -> np.ndarray:
-    """As `seat`, with draws fixed by a pair's key, however pairs are dealt out; a run moves a pair by its mean number of new tables, rounded at random."""
-    tables = np.minimum(counts, 1)
-    active = np.flatnonzero(counts > 1)
-    i = 1
-    while len(active):
-        x = keys[active].astype(np.uint64) + np.uint64((seed * 1_000_003 + i) * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        draw = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        run = 1 if i < 64 else i // 16
-        w = np.maximum(weight[active], 0.0)
-        p = w / (w + np.maximum(i - d * tables[active], 1e-9))
-        mean = np.minimum(run, counts[active] - i) * p
-        tables[active] += (np.floor(mean) + (draw < mean - np.floor(mean))).astype(np.int64)
-        i += run
-        active = active[counts[active] > i]
-    return tables
+def _distinct(keys, u, w, c):
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], u[order][starts], w[order][starts], np.add.reduceat(c[order], starts) if len(starts) else c[:0]
 
 
-def seated(pairs: DataFrame, trained: Trained, held, seed: int) -> DataFrame:
-    """(pair, c, t): every pair's customers seated anew, given all other tables."""
-    d = trained.d
+class Pairs:
+    """A PAIRS row as arrays; u and w are ids."""
 
-    def run(batches):
+    def __init__(self, row: dict, none: int):
+        self.bucket, self.far, self.more = row["bucket"], row["far"], row["more"]
+        self.keys = unsqueeze_keys(row["keys"])
+        self.u, self.w = (unsqueeze(row["u"], np.uint64), unsqueeze(row["w"], np.uint64)) if self.far else (self.keys // np.uint64(none + 1), self.keys % np.uint64(none + 1))
+        ones = np.ones(len(self.keys), np.int64)
+        self.c, self.t, self.total = (unsqueeze(row["c"], np.int64), unsqueeze(row["t"], np.int64), unsqueeze(row["total"], np.int64)) if self.more else (ones, ones, ones)
+
+    def row(self) -> tuple:
+        return self.bucket, self.far, self.more, squeeze_keys(self.keys), squeeze(self.u) if self.far else b"", squeeze(self.w) if self.far else b"", squeeze(self.c), squeeze(self.t), squeeze(self.total)
+
+
+# -- the model --------------------------------------------------------------------------------------------------------
+
+TOKENS = {"bucket": pa.int32(), "keys": pa.binary(), "c": pa.binary(), "fixed_t": pa.binary(), "fixed_c": pa.binary(), "tables": pa.binary(), "customers": pa.binary(), "above": pa.binary(), "sum_tables": pa.binary(), "sum_p": pa.binary()}
+
+
+class Level:
+    """Constants of the restaurant of single tokens after a sweep."""
+
+    def __init__(self, vocabulary: int, strength: float):
+        self.base, self.strength = 1.0 / (max(1, vocabulary) + 1), strength
+        self.d, self.above, self.customers, self.counted = 0.5, float(vocabulary), 0.0, False
+
+    def p(self, customers, above):
+        """Probability of tokens with these customers and tables; of an unknown one with none."""
+        return (np.maximum(customers - self.d * above, 0.0) + (self.strength + self.d * self.above) * self.base) / (self.strength + self.customers)
+
+
+class Model:
+    """Seats all restaurants of `texts` (column text) and averages them; holds what scoring needs."""
+
+    def __init__(self, texts: DataFrame, lexicon_size: int, bucket_bytes: int, burn_in: int, sweeps: int, strength: float = 1.0):
+        spark = texts.sparkSession
+        self.spark, self.strength, self.sweeps = spark, strength, sweeps
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = max(4, -(-size // bucket_bytes))
+        self.counts = scratch_table(count_tokens(texts, self.buckets), "tokens")
+        hashes, counts, self.n_tokens, self.n_distinct = self._lexicon(lexicon_size)
+        self.lexicon, self.none, self.c = spark.sparkContext.broadcast(hashes), len(hashes), counts
+        self.pairs = scratch_table(count_pairs(texts, self.lexicon, self.buckets), "pairs")
+        self.d = self._discount()
+        self.level = Level(self.n_distinct, strength)
+        self.more = self.pairs.filter("more = 1")
+        self.tokens = self._seat_tokens(self._fixed(), self.more, 0)
+        for sweep in range(1, burn_in + sweeps + 1):
+            after = scratch_table(self._seat_pairs(sweep, sweep > burn_in), "more")
+            tokens = self._seat_tokens(self.tokens, after, sweep)
+            drop_scratch(self.more if sweep > 1 else None, self.tokens)
+            self.more, self.tokens = after, tokens
+            self.level.counted = sweep > burn_in
+        self._finish()
+
+    # the lexicon
+
+    def _lexicon(self, most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Hashes (sorted) and counts of the most frequent tokens with the end's count last, and the numbers of all tokens and of different ones."""
+
+        def bins(batches):
+            for batch in batches:
+                for raw in batch.column("c").to_pylist():
+                    c = unsqueeze(raw, np.int64)
+                    b, n = np.unique(_bin(c), return_counts=True)
+                    yield batch_of({"bin": pa.int64(), "n": pa.int64(), "c": pa.int64()}, [(int(x), int(m), int(c[_bin(c) == x].sum())) for x, m in zip(b, n, strict=True)] if len(b) < 200 else _bin_sums(c, b))
+
+        found = sorted(((r["bin"], r["n"], r["c"]) for r in self.counts.mapInArrow(bins, "bin long, n long, c long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()), reverse=True)
+        floor, seen = None, 0
+        for b, n, _ in found:
+            seen += n
+            if seen > most + 1:  # the end beside
+                break
+            floor = b
+        everything = sum(c for *_, c in found), sum(n for _, n, _ in found)
+
+        def top(batches):
+            for batch in batches:
+                for raw, counts in zip(batch.column("keys").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                    keys, c = unsqueeze_keys(raw), unsqueeze(counts, np.int64)
+                    mine = (keys == np.uint64(END)) | (_bin(c) >= floor if floor is not None else np.zeros(len(c), bool))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[mine].astype(np.int64)), pa.array(c[mine])], names=["h", "c"])
+
+        rows = self.counts.mapInArrow(top, "h long, c long").toArrow()
+        hashes, counts = rows["h"].to_numpy().astype(np.uint64), rows["c"].to_numpy().astype(np.int64)
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        if not len(hashes):
+            return hashes, np.zeros(1, np.int64), *everything
+        return hashes[:-1], counts, *everything  # the end has the largest key
+
+    def _discount(self) -> float:
+        def few(batches):
+            for batch in batches:
+                for more, keys, c in zip(batch.column("more").to_pylist(), batch.column("keys").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                    yield batch_of({"n1": pa.int64(), "n2": pa.int64()}, [(0, int((unsqueeze(c, np.int64) == 2).sum())) if more else (len(unsqueeze(keys, np.uint64)), 0)])
+
+        n1, n2 = self.pairs.select("more", "keys", "c").mapInArrow(few, "n1 long, n2 long").agg(F.sum("n1"), F.sum("n2")).first()
+        return discount_of(n1 or 0, n2 or 0)
+
+    # tokens
+
+    def _token_sums(self, pairs: DataFrame) -> DataFrame:
+        """(bucket, keys, t, c) of tokens' buckets: tables in a token's restaurant, tables that serve it."""
+        lexicon, none, buckets = self.lexicon, self.none, self.buckets
+        shape = {"bucket": pa.int32(), "keys": pa.binary(), "t": pa.binary(), "c": pa.binary()}
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    p = Pairs(row, none)
+                    nothing = np.zeros(len(p.t), np.int64)
+                    keys, t, c = summed(token_keys(np.concatenate([p.u, p.w]), lexicon.value), np.concatenate([p.t, nothing]), np.concatenate([nothing, p.t]))
+                    yield batch_of(shape, [(b, squeeze_keys(keys[at]), squeeze(t[at]), squeeze(c[at])) for b, at in dealt(keys, buckets)])
+
+        return pairs.mapInArrow(run, spark_schema(shape))
+
+    def _fixed(self) -> DataFrame:
+        """TOKENS rows with what pairs counted once give."""
+
+        def run(table: pa.Table, sums: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return pa.Table.from_batches([batch_of(TOKENS, [])])
+            keys = unsqueeze_keys(table["keys"][0].as_py())
+            t, c = _sums_at(keys, sums)
+            zero, none = np.zeros(len(keys), np.int64), np.zeros(len(keys))
+            return pa.Table.from_batches([batch_of(TOKENS, [(table["bucket"][0].as_py(), table["keys"][0].as_py(), table["c"][0].as_py(), *map(squeeze, (t, c, zero, zero, zero, none, none)))])])
+
+        return self.counts.groupBy("bucket").cogroup(self._token_sums(self.pairs.filter("more = 0")).groupBy("bucket")).applyInArrow(run, spark_schema(TOKENS))
+
+    def _seat_tokens(self, tokens: DataFrame, more: DataFrame, sweep: int) -> DataFrame:
+        """TOKENS rows (scratch) with the customers that `more` gives, seated; the sums take up the sweep before if it counted. Then the level's constants and the lexicon's values."""
+        level, counted = self.level, self.level.counted
+
+        def run(table: pa.Table, sums: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return pa.Table.from_batches([batch_of(TOKENS, [])])
+            x = _token_row(table.to_pylist()[0])
+            if counted:
+                x["sum_tables"] += x["tables"]
+                x["sum_p"] += level.p(x["customers"], x["above"])
+            t, c = _sums_at(x["keys"], sums)
+            x["tables"], x["customers"] = x["fixed_t"] + t, x["fixed_c"] + c
+            x["above"] = seat(x["keys"], x["customers"], np.full(len(t), (level.strength + level.d * level.above) * level.base), level.d, 2 * sweep)
+            return pa.Table.from_batches([batch_of(TOKENS, [(table["bucket"][0].as_py(), squeeze_keys(x["keys"]), *(squeeze(x[name]) for name in list(TOKENS)[2:]))])])
+
+        out = scratch_table(tokens.groupBy("bucket").cogroup(self._token_sums(more).groupBy("bucket")).applyInArrow(run, spark_schema(TOKENS)), "tokens")
+        self._values(out)
+        return out
+
+    def _values(self, tokens: DataFrame) -> None:
+        """The level's constants, and tables and parent's probabilities of the lexicon and the end."""
+        lexicon = self.lexicon
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    x = _token_row(row)
+                    at, inside = looked_up(lexicon.value, x["keys"])
+                    at = np.where(x["keys"] == np.uint64(END), len(lexicon.value), at)
+                    inside |= x["keys"] == np.uint64(END)
+                    few = np.bincount(np.minimum(x["customers"], 3), minlength=4)
+                    totals = [x["above"].sum(), x["customers"].sum(), few[1], few[2]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((np.arange(-4, 0), at[inside])).astype(np.int32)), pa.array(np.concatenate((totals, x["tables"][inside])).astype(np.int64)), pa.array(np.concatenate((np.zeros(4), x["customers"][inside])).astype(np.int64)), pa.array(np.concatenate((np.zeros(4), x["above"][inside])).astype(np.int64))], names=["at", "tables", "customers", "above"])
+
+        found = tokens.mapInArrow(run, "at int, tables long, customers long, above long").groupBy("at").agg(*[F.sum(x).alias(x) for x in ("tables", "customers", "above")]).toArrow()
+        at, tables, customers, above = (found[x].to_numpy() for x in ("at", "tables", "customers", "above"))
+        totals = dict(zip(at[at < 0].tolist(), tables[at < 0].tolist(), strict=True))
+        level = Level(self.n_distinct, self.strength)
+        level.above, level.customers = float(totals.get(-4, 0)), float(totals.get(-3, 0))
+        level.d = discount_of(totals.get(-2, 0), totals.get(-1, 0))
+        self.level = level
+        inside = at >= 0
+        self.tables, p = np.zeros(self.none + 1), np.full(self.none + 1, level.p(0.0, 0.0))
+        self.tables[at[inside]] = tables[inside]
+        p[at[inside]] = level.p(customers[inside], above[inside])
+        self.parents = p
+
+    # pairs
+
+    def _with_far(self, pairs: DataFrame, tokens: DataFrame, work, shape: dict, values) -> DataFrame:
+        """`work(Pairs, tables of u, probability of w)` on all rows of `pairs`: from the lexicon's arrays, and for far pairs from the tokens' buckets.
+
+        `values` gives tables and probabilities of a TOKENS row.
+        """
+        lexicon, none, buckets = self.lexicon, self.none, self.buckets
+        tools = self.spark.sparkContext.broadcast((self.tables, self.parents))
+
+        def near(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    p = Pairs(row, none)
+                    yield batch_of(shape, [work(p, tools.value[0][p.u.astype(np.int64)], tools.value[1][p.w.astype(np.int64)])])
+
+        done = pairs.filter("far = 0").mapInArrow(near, spark_schema(shape))
+        asks = {"bucket": pa.int32(), "who": pa.int32(), "keys": pa.binary()}
+        answers = {"who": pa.int32(), "keys": pa.binary(), "tables": pa.binary(), "p": pa.binary()}
+
+        def ask(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    p = Pairs(row, none)
+                    ids = np.unique(np.concatenate([p.u, p.w]))
+                    keys = np.unique(ids[(ids & _FAR) > 0] & ~_FAR)
+                    yield batch_of(asks, [(b, row["bucket"], squeeze_keys(keys[at])) for b, at in dealt(keys, buckets)])
+
+        def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+            rows = []
+            if asked.num_rows:
+                x = _token_row(table.to_pylist()[0])
+                tables, p = values(x)
+                for who, raw in zip(asked["who"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+                    at, _ = looked_up(x["keys"], unsqueeze_keys(raw))
+                    rows.append((who, raw, squeeze(tables[at].astype(np.float64)), squeeze(p[at])))
+            return pa.Table.from_batches([batch_of(answers, rows)])
+
+        far = pairs.filter("far = 1")
+        replies = far.mapInArrow(ask, spark_schema(asks)).groupBy("bucket").cogroup(tokens.groupBy("bucket")).applyInArrow(answer, spark_schema(answers))
+
+        def finish(mine: pa.Table, found: pa.Table) -> pa.Table:
+            rows = []
+            if mine.num_rows:
+                keys, tables, p = (np.concatenate([f(x) for x in found[c].to_pylist()]) for c, f in (("keys", unsqueeze_keys), ("tables", lambda x: unsqueeze(x, np.float64)), ("p", lambda x: unsqueeze(x, np.float64))))
+                order = np.unique(keys, return_index=True)[1]  # rows counted once and more of a bucket may ask for the same token
+                keys, tables, p = keys[order], tables[order], p[order]
+                for row in mine.to_pylist():
+                    x = Pairs(row, none)
+                    ends = []
+                    for ids, broadcast, away in ((x.u, tools.value[0], tables), (x.w, tools.value[1], p)):
+                        is_far = (ids & _FAR) > 0
+                        at, _ = looked_up(keys, ids & ~_FAR)
+                        ends.append(np.where(is_far, away[at], broadcast[np.where(is_far, 0, ids).astype(np.int64)]))
+                    rows.append(work(x, *ends))
+            return pa.Table.from_batches([batch_of(shape, rows)])
+
+        return done.union(far.groupBy("bucket").cogroup(replies.groupBy("who")).applyInArrow(finish, spark_schema(shape)))
+
+    def _seat_pairs(self, sweep: int, counted: bool) -> DataFrame:
+        d, strength, level = self.d, self.strength, self.level
+
+        def work(p: Pairs, tables: np.ndarray, parent: np.ndarray) -> tuple:
+            p.t = seat(p.keys, p.c, (strength + d * (tables - p.t)) * parent, d, 2 * sweep + 1)
+            if counted:
+                p.total = p.total + p.t
+            return p.row()
+
+        return self._with_far(self.more, self.tokens, work, PAIRS, lambda x: (x["tables"], level.p(x["customers"], x["above"])))
+
+    def _finish(self) -> None:
+        """Averages of the lexicon: mean tables and probabilities; a last level for tokens' buckets."""
+        level, sweeps, lexicon = self.level, self.sweeps, self.lexicon
+        # the last sweep isn't in the sums yet
+        self.means = lambda x: ((x["sum_tables"] + x["tables"]) / sweeps, (x["sum_p"] + level.p(x["customers"], x["above"])) / sweeps)
+        means = self.means
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    x = _token_row(row)
+                    tables, p = means(x)
+                    at, inside = looked_up(lexicon.value, x["keys"])
+                    end = x["keys"] == np.uint64(END)
+                    at = np.where(end, len(lexicon.value), at)
+                    inside = inside | end
+                    yield pa.RecordBatch.from_arrays([pa.array(at[inside].astype(np.int32)), pa.array(tables[inside]), pa.array(p[inside])], names=["at", "tables", "p"])
+
+        # an unknown token's probability hardly changes from sweep to sweep: what is left of one
+        found = self.tokens.mapInArrow(run, "at int, tables double, p double").toArrow()
+        at = found["at"].to_numpy()
+        self.tables, self.parents = np.zeros(self.none + 1), np.ones(self.none + 1)
+        self.tables[at], self.parents[at] = found["tables"].to_numpy(), found["p"].to_numpy()
+
+        def total(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield batch_of({"p": pa.float64()}, [(float(means(_token_row(row))[1].sum()),)])
+
+        self.p_unknown = max(1.0 - (self.tokens.mapInArrow(total, "p double").agg(F.sum("p")).first()[0] or 0.0), 1e-300) if self.n_tokens else 0.5
+        if not self.n_tokens:
+            self.parents[:] = 0.5
+
+    def gains(self, least: int = 1) -> DataFrame:
+        """(bucket, keys, c, gain): what pairs add to a text's score, in steps of 2^-24; only pairs counted `least` times or more, if that is more than once."""
+        d, strength, sweeps = self.d, self.strength, self.sweeps
+        shape = {"bucket": pa.int32(), "keys": pa.binary(), "c": pa.binary(), "gain": pa.binary()}
+
+        def work(p: Pairs, tables: np.ndarray, parent: np.ndarray) -> tuple:
+            mean = p.total / sweeps if p.more else np.ones(len(p.keys))
+            gain = np.log10(1 + (p.c - d * mean) / ((strength + d * tables) * parent))
+            return p.bucket, squeeze_keys(p.keys), squeeze(p.c), squeeze(np.round(gain * _STEP).astype(np.int64))
+
+        some = self.more if least > 1 else self.pairs.filter("more = 0").union(self.more)
+        return self._with_far(some, self.tokens, work, shape, self.means)
+
+    def drop(self) -> None:
+        drop_scratch(self.counts)
+
+
+def token_keys(ids: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Keys of tokens from their ids."""
+    named = np.append(lexicon, np.uint64(END))
+    far = (ids & _FAR) > 0
+    return np.where(far, ids & ~_FAR, named[np.where(far, 0, ids).astype(np.int64)])
+
+
+def _token_row(row: dict) -> dict[str, np.ndarray]:
+    return {"keys": unsqueeze_keys(row["keys"]), **{x: unsqueeze(row[x], np.float64 if x in ("sum_tables", "sum_p") else np.int64) for x in list(TOKENS)[2:]}}
+
+
+def _sums_at(keys: np.ndarray, sums: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    t, c = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    for raw, more_t, more_c in zip(sums["keys"].to_pylist(), sums["t"].to_pylist(), sums["c"].to_pylist(), strict=True):
+        at, _ = looked_up(keys, unsqueeze_keys(raw))
+        t[at] += unsqueeze(more_t, np.int64)
+        c[at] += unsqueeze(more_c, np.int64)
+    return t, c
+
+
+def _bin(c: np.ndarray) -> np.ndarray:
+    """Counts below 4096 as they are, larger ones rounded down to a 64th of a power of two: only to find which tokens are broadcast."""
+    return np.where(c < 4096, c, np.floor(2.0 ** (np.floor(np.log2(np.maximum(c, 1)) * 64 + 1e-9) / 64)).astype(np.int64))
+
+
+def _bin_sums(c: np.ndarray, bins: np.ndarray) -> list[tuple[int, int, int]]:
+    at = np.searchsorted(bins, _bin(c))
+    return list(zip(bins.tolist(), np.bincount(at).tolist(), np.bincount(at, c).astype(np.int64).tolist(), strict=True))
+
+
+# -- scoring ----------------------------------------------------------------------------------------------------------
+
+
+def frequent_pairs(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (sorted) and gains of the most frequent pairs within the lexicon."""
+
+    def bins(batches):
         for batch in batches:
-            c, t = batch.column("c").to_numpy(), batch.column("t").to_numpy()
-            weight = (batch.column("weight").to_numpy() - d * t) * batch.column("parent").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("c"), pa.array(seat_pairs(batch.column("key").to_numpy(), c, weight, d, seed))], names=["pair", "c", "t"])
+            for raw in batch.column("c").to_pylist():
+                b, n = np.unique(_bin(unsqueeze(raw, np.int64)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(n)], names=["bin", "n"])
 
-    return _with_parents(pairs, trained, held).withColumn("key", F.xxhash64("pair")).mapInArrow(run, "pair binary, c long, t long")
+    some = model.more.filter("far = 0")
+    floor, seen = None, 0
+    for b, n in sorted(((r["bin"], r["n"]) for r in some.select("c").mapInArrow(bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()), reverse=True):
+        seen += n
+        if seen > most:
+            break
+        floor = b
+    if floor is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def top(batches):
+        for batch in batches:
+            for keys, c, gain in zip(*(batch.column(x).to_pylist() for x in ("keys", "c", "gain")), strict=True):
+                mine = _bin(unsqueeze(c, np.int64)) >= floor
+                yield pa.RecordBatch.from_arrays([pa.array(unsqueeze_keys(keys)[mine].astype(np.int64)), pa.array(unsqueeze(gain, np.int64)[mine])], names=["key", "gain"])
 
-def train(docs: DataFrame, text_col: str, head: int, lexicon_size: int, rounds: int):
-    """Everything scoring needs: restaurants above, the lexicon, what pairs add (pair, c, gain), and the numbers of ends, customers and tokens."""
-    spark = docs.sparkSession
-    prepare(spark)
-    pairs = scratch_table(pair_counts(docs.select(F.col(text_col).cast("binary").alias("text"))).withColumn("t", F.lit(1).cast("long")), "pairs")
-    few = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    d = discount_of(few[0], few[1])
-    tokens = scratch_table(token_counts(pairs), "tokens")
-    lex, floor = known_tokens(tokens, head, lexicon_size)
-    held = spark.sparkContext.broadcast(lex)
-    trained = fit(pairs, tokens, held, floor, d)
-    for k in range(rounds):
-        after = scratch_table(seated(pairs, trained, held, k + 1), "pairs")
-        tables = scratch_table(token_counts(after), "tokens")
-        drop_scratch(pairs, tokens)
-        pairs, tokens = after, tables
-        trained = fit(pairs, tokens, held, floor, d)
-    gain = F.log10(1 + (F.col("c") - F.lit(d) * F.col("t")) / (F.col("weight") * F.col("parent")))
-    gains = scratch_table(_with_parents(pairs, trained, held).select("pair", "c", gain.alias("gain")), "gains")
-    drop_scratch(pairs)
-    total, distinct, ends = tokens.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("token") == F.lit(END), F.col("c")))).first()
-    return trained, held, gains, ends or 0, total or 0, distinct or 0
-
-
-def frequent_pairs(gains: DataFrame, lex: Lexicon, most: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Codes (previous index * (none + 1) + index, sorted) and gains of the most frequent pairs inside the lexicon, and all pairs that aren't there."""
-    short = F.octet_length("pair") <= 2 * _LONGEST + 1
-    bins = sorted(((r["bin"], r["n"]) for r in gains.filter(short).groupBy(_bin(F.col("c")).alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    floor = _least(bins, most)
-    if floor == math.inf:
-        return np.zeros(0, np.int64), np.zeros(0), gains
-    top = gains.filter(short & (_bin(F.col("c")) >= F.lit(float(floor)))).select("pair", "gain").toArrow()
-    names = top["pair"].to_pylist()
-    _, _, iu, iw, _, _ = _ends_of(lex, names)
-    inside = (iu >= 0) & (iw >= 0)
-    codes, gain = (iu * (lex.none + 1) + iw)[inside], top["gain"].to_numpy()[inside]
-    order = np.argsort(codes)
-    # pairs with a token beyond the lexicon stay in the joined table
-    away = [names[i] for i in np.flatnonzero(~inside).tolist()]
-    rest = gains.filter(~short | (_bin(F.col("c")) < F.lit(float(floor))))
-    if away:
-        rest = rest.union(gains.join(F.broadcast(gains.sparkSession.createDataFrame([(x,) for x in away], "pair binary")), "pair", "left_semi"))
-    return codes[order], gain[order], rest
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on: DataFrame | None = None, head: int = 512, lexicon_size: int = 1 << 18, pairs_size: int = 1 << 19, rounds: int = 1) -> DataFrame:
+    rows = model.gains(least=2).mapInArrow(top, "key long, gain long").filter("key >= 0").toArrow()
+    keys = rows["key"].to_numpy().astype(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["gain"].to_numpy()[order]
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on: DataFrame | None = None, lexicon_size: int = 1 << 19, pairs_size: int = 1 << 19, bucket_bytes: int = 12 << 20, burn_in: int = 1, sweeps: int = 2) -> DataFrame:
     """One row per row of `docs`: id_col, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     `train_on` are the rows to learn from (default: all of `docs`).
     """
     spark = docs.sparkSession
-    trained, held, gains, ends, total, distinct = train(docs if train_on is None else train_on, text_col, head, lexicon_size, rounds)
-    lex: Lexicon = held.value
-    norm = total + distinct + 1
-    codes, gain, rare = frequent_pairs(gains, lex, pairs_size)
-    tools = spark.sparkContext.broadcast((trained.dish, trained.logs + trained.spare, np.log10((lex.counts + 1) / norm), codes, gain))
-    end_base, end_known = math.log10((ends + 1) / norm), int(ends > 0)
-    curves, d, strength = spark.sparkContext.broadcast(trained.curves), trained.d, trained.strength
-    nothing_seen = F.lit(None).cast("long")
-    rest = trained.rest.withColumn("gain", F.lit(None).cast("double")).union(rare.select("pair", nothing_seen, nothing_seen, nothing_seen, "gain"))
-
-    def fn(batches):
-        lexicon: Lexicon = held.value
-        dish, logs, base, codes, gain = tools.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, sums, away = batch.column(0).to_pylist(), [], [[], [], [], []]
-            for row, raw in zip(rows, binary_values(batch.column(2)), strict=True):
-                words = split_tokens(raw or b"")
-                at, dishes, others = lexicon.read(words)
-                known = at[at >= 0]
-                context = np.concatenate(([lexicon.end], dishes))
-                value = dish[context, np.append(dishes, lexicon.end)].sum() + logs[known].sum() + logs[lexicon.none]
-                before, after = np.concatenate(([lexicon.none], at)), np.append(at, lexicon.none)
-                code = np.where((before >= 0) & (after >= 0), before * (lexicon.none + 1) + after, -1)
-                place = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-                hit = codes[place] == code if len(codes) else np.zeros(len(code), bool)
-                value += gain[place[hit]].sum()
-                sums.append((len(words) + 1, len(known) + end_known, base[known].sum() + end_base, value))
-                for token, tf in Counter(others).items():
-                    for column, v in zip(away, (row, token, tf, token[-1] & (CLASSES - 1)), strict=True):
-                        column.append(v)
-                # of other pairs, one row a text; a pair has no class
-                for pair, tf in Counter((words[i - 1] if i else b"") + b" " + (words[i] if i < len(words) else b"") for i in np.flatnonzero(~hit).tolist()).items():
-                    for column, v in zip(away, (row, pair, tf, -1), strict=True):
-                        column.append(v)
-                if len(away[0]) > 100_000:
-                    yield out(None, None, None, away)
-                    away = [[], [], [], []]
-            yield out(batch.column(0), batch.column(1), sums, away)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    id_arrow = to_arrow_type(docs.schema[id_col].dataType)
-
-    def out(rows, ids, sums, away):
-        n, m = 0 if rows is None else len(rows), len(away[0])
-        nothing = [None] * m
-        columns = list(zip(*sums, strict=True)) if n else [(), (), (), ()]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array((rows.to_pylist() if n else []) + away[0], pa.int64()),
-                pa.array((ids.to_pylist() if n else []) + nothing, id_arrow),
-                *(pa.array([*c, *([0] * m)], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)),
-                # a token no word can be, another for each row, so that these rows spread over the join
-                pa.array([b"  %d" % r for r in (rows.to_pylist() if n else [])] + away[1], pa.binary()),
-                pa.array([0] * n + away[2], pa.int64()),
-                pa.array([0] * n + away[3], pa.int32()),
-                pa.array([True] * n + [False] * m, pa.bool_()),
-            ],
-            names=["row", "id", "n_tokens", "n_known", "base", "value", "token", "tf", "k", "whole"],
-        )
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    parts = numbered.mapInArrow(fn, f"row long, id {kind}, n_tokens long, n_known long, base double, value double, token binary, tf long, k int, whole boolean")
-    joined = parts.join(rest, "token", "left").drop("token")
-
-    def add(batches):
+    prepare(spark)
+    model = Model((docs if train_on is None else train_on).select(F.col(text_col).cast("binary").alias("text")), lexicon_size, bucket_bytes, burn_in, sweeps)
+    lexicon, none, buckets, strength, d = model.lexicon, model.none, model.buckets, model.strength, model.d
+    norm = model.n_tokens + model.n_distinct + 1
+    top = frequent_pairs(model, pairs_size)
+    # of every token of the lexicon and the end: its probability in the parent, and its restaurant's share that goes there
+    plain = np.log10(model.parents) + np.log10((strength + d * model.tables) / (strength + model.c))
+    tools = spark.sparkContext.broadcast((np.round(plain * _STEP).astype(np.int64), np.log10((model.c + 1) / norm), *top))
+    end_known, unknown, means = int(model.c[-1] > 0), int(round(np.log10(model.p_unknown) * _STEP)), model.means
+    id_type = docs.schema[id_col].dataType
+    # kinds of rows: a text with its sums; keys of pairs, or of tokens, that texts of a chunk ask a bucket for; answers
+    shape = {"chunk": pa.int64(), "bucket": pa.int32(), "kind": pa.int32(), "seq": pa.int32(), "id": to_arrow_type(id_type), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "value": pa.int64(), "keys": pa.binary(), "texts": pa.binary(), "tf": pa.binary()}
+    kinds = ", ".join(f"{x} {id_type.simpleString() if x == 'id' else 'binary' if t == pa.binary() else 'double' if t == pa.float64() else 'long' if t == pa.int64() else 'int'}" for x, t in shape.items())
+    nothing = (None, 0, 0, 0.0, 0)
+
+    def ask(batches):
+        reader, edge = Reader(lexicon.value), np.array([none], np.uint64)
+        tokens, base, top_keys, top_gains = tools.value
+        first, number = TaskContext.get().partitionId() << 32, 0
+        asked: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
+        rows, seq, pending = [], 0, 0
+
+        def out():
+            nonlocal asked, rows, seq, pending, number
+            for kind, parts in enumerate(asked, 1):
+                if parts:
+                    keys, texts, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.argsort(keys, kind="stable")
+                    keys, texts, tf = keys[order], texts[order], tf[order]
+                    rows += [(first + number, b, kind, 0, *nothing, squeeze_keys(keys[at]), squeeze(texts[at]), squeeze(tf[at])) for b, at in dealt(keys, buckets)]
+            made = batch_of(shape, rows)
+            asked, rows, seq, pending, number = [[], []], [], 0, 0, number + 1
+            return made
+
         for batch in batches:
-            if not batch.num_rows:
+            for i, raw in enumerate(binary_values(batch.column(1))):
+                ids = reader(split_tokens(raw or b""))
+                far = (ids & _FAR) > 0
+                near = ids[~far].astype(np.int64)
+                keys, tf = np.unique(pair_keys(np.concatenate((edge, ids)), np.concatenate((ids, edge)), none)[0], return_counts=True)
+                at, hit = looked_up(top_keys, keys)
+                value = int(tokens[near].sum() + tokens[none] + (top_gains[at[hit]] * tf[hit]).sum())
+                rows.append((first + number, seq % buckets, 0, seq, batch.column(0)[i].as_py(), len(ids) + 1, len(near) + end_known, float(base[near].sum() + base[none]), value, b"", b"", b""))
+                away, away_tf = np.unique(ids[far] & ~_FAR, return_counts=True)
+                for parts, k, n in ((asked[0], keys[~hit], tf[~hit]), (asked[1], away, away_tf)):
+                    if len(k):
+                        parts.append((k, np.full(len(k), seq, np.uint32), n.astype(np.uint32)))
+                        pending += len(k)
+                seq += 1
+                if pending > 700_000 or seq > 20_000:
+                    yield out()
+        yield out()
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        """Texts' rows as they are; for asked keys the sums by text."""
+        rows, known = [], {}
+        for row in asked.to_pylist():
+            if not row["kind"]:
+                rows.append(tuple(row.values()))
                 continue
-            c, followers, customers, gained = (np.nan_to_num(batch.column(x).to_numpy(zero_copy_only=False).astype(np.float64)) for x in ("c", "followers", "customers", "gain"))
-            tf, k = batch.column("tf").to_numpy().astype(np.float64), batch.column("k").to_numpy()
-            value = batch.column("value").to_numpy() + tf * gained
-            words = (k >= 0) & (tf > 0)
-            for x in np.unique(k[words]).tolist():
-                mine = (k == x) & words
-                value[mine] += tf[mine] * (token_log(curves.value[x], customers[mine]) + spread(c[mine], followers[mine], d, strength))
-            base = batch.column("base").to_numpy() + np.where(words, tf * np.log10((c + 1) / norm), 0.0)
-            known = batch.column("n_known").to_numpy() + np.where(c > 0, tf, 0).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("n_tokens"), pa.array(known), pa.array(base), pa.array(value)], names=["row", "id", "n_tokens", "n_known", "base", "value"])
-
-    columns = joined.select("row", "id", "n_tokens", "n_known", "base", "value", "tf", "k", "c", "followers", "customers", "gain")
-    summed = columns.mapInArrow(add, f"row long, id {kind}, n_tokens long, n_known long, base double, value double").groupBy("row").agg(F.max("id").alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("value").alias("score"))
-    return summed.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
-
-
-def token_log(curve: tuple[np.ndarray, np.ndarray], counts: np.ndarray) -> np.ndarray:
-    at, p = curve
-    return np.log10(np.interp(counts, at, p) * np.where(counts > at[-1], np.maximum(counts, 1) / max(at[-1], 1.0), 1.0))
-
+            if row["kind"] not in known:
+                known[row["kind"]] = _answers(table, row["kind"])
+            keys, values, c = known[row["kind"]]
+            texts, tf = unsqueeze(row["texts"], np.uint32), unsqueeze(row["tf"], np.uint32).astype(np.int64)
+            at, there = looked_up(keys, unsqueeze_keys(row["keys"]))
+            if row["kind"] == 1:  # pairs never seen add nothing
+                texts, sums = summed(texts[there], values[at[there]] * tf[there])
+                bases = seen = np.zeros(0, np.int64)
+            else:
+                value = np.where(there, values[at] if len(keys) else 0, unknown) * tf
+                base = np.log10((np.where(there, c[at] if len(keys) else 0, 0) + 1) / norm) * tf
+                texts, sums, bases, seen = summed(texts, value, base, np.where(there, tf, 0))
+            if len(texts):
+                rows.append((row["chunk"], 0, row["kind"], 0, *nothing, squeeze(texts), squeeze(sums), squeeze(bases.astype(np.float64)) if row["kind"] == 2 else b""))
+                if row["kind"] == 2:
+                    rows.append((row["chunk"], 0, 3, 0, *nothing, squeeze(texts), squeeze(seen), b""))
+        return pa.Table.from_batches([batch_of(shape, rows)])
+
+    def _answers(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if kind == 1:
+            keys, values = (np.concatenate([f(x) for x in table[c].to_pylist() if x] or [f(b"")]) for c, f in (("pair_keys", unsqueeze_keys), ("gain", lambda x: unsqueeze(x, np.int64))))
+            order = np.argsort(keys)
+            return keys[order], values[order], values[:0]
+        for row in table.select(list(TOKENS)).to_pylist():
+            if row["keys"]:
+                x = _token_row(row)
+                tables, p = means(x)
+                return x["keys"], np.round((np.log10(p) + np.log10((strength + d * tables) / (strength + x["c"]))) * _STEP).astype(np.int64), x["c"]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    results = {"id": shape["id"], "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "value": pa.int64()}
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        texts = sorted((r for r in rows if not r["kind"]), key=lambda r: r["seq"])
+        known, value, base = np.array([r["n_known"] for r in texts], np.int64), np.array([r["value"] for r in texts], np.int64), np.array([r["base"] for r in texts])
+        for r in sorted((r for r in rows if r["kind"]), key=lambda r: (r["kind"], r["keys"], r["texts"])):
+            at = unsqueeze(r["keys"], np.uint32).astype(np.int64)
+            if r["kind"] == 3:
+                known[at] += unsqueeze(r["texts"], np.int64)
+            else:
+                value[at] += unsqueeze(r["texts"], np.int64)
+                if r["kind"] == 2:
+                    base[at] += unsqueeze(r["tf"], np.float64)
+        return pa.table({"id": pa.array([r["id"] for r in texts], shape["id"]), "n_tokens": pa.array([r["n_tokens"] for r in texts], pa.int64()), "n_known": pa.array(known), "base": pa.array(base), "value": pa.array(value)}, schema=pa.schema(list(results.items())))
+
+    requests = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(ask, kinds)
+    empty = F.lit(None).cast("binary")
+    held = [x for x in TOKENS if x != "bucket"]
+    tables = model.gains().select("bucket", *[empty.alias(x) for x in held], F.col("keys").alias("pair_keys"), "gain").union(model.tokens.select("bucket", *held, empty.alias("pair_keys"), empty.alias("gain")))
+    answers = requests.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(answer, kinds)
+    found = answers.groupBy("chunk").applyInArrow(finish, f"id {id_type.simpleString()}, n_tokens long, n_known long, base double, value long")
+    score = F.col("value") / float(_STEP)
+    model.drop()
+    return found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+
+
+def brute_counts(texts: list[bytes | None]) -> Counter:
+    """Pairs of tokens with their counts, for tests; the beginning and the end are empty."""
+    out: Counter = Counter()
+    for raw in texts:
+        words = split_tokens(raw or b"")
+        out.update(zip([b"", *words], [*words, b""], strict=True))
+    return out

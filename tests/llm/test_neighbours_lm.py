@@ -75,7 +75,7 @@ def test_lm_query(spark, sf):
 def test_lm_odd_texts(spark, docs_of):
     texts = [(1, "a b a c"), (2, None), (3, ""), (4, "A b\x0bzzz " + "q" * 300), (5, "a " * 30_000), (5, "a " * 30_000), (6, "é É"), (7, "new words only")]
     docs = docs_of(texts)
-    for options in ({}, {"head": 1, "lexicon_size": 2}):
+    for options in ({}, {"lexicon_size": 2}, {"lexicon_size": 0, "pairs_size": 0, "bucket_bytes": 50_000}):
         rows = LM.score_texts(docs, train_on=docs.filter("doc_id <> 7"), **options).collect()
         check_base(rows, texts, lambda i: i == 7)
     assert LM.score_texts(docs.limit(0)).count() == 0
@@ -83,55 +83,144 @@ def test_lm_odd_texts(spark, docs_of):
     assert unseen["n_known"] == 0 and unseen["train_tokens"] == 0 and unseen["score"] < 0
 
 
-def test_probabilities_sum_to_one():
-    pairs = {0: 5, 1: 2, 34: 3, 35: 1, 70: 4}
-    head = 2
-    size = head + LM.CLASSES + 1
-    m = LM.Model({k: v for k, v in pairs.items() if k < size * size}, size, head, {3: {1: 4, 2: 2}}, {3: 8})
-    assert np.allclose((10**m.dish).sum(axis=1), 1)
-    at, p = m.by_class[3]
-    assert math.isclose(4 * p[1] + 2 * p[2] + p[0], 1, rel_tol=1e-9)  # four tokens seen once, two seen twice, one unknown
-
-
-def test_seating_has_the_right_mean():
-    rng = np.random.default_rng(0)
-    d, theta, c = 0.5, 1.0, 40
-    tables = LM.seat(rng, np.full(4000, c), np.full(4000, 0.3), d)
-    alike = LM.seat_alike(rng, {c: 4000}, 0.3, d)[c]
-    assert abs(tables.mean() - alike) < 0.05 * alike and 1 < alike < c and theta
-
-
 def test_lm_keeps_every_context(spark, docs_of):
     rare = [f"u{i}x" for i in range(60)]
     follows = {u: f"w{i}z" for i, u in enumerate(rare)}
     learn = docs_of([(i, f"{u} {follows[u]}") for i, u in enumerate(rare)] * 3)
     asked = docs_of([(1, f"{rare[3]} {follows[rare[3]]}"), (2, f"{rare[3]} {follows[rare[4]]}"), (3, f"{rare[4]} {follows[rare[4]]}")])
-    for options in ({"head": 2}, {"head": 2, "lexicon_size": 2, "pairs_size": 2}, {"head": 2, "pairs_size": 0}):
+    for options in ({}, {"lexicon_size": 2, "pairs_size": 2}, {"pairs_size": 0}):
         got = {r["doc_id"]: r["score"] for r in LM.score_texts(asked, train_on=learn, **options).collect()}
         assert got[1] > got[2] + 0.5 and got[3] > got[2] + 0.5, options
 
 
 def test_lm_contexts_sum_to_one(spark, docs_of):
-    learn = docs_of(list(enumerate(["a b", "a b", "a cc", "b dd a", "", "dd", "a b a b a b"])))
-    trained, held, gains, *_ = LM.train(learn, "text", 1, 100, 1)
-    lex, known = held.value, {bytes(r["pair"]): r["gain"] for r in gains.collect()}
-    for u, i in lex.index.items():
-        parent = {w: 10 ** (trained.dish[lex.dishes[i], lex.dishes[j]] + trained.logs[j]) for w, j in lex.index.items()}
-        parent[b""] = 10 ** trained.dish[lex.dishes[i], lex.end]
-        unknown = sum(10 ** trained.dish[lex.dishes[i], lex.head + k] * trained.curves[k][1][0] for k in range(LM.CLASSES))
-        total = sum(p * 10 ** known.get(u + b" " + w, 0.0) for w, p in parent.items()) + unknown
-        assert math.isclose(total * 10 ** trained.spare[i], 1, rel_tol=1e-6), u
-
-
-def test_pairs_are_seated_alike():
-    rng = np.random.default_rng(0)
-    for c in (2, 40, 500):
-        tables = LM.seat_pairs(rng.integers(-(2**62), 2**62, 4000), np.full(4000, c), np.full(4000, 0.3), 0.5, 1)
-        assert abs(tables.mean() - LM.seat(rng, np.full(4000, c), np.full(4000, 0.3), 0.5).mean()) < 0.05 * tables.mean()
+    texts = ["a b", "a b", "a cc", "b dd a", "", "dd", "a b a b a b"]
+    learn = docs_of(list(enumerate(texts)))
+    words = sorted({w for t in texts for w in t.split()})
+    for options in ({}, {"lexicon_size": 1, "pairs_size": 1}):
+        # p(w | u) by differences: a text "u w" without its end, over "u" without its end
+        for u in ["", "a", "cc", "never"]:
+            asked = [(i, f"{u} {w}".strip()) for i, w in enumerate([*words, "unknown"])]
+            model = LM.Model(learn.selectExpr("cast(text AS binary) AS text"), options.get("lexicon_size", 100), 12 << 20, 1, 2)
+            p = conditional(model, u.encode(), [w.encode() for w in words])
+            assert math.isclose(sum(p.values()), 1, rel_tol=1e-6) and len(asked) == len(words) + 1, (options, u)
+
+
+def conditional(model, u, words):
+    """p(w | u) of every word, the end and one unknown word, from the model's tables."""
+    tokens, gains = {}, {}
+    for row in model.tokens.collect():
+        x = LM._token_row(row.asDict())
+        tables, p = model.means(x)
+        tokens.update({k: (t, q, c) for k, t, q, c in zip(x["keys"].tolist(), tables.tolist(), p.tolist(), x["c"].tolist(), strict=True)})
+    for row in model.gains().collect():
+        gains.update(zip(LM.unsqueeze_keys(row["keys"]).tolist(), (LM.unsqueeze(row["gain"], np.int64) / LM._STEP).tolist(), strict=True))
+    read, edge = LM.Reader(model.lexicon.value), np.array([model.none], np.uint64)
+    left = read([u]) if u else edge
+    tables, _, c = tokens.get(LM.token_hash(u) if u else LM.END, (0, 0, 0))
+    share = (model.strength + model.d * tables) / (model.strength + c)
+    out = {None: share * model.p_unknown}
+    for w in [*words, b""]:
+        key = LM.pair_keys(left, read([w]) if w else edge, model.none)[0].tolist()[0]
+        out[w] = share * tokens[LM.token_hash(w) if w else LM.END][1] * 10 ** gains.get(key, 0.0)
+    return out
+
+
+def gibbs(texts, d2, d1, theta=1.0, sweeps=400, burn_in=100, seed=0):
+    """p(w | u) of the pairs seen, by Gibbs sampling one customer after the other with explicit tables."""
+    import random
+
+    rng = random.Random(seed)
+    counts = LM.brute_counts([t.encode() for t in texts])
+    words = {w for _, w in counts}
+    base = 1 / (len(words) + 1)
+    under, above = {k: [] for k in counts}, {w: [] for w in words}  # sizes of tables
+    total_u, total_1 = collections.Counter(), collections.Counter()
+
+    def p1(w):
+        n, t = sum(sum(x) for x in above.values()), sum(map(len, above.values()))
+        return (sum(above[w]) - d1 * len(above[w]) + (theta + d1 * t) * base) / (theta + n)
+
+    def choose(sizes, d, new):
+        weights = [max(x - d, 0.0) for x in sizes] + [new]
+        return rng.choices(range(len(weights)), weights)[0]
+
+    def add_above(w):
+        i = choose(above[w], d1, (theta + d1 * sum(map(len, above.values()))) * base)
+        above[w][i:] = [above[w][i] + 1, *above[w][i + 1 :]] if i < len(above[w]) else [1]
+
+    def add(u, w):
+        own = under[u, w]
+        i = choose(own, d2, (theta + d2 * total_u[u]) * p1(w))
+        if i < len(own):
+            own[i] += 1
+        else:
+            own.append(1)
+            total_u[u] += 1
+            add_above(w)
+
+    def leave(sizes):
+        i = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            del sizes[i]
+            return True
+        return False
+
+    for (u, w), c in counts.items():
+        for _ in range(c):
+            add(u, w)
+    mean = collections.Counter()
+    context = collections.Counter()
+    for (u, _), c in counts.items():
+        context[u] += c
+    for sweep in range(burn_in + sweeps):
+        for (u, w), c in counts.items():
+            for _ in range(c):
+                if leave(under[u, w]):
+                    total_u[u] -= 1
+                    leave(above[w])
+                add(u, w)
+        if sweep >= burn_in:
+            for u, w in counts:
+                mean[u, w] += (counts[u, w] - d2 * len(under[u, w]) + (theta + d2 * total_u[u]) * p1(w)) / (theta + context[u]) / sweeps
+    assert total_1 == collections.Counter()
+    return mean
+
+
+def test_lm_against_brute_force_gibbs(spark, docs_of):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(12)]
+    texts = [" ".join(vocabulary[min(11, int(x))] for x in rng.exponential(3, 14)) for _ in range(12)]
+    model = LM.Model(docs_of(list(enumerate(texts))).selectExpr("cast(text AS binary) AS text"), 6, 12 << 20, 3, 12)
+    want = gibbs(texts, model.d, model.level.d)
+    words = sorted({w for _, w in want if w})
+    got, runs = {}, gibbs(texts, model.d, model.level.d, seed=1)
+    for u in sorted({u for u, _ in want}):
+        got.update({(u, w): p for w, p in conditional(model, u, words).items()})
+    spread = max(abs(math.log(want[k] / runs[k])) for k in want)
+    off = [math.log(got[k] / want[k]) for k in want]
+    assert abs(sum(off) / len(off)) < 0.02 and max(map(abs, off)) < 0.12 + spread
+
+
+def test_seating_does_not_depend_on_the_dealing():
+    keys = np.arange(1000, dtype=np.uint64) * np.uint64(7919)
+    counts, weight = np.arange(1000) % 300 + 1, np.full(1000, 0.4)
+    whole = LM.seat(keys, counts, weight, 0.5, 3)
+    parts = np.concatenate([LM.seat(keys[i : i + 77], counts[i : i + 77], weight[i : i + 77], 0.5, 3) for i in range(0, 1000, 77)])
+    assert (whole == parts).all() and (whole >= 1).all() and (whole <= counts).all()
+
+
+def test_arrays_are_packed_and_read_back():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64) | np.uint64(1 << 63))
+    assert (LM.unsqueeze_keys(LM.squeeze_keys(keys)) == keys).all() and len(LM.unsqueeze(b"", np.int64)) == 0
+    found = np.concatenate([at for _, at in LM.dealt(keys, 7)])
+    assert sorted(found.tolist()) == list(range(len(keys)))
 
 
 def test_discount_is_not_clipped():
-    assert LM.discount_of(30_000_000, 15_000_000) == 0.5
+    assert LM.discount_of(30_000_000, 15_000_000) == 0.5 and LM.discount_of(300_000_000, 50_000_000) == 0.75
 
 
 def test_repeated_vectors(spark):
