@@ -14,7 +14,7 @@ Tables: tokens are 63-bit hashes; the `lexicon_size` most frequent ones are broa
 of keys, packed by differences, one set for each of a number of buckets that follows the texts' bytes (`bucket_bytes`), so no key gathers more rows than there are tasks.
 Who needs values of another bucket's keys (pairs of tokens beyond the lexicon; texts of pairs beyond a broadcast table of the `pairs_size` most frequent
 ones) sends the keys there and has the values back. A text's score is a sum: what its tokens have without their pairs, and what every pair seen in
-training adds, in steps of 2^-24, so that it doesn't depend on the order of summing.
+training adds, in steps of 2^-20, so that it doesn't depend on the order of summing.
 
 Defined results: null text is empty and has the end only; repeated rows are scored row by row; a row with a null id is
 training data; without training rows every token is unknown. Tokens that tie at the lexicon's least count stay outside together, as do pairs; they are looked
@@ -41,7 +41,7 @@ from .common import binary_values, drop_scratch, prepare, scratch_table, split_t
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FAR = np.uint64(1 << 63)  # marks ids that are hashes
 END = (1 << 63) - 1  # key of the end, which no word's hash is given
-_STEP = 1 << 24
+_STEP = 1 << 20
 #: Bytes of words a worker remembers, and the longest word among them.
 _KEPT_BYTES, _LONGEST = 4 << 20, 64
 
@@ -86,21 +86,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and how often each occurs."""
+    keys = np.sort(keys)
+    starts = _starts(keys)
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
 def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct sorted keys, and the sums of columns by key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    starts = _starts(keys)
     return keys[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c[:0] for c in columns)
 
 
-def dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its keys, in order)."""
-    home = (mixed(keys + _B) % np.uint64(buckets)).astype(np.int64)
+def dealt(keys: np.ndarray, buckets: int, near: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys, in order). Keys up to `near`, places in the lexicon, are dealt in stretches."""
+    home = mixed(keys + _B) % np.uint64(buckets)
+    if near:
+        home = np.where(keys <= near, np.minimum(keys, np.uint64(near)) * np.uint64(buckets) // np.uint64(near + 1), home)
+    if not len(keys):
+        return
+    home = home.astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(home, kind="stable")
-    ends = np.flatnonzero(np.diff(home[order], append=-1)) + 1
+    home = home[order].astype(np.int64)
+    ends = np.flatnonzero(np.diff(home, append=-1)) + 1
     for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        yield int(home[order[a]]), order[a:b]
+        yield int(home[a]), order[a:b]
 
 
 def looked_up(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +214,8 @@ def count_tokens(texts: DataFrame, buckets: int, flush: int = 1_000_000) -> Data
 
         def gather():
             nonlocal parts, sums, pending
-            keys = np.concatenate([sums[0], *parts])
-            sums = list(summed(keys, np.concatenate([sums[1], np.ones(len(keys) - len(sums[0]), np.int64)])))
+            new = counted(np.concatenate(parts)) if parts else (sums[0][:0], sums[1][:0])
+            sums = list(summed(*(np.concatenate(x) for x in zip(sums, new, strict=True)))) if len(sums[0]) else list(new)
             parts, pending = [], 0
 
         def out():
@@ -244,10 +261,12 @@ def count_pairs(texts: DataFrame, lexicon, buckets: int, flush: int = 1_500_000)
             every = np.concatenate([x for part in ids for x in (edge, part)] + [edge]) if ids else np.zeros(0, np.uint64)
             u, w = every[:-1], every[1:]
             keys, far = pair_keys(u, w, none)
-            new = [(keys[x], u[x], w[x], np.ones(int(x.sum()), np.int64)) for x in (~far, far)]
+            near, c = counted(keys[~far])
+            far_pairs = keys[far], u[far], w[far], np.ones(int(far.sum()), np.int64)
             if held is not None:
-                new = [tuple(np.concatenate(x) for x in zip(a, b, strict=True)) for a, b in zip(held, new, strict=True)]
-            held = [_distinct(*x) for x in new]
+                near, c = summed(np.concatenate([held[0][0], near]), np.concatenate([held[0][3], c]))
+                far_pairs = tuple(np.concatenate(x) for x in zip(held[1], far_pairs, strict=True))
+            held = [(near, near, near, c), _distinct(*far_pairs)]
             ids, pending = [], 0
 
         def out():
@@ -272,7 +291,7 @@ def count_pairs(texts: DataFrame, lexicon, buckets: int, flush: int = 1_500_000)
         yield out()
 
     def merge(table: pa.Table) -> pa.Table:
-        none, rows = len(lexicon.value), []
+        rows = []
         bucket = table["bucket"][0].as_py()
         columns = [table[x].to_pylist() for x in ("keys", "u", "w", "c")]
         for f in (0, 1):
@@ -280,8 +299,8 @@ def count_pairs(texts: DataFrame, lexicon, buckets: int, flush: int = 1_500_000)
             if not mine:
                 continue
             keys, c = np.concatenate([unsqueeze_keys(columns[0][i]) for i in mine]), np.concatenate([unsqueeze(columns[3][i], np.int64) for i in mine])
-            u, w = (np.concatenate([unsqueeze(columns[x][i], np.uint64) for i in mine]) for x in (1, 2)) if f else (keys // np.uint64(none + 1), keys % np.uint64(none + 1))
-            keys, u, w, c = _distinct(keys, u, w, c)
+            u, w = (np.concatenate([unsqueeze(columns[x][i], np.uint64) for i in mine]) for x in (1, 2)) if f else (keys, keys)
+            keys, u, w, c = _distinct(keys, u, w, c) if f else (*(x := summed(keys, c))[:1], x[0], x[0], x[1])
             for more in (0, 1):
                 at = (c > 1) == bool(more)
                 if at.any():
@@ -292,9 +311,9 @@ def count_pairs(texts: DataFrame, lexicon, buckets: int, flush: int = 1_500_000)
 
 
 def _distinct(keys, u, w, c):
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    starts = _starts(keys)
     return keys[starts], u[order][starts], w[order][starts], np.add.reduceat(c[order], starts) if len(starts) else c[:0]
 
 
@@ -402,7 +421,7 @@ class Model:
 
     def _token_sums(self, pairs: DataFrame) -> DataFrame:
         """(bucket, keys, t, c) of tokens' buckets: tables in a token's restaurant, tables that serve it."""
-        lexicon, none, buckets = self.lexicon, self.none, self.buckets
+        none, buckets = self.none, self.buckets
         shape = {"bucket": pa.int32(), "keys": pa.binary(), "t": pa.binary(), "c": pa.binary()}
 
         def run(batches):
@@ -410,23 +429,36 @@ class Model:
                 for row in batch.to_pylist():
                     p = Pairs(row, none)
                     nothing = np.zeros(len(p.t), np.int64)
-                    keys, t, c = summed(token_keys(np.concatenate([p.u, p.w]), lexicon.value), np.concatenate([p.t, nothing]), np.concatenate([nothing, p.t]))
-                    yield batch_of(shape, [(b, squeeze_keys(keys[at]), squeeze(t[at]), squeeze(c[at])) for b, at in dealt(keys, buckets)])
+                    keys, t, c = summed(np.concatenate([p.u, p.w]), np.concatenate([p.t, nothing]), np.concatenate([nothing, p.t]))
+                    yield batch_of(shape, [(b, squeeze_keys(keys[at]), squeeze(t[at]), squeeze(c[at])) for b, at in dealt(keys, buckets, none)])
 
         return pairs.mapInArrow(run, spark_schema(shape))
 
     def _fixed(self) -> DataFrame:
-        """TOKENS rows with what pairs counted once give."""
+        """TOKENS rows with what pairs counted once give, by id."""
+        lexicon, none, buckets = self.lexicon, self.none, self.buckets
+        shape = {"bucket": pa.int32(), "keys": pa.binary(), "c": pa.binary()}
+
+        def named(batches):
+            for batch in batches:
+                for raw, counts in zip(batch.column("keys").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                    keys, c = unsqueeze_keys(raw), unsqueeze(counts, np.int64)
+                    at, inside = looked_up(lexicon.value, keys)
+                    keys = np.where(keys == np.uint64(END), np.uint64(none), np.where(inside, at.astype(np.uint64), keys | _FAR))
+                    order = np.argsort(keys)
+                    keys, c = keys[order], c[order]
+                    yield batch_of(shape, [(b, squeeze_keys(keys[x]), squeeze(c[x])) for b, x in dealt(keys, buckets, none)])
 
         def run(table: pa.Table, sums: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return pa.Table.from_batches([batch_of(TOKENS, [])])
-            keys = unsqueeze_keys(table["keys"][0].as_py())
+            keys, count = summed(np.concatenate([unsqueeze_keys(x) for x in table["keys"].to_pylist()]), np.concatenate([unsqueeze(x, np.int64) for x in table["c"].to_pylist()]))
             t, c = _sums_at(keys, sums)
-            zero, none = np.zeros(len(keys), np.int64), np.zeros(len(keys))
-            return pa.Table.from_batches([batch_of(TOKENS, [(table["bucket"][0].as_py(), table["keys"][0].as_py(), table["c"][0].as_py(), *map(squeeze, (t, c, zero, zero, zero, none, none)))])])
+            zero, nothing = np.zeros(len(keys), np.int64), np.zeros(len(keys))
+            return pa.Table.from_batches([batch_of(TOKENS, [(table["bucket"][0].as_py(), squeeze_keys(keys), *map(squeeze, (count, t, c, zero, zero, zero, nothing, nothing)))])])
 
-        return self.counts.groupBy("bucket").cogroup(self._token_sums(self.pairs.filter("more = 0")).groupBy("bucket")).applyInArrow(run, spark_schema(TOKENS))
+        tokens = self.counts.select("keys", "c").mapInArrow(named, spark_schema(shape))
+        return tokens.groupBy("bucket").cogroup(self._token_sums(self.pairs.filter("more = 0")).groupBy("bucket")).applyInArrow(run, spark_schema(TOKENS))
 
     def _seat_tokens(self, tokens: DataFrame, more: DataFrame, sweep: int) -> DataFrame:
         """TOKENS rows (scratch) with the customers that `more` gives, seated; the sums take up the sweep before if it counted. Then the level's constants and the lexicon's values."""
@@ -450,15 +482,13 @@ class Model:
 
     def _values(self, tokens: DataFrame) -> None:
         """The level's constants, and tables and parent's probabilities of the lexicon and the end."""
-        lexicon = self.lexicon
+        none = self.none
 
         def run(batches):
             for batch in batches:
                 for row in batch.to_pylist():
                     x = _token_row(row)
-                    at, inside = looked_up(lexicon.value, x["keys"])
-                    at = np.where(x["keys"] == np.uint64(END), len(lexicon.value), at)
-                    inside |= x["keys"] == np.uint64(END)
+                    at, inside = x["keys"], x["keys"] <= none
                     few = np.bincount(np.minimum(x["customers"], 3), minlength=4)
                     totals = [x["above"].sum(), x["customers"].sum(), few[1], few[2]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((np.arange(-4, 0), at[inside])).astype(np.int32)), pa.array(np.concatenate((totals, x["tables"][inside])).astype(np.int64)), pa.array(np.concatenate((np.zeros(4), x["customers"][inside])).astype(np.int64)), pa.array(np.concatenate((np.zeros(4), x["above"][inside])).astype(np.int64))], names=["at", "tables", "customers", "above"])
@@ -501,8 +531,8 @@ class Model:
                 for row in batch.to_pylist():
                     p = Pairs(row, none)
                     ids = np.unique(np.concatenate([p.u, p.w]))
-                    keys = np.unique(ids[(ids & _FAR) > 0] & ~_FAR)
-                    yield batch_of(asks, [(b, row["bucket"], squeeze_keys(keys[at])) for b, at in dealt(keys, buckets)])
+                    keys = ids[(ids & _FAR) > 0]
+                    yield batch_of(asks, [(b, row["bucket"], squeeze_keys(keys[at])) for b, at in dealt(keys, buckets, none)])
 
         def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
             rows = []
@@ -528,7 +558,7 @@ class Model:
                     ends = []
                     for ids, broadcast, away in ((x.u, tools.value[0], tables), (x.w, tools.value[1], p)):
                         is_far = (ids & _FAR) > 0
-                        at, _ = looked_up(keys, ids & ~_FAR)
+                        at, _ = looked_up(keys, ids)
                         ends.append(np.where(is_far, away[at], broadcast[np.where(is_far, 0, ids).astype(np.int64)]))
                     rows.append(work(x, *ends))
             return pa.Table.from_batches([batch_of(shape, rows)])
@@ -548,7 +578,7 @@ class Model:
 
     def _finish(self) -> None:
         """Averages of the lexicon: mean tables and probabilities; a last level for tokens' buckets."""
-        level, sweeps, lexicon = self.level, self.sweeps, self.lexicon
+        level, sweeps, none = self.level, self.sweeps, self.none
         # the last sweep isn't in the sums yet
         self.means = lambda x: ((x["sum_tables"] + x["tables"]) / sweeps, (x["sum_p"] + level.p(x["customers"], x["above"])) / sweeps)
         means = self.means
@@ -558,10 +588,7 @@ class Model:
                 for row in batch.to_pylist():
                     x = _token_row(row)
                     tables, p = means(x)
-                    at, inside = looked_up(lexicon.value, x["keys"])
-                    end = x["keys"] == np.uint64(END)
-                    at = np.where(end, len(lexicon.value), at)
-                    inside = inside | end
+                    at, inside = x["keys"], x["keys"] <= none
                     yield pa.RecordBatch.from_arrays([pa.array(at[inside].astype(np.int32)), pa.array(tables[inside]), pa.array(p[inside])], names=["at", "tables", "p"])
 
         # an unknown token's probability hardly changes from sweep to sweep: what is left of one
@@ -580,7 +607,7 @@ class Model:
             self.parents[:] = 0.5
 
     def gains(self, least: int = 1) -> DataFrame:
-        """(bucket, keys, c, gain): what pairs add to a text's score, in steps of 2^-24; only pairs counted `least` times or more, if that is more than once."""
+        """(bucket, keys, c, gain): what pairs add to a text's score, in steps of 2^-20; only pairs counted `least` times or more, if that is more than once."""
         d, strength, sweeps = self.d, self.strength, self.sweeps
         shape = {"bucket": pa.int32(), "keys": pa.binary(), "c": pa.binary(), "gain": pa.binary()}
 
@@ -596,13 +623,6 @@ class Model:
         drop_scratch(self.counts)
 
 
-def token_keys(ids: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """Keys of tokens from their ids."""
-    named = np.append(lexicon, np.uint64(END))
-    far = (ids & _FAR) > 0
-    return np.where(far, ids & ~_FAR, named[np.where(far, 0, ids).astype(np.int64)])
-
-
 def _token_row(row: dict) -> dict[str, np.ndarray]:
     return {"keys": unsqueeze_keys(row["keys"]), **{x: unsqueeze(row[x], np.float64 if x in ("sum_tables", "sum_p") else np.int64) for x in list(TOKENS)[2:]}}
 
@@ -660,7 +680,7 @@ def frequent_pairs(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows["gain"].to_numpy()[order]
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on: DataFrame | None = None, lexicon_size: int = 1 << 19, pairs_size: int = 1 << 19, bucket_bytes: int = 12 << 20, burn_in: int = 1, sweeps: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_on: DataFrame | None = None, lexicon_size: int = 1 << 20, pairs_size: int = 1 << 19, bucket_bytes: int = 12 << 20, burn_in: int = 1, sweeps: int = 2) -> DataFrame:
     """One row per row of `docs`: id_col, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     `train_on` are the rows to learn from (default: all of `docs`).
@@ -677,7 +697,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end_known, unknown, means = int(model.c[-1] > 0), int(round(np.log10(model.p_unknown) * _STEP)), model.means
     id_type = docs.schema[id_col].dataType
     # kinds of rows: a text with its sums; keys of pairs, or of tokens, that texts of a chunk ask a bucket for; answers
-    shape = {"chunk": pa.int64(), "bucket": pa.int32(), "kind": pa.int32(), "seq": pa.int32(), "id": to_arrow_type(id_type), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "value": pa.int64(), "keys": pa.binary(), "texts": pa.binary(), "tf": pa.binary()}
+    shape = {"chunk": pa.int64(), "bucket": pa.int32(), "kind": pa.int32(), "seq": pa.int32(), "id": to_arrow_type(id_type), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "value": pa.int64(), "keys": pa.binary(), "texts": pa.binary()}
     kinds = ", ".join(f"{x} {id_type.simpleString() if x == 'id' else 'binary' if t == pa.binary() else 'double' if t == pa.float64() else 'long' if t == pa.int64() else 'int'}" for x, t in shape.items())
     nothing = (None, 0, 0, 0.0, 0)
 
@@ -685,39 +705,48 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         reader, edge = Reader(lexicon.value), np.array([none], np.uint64)
         tokens, base, top_keys, top_gains = tools.value
         first, number = TaskContext.get().partitionId() << 32, 0
-        asked: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
-        rows, seq, pending = [], 0, 0
+        ids: list[np.ndarray] = []
+        names: list = []
+        pending = 0
 
         def out():
-            nonlocal asked, rows, seq, pending, number
-            for kind, parts in enumerate(asked, 1):
-                if parts:
-                    keys, texts, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    order = np.argsort(keys, kind="stable")
-                    keys, texts, tf = keys[order], texts[order], tf[order]
-                    rows += [(first + number, b, kind, 0, *nothing, squeeze_keys(keys[at]), squeeze(texts[at]), squeeze(tf[at])) for b, at in dealt(keys, buckets)]
-            made = batch_of(shape, rows)
-            asked, rows, seq, pending, number = [[], []], [], 0, 0, number + 1
-            return made
+            nonlocal ids, names, pending, number
+            n, chunk = len(ids), first + number
+            lengths = np.array([len(x) for x in ids], np.int64)
+            every = np.concatenate([x for part in ids for x in (edge, part)] + [edge])
+            # of every pair, and so of every token and end, the text it stands in
+            text = np.repeat(np.arange(n, dtype=np.uint32), lengths + 1)
+            u, w = every[:-1], every[1:]
+            far = (w & _FAR) > 0
+            near = np.where(far, 0, w).astype(np.int64)
+            value = np.bincount(text, np.where(far, 0, tokens[near]), n).astype(np.int64)
+            sums = np.bincount(text, np.where(far, 0.0, base[near]), n)
+            known = np.bincount(text, ~far & (near < none), n).astype(np.int64) + end_known
+            requests = []
+            away, away_text = w[far], text[far]
+            keys, _ = pair_keys(u, w, none)
+            order = np.argsort(keys)
+            keys, text = keys[order], text[order]
+            at, hit = looked_up(top_keys, keys)
+            value += np.bincount(text[hit], top_gains[at[hit]], n).astype(np.int64) if hit.any() else 0
+            requests.append((1, keys[~hit], text[~hit], 0))
+            order = np.argsort(away)
+            requests.append((2, away[order], away_text[order], none))
+            rows = [(chunk, i % buckets, 0, i, name, length + 1, k, x, v, b"", b"") for i, (name, length, k, x, v) in enumerate(zip(names, lengths.tolist(), known.tolist(), sums.tolist(), value.tolist(), strict=True))]
+            for kind, k, t, within in requests:
+                rows += [(chunk, b, kind, 0, *nothing, squeeze_keys(k[x]), squeeze(t[x])) for b, x in dealt(k, buckets, within)]
+            ids, names, pending, number = [], [], 0, number + 1
+            return batch_of(shape, rows)
 
         for batch in batches:
             for i, raw in enumerate(binary_values(batch.column(1))):
-                ids = reader(split_tokens(raw or b""))
-                far = (ids & _FAR) > 0
-                near = ids[~far].astype(np.int64)
-                keys, tf = np.unique(pair_keys(np.concatenate((edge, ids)), np.concatenate((ids, edge)), none)[0], return_counts=True)
-                at, hit = looked_up(top_keys, keys)
-                value = int(tokens[near].sum() + tokens[none] + (top_gains[at[hit]] * tf[hit]).sum())
-                rows.append((first + number, seq % buckets, 0, seq, batch.column(0)[i].as_py(), len(ids) + 1, len(near) + end_known, float(base[near].sum() + base[none]), value, b"", b"", b""))
-                away, away_tf = np.unique(ids[far] & ~_FAR, return_counts=True)
-                for parts, k, n in ((asked[0], keys[~hit], tf[~hit]), (asked[1], away, away_tf)):
-                    if len(k):
-                        parts.append((k, np.full(len(k), seq, np.uint32), n.astype(np.uint32)))
-                        pending += len(k)
-                seq += 1
-                if pending > 700_000 or seq > 20_000:
+                ids.append(reader(split_tokens(raw or b"")))
+                names.append(batch.column(0)[i].as_py())
+                pending += len(ids[-1]) + 1
+                if pending > 1_000_000 or len(ids) > 20_000:
                     yield out()
-        yield out()
+        if ids:
+            yield out()
 
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
         """Texts' rows as they are; for asked keys the sums by text."""
@@ -729,19 +758,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if row["kind"] not in known:
                 known[row["kind"]] = _answers(table, row["kind"])
             keys, values, c = known[row["kind"]]
-            texts, tf = unsqueeze(row["texts"], np.uint32), unsqueeze(row["tf"], np.uint32).astype(np.int64)
+            texts = unsqueeze(row["texts"], np.uint32)
             at, there = looked_up(keys, unsqueeze_keys(row["keys"]))
             if row["kind"] == 1:  # pairs never seen add nothing
-                texts, sums = summed(texts[there], values[at[there]] * tf[there])
-                bases = seen = np.zeros(0, np.int64)
+                texts, sums = summed(texts[there], values[at[there]])
             else:
-                value = np.where(there, values[at] if len(keys) else 0, unknown) * tf
-                base = np.log10((np.where(there, c[at] if len(keys) else 0, 0) + 1) / norm) * tf
-                texts, sums, bases, seen = summed(texts, value, base, np.where(there, tf, 0))
+                value = np.where(there, values[at] if len(keys) else 0, unknown)
+                base = np.log10((np.where(there, c[at] if len(keys) else 0, 0) + 1) / norm)
+                texts, sums, bases, seen = summed(texts, value, base, there.astype(np.int64))
+                if len(texts):
+                    rows += [(row["chunk"], 0, k, 0, *nothing, squeeze(texts), squeeze(x)) for k, x in ((2, bases), (3, seen))]
             if len(texts):
-                rows.append((row["chunk"], 0, row["kind"], 0, *nothing, squeeze(texts), squeeze(sums), squeeze(bases.astype(np.float64)) if row["kind"] == 2 else b""))
-                if row["kind"] == 2:
-                    rows.append((row["chunk"], 0, 3, 0, *nothing, squeeze(texts), squeeze(seen), b""))
+                rows.append((row["chunk"], 0, 1, 0, *nothing, squeeze(texts), squeeze(sums)))
         return pa.Table.from_batches([batch_of(shape, rows)])
 
     def _answers(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -764,12 +792,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known, value, base = np.array([r["n_known"] for r in texts], np.int64), np.array([r["value"] for r in texts], np.int64), np.array([r["base"] for r in texts])
         for r in sorted((r for r in rows if r["kind"]), key=lambda r: (r["kind"], r["keys"], r["texts"])):
             at = unsqueeze(r["keys"], np.uint32).astype(np.int64)
-            if r["kind"] == 3:
-                known[at] += unsqueeze(r["texts"], np.int64)
+            if r["kind"] == 2:
+                base[at] += unsqueeze(r["texts"], np.float64)
             else:
-                value[at] += unsqueeze(r["texts"], np.int64)
-                if r["kind"] == 2:
-                    base[at] += unsqueeze(r["tf"], np.float64)
+                (value if r["kind"] == 1 else known)[at] += unsqueeze(r["texts"], np.int64)
         return pa.table({"id": pa.array([r["id"] for r in texts], shape["id"]), "n_tokens": pa.array([r["n_tokens"] for r in texts], pa.int64()), "n_known": pa.array(known), "base": pa.array(base), "value": pa.array(value)}, schema=pa.schema(list(results.items())))
 
     requests = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(ask, kinds)
