@@ -43,7 +43,7 @@ _FAR = np.uint64(1 << 63)  # marks ids that are hashes
 END = (1 << 63) - 1  # key of the end, which no word's hash is given
 _STEP = 1 << 20
 #: Bytes of words a worker remembers, and the longest word among them.
-_KEPT_BYTES, _LONGEST = 4 << 20, 64
+_KEPT_BYTES, _LONGEST = 1 << 20, 64
 
 
 def held_out(id_col: str = "doc_id"):
@@ -245,7 +245,7 @@ def count_tokens(texts: DataFrame, buckets: int, flush: int = 1_000_000) -> Data
 PAIRS = {"bucket": pa.int32(), "far": pa.int32(), "more": pa.int32(), "keys": pa.binary(), "u": pa.binary(), "w": pa.binary(), "c": pa.binary(), "t": pa.binary(), "total": pa.binary()}
 
 
-def count_pairs(texts: DataFrame, lexicon, buckets: int, flush: int = 1_500_000) -> DataFrame:
+def count_pairs(texts: DataFrame, lexicon, buckets: int, flush: int = 1_000_000) -> DataFrame:
     """PAIRS rows over column `text`: counts of pairs by bucket, those within the lexicon and others (far), those counted once and more apart; one table each."""
     shape = {"bucket": pa.int32(), "keys": pa.binary(), "u": pa.binary(), "w": pa.binary(), "c": pa.binary()}
 
@@ -743,7 +743,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids.append(reader(split_tokens(raw or b"")))
                 names.append(batch.column(0)[i].as_py())
                 pending += len(ids[-1]) + 1
-                if pending > 1_000_000 or len(ids) > 20_000:
+                if pending > 700_000 or len(ids) > 20_000:
                     yield out()
         if ids:
             yield out()
