@@ -355,7 +355,7 @@ class Model:
         spark = texts.sparkSession
         self.spark, self.strength, self.sweeps = spark, strength, sweeps
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.buckets = max(4, -(-size // bucket_bytes))
+        self.buckets = max(16, -(-size // bucket_bytes))
         self.counts = scratch_table(count_tokens(texts, self.buckets), "tokens")
         hashes, counts, self.n_tokens, self.n_distinct = self._lexicon(lexicon_size)
         self.lexicon, self.none, self.c = spark.sparkContext.broadcast(hashes), len(hashes), counts
