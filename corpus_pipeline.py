@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of copies and near copies (five-word shingles, Jaccard 0.8 or more); texts without words are in no group, rows of one id stay or go together."""
-    return keep_first(docs, n=5, threshold="4/5")
+    """Keeps the document with the smallest id of each group of copies and near copies (five-word shingles, Jaccard 0.9 or more); texts without words are in no group, rows of one id stay or go together."""
+    return keep_first(docs, n=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

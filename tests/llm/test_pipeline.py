@@ -16,7 +16,7 @@ def test_against_brute_force(spark, sf):
     known = L.Classifier(L.learn_dictionaries(L.training_rows(frame)))
     docs = {r["doc_id"]: r["text"] for r in frame.collect()}
     docs = {i: t for i, t in docs.items() if (p := known.predict(t))[0] != L.UNKNOWN and p[2] >= 0.0005}
-    docs = {i: docs[i] for i, _, first in components(docs.items(), 5, 80) if i == first}
+    docs = {i: docs[i] for i, _, first in components(docs.items(), 5, 90) if i == first}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = {i: docs[i] for i, *_, bad in hits(docs.items(), items) if not bad}
     docs = {i: S.redact_text(t) for i, t in docs.items()}
