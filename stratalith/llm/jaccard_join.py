@@ -1,8 +1,9 @@
 """Exact near-duplicate components: n-gram Jaccard join by T-occurrence search (DivideSkip) inside candidate groups.
 
-1. Every document becomes the set of its `n`-word shingles (64-bit hashes). Copies of one set within a task are replaced by one of them at once,
-   so a group of copies sends no more rows on than there are tasks.
-2. Candidate groups. Two sets with Jaccard >= J and sizes in neighbouring size classes differ in at most k shingles, k known from the class
+1. Every document becomes the set of its `n`-word shingles (64-bit hashes). A set with a partner shares at least J of its shingles with it, so sets of
+   which fewer than J occur in any other row have none. Tasks send packed shingles to buckets whose number follows the bytes of texts, each shingle once
+   for some million; buckets tell which occur again (in 32 bits beside the bucket's: a collision keeps a set that could go, never the reverse).
+2. Candidate groups of the sets that are left. Copies of one set within a task are replaced by one of them at once. Two sets with Jaccard >= J and sizes in neighbouring size classes differ in at most k shingles, k known from the class
    limits; dealing shingles by hash into k+1+spare parts leaves more than `spare` parts equal. Each set sends a hash of each part (parts
    without shingles only if the set has more of them than `spare`); sets with an equal part are joined in a star around the least of
    them while the sorted parts stream by, so no group is held or paired. No link can be missed; a passage that many documents share rarely
@@ -26,6 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,6 +201,90 @@ def star_edges(prints: DataFrame) -> DataFrame:
     return dealt.select("part", "doc").mapInArrow(run, "src long, dst long").union(prints.filter(F.size("near") > 0).select("doc", F.explode("near")))
 
 
+_COUNTS = {"bucket": pa.int32(), "whole": pa.bool_(), "keys": pa.binary(), "docs": pa.binary(), "runs": pa.binary(), "many": pa.binary()}
+
+
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column: row i holds values[offsets[i] : offsets[i + 1]]."""
+    at = (offsets * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _again(keys: np.ndarray) -> np.ndarray:
+    """Whether each key occurs more than once among `keys`."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
+def _deal(docs: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows for the buckets: shingles of one set alone (`keys`, in runs of `docs`), those of several (`many`, once each); one row of all sets, with sizes and how many shingles are of several."""
+    ids, sizes, flat = np.array(docs, np.int64), np.array([len(x) for x in sets], np.int64), np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    again = _again(flat)
+    home = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(home, kind="stable")
+    lone = order[~again[order]]
+    shared = np.unique(flat[again])
+    shared_home = ((shared >> np.uint64(32)) % np.uint64(buckets)).astype(home.dtype)
+    by = np.argsort(shared_home, kind="stable")
+    present = np.unique(home)
+    bounds = lambda homes: np.append(np.searchsorted(homes, present), len(homes))
+    homes, owners = home[lone], owner[lone]
+    new = np.ones(len(lone), bool)
+    new[1:] = (homes[1:] != homes[:-1]) | (owners[1:] != owners[:-1])
+    starts = np.flatnonzero(new)
+    runs = np.diff(np.append(starts, len(lone))).astype(np.uint32)
+    low = lambda x: x.astype(np.uint32)
+    one = lambda x: _packed(x, np.array([0, len(x)]))
+    dealt = [pa.array(present.astype(np.int32)), pa.array(np.zeros(len(present), bool)), _packed(low(flat[lone]), bounds(homes)), _packed(ids[owners[starts]], bounds(homes[starts])), _packed(runs, bounds(homes[starts])), _packed(low(shared[by]), bounds(shared_home[by]))]
+    several = np.bincount(owner[again], minlength=len(sets)).astype(np.uint32)
+    everything = [pa.array([int(xxhash.xxh32_intdigest(ids.tobytes())) % buckets], pa.int32()), pa.array([True]), one(np.empty(0, np.uint32)), one(ids), one(sizes.astype(np.uint32)), one(several)]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in zip(dealt, everything, strict=True)], names=list(_COUNTS))
+
+
+def repeated_shingles(docs: DataFrame, id_col: str, text_col: str, n: int, bucket_bytes: int = 32 << 20, flush: int = 1 << 20) -> DataFrame:
+    """(doc, size, least, repeated) of every id: largest and least size above 0 of its rows, and shingles of its rows that occur in another row."""
+
+    def run(batches):
+        shingle, ids, sets, held = Shingler(n), [], [], 0
+        for batch in batches:
+            for doc, raw in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), strict=True):
+                ids.append(doc)
+                sets.append(shingle(raw))
+                held += len(sets[-1]) + 1
+                if held >= flush:
+                    yield _deal(ids, sets, buckets)
+                    ids, sets, held = [], [], 0
+        if ids:
+            yield _deal(ids, sets, buckets)
+
+    def merge(table: pa.Table) -> pa.Table:
+        whole = table.filter(table["whole"])
+        table = table.filter(pa.compute.invert(table["whole"]))
+        keys, runs = _unpacked(table["keys"], np.uint32), _unpacked(table["runs"], np.uint32).astype(np.int64)
+        again = _again(np.concatenate([keys, _unpacked(table["many"], np.uint32)]))[: len(keys)]
+        counts = np.add.reduceat(again.astype(np.int64), np.cumsum(runs) - runs) if len(runs) else np.empty(0, np.int64)
+        some = counts > 0
+        doc = np.concatenate([_unpacked(whole["docs"], np.int64), _unpacked(table["docs"], np.int64)[some]])
+        size = np.concatenate([_unpacked(whole["runs"], np.uint32).astype(np.int64), np.zeros(int(some.sum()), np.int64)])
+        return pa.table({"doc": doc, "size": size, "repeated": np.concatenate([_unpacked(whole["many"], np.uint32).astype(np.int64), counts[some]])})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    weight = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0
+    buckets = max(8, -(-weight // bucket_bytes))
+    shape = "bucket int, whole boolean, keys binary, docs binary, runs binary, many binary"
+    found = texts.mapInArrow(run, shape).groupBy("bucket").applyInArrow(merge, "doc long, size long, repeated long")
+    return found.groupBy("doc").agg(F.max("size").alias("size"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.sum("repeated").alias("repeated"))
+
+
 class Search:
     """T-occurrence search over a block of sets, with union-find over what is linked."""
 
@@ -373,13 +459,16 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(id_col, n_shingles, component_id) of every document; links are Jaccard >= threshold on sets of n-word shingles."""
     prepare(docs.sparkSession)
     j = Fraction(threshold)
-    prints = scratch_table(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, n, j, spare), "prints")
+    docs = docs.filter(F.col(id_col).isNotNull())
+    counted = scratch_table(repeated_shingles(docs, id_col, text_col, n), "counted")
+    left = sized(counted.filter(F.col("repeated") * j.denominator >= F.col("least") * j.numerator).select(F.col("doc").alias("left")))
+    prints = scratch_table(fingerprints(docs.join(left, F.col(id_col).cast("long") == F.col("left"), "left_semi"), id_col, text_col, n, j, spare), "prints")
     candidates = scratch_table(star_edges(prints), "stars")
     groups = scratch_table(connected_components(candidates), "groups")
     links = verified_links(docs, groups, prints, id_col, text_col, n, j, block, block_shingles)
     drop_scratch(candidates, groups)
     found = connected_components(links.select("src", "dst").union(prints.filter("size > 0 and stand_in <> doc").select(F.col("doc").alias("src"), F.col("stand_in").alias("dst"))))
-    sizes = prints.groupBy("doc").agg(F.max("size").alias("n_shingles"))
+    sizes = counted.select("doc", F.col("size").alias("n_shingles"))
     kind = docs.schema[id_col].dataType
     drop_scratch(links)
     out = sizes.join(found, F.col("doc") == F.col("node"), "left").select(F.col("doc").cast(kind).alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"))

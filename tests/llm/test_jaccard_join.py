@@ -103,3 +103,21 @@ def test_a_task_sends_a_part_once(spark, docs_of):
     prints = J.fingerprints(docs_of(docs).repartition(3), "doc_id", "text", 3, J.Fraction("9/10"), 1)
     most = prints.selectExpr("explode(parts) AS part").groupBy("part").count().selectExpr("max(count)").first()[0]
     assert most <= 3
+
+
+def test_repeated_shingles(spark, docs_of):
+    docs = [*enumerate(near_copies(5, groups=3, size=6)), (3, "a text of its own"), (3, "one more text of its own"), (900, None), (901, ""), (902, "x y"), (903, "x y")]
+    sets = [(i, shingles(t, 5)) for i, t in docs]
+    for flush, bucket_bytes in ((1 << 20, 32 << 20), (40, 300)):
+        got = {r["doc"]: tuple(r)[1:] for r in J.repeated_shingles(docs_of(docs).repartition(3), "doc_id", "text", 5, bucket_bytes, flush).collect()}
+        for i in {i for i, _ in docs}:
+            mine = [(k, s) for k, (d, s) in enumerate(sets) if d == i]
+            repeated = sum(any(x in other for at, (_, other) in enumerate(sets) if at != k) for k, s in mine for x in s)
+            sizes = [len(s) for _, s in mine]
+            assert got[i] == (max(sizes), min((x for x in sizes if x), default=None), repeated)
+
+
+def test_one_of_an_ids_rows_links(spark, docs_of):
+    copy = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, copy), (2, copy + " more"), (2, " ".join(f"z{i}" for i in range(90)))]
+    assert sorted(map(tuple, J.duplicate_components(docs_of(docs), n=5, threshold="4/5").collect())) == [(1, 36, 1), (2, 86, 1)]
