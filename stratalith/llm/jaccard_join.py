@@ -12,7 +12,7 @@
    T = ceil(J (a + b) / (1 + J)) shingles: its T-1 longest lists are put aside, the short rest is merged with counts, and what is left is
    probed in the long lists by binary search until it has T or can't reach it. Partners in the same component already are skipped.
    Groups of over `block` sets or `block_shingles` shingles are dealt into blocks; after rounds of joins in shuffled blocks, only pairs of blocks that
-   still hold different components are compared, each pair of blocks once, until all are.
+   still hold different components and sizes near enough are compared, each pair of blocks once, until all are.
 4. Components of the links found, carried to copies.
 
 Defined results: null text and text without words have an empty set, link with nothing and are their own component; a text with fewer than
@@ -407,7 +407,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, prints: DataFrame, id_col
     A set weighs as much of a block as it is of `block` sets or of `block_shingles` shingles, whichever is more; blocks weigh about one at most.
     """
     weight = F.greatest(F.lit(1.0 / block), F.col("size") / float(block_shingles))
-    weighed = groups.join(prints.groupBy("doc").agg(F.max("size").alias("size")), F.col("node") == F.col("doc")).select("doc", F.col("component").alias("g"), weight.alias("w"))
+    weighed = groups.join(prints.groupBy("doc").agg(F.min("size").alias("least"), F.max("size").alias("size")), F.col("node") == F.col("doc")).select("doc", F.col("component").alias("g"), weight.alias("w"), "least", "size")
     weighed = scratch_table(weighed, "weighed")
     wide = weighed.groupBy("g").agg(F.sum("w").alias("w")).filter(F.col("w") > 1.0).select("g", F.ceil("w").cast("int").alias("blocks"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
@@ -431,17 +431,20 @@ def verified_links(docs: DataFrame, groups: DataFrame, prints: DataFrame, id_col
         drop_scratch(labels)
         labels = after
     # groups of which more than one component is left: a block holds one large component's part, or small ones
-    state = scratch_table(big.select("doc", "g", "w").join(labels, "doc"), "state")
+    state = scratch_table(big.select("doc", "g", "w", "least", "size").join(labels, "doc"), "state")
     open_groups = state.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g")
     placed = None
     if not open_groups.isEmpty():
-        left = state.join(open_groups, "g")
-        by_label = left.groupBy("g", "label").agg(F.sum("w").alias("held")).withColumn("large", F.col("held") * 2 > 1.0)
-        small = by_label.groupBy("g").agg(F.coalesce(F.sum(F.when(~F.col("large"), F.col("held"))), F.lit(0.0)).alias("rest"))
-        cells_of = left.join(by_label, ["g", "label"]).join(small, "g").withColumn("owner", F.when(F.col("large"), F.col("label"))).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.when(F.col("large"), F.col("held")).otherwise(F.col("rest"))).cast("int"))).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).withColumn("cell", F.struct(F.coalesce("owner", F.lit(-1)).alias("owner"), "part"))
+        # sizes of linked sets differ by a factor of 1 / J at most, a class by a little more: only cells of one class or of neighbouring ones are compared
+        step = max(float(np.log(float(1 / threshold))), 0.01) * 1.001
+        level = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / step)
+        left = state.join(open_groups, "g").withColumn("level", F.explode(F.sequence(level("least"), level("size"))))
+        by_label = left.groupBy("g", "level", "label").agg(F.sum("w").alias("held")).withColumn("large", F.col("held") * 2 > 1.0)
+        small = by_label.groupBy("g", "level").agg(F.coalesce(F.sum(F.when(~F.col("large"), F.col("held"))), F.lit(0.0)).alias("rest"))
+        cells_of = left.join(by_label, ["g", "level", "label"]).join(small, ["g", "level"]).withColumn("owner", F.when(F.col("large"), F.col("label"))).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.when(F.col("large"), F.col("held")).otherwise(F.col("rest"))).cast("int"))).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).withColumn("cell", F.struct("level", F.coalesce("owner", F.lit(-1)).alias("owner"), "part"))
         placed = scratch_table(cells_of.select("g", "doc", "label", "cell"), "placed")
         cells = placed.select("g", "cell").distinct()
-        pairs = cells.alias("x").join(cells.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.cell") <= F.col("y.cell")) & ((F.col("x.cell.owner") != F.col("y.cell.owner")) | (F.col("x.cell.owner") == -1)))
+        pairs = cells.alias("x").join(cells.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.cell") <= F.col("y.cell")) & (F.col("y.cell.level") - F.col("x.cell.level") <= 1) & ((F.col("x.cell.owner") != F.col("y.cell.owner")) | (F.col("x.cell.owner") == -1)))
         pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.cell").alias("c1"), F.col("y.cell").alias("c2"))
         sides = pairs.select("g", "c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cell"))
         pool = sides.join(placed, ["g", "cell"]).join(big.select("doc", "text"), "doc").select("g", "c1", "c2", "doc", "label", "text")

@@ -120,4 +120,16 @@ def test_repeated_shingles(spark, docs_of):
 def test_one_of_an_ids_rows_links(spark, docs_of):
     copy = " ".join(f"w{i}" for i in range(40))
     docs = [(1, copy), (2, copy + " more"), (2, " ".join(f"z{i}" for i in range(90)))]
-    assert sorted(map(tuple, J.duplicate_components(docs_of(docs), n=5, threshold="4/5").collect())) == [(1, 36, 1), (2, 86, 1)]
+    assert sorted(map(tuple, J.duplicate_components(docs_of(docs), n=5, threshold="4/5", block=1).collect())) == [(1, 36, 1), (2, 86, 1)]
+
+
+def test_open_groups_of_many_sizes(spark, docs_of):
+    rng, docs = random.Random(11), []
+    for size in (20, 25, 31, 39, 48, 60, 75):
+        base = [f"p{i}" for i in range(15)] + [f"s{size}_{i}" for i in range(size)]
+        for _ in range(4):
+            copy = list(base)
+            copy[rng.randrange(15, len(copy))] = f"z{rng.randint(0, 9)}"
+            docs.append(" ".join(copy))
+    docs = list(enumerate(docs))
+    assert sorted(map(tuple, J.duplicate_components(docs_of(docs), n=2, threshold="1/2", block=2).collect())) == brute(docs, 2, 50)
