@@ -7,7 +7,10 @@
    limits; dealing shingles by hash into k+1+spare parts leaves more than `spare` parts equal. Each set sends a hash of each part (parts
    without shingles only if the set has more of them than `spare`); sets with an equal part are joined in a star around the least of
    them while the sorted parts stream by, so no group is held or paired. No link can be missed; a passage that many documents share rarely
-   fills a whole part of about eight random shingles. Components of these edges are the candidate groups.
+   fills a whole part of about eight random shingles. Components of these edges are the candidate groups, of different sets only.
+   Groups too large for one block are dealt anew by rare shingles: with all shingles of a group in one order, by how many of its sets hold them, linked sets
+   share one of the first a - ceil(J a) + 1 of each (a its size), so sets joined by passages that many others hold part. Counts come from buckets of
+   hashes; every chunk of sets sends a shingle once, with its count, and gets one byte back for it.
 3. T-occurrence search. In a candidate group the sets are indexed by shingle. A set of size a looks for partners that share at least
    T = ceil(J (a + b) / (1 + J)) shingles: its T-1 longest lists are put aside, the short rest is merged with counts, and what is left is
    probed in the long lists by binary search until it has T or can't reach it. Partners in the same component already are skipped.
@@ -23,6 +26,7 @@ are, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 import numpy as np
@@ -126,7 +130,7 @@ def part_hashes(shingles: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, spare: int) -> DataFrame:
-    """(doc, size, stand_in, parts, near): parts only for the first of equal sets in a task, which stands in for the others.
+    """(doc, size, stand_in, parts, near, digest): parts only for the first of equal sets in a task, which stands in for the others; no digest of an empty set.
 
     A task sends each part once; later sets with an equal part are joined with the one that sent it (`near`) at once. So
     near copies of one template send no more rows for a part than there are tasks.
@@ -136,11 +140,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
         shingle, classes, seen, leads = Shingler(n), Classes(threshold, spare), {}, {}
         none = np.empty(0, np.int64)
         for batch in batches:
-            docs_, sizes, stands, near, parts = batch.column(0).to_pylist(), [], [], [], []
+            docs_, sizes, stands, near, parts, digests = batch.column(0).to_pylist(), [], [], [], [], []
             for doc, raw in zip(docs_, binary_values(batch.column(1)), strict=True):
                 s = shingle(raw)
                 sizes.append(len(s))
-                first = seen.setdefault(xxhash.xxh128_digest(s.tobytes()), doc) if len(s) else doc
+                digests.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+                first = seen.setdefault(digests[-1], doc) if len(s) else doc
                 stands.append(first)
                 mine, beside = none, set()
                 if len(s) and first == doc:
@@ -161,12 +166,18 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
                     seen.clear()
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), lists, pa.array(near, pa.list_(pa.int64()))], names=["doc", "size", "stand_in", "parts", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), lists, pa.array(near, pa.list_(pa.int64())), pa.array(digests, pa.binary())], names=["doc", "size", "stand_in", "parts", "near", "digest"])
 
     def whole(batches):
         yield from run(b for b in batches if b.num_rows)
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(whole, "doc long, size long, stand_in long, parts array<long>, near array<long>")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(whole, "doc long, size long, stand_in long, parts array<long>, near array<long>, digest binary")
+
+
+def first_of_equal(prints: DataFrame) -> DataFrame:
+    """(doc, first) of the sets that stand in for a task's equal ones: the least such document of the whole table."""
+    heads = prints.filter("size > 0 and stand_in = doc").select("doc", "digest")
+    return heads.join(heads.groupBy("digest").agg(F.min("doc").alias("first")), "digest").select("doc", "first").distinct()
 
 
 def star_edges(prints: DataFrame) -> DataFrame:
@@ -401,14 +412,130 @@ def search_groups(members: DataFrame, keys: list[str], n: int, threshold: Fracti
     return members.groupBy(*keys).applyInArrow(one, "doc long, label long")
 
 
+def weigh(groups: DataFrame, prints: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """(doc, g, w, least, size): a set weighs as much of a block as it is of `block` sets or of `block_shingles` shingles, whichever is more; blocks weigh about one at most."""
+    weight = F.greatest(F.lit(1.0 / block), F.col("size") / float(block_shingles))
+    sizes = prints.groupBy("doc").agg(F.min("size").alias("least"), F.max("size").alias("size"))
+    return groups.join(sizes, F.col("node") == F.col("doc")).select("doc", F.col("component").alias("g"), weight.alias("w"), "least", "size")
+
+
+def _homes(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key, and the order of keys by bucket."""
+    home = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return home, np.argsort(home, kind="stable")
+
+
+def _byte_of(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte, in the same order: exact below 128, eight steps for each doubling beyond."""
+    steps = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128.0))
+    return np.where(counts < 128, counts, np.minimum(steps, 255)).astype(np.uint8)
+
+
+def rare_shingles(texts: DataFrame, shingles: int, n: int, threshold: Fraction, chunk: int = 1 << 18, bucket: int = 4 << 20) -> DataFrame:
+    """(doc, parts, near) of `texts` (doc, g, text), as `star_edges` takes them: the first shingles of every set, of those that another set of the group g holds.
+
+    `shingles` is the number of all, by which buckets are counted. A chunk of sets sends each shingle once and joins the sets that have one
+    in common among their first at once.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    buckets = max(8, -(-shingles // bucket))
+
+    def pack(batches):
+        shingle, docs, sets, held = Shingler(n), [], [], 0
+
+        def out():
+            one = [pa.array([int.from_bytes(uuid.uuid4().bytes[:7], "big")], pa.int64())]
+            one += [pa.array([x.tobytes()], pa.binary()) for x in (np.array(docs, np.int64), np.array([len(x) for x in sets], np.int64), np.concatenate(sets))]
+            return pa.RecordBatch.from_arrays(one, names=["chunk", "docs", "sizes", "keys"])
+
+        for batch in batches:
+            for doc, g, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_values(batch.column(2)), strict=True):
+                s = shingle(raw)
+                if not len(s):
+                    continue
+                docs.append(doc)
+                sets.append(_mix(s ^ _mix(np.array([g], np.int64).view(np.uint64) + _A)))
+                held += len(s)
+                if held >= chunk:
+                    yield out()
+                    docs, sets, held = [], [], 0
+        if docs:
+            yield out()
+
+    def deal(batches):
+        for batch in batches:
+            for i, raw in enumerate(binary_values(batch.column(1))):
+                keys, counts = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+                home, order = _homes(keys, buckets)
+                present, starts = np.unique(home[order], return_index=True)
+                bounds = np.append(starts, len(keys))
+                name = pa.array([batch.column(0)[i].as_py()] * len(present), pa.int64())
+                yield pa.RecordBatch.from_arrays([name, pa.array(present), _packed(keys[order].astype(np.uint32), bounds), _packed(counts[order].astype(np.uint32), bounds)], names=["chunk", "bucket", "lows", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        lows, counts = _unpacked(table["lows"], np.uint32), _unpacked(table["counts"], np.uint32)
+        _, at = np.unique(lows, return_inverse=True)
+        codes = _byte_of(np.bincount(at, weights=counts).astype(np.int64))[at]
+        lengths = np.array([len(x) // 4 for x in table["lows"].to_pylist()])
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "codes": _packed(codes, np.append(0, np.cumsum(lengths)))})
+
+    def first(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        docs, sizes, keys = (_unpacked(table[c].drop_null(), kind) for c, kind in (("docs", np.int64), ("sizes", np.int64), ("keys", np.uint64)))
+        different, at = np.unique(keys, return_inverse=True)
+        codes = np.empty(len(different), np.uint8)
+        codes[_homes(different, buckets)[1]] = _unpacked(table["codes"].drop_null(), np.uint8)
+        code, owner = codes[at], np.repeat(np.arange(len(docs)), sizes)
+        order = np.lexsort((keys, code, owner))
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = order[(place < np.repeat(sizes + (-p * sizes) // q + 1, sizes)) & (code[order] > 1)]
+        token, owner = keys[order], owner[order]
+        order = np.lexsort((docs[owner], token))
+        token, owner = token[order], owner[order]
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        leads = docs[owner][np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))] if len(token) else docs[:0]
+        beside = leads != docs[owner]
+        near = np.unique(np.stack([owner[beside], leads[beside]], axis=1), axis=0)
+
+        def lists(rows: np.ndarray, values: np.ndarray) -> pa.Array:
+            by = np.argsort(rows, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(rows, minlength=len(docs)))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[by], pa.int64()))
+
+        return pa.table({"doc": docs, "parts": lists(owner[new], token[new].view(np.int64)), "near": lists(near[:, 0], near[:, 1])})
+
+    chunks = scratch_table(texts.select("doc", "g", "text").mapInArrow(pack, "chunk long, docs binary, sizes binary, keys binary"), "chunks")
+    dealt = chunks.select("chunk", "keys").mapInArrow(deal, "chunk long, bucket long, lows binary, counts binary")
+    answers = dealt.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, codes binary")
+    both = chunks.withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
+    rows = scratch_table(both.groupBy("chunk").applyInArrow(first, "doc long, parts array<long>, near array<long>"), "rare")
+    drop_scratch(chunks)
+    return rows
+
+
+def refined_groups(docs: DataFrame, groups: DataFrame, prints: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, block: int, block_shingles: int) -> DataFrame:
+    """Candidate groups (node, component), those too large for one block dealt anew by rare shingles, as a scratch table."""
+    weighed = scratch_table(weigh(groups, prints, block, block_shingles), "weighed")
+    wide = sized(scratch_table(weighed.groupBy("g").agg(F.sum("w").alias("w")).filter(F.col("w") > 1.0).select("g"), "wide"))
+    chosen = scratch_table(weighed.join(wide, "g", "left_semi").select("doc", "g", "size"), "chosen")
+    shingles = chosen.agg(F.sum("size")).first()[0]
+    rare = found = None
+    if shingles:
+        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(sized(chosen.select("doc", "g")), "doc")
+        rare = rare_shingles(texts, shingles, n, threshold)
+        found = scratch_table(star_edges(rare), "stars")
+        groups = groups.join(wide, F.col("component") == F.col("g"), "left_anti").union(connected_components(found))
+    out = scratch_table(groups, "groups")
+    drop_scratch(weighed, wide, chosen, rare, found)
+    return out
+
+
 def verified_links(docs: DataFrame, groups: DataFrame, prints: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, block: int, block_shingles: int, rounds: int = 2) -> DataFrame:
     """Edges (src, dst) that span every component of candidate `groups` (node, component), as a scratch table.
 
-    A set weighs as much of a block as it is of `block` sets or of `block_shingles` shingles, whichever is more; blocks weigh about one at most.
     """
-    weight = F.greatest(F.lit(1.0 / block), F.col("size") / float(block_shingles))
-    weighed = groups.join(prints.groupBy("doc").agg(F.min("size").alias("least"), F.max("size").alias("size")), F.col("node") == F.col("doc")).select("doc", F.col("component").alias("g"), weight.alias("w"), "least", "size")
-    weighed = scratch_table(weighed, "weighed")
+    weighed = scratch_table(weigh(groups, prints, block, block_shingles), "weighed")
     wide = weighed.groupBy("g").agg(F.sum("w").alias("w")).filter(F.col("w") > 1.0).select("g", F.ceil("w").cast("int").alias("blocks"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     members = texts.join(sized(weighed), "doc").withColumn("label", F.col("doc"))
@@ -467,13 +594,18 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     left = sized(counted.filter(F.col("repeated") * j.denominator >= F.col("least") * j.numerator).select(F.col("doc").alias("left")))
     prints = scratch_table(fingerprints(docs.join(left, F.col(id_col).cast("long") == F.col("left"), "left_semi"), id_col, text_col, n, j, spare), "prints")
     candidates = scratch_table(star_edges(prints), "stars")
-    groups = scratch_table(connected_components(candidates), "groups")
-    links = verified_links(docs, groups, prints, id_col, text_col, n, j, block, block_shingles)
-    drop_scratch(candidates, groups)
-    found = connected_components(links.select("src", "dst").union(prints.filter("size > 0 and stand_in <> doc").select(F.col("doc").alias("src"), F.col("stand_in").alias("dst"))))
+    firsts = scratch_table(first_of_equal(prints), "firsts")
+    every = connected_components(candidates).join(sized(firsts.filter("doc = first").select(F.col("doc").alias("node")).distinct()), "node", "left_semi")
+    some = every.groupBy("component").agg(F.count("*").alias("sets")).filter("sets > 1").select("component")
+    groups = scratch_table(every.join(some, "component", "left_semi").select("node", "component"), "groups")
+    refined = refined_groups(docs, groups, prints, id_col, text_col, n, j, block, block_shingles)
+    links = verified_links(docs, refined, prints, id_col, text_col, n, j, block, block_shingles)
+    drop_scratch(candidates, groups, refined)
+    copies = prints.filter("size > 0 and stand_in <> doc").select(F.col("doc").alias("src"), F.col("stand_in").alias("dst"))
+    found = connected_components(links.select("src", "dst").union(copies).union(firsts.filter("doc <> first").select("doc", "first")))
     sizes = counted.select("doc", F.col("size").alias("n_shingles"))
     kind = docs.schema[id_col].dataType
-    drop_scratch(links)
+    drop_scratch(links, firsts)
     out = sizes.join(found, F.col("doc") == F.col("node"), "left").select(F.col("doc").cast(kind).alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     return out
 
