@@ -180,8 +180,25 @@ def first_of_equal(prints: DataFrame) -> DataFrame:
     return heads.join(heads.groupBy("digest").agg(F.min("doc").alias("first")), "digest").select("doc", "first").distinct()
 
 
+def forest(edges: np.ndarray) -> np.ndarray:
+    """Edges from every node to the least of its component, in place of rows (node, node) that join the same components."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(-1, 2)
+    up = np.arange(len(nodes))
+    while True:
+        ends = np.sort(up[at], axis=1)
+        at = at[ends[:, 0] != ends[:, 1]]
+        if not len(at):
+            break
+        np.minimum.at(up, ends[:, 1], ends[:, 0])
+        while (up[up] != up).any():
+            up = up[up]
+    below = up != np.arange(len(nodes))
+    return np.stack([nodes[below], nodes[up[below]]], axis=1)
+
+
 def star_edges(prints: DataFrame) -> DataFrame:
-    """Edges from every set to the least set with an equal part, distinct within a task."""
+    """Edges that join every set with the least set with an equal part: a task's as a forest, so that it sends no more of them than it saw sets."""
     parts = prints.filter(F.size("parts") > 0).select("doc", F.explode("parts").alias("part"))
     dealt = parts.repartition(F.col("part")).sortWithinPartitions("part", "doc")
 
@@ -199,13 +216,13 @@ def star_edges(prints: DataFrame) -> DataFrame:
             rows.append(np.stack([doc[other], lead[other]], axis=1))
             kept += len(rows[-1])
             if kept > 1_000_000:
-                rows = [np.unique(np.concatenate(rows), axis=0)]
+                rows = [forest(np.concatenate(rows))]
                 kept = 0
                 if len(rows[0]) > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(rows[0][:, 0]), pa.array(rows[0][:, 1])], names=["src", "dst"])
                     rows = []
         if rows:
-            out = np.unique(np.concatenate(rows), axis=0)
+            out = forest(np.concatenate(rows))
             for i in range(0, len(out), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 50_000, 0]), pa.array(out[i : i + 50_000, 1])], names=["src", "dst"])
 

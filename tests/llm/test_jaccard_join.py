@@ -133,3 +133,46 @@ def test_open_groups_of_many_sizes(spark, docs_of):
             docs.append(" ".join(copy))
     docs = list(enumerate(docs))
     assert sorted(map(tuple, J.duplicate_components(docs_of(docs), n=2, threshold="1/2", block=2).collect())) == brute(docs, 2, 50)
+
+
+def test_forest():
+    rng = random.Random(5)
+    for size in (0, 1, 300):
+        edges = [(rng.randint(0, 200) * 3, rng.randint(0, 200) * 3) for _ in range(size)] + [(1000 + i, 1001 + i) for i in range(size)]
+        up = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+        got = J.forest(J.np.array(edges, J.np.int64).reshape(-1, 2)).tolist()
+        assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(up) if find(x) != x)
+
+
+def test_rare_shingles(spark, docs_of):
+    docs = list(enumerate([*near_copies(9, groups=4, size=8), "a text of its own", None, ""]))
+    j = J.Fraction("4/5")
+    for chunk, bucket, tasks in ((1 << 18, 4 << 20, 1), (90, 60, 3)):
+        texts = docs_of(docs).selectExpr("doc_id AS doc", "0L AS g", "text").repartition(tasks)
+        rows = J.rare_shingles(texts, 2000, 3, j, chunk, bucket).collect()
+        held = [p for r in rows for p in r["parts"]]
+        sets = {i: shingles(t) for i, t in docs}
+        assert sorted(r["doc"] for r in rows) == [i for i, s in sets.items() if s]
+        # no chunk sends a token twice, and every linked pair is joined
+        found = {(a, b) for r in rows for a, b in [(r["doc"], x) for x in r["near"]]}
+        by = {}
+        for r in rows:
+            for p in r["parts"]:
+                by.setdefault(p, []).append(r["doc"])
+        found |= {(x, v[0]) for v in by.values() for x in v}
+        forest = dict(J.forest(J.np.array(sorted(found) or [(0, 0)], J.np.int64)).tolist())
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if a < b and x and y and 5 * len(x & y) >= 4 * len(x | y):
+                    assert forest.get(a, a) == forest.get(b, b)
+        if tasks == 1:
+            assert len(held) == len(set(held))
