@@ -82,12 +82,37 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches", "places")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_main_text, op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op7_neighbours, op8_lm_score, op9_ngram_jaccard, op10_license_scan)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digest, transform
+
+    return digest(transform(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages all conversations by a checksum of their turns, then repairs them."""
+    from .conversation_repair import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hashed half of the documents is the history, the other half the batch that is held against its index."""
+    from .exact_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_main_text, op2_sentencepiece, op3_secret_scan, op4_language_id, op5_chat_format, op6_decontamination, op7_neighbours, op8_lm_score, op9_ngram_jaccard, op10_license_scan, op11_fill_in_middle, op12_conversation_repair, op13_exact_dedup)}
 
 # words of texts: A-Z lower-cased, runs of digits, letters and everything beyond ASCII
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# one byte of a CRC-32 (polynomial EDB88320), by half bytes: T is the fixed table of its 16 remainders
+_CRC_TABLE = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+_HALF = "xor(" + _CRC_TABLE + "[({0} & 15) + 1], {0} >> 4)"
+_CRC_STEP = _HALF.format("(" + _HALF.format("xor(c, b)") + ")")
+
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
@@ -133,5 +158,69 @@ e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(r.y), w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.x = w.doc_id GROUP BY w.doc_id
+""",
+    "op11_fill_in_middle": r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+),
+r AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS d FROM u),
+c AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS x, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS y,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 100 THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r
+),
+p AS (SELECT doc_id, n, form, t, array_to_string(u[1:x], '') AS p, array_to_string(u[x + 1:y], '') AS m, array_to_string(u[y + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)) AS codes
+  FROM conversations
+),
+d AS (SELECT * EXCLUDE (codes), xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: {_CRC_STEP}), 4294967295) % 20 AS kind FROM k),
+r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, LATERAL unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(i)
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ink FROM r),
+m AS MATERIALIZED (
+  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN ink NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM n
+),
+closing(a, b, n, made) AS (VALUES ('-', '-', 0, ''), ('s', 's', 0, ''), ('u', 'u', 0, ''), ('a', 'a', 0, ''), ('-', 'u', 1, 'user:' || chr(10)), ('-', 'a', 2, 'user:' || chr(10) || 'assistant:' || chr(10)),
+  ('s', 'u', 1, 'user:' || chr(10)), ('s', 'a', 2, 'user:' || chr(10) || 'assistant:' || chr(10)), ('u', 'a', 1, 'assistant:' || chr(10)), ('a', 'u', 1, 'user:' || chr(10))),
+moves(a, b, letter, cost, given) AS (VALUES ('-', '-', 'D', 3, NULL), ('s', 's', 'D', 3, NULL), ('u', 'u', 'D', 3, NULL), ('a', 'a', 'D', 3, NULL), ('-', 's', 'K', 0, NULL), ('-', 'u', 'K', 0, NULL), ('s', 'u', 'K', 0, NULL),
+  ('a', 'u', 'K', 0, NULL), ('u', 'a', 'K', 0, NULL), ('-', 'u', 'R', 2, 'user'), ('s', 'u', 'R', 2, 'user'), ('a', 'u', 'R', 2, 'user'), ('u', 'a', 'R', 2, 'assistant')),
+v(conv_id, i, state, way) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), b, {{'cost': CAST(2 * n AS BIGINT), 'audit': repeat('I', n), 'made': made}} FROM conversations, closing WHERE a = '-'
+  UNION ALL
+  SELECT conv_id, i, c.b, min({{'cost': way.cost + 2 * c.n, 'audit': way.audit || repeat('I', c.n), 'made': way.made || c.made}})
+  FROM (
+    SELECT v.conv_id, m.i, e.b AS state, min({{'cost': v.way.cost + e.cost + CASE WHEN e.letter <> 'D' AND m.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': v.way.audit || e.letter,
+           'made': v.way.made || CASE WHEN e.letter = 'D' THEN '' ELSE coalesce(e.given, m.role) || ':' || m.text || chr(10) END}}) AS way
+    FROM v JOIN m ON m.conv_id IS NOT DISTINCT FROM v.conv_id AND m.i = v.i + 1
+    JOIN moves e ON e.a = v.state AND (e.letter = 'D' OR m.fault NOT IN ('blank', 'duplicate')) AND (e.letter <> 'K' OR e.b = m.initial)
+    GROUP BY v.conv_id, m.i, e.b
+  ) JOIN closing c ON c.a = state
+  GROUP BY conv_id, i, c.b
+),
+s AS (
+  SELECT conv_id, max(i) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM m GROUP BY conv_id
+),
+b AS (SELECT v.conv_id, v.i, min(v.way) AS way FROM v LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM v.conv_id WHERE v.i = coalesce(s.n_rows, 0) AND v.state IN ('-', 'a') GROUP BY v.conv_id, v.i)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       way.cost AS cost, way.audit AS audit, sha256(CASE WHEN way.made = '' THEN '' ELSE left(way.made, -1) END) AS repaired_sha256, b.i AS n_rows
+FROM b LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM b.conv_id
+""",
+    "op13_exact_dedup": r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
 """,
 }
