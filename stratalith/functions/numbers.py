@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,24 @@ MISSING, BEYOND = -666.0, 3.14
 THRESHOLDS = [0.01 + i * 0.01 for i in range(29)]
 
 
+#: micrometres of a voxel along x, y and z, where nothing else is said
+VOXEL = (0.13, 0.13, 0.5)
+
+
+def voxel_dimensions(x: float | str, y: float | str, z: float | str) -> tuple[float, float, float]:
+    """Three positive finite numbers, from numbers or texts; anything else is an error that names its axis."""
+    found = []
+    for axis, given in zip("xyz", (x, y, z), strict=True):
+        try:
+            value = float(given)
+        except (TypeError, ValueError):
+            value = math.nan
+        if not 0 < value < INF:
+            raise ValueError(f"the voxel's size along {axis} must be a positive number, not {given!r}")
+        found.append(value)
+    return tuple(found)
+
+
 def clean(v: Column) -> Column:
     """NaN counts as missing; infinities stay."""
     return F.nanvl(v, F.lit(None).cast("double"))

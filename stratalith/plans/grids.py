@@ -140,10 +140,47 @@ def thin_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.thin_layers(rows).groupBy("z").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
 
 
-@query()
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding is a layer: no pixel leaves its row."""
+    side = F.lit(8).cast("long")
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("string").alias("sample_name"), (F.col("vec_id") % 8).alias("z"), side.alias("layers"), side.alias("height"), side.alias("width"), F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("pixels"))
+
+
+# an 8 x 8 image is 64 bits; one step of a flood: a bit's neighbours to the left and right, then those above and below
+_LEFT, _RIGHT = "'" + "01111111" * 8 + "'::BIT", "'" + "11111110" * 8 + "'::BIT"
+_WIDE = f"(fill | ((fill & {_LEFT}) << 1) | ((fill & {_RIGHT}) >> 1))"
+_GROWN = f"(({_WIDE} | ({_WIDE} << 8) | ({_WIDE} >> 8)) & mask)"
+_NONE = "'" + "0" * 64 + "'::BIT"
+
+
+def _components(image: str) -> str:
+    """SQL for components by flooding: the first pixel left is flooded until nothing is added, then taken off and counted."""
+    return f"""WITH RECURSIVE t AS (SELECT * FROM {_THR}),
+m AS (SELECT sample_name, z, i, CAST(string_agg(CASE WHEN v IS NULL THEN '1' WHEN v > threshold THEN '1' ELSE '0' END, '' ORDER BY x, y) AS BIT) AS mask FROM {image}, t GROUP BY sample_name, z, i),
+f(sample_name, z, i, mask, fill, n) AS (
+  SELECT sample_name, z, i, mask, {_NONE}, 0 FROM m
+  UNION ALL
+  SELECT sample_name, z, i, CASE WHEN fill <> {_NONE} AND {_GROWN} = fill THEN xor(mask, fill) ELSE mask END,
+         CASE WHEN fill = {_NONE} THEN set_bit({_NONE}, bit_position('1'::BIT, mask) - 1, 1) WHEN {_GROWN} = fill THEN {_NONE} ELSE {_GROWN} END,
+         CASE WHEN fill = {_NONE} THEN n + 1 ELSE n END
+  FROM f WHERE mask <> {_NONE}
+)
+SELECT sample_name, z, i, CAST(max(n) AS BIGINT) AS components FROM f GROUP BY ALL"""
+
+
+_CENTRE = f"(SELECT * REPLACE (v / nullif(max(v) OVER (PARTITION BY sample_name, z), 0) AS v) FROM (SELECT * REPLACE ((v - avg(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) AS v) FROM {_PIX} WINDOW w AS (PARTITION BY sample_name, z)))"
+
+
+@query(_components(_NORM))
 def components_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components per layer and threshold; held against brute force in the tests."""
-    return C.layer_components(pixels(spark, sf_dir))
+    """Components per layer and threshold."""
+    return C.layer_components(layers(spark, sf_dir))
+
+
+@query(_components(_CENTRE))
+def components_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of centred layers per threshold."""
+    return C.layer_components(layers(spark, sf_dir), centred=True)
 
 
 @query("SELECT o_orderkey, round(0.2989 * r + 0.5870 * g + 0.1140 * b, 6) AS luma FROM (SELECT o_orderkey, CAST(o_orderkey % 256 AS DOUBLE) AS r, CAST(o_custkey % 256 AS DOUBLE) AS g, CAST((o_orderkey + o_custkey) % 256 AS DOUBLE) AS b FROM orders)")

@@ -9,38 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as X
-from ..operators import components as C
 from ..operators import evaluate as V
 from ..operators import features as A
 from ..operators import folds as S
-from ..operators import grid as G
 from ..operators import models as M
 from ..operators import quality as Q
+from ..operators import stack_measures as K
+from ..scratch import kept
 from ..sources import stacks as T
 
 
-def layer_measures(pixels: DataFrame, voxel: float) -> DataFrame:
-    """Measures of every layer in the long form (sample_name, z, feature, value)."""
-    keys = G.LAYER
-    plain = G.intensity(pixels).join(G.emptiness(pixels), keys).join(G.value_frequency(pixels, voxel), keys).join(G.cooccurrence(G.normalised(pixels).withColumn("v", F.floor("v"))), keys)
-    long = A.melt(plain, keys)
-    counts = C.layer_components(pixels)
-    named = counts.select(*keys, F.concat(F.lit("counts(inten<"), F.format_string("%.2f", F.lit(0.01) + F.col("i") * 0.01)).alias("feature"), F.col("components").cast("double").alias("value"))
-    return long.unionByName(named)
+def generate_features(spark: SparkSession, images: str, voxel: tuple[float, float, float] = X.VOXEL, part_bytes: int = 64 << 20) -> DataFrame:
+    """Stacks below `images` to the long feature table (sample_name, feature, value) under the published names.
 
-
-def stack_measures(pixels: DataFrame) -> DataFrame:
-    """Measures of whole stacks in the long form (sample_name, z = 0, feature, value)."""
-    spread = A.melt(G.spreading(pixels), ["sample_name"])
-    thick = G.thickness(pixels).select("sample_name", F.explode(F.array(*[F.struct(F.concat(F.lit(f"{n.capitalize()}Threshold="), F.format_string("%.2f", "threshold")).alias("feature"), F.col(n).alias("value")) for n in ("thickness", "roughness")])).alias("m")).select("sample_name", "m.*")
-    return spread.unionByName(thick).withColumn("z", F.lit(0).cast("long"))
-
-
-def generate_features(spark: SparkSession, images: str, voxel: float = 0.13 * 0.13 * 0.5) -> DataFrame:
-    """Stacks below `images` to the long feature table (sample_name, feature, value) of ten statistics a measure."""
-    pixels = T.pixel_rows(T.read_stacks(spark, images))
-    layers = layer_measures(pixels, voxel).unionByName(stack_measures(pixels))
-    return A.statistic_rows(A.ten_statistics(layers))
+    A file is decoded once, by as many tasks as it has shares of `part_bytes`; only of stacks that several tasks share, or that are too large to be
+    held, layers are read again for the transitions.
+    """
+    x, y, z = X.voxel_dimensions(*voxel)
+    layers = T.read_stacks(spark, images, part_bytes)
+    measured = kept(K.measure(layers, x * y * z), "measured")
+    tops = K.open_stacks(measured)
+    return K.feature_rows(measured, x * y * z, None if tops.isEmpty() else K.transitions(layers, tops))
 
 
 def train(rows: DataFrame, names: Sequence[str], target: str, k: int = 3, ci: bool = False) -> DataFrame:
