@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers as X
 from ..operators import components as C
 from ..operators import grid as G
+from ..operators import stack_measures as K
+from ..scratch import kept
 from .registry import query, table
 
 VOXEL = 0.13 * 0.13 * 0.5
@@ -187,3 +189,42 @@ def components_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(X.luma((k % 256).cast("double"), (c % 256).cast("double"), ((k + c) % 256).cast("double")), 6).alias("luma"))
+
+
+_NORM_THICK = _THICK.replace(_PIX, _NORM).removeprefix("WITH ")
+_STACK = f"""{_components(_NORM).replace("SELECT sample_name, z, i, CAST(max(n) AS BIGINT) AS components FROM f GROUP BY ALL", "")},
+cc AS (SELECT sample_name, max(n) AS n FROM f WHERE z = 0 AND i = 2 GROUP BY ALL),
+{_NORM_THICK.removeprefix(f"t AS (SELECT * FROM {_THR}), ")},
+g AS (SELECT sample_name, z, x, y, CAST(floor(v) AS BIGINT) AS v FROM {_NORM}),
+p AS (SELECT a.sample_name, a.z, a.v AS i, b.v AS j FROM g a JOIN g b ON a.sample_name = b.sample_name AND a.z = b.z AND a.x = b.x AND b.y = a.y + 1),
+q AS (SELECT sample_name, z, i, j, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT sample_name, z, j, i FROM p) GROUP BY ALL),
+w AS (SELECT sample_name, z, CAST(sum(n) AS DOUBLE) AS t, sum(n * (i - j) * (i - j)) AS c, sum(n * abs(i - j)) AS dis, sum(n / (1.0::DOUBLE + (i - j) * (i - j))) AS hom, sum(n * n) AS asm, sum(n * i) / sum(n) AS mu, sum(n * i * i) / sum(n) AS ii, sum(n * i * j) / sum(n) AS ij FROM q GROUP BY ALL),
+x AS (SELECT sample_name, avg(c / t) AS "GPTContrast", avg(dis / t) AS "GPTDissimilarity", avg(hom / t) AS "GPTHomogeneity", avg(sqrt(asm / (t * t))) AS "GPTEnergy", avg(CASE WHEN ii - mu * mu > 1e-12 THEN (ij - mu * mu) / (ii - mu * mu) ELSE 1 END) AS "GPTCorrelation", avg(asm / (t * t)) AS "GPTASM" FROM w GROUP BY ALL),
+b AS (SELECT sample_name, z, x, y, least(CAST(floor(v / ((max(v) OVER (PARTITION BY sample_name) + 1) / 254)) AS INTEGER) + 1, 255) AS b FROM {_PIX}),
+s(dz, dx, dy) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
+tr AS (SELECT a.sample_name, a.b AS i, o.b AS j FROM b a, s, b o WHERE o.sample_name = a.sample_name AND o.z = a.z + s.dz AND o.x = a.z + s.dx AND o.y = a.y + s.dy),
+la AS (SELECT sample_name, z, avg(v) AS mean FROM {_PIX} GROUP BY ALL),
+st AS (SELECT *, mean - lag(mean) OVER (PARTITION BY sample_name ORDER BY z) AS step FROM la),
+gl AS (SELECT sample_name, avg(mean) AS "globalMean", avg(step) AS mdiffs, max(step) AS maxdiffs, min(step) AS mindiffs, 1.0::DOUBLE AS eigen FROM st GROUP BY ALL HAVING count(*) > 1),
+sp AS (SELECT sample_name, sqrt(var_pop(x) + var_pop(y)) AS "SpreadingHorizontal", var_pop(z) AS "SpreadingVertical", sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS "SpreadingTotal" FROM {_PIX} WHERE v > 0 GROUP BY ALL),
+th AS (SELECT k.sample_name, k.i, avg(d.h) AS thickness, avg(d.step) AS roughness FROM keys k LEFT JOIN d USING (sample_name, i) GROUP BY ALL),
+u AS (
+  SELECT sample_name, 'SubstratumRelativeCoverage' AS feature, 100.0::DOUBLE * n / 64 AS value FROM cc
+  UNION ALL SELECT sample_name, 'Homogenity', avg(1.0::DOUBLE / (1 + (i - j) * (i - j))) FROM tr GROUP BY ALL
+  UNION ALL SELECT sample_name, 'ThicknessThreshold=' || CAST(threshold AS VARCHAR), thickness FROM th JOIN t USING (i)
+  UNION ALL SELECT sample_name, 'RoughnessThreshold=' || CAST(threshold AS VARCHAR), roughness FROM th JOIN t USING (i)
+  UNION ALL FROM (UNPIVOT x ON COLUMNS(* EXCLUDE (sample_name)) INTO NAME feature VALUE value)
+  UNION ALL FROM (UNPIVOT sp ON COLUMNS(* EXCLUDE (sample_name)) INTO NAME feature VALUE value)
+  UNION ALL FROM (UNPIVOT gl ON COLUMNS(* EXCLUDE (sample_name)) INTO NAME feature VALUE value)
+)
+SELECT sample_name, feature, round(value, 6) AS value FROM u"""
+
+
+@query(_STACK)
+def stack_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is one for a stack, and its global measures, from one pass over layers."""
+    images = layers(spark, sf_dir)
+    measured = kept(K.measure(images, VOXEL), "measured")
+    tops = K.open_stacks(measured)
+    rows = K.stack_rows(measured, None if tops.isEmpty() else K.transitions(images, tops)).unionByName(K.global_rows(measured))
+    return rows.select("sample_name", "feature", F.round("value", 6).alias("value"))
