@@ -6,7 +6,9 @@ configurations, folds), never rows. scikit-learn's forests, folds and searches c
 
 from __future__ import annotations
 
+import ast
 import random
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -108,8 +110,11 @@ def fold_features(train: DataFrame, test: DataFrame, n_components, threshold_fla
             return train, test, None
         pick = F.array(*[F.get(vec, F.lit(i)) for i in threshold_places])
         return train.withColumn(vec, pick), test.withColumn(vec, pick), None
+    from .benchmark import reduced
+    from .reduce import ReduceFeatures
+
     v = svd(train, int(n_components), vec)
-    return project(train, v, vec), project(test, v, vec), v
+    return reduced(train, ReduceFeatures(None, v, vec)), reduced(test, ReduceFeatures(None, v, vec)), v
 
 
 def ablation(rows: DataFrame, names: Sequence[str], k: int, step: int = 20, fold: str = "fold", seed: int = 42) -> DataFrame:
@@ -139,60 +144,76 @@ def learning_curve(rows: DataFrame, ranks: DataFrame, counts: Sequence[int], gro
 
 
 def benchmark_plan(repetitions: int, configurations: Sequence[tuple], folds: int, models: Sequence[str]) -> Iterator[tuple]:
-    """Every evaluation of a benchmark, in order."""
-    for r in range(repetitions):
-        for c in configurations:
-            for f in range(folds):
-                for m in models:
-                    yield (r, *c, f, m)
+    """Every evaluation of a benchmark, in order: (repetition, count, flag, setting, fold, model)."""
+    return ((r, *c, f, m) for r in range(repetitions) for c in configurations for f in range(folds) for m in models)
 
 
-def benchmark(rows: DataFrame, configurations: Sequence[tuple], models: Sequence[str], k: int, repetitions: int = 1, threshold_places: Sequence[int] = (), tag: str = "all", done: set | None = None, fold: str = "fold") -> DataFrame:
-    """Result rows of a benchmark: tag, repetition, model, n_components, thr_features, component_setting, fold, accuracy.
+def benchmark(rows: DataFrame, configurations: Sequence[tuple], models: Sequence[str], k: int, repetitions: int = 1, threshold_places: Sequence[int] = (), tag: str = "all", path: str | None = None, fold: str = "fold") -> DataFrame:
+    """Result rows of a benchmark by rising accuracy, kept at `path` evaluation by evaluation; without a path, in a scratch folder of this run's own."""
+    from ..scratch import scratch_root
+    from .benchmark import run
 
-    Folds are prepared once for all learners; evaluations in `done` (repetition, setting, flag, fold, model) are left out, so a run can go on
-    where it stopped.
-    """
-    out = []
-    for r in range(repetitions):
-        for n, flag, setting in configurations:
-            for f in range(k):
-                left = [m for m in models if (r, setting, flag, f, m) not in (done or set())]
-                if not left:
-                    continue
-                train, test, _ = fold_features(rows.filter(F.col(fold) != f), rows.filter(F.col(fold) == f), n, flag, threshold_places)
-                both, _ = indexed(vectors(train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True)))))
-                both = both.cache()
-                for m in left:
-                    if m == "dummy":
-                        top = both.filter("NOT _test").groupBy("label_idx").count().orderBy(F.desc("count"), "label_idx").first()[0]
-                        hit = both.filter("_test").agg(F.avg((F.col("label_idx") == top).cast("double"))).first()[0]
-                    else:
-                        hit = learner(m).fit(both.filter("NOT _test")).transform(both.filter("_test")).agg(F.avg((F.col("prediction") == F.col("label_idx")).cast("double"))).first()[0]
-                    out.append((tag, r, m, str(n), flag, setting, f, float(hit)))
-                both.unpersist()
-    return rows.sparkSession.createDataFrame(out, "tag string, repetition int, model string, n_components string, thr_features boolean, component_setting string, fold int, accuracy double").orderBy("accuracy")
-
-
-def save_model(model, names: Sequence[str], labels: Sequence[str], path: str, spark) -> None:
-    """A fitted model and its metadata side by side: <path>/model and <path>/meta."""
-    PipelineModel([model]).write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(list(names), list(labels))], "feature_names array<string>, labels array<string>").write.mode("overwrite").parquet(f"{path}/meta")
-
-
-def load_model(path: str, spark) -> tuple[PipelineModel, list[str], list[str]]:
-    meta = spark.read.parquet(f"{path}/meta").first()
-    return PipelineModel.load(f"{path}/model"), meta["feature_names"], meta["labels"]
+    path = path or f"{scratch_root(rows.sparkSession)}/benchmark-{uuid.uuid4().hex}"
+    return run(rows, configurations, models, k, path, repetitions, threshold_places, tag, fold=fold).orderBy("accuracy", "repetition", "component_setting", "thr_features", "fold", "model")
+
+
+def forest_parameters(told: str) -> dict:
+    """The parameters of a forest as `tuned_forest` tells them."""
+    return dict(ast.literal_eval(told))
+
+
+def save_model(model, names: Sequence[str], labels: Sequence[str], path: str, spark, **meta) -> None:
+    """A fitted model, or a pipeline of a `ReduceFeatures` and one, and its metadata side by side: <path>/model and <path>/meta."""
+    pipeline = model if isinstance(model, PipelineModel) else PipelineModel([model])
+    pipeline.write().overwrite().save(f"{path}/model")
+    kinds = {"n_components": "string", "thr_features": "boolean", "thr_indices": "array<int>", "filter_mode": "string", "model_name": "string", "cv_accuracy": "double", "best_params": "string", "best_cv_score": "double"}
+    schema = ", ".join(["feature_names array<string>", "labels array<string>", *[f"{c} {t}" for c, t in kinds.items()]])
+    spark.createDataFrame([(list(names), list(labels), *[meta.get(c) for c in kinds])], schema).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def model_meta(path: str, spark) -> Row | None:
+    """The metadata saved beside a model, or None if it has none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.parquet(f"{path}/meta").first()
+
+
+def load_model(path: str, spark) -> tuple[PipelineModel, list[str] | None, list[str] | None]:
+    """(pipeline, feature names, labels); a model without metadata still loads, its names and labels are None."""
+    meta = model_meta(path, spark)
+    return PipelineModel.load(f"{path}/model"), *((None, None) if meta is None else (meta["feature_names"], meta["labels"]))
+
+
+def _width(pipeline: PipelineModel) -> int | None:
+    """Entries a vector must have for a model, as far as it tells."""
+    first, last = pipeline.stages[0], pipeline.stages[-1]
+    n = first.takes() if hasattr(first, "takes") else None
+    picks = hasattr(first, "places") and (first.places is not None or first.matrix is not None)
+    return n if picks else getattr(last, "numFeatures", None)
 
 
 def score(aligned: DataFrame, path: str, key: str = "sample_name") -> DataFrame:
-    """(key, predicted, confidence, probabilities) of aligned long rows (key, feature, position, value) by a saved model."""
+    """(key, predicted, confidence, probabilities) of aligned long rows (key, feature, position, value) by a saved model.
+
+    A row the model can't take (too few or too many entries, an empty one, one that is no number) gets ERROR, 0.0 and no probabilities; the
+    others stay as they are. Labels of a model without metadata are `class_<number>`.
+    """
     spark = aligned.sparkSession
-    model, _, labels = load_model(path, spark)
+    pipeline, names, labels = load_model(path, spark)
     rows = aligned.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda x: x["value"]).alias("vec"))
-    done = model.transform(vectors(rows)).withColumn("probabilities", vector_to_array("probability"))
-    names = F.array(*[F.lit(x) for x in labels])
-    return done.select(key, F.coalesce(F.get(names, F.col("prediction").cast("int")), F.concat(F.lit("class_"), F.col("prediction").cast("int").cast("string"))).alias("predicted"), F.array_max("probabilities").alias("confidence"), "probabilities")
+    width = len(names) if names else _width(pipeline)
+    fits = ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    fits = F.coalesce(fits if width is None else fits & (F.size("vec") == width), F.lit(False))
+    # rows that don't fit are scored as zeros and marked, so that one of them ends no task
+    zeros = F.array_repeat(F.lit(0.0), width) if width else F.transform("vec", lambda v: F.lit(0.0))
+    safe = rows.withColumn("_fits", fits).withColumn("vec", F.when(F.col("_fits"), F.col("vec")).otherwise(zeros))
+    reduces = hasattr(pipeline.stages[0], "places")
+    done = pipeline.transform(safe if reduces else vectors(safe)).withColumn("probabilities", F.when(F.col("_fits"), vector_to_array("probability")))
+    code = F.col("prediction").cast("int")
+    known = F.get(F.array(*[F.lit(x) for x in labels]), code) if labels else F.lit(None).cast("string")
+    label = F.when(F.col("_fits"), F.coalesce(known, F.concat(F.lit("class_"), code.cast("string")))).otherwise("ERROR")
+    return done.select(key, label.alias("predicted"), F.when(F.col("_fits"), F.array_max("probabilities")).otherwise(0.0).alias("confidence"), "probabilities")
 
 
 def linkage(distances: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
@@ -268,7 +289,6 @@ def _nodes(tree) -> list:
     return out
 
 
-
 def score_models(aligned: DataFrame, paths: dict[str, str], key: str = "sample_name") -> DataFrame:
     """One row per sample with `<model>_prediction` and `<model>_confidence`; a model that can't be read or applied gives ERROR and 0.0."""
     out = aligned.select(key).distinct()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as X
+from ..operators import benchmark as B
 from ..operators import evaluate as V
 from ..operators import features as A
 from ..operators import folds as S
@@ -32,8 +32,12 @@ def generate_features(spark: SparkSession, images: str, voxel: tuple[float, floa
     return K.feature_rows(measured, x * y * z, None if tops.isEmpty() else K.transitions(layers, tops))
 
 
-def train(rows: DataFrame, names: Sequence[str], target: str, k: int = 3, ci: bool = False) -> DataFrame:
-    """Benchmark of labelled vectors (key, label, vec); the best configuration's forest, tuned by a random search, is fitted on all rows and saved at `target`. Returns the result table."""
+def train(rows: DataFrame, names: Sequence[str], target: str, k: int = 3, ci: bool = False, learner: str = "rf", draws: int = 0, filter_mode: str = "all") -> DataFrame:
+    """Benchmark of labelled vectors (key, label, vec); the best configuration's learner, a forest tuned by a random search, is fitted on all rows and saved at `target`.
+
+    Whatever configuration is best can be saved: what it takes of a vector is saved with it. The benchmark keeps each evaluation below `target`, so a
+    stopped run goes on there; `draws` tunes forests inside each evaluation too. Returns the result table.
+    """
     config = M.runtime_config(ci)
     used = Q.drop_unlabelled(rows)
     k = min(k, S.require_k(used, "label"))
@@ -41,13 +45,8 @@ def train(rows: DataFrame, names: Sequence[str], target: str, k: int = 3, ci: bo
     folded = S.stratified_folds(used, "label", key, k)
     thresholds = [i for i, n in enumerate(names) if "Threshold" in n]
     plan = V.configuration_grid(config["components"], len(names), len(thresholds))
-    results = M.benchmark(folded, plan, ["dummy", "rf"], k, config["repetitions"], thresholds)
-    best = V.best_configuration(results).filter("model = 'rf'").first()
-    if best["n_components"] != "all" or (thresholds and not best["thr_features"]):
-        raise ValueError(f"a saved model takes all columns, not {best['n_components']} components (threshold features only: {not best['thr_features']})")
-    chosen = dict(ast.literal_eval(M.tuned_forest(folded, k, config["draws"]).first()["parameters"]))
-    data, labels = M.indexed(M.vectors(used))
-    M.save_model(M.learner("rf").setParams(**chosen).fit(data), names, labels.labels, target, rows.sparkSession)
+    results = B.run(folded, plan, ["dummy", learner], k, f"{target}/benchmark", config["repetitions"], thresholds, filter_mode, draws, key)
+    B.final_model(used.select(key, "label", "vec"), names, results, learner, target, thresholds, config["draws"], k, filter_mode=filter_mode)
     return results
 
 
