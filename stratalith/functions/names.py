@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 # fixed values: the image name format, families of generated features, labels that count as none
 IMAGE_PATTERN = r"(?i)^(\d{8})[-_]s[-_]([^_-]+)[-_]st[-_]([^_-]+)[-_]p[-_]([^_-]+)[-_]pos([^_-]+)[-_]tm[-_]([^_-]+)[-_]ch[-_]([^_-]+)[-_]z[-_]([^_-]+)$"
 NAME_FIELDS = ["date", "species", "label", "well", "position", "time", "channel", "z"]
-FEATURE_PREFIXES = "counts diff max med mean std min minProp BioVolume Substratum Homogen Spreading GPT CustomAlgos DiffGlobal eigen globalMean mdiffs RoughnessThreshold ThicknessThreshold Area2D surf3D vol3D compactness".split()
+FEATURE_PREFIXES = ["counts", "diff", "max", "med", "mean", "std", "min", "minProp", "BioVolume", "Substratum", "Homogen", "Spreading", "GPT", "CustomAlgos", "DiffGlobal", "eigen", "globalMean", "mdiffs", "RoughnessThreshold", "ThicknessThreshold", "Area2D", "surf3D", "vol3D", "compactness"]
 NO_LABELS = ["", "unknown", "missing", "unlabelled", "unlabeled"]
 LEARNERS = {"rf": "Random forest", "dummy": "Majority baseline", "decisiontree": "Decision tree", "logistic": "Logistic regression", "xgb": "Gradient boosting", "gridsearch": "Nearest neighbours"}
 LEARNER_CLASSES = [("randomforestclassifier", "rf"), ("dummyclassifier", "dummy"), ("decisiontreeclassifier", "decisiontree"), ("logisticregression", "logistic"), ("xgbclassifier", "xgb"), ("gridsearchcv", "gridsearch"), ("kneighborsclassifier", "gridsearch")]
-LEGACY_SVD = ["16", "32", "64", "128", "256", "512"]
+LEGACY_SVD = [16, 32, 64, 128, 256, 512]
+# fixed values: preprocessing settings, in order of report: key, other spelling, words
+SETTINGS = [("all_columns", "all", "All generated columns"), ("threshold_only", None, "Threshold-derived columns only")]
+# fixed values: where a name of other separators has its fields: the token looked for (none: the first), steps behind it, and what a field's token begins with
+TOKEN_PLACES = {"date": (None, 0, ""), "species": (None, 2, ""), "label": ("st", 1, ""), "well": ("p", 1, ""), "position": ("p", 2, "pos"), "time": ("p", 3, "tm"), "channel": ("p", 4, "ch"), "z": ("p", 5, "z")}
 
 
 def token(name: Column, i: int) -> Column:
@@ -59,15 +63,28 @@ def is_image_name(name: Column) -> Column:
     return F.rlike(name, F.lit(IMAGE_PATTERN))
 
 
+def sample_fields(sample: Column) -> Column:
+    """All fields of a sample or file name as an array in the order of NAME_FIELDS, or null.
+
+    A name of the format is matched once, whatever its separators. Any other name has its fields by token if it has 14 tokens, eight digits
+    first, and none of its fields is missing.
+    """
+    bare = stem(F.substring_index(F.replace(sample, F.lit("--"), F.lit("_")), "/", -1))
+    matched = F.split(F.regexp_replace(bare, IMAGE_PATTERN, "\u0000".join(f"${i + 1}" for i in range(len(NAME_FIELDS)))), "\u0000")
+    tokens = F.filter(F.split(stem(F.substring_index(sample, "/", -1)), "[-_]+"), lambda t: t != "")
+
+    def place(mark: str | None, steps: int) -> Column:
+        # array_position counts from 1 and gives 0 for none: null then, as is what lies behind the last token
+        return F.lit(steps + 1) if mark is None else F.nullif(F.array_position(tokens, mark), F.lit(0).cast("long")).cast("int") + steps
+
+    found = F.array(*[F.regexp_replace(F.get(tokens, place(mark, steps) - 1), f"^{prefix}", "") for mark, steps, prefix in (TOKEN_PLACES[f] for f in NAME_FIELDS)])
+    whole = (F.size(tokens) >= 14) & F.rlike(F.get(tokens, F.lit(0)), F.lit(r"^\d{8}$")) & ~F.exists(found, lambda t: t.isNull())
+    return F.when(F.size(matched) == len(NAME_FIELDS), matched).when(whole, found)
+
+
 def sample_field(sample: Column, field: str) -> Column:
-    """A field of a sample name: by the format, else by its tokens (at least 14, eight digits first), else null."""
-    flat = F.replace(sample, F.lit("--"), F.lit("_"))
-    tokens = F.filter(F.split(sample, "[-_]+"), lambda t: t != "")
-    st, plate = F.array_position(tokens, "st").cast("int"), F.array_position(tokens, "p").cast("int")
-    at = lambda i: F.get(tokens, i)
-    by_token = {"date": at(F.lit(0)), "species": at(F.lit(2)), "label": at(st), "well": at(plate), "position": F.regexp_replace(at(plate + 1), "^pos", ""), "time": F.regexp_replace(at(plate + 2), "^tm", ""), "channel": F.regexp_replace(at(plate + 3), "^ch", ""), "z": F.regexp_replace(at(plate + 4), "^z", "")}
-    usable = (F.size(tokens) >= 14) & F.rlike(at(F.lit(0)), F.lit(r"^\d{8}$")) & (st > 0) & (plate > 0)
-    return F.when(is_image_name(flat), image_field(flat, field)).when(usable, by_token[field])
+    """One field of a sample name, null if the name doesn't tell. Several are cheaper from one `sample_fields`."""
+    return F.get(sample_fields(sample), F.lit(NAME_FIELDS.index(field)))
 
 
 def replication_group(sample: Column, unit: str) -> Column:
@@ -128,30 +145,39 @@ def safe_report_name(name: Column, longest: int = 80) -> Column:
 
 
 def configuration_key(setting: Column, components: Column, threshold_flag: Column) -> Column:
-    """One key for a preprocessing configuration, from current or legacy columns."""
-    explicit = F.lower(F.trim(F.coalesce(setting, F.lit(""))))
-    n = F.trim(F.coalesce(components, F.lit("unknown")))
-    ends = F.when(truthy(F.coalesce(threshold_flag, F.lit("true"))), F.lit("all_columns")).otherwise(F.lit("threshold_only"))
-    whole = F.when(F.rlike(n, F.lit(r"^\d+(\.0*)?$")), F.regexp_replace(n, r"\.0*$", ""))
-    return F.when((explicit != "") & (explicit != "nan"), explicit).when(F.lower(n) == "all", ends).when(whole.isin(LEGACY_SVD), F.concat(F.lit("svd_"), whole)).otherwise(ends)
+    """One key for a preprocessing configuration: what a result names, else an SVD by its number of components if that is one that was published, else what the flag says.
+
+    Results without a setting have the number of columns itself where no SVD was made, so any other number is no SVD.
+    """
+    named = F.nullif(F.nullif(F.lower(F.trim(setting)), F.lit("")), F.lit("nan"))
+    count = F.trim(components).try_cast("double").cast("int")
+    published = F.when(F.array_contains(F.array(*[F.lit(n) for n in LEGACY_SVD]), count), F.concat(F.lit("svd_"), count.cast("string")))
+    by_flag = F.get(F.array(*[F.lit(key) for key, _, _ in SETTINGS]), (~F.coalesce(truthy(threshold_flag), F.lit(True))).cast("int"))
+    return F.coalesce(named, published, by_flag)
+
+
+def _setting_number(key: Column) -> Column:
+    """The place of a key in SETTINGS under either spelling, else null."""
+    return F.coalesce(*[F.when(key.isin(*[k for k in spellings if k]), F.lit(i)) for i, spellings in enumerate((key, other) for key, other, _ in SETTINGS)])
 
 
 def configuration_display(key: Column) -> Column:
     """Words for a configuration key."""
-    svd = r"^svd_(.+?)(_(all_columns|threshold_only))?$"
-    words = F.replace(key, F.lit("_"), F.lit(" "))
-    return (
-        F.when(key.isin("all", "all_columns"), F.lit("All generated columns"))
-        .when(key == "threshold_only", F.lit("Threshold-derived columns only"))
-        .when(F.rlike(key, F.lit(svd)), F.concat(F.lit("SVD "), F.regexp_extract(key, svd, 1), F.lit(" components"), F.when(F.regexp_extract(key, svd, 3) == "threshold_only", F.lit(" (threshold-derived input)")).otherwise(F.lit(""))))
-        .otherwise(F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1000))))
+    parts = F.split(F.regexp_replace(key, "^svd_(.+?)(?:_(all_columns|threshold_only))?$", "svd\u0000$1\u0000$2"), "\u0000")
+    note = F.when(F.get(parts, F.lit(2)) == "threshold_only", " (threshold-derived input)").otherwise("")
+    words = F.lower(F.replace(key, F.lit("_"), F.lit(" ")))
+    return F.coalesce(
+        F.get(F.array(*[F.lit(told) for _, _, told in SETTINGS]), _setting_number(key)),
+        F.when(F.size(parts) == 3, F.concat(F.lit("SVD "), F.get(parts, F.lit(1)), F.lit(" components"), note)),
+        F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000)),
     )
 
 
 def configuration_order(key: Column) -> Column:
-    """All columns first, then thresholds only, then SVD by number of components."""
-    n = F.regexp_extract(key, r"^svd_([0-9.]+)", 1)
-    return F.struct(F.when(key.isin("all", "all_columns"), 0).when(key == "threshold_only", 1).otherwise(2).alias("kind"), F.when(key.isin("all", "all_columns", "threshold_only"), F.lit(0.0)).when(n != "", n.try_cast("double")).otherwise(F.lit(float("inf"))).alias("n"), key.alias("key"))
+    """Sorts configurations as reports have them: SETTINGS first, then by number of components, those without a number last."""
+    number = F.regexp_extract(key, "^svd_([0-9.]+)", 1).try_cast("double")
+    rank = _setting_number(key)
+    return F.struct(F.coalesce(rank, F.lit(len(SETTINGS))).alias("kind"), F.when(rank.isNotNull(), 0.0).otherwise(F.coalesce(number, F.lit(float("inf")))).alias("n"), key.alias("key"))
 
 
 def classification_scope(file_stem: Column) -> Column:

@@ -127,63 +127,67 @@ def result_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # names of current and legacy results
-_RESULTS = [
-    ("rf", "all", "True", None, 0.8),
-    ("rf", "16", "True", "svd_16", 0.7),
-    ("RandomizedSearchCV(estimator=RandomForestClassifier())", "2700", "True", None, 0.9),
-    ("RandomizedSearchCV(estimator=RandomForestClassifier())", "580", "False", "", 0.6),
-    ("DummyClassifier()", "32", "False", "nan", 0.1),
-    ("GridSearchCV(estimator=KNeighborsClassifier())", "all", "0", None, 0.5),
-    ("XGBClassifier(" + "x" * 120 + ")", "64.0", "yes", "All_Columns", 0.75),
-    ("  odd   learner (v2) ", "128", "no", None, 0.3),
-    ("odd  " + "long name " * 12, "256", "1", None, 0.35),
-    ("LogisticRegression(max_iter=1000)", "512", "true", "threshold_only", 0.45),
-    ("decisiontree", "all", "false", "svd_16_threshold_only", 0.25),
-    ("", "all", "true", "custom_setting", 0.2),
-]
-_VALUES = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in _RESULTS) + ") v(model, n_components, thr_features, component_setting, accuracy)"
-
-
-def _results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_RESULTS, "model string, n_components string, thr_features string, component_setting string, accuracy double")
+# names and settings as result files have them, dealt over orders: {n} is a number of the order
+_MODELS = ["rf", "RandomForestClassifier(n_estimators={n})", "DummyClassifier()", "GridSearchCV(estimator=KNeighborsClassifier({n}))", "XGBClassifier(" + "x" * 120 + "{n})", "  odd   learner (v{n}) ", "odd  " + "long name " * 12 + "{n}", "LogisticRegression(max_iter={n})", "decisiontree", "", " Dummy "]
+_COMPONENTS = ["all", "16", "64.0", "128", "2660", "x", "512"]
+_FLAGS = ["true", "1", "False", "no", "YES"]
+_NAMED = [None, "nan", "", "All_Columns", "svd_16_threshold_only", "custom_setting", "threshold_only", "svd_32"]
+
+
+def _sql_list(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+_VALUES = f"""(SELECT replace({_sql_list(_MODELS)}[o_orderkey % 11 + 1], '{{n}}', CAST(o_custkey % 50 AS VARCHAR)) AS model, {_sql_list(_COMPONENTS)}[o_custkey % 7 + 1] AS n_components,
+ {_sql_list(_FLAGS)}[(o_orderkey + o_custkey) % 5 + 1] AS thr_features, {_sql_list(_NAMED)}[o_custkey % 8 + 1] AS component_setting, o_custkey % 1000 / 1000.0 AS accuracy FROM orders) v"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (i % len(values)).cast("int"))
+    model = F.replace(pick(_MODELS, key), F.lit("{n}"), (customer % 50).cast("string"))
+    return table(spark, sf_dir, "orders").select(model.alias("model"), pick(_COMPONENTS, customer).alias("n_components"), pick(_FLAGS, key + customer).alias("thr_features"), pick(_NAMED, customer).alias("component_setting"), (customer % 1000 / 1000.0).alias("accuracy"))
 
 
 _CANON = "CASE WHEN lower(r) IN (" + ", ".join(f"'{k}'" for k in N.LEARNERS) + ") THEN lower(r) " + " ".join(f"WHEN contains(lower(r), '{p}') THEN '{k}'" for p, k in N.LEARNER_CLASSES) + " WHEN r = '' THEN 'model' ELSE r END"
 _RAW = rf"(SELECT *, trim(regexp_replace(model, '\s+', ' ', 'g')) AS r FROM {_VALUES})"
 
 
-@query(f"SELECT model, {_CANON} AS learner, count(*) AS n_orders FROM {_RAW}, nation GROUP BY ALL")
+@query(f"SELECT model, {_CANON} AS learner, count(*) AS n_orders FROM {_RAW} GROUP BY ALL")
 def canonical_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _results(spark).join(F.broadcast(table(spark, sf_dir, "nation")), how="cross")
-    return rows.select("model", N.canonical_learner(F.col("model")).alias("learner")).groupBy("model", "learner").agg(F.count("*").alias("n_orders"))
+    return _results(spark, sf_dir).groupBy("model").agg(F.count("*").alias("n_orders")).select("model", N.canonical_learner(F.col("model")).alias("learner"), "n_orders")
 
 
 _SAFE = rf"(SELECT model, CASE WHEN r = '' THEN 'model' ELSE r END AS raw, regexp_replace(regexp_replace({_CANON}, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe FROM {_RAW})"
 
 
-@query(f"SELECT model, CASE WHEN length(safe) > 80 THEN regexp_replace(substr(safe, 1, 67), '_+$', '') || '_' || substr(sha256(raw), 1, 12) WHEN safe = '' THEN 'model' ELSE safe END AS report_name FROM {_SAFE}")
+@query(f"SELECT DISTINCT model, CASE WHEN length(safe) > 80 THEN regexp_replace(substr(safe, 1, 67), '_+$', '') || '_' || substr(sha256(raw), 1, 12) WHEN safe = '' THEN 'model' ELSE safe END AS report_name FROM {_SAFE}")
 def safe_report_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(spark).select("model", N.safe_report_name(F.col("model")).alias("report_name"))
+    return _results(spark, sf_dir).select("model").distinct().select("model", N.safe_report_name(F.col("model")).alias("report_name"))
 
 
 _CONFIG = r"""(SELECT *, CASE WHEN s NOT IN ('', 'nan') THEN s WHEN lower(n_components) = 'all' THEN e WHEN regexp_replace(n_components, '\.0*$', '') IN ('16', '32', '64', '128', '256', '512') THEN 'svd_' || regexp_replace(n_components, '\.0*$', '') ELSE e END AS k
-FROM (SELECT *, lower(trim(coalesce(component_setting, ''))) AS s, CASE WHEN lower(trim(thr_features)) IN ('true', '1', 'yes') THEN 'all_columns' ELSE 'threshold_only' END AS e FROM """ + _VALUES + "))"
+FROM (SELECT *, lower(trim(coalesce(component_setting, ''))) AS s, CASE WHEN lower(trim(thr_features)) IN ('true', '1', 'yes') THEN 'all_columns' ELSE 'threshold_only' END AS e FROM
+ (SELECT n_components, thr_features, component_setting, count(*) AS n, avg(accuracy) AS accuracy FROM """ + _VALUES + " GROUP BY ALL)))"
 
 
-@query(rf"""SELECT model, n_components, k AS configuration, CASE WHEN k IN ('all', 'all_columns') THEN 'All generated columns' WHEN k = 'threshold_only' THEN 'Threshold-derived columns only'
+@query(rf"""SELECT n_components, thr_features, component_setting, n, round(accuracy, 9) AS accuracy, k AS configuration, CASE WHEN k IN ('all', 'all_columns') THEN 'All generated columns' WHEN k = 'threshold_only' THEN 'Threshold-derived columns only'
  WHEN starts_with(k, 'svd_') THEN 'SVD ' || regexp_extract(k, '^svd_(.+?)(_(all_columns|threshold_only))?$', 1) || ' components' || CASE WHEN ends_with(k, '_threshold_only') THEN ' (threshold-derived input)' ELSE '' END
  ELSE upper(substr(k, 1, 1)) || replace(substr(k, 2), '_', ' ') END AS configuration_name,
- row_number() OVER (ORDER BY CASE WHEN k IN ('all', 'all_columns') THEN 0 WHEN k = 'threshold_only' THEN 1 ELSE 2 END, coalesce(TRY_CAST(regexp_extract(k, '^svd_([0-9.]+)', 1) AS DOUBLE), CASE WHEN k IN ('all', 'all_columns', 'threshold_only') THEN 0 ELSE 1e9 END), k, model, n_components) AS place FROM {_CONFIG}""")
+ row_number() OVER (ORDER BY CASE WHEN k IN ('all', 'all_columns') THEN 0 WHEN k = 'threshold_only' THEN 1 ELSE 2 END, coalesce(TRY_CAST(regexp_extract(k, '^svd_([0-9.]+)', 1) AS DOUBLE), CASE WHEN k IN ('all', 'all_columns', 'threshold_only') THEN 0 ELSE 1e9 END), k, n_components, thr_features, component_setting NULLS FIRST) AS place FROM {_CONFIG}""")
 def configuration_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = V.with_configuration(_results(spark))
-    place = F.row_number().over(Window.orderBy(N.configuration_order(F.col("configuration")), "model", "n_components"))
-    return rows.select("model", "n_components", "configuration", "configuration_name", place.cast("long").alias("place"))
+    by = ["n_components", "thr_features", "component_setting"]
+    rows = _results(spark, sf_dir).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 9).alias("accuracy"))
+    named = V.with_configuration(rows.withColumn("model", F.lit("rf")))
+    place = F.row_number().over(Window.orderBy(N.configuration_order(F.col("configuration")), *by))
+    return named.select(*by, "n", "accuracy", "configuration", "configuration_name", place.cast("long").alias("place"))
 
 
-_PREF_ROWS = [("rf", "16", "true", None, 1.0), ("rf", "all", "true", None, 0.5), ("rf", "all", "false", None, 0.4), ("knn", "16", "false", "svd_16", 0.3), ("knn", "all", "true", "all_columns", 0.2), ("tree", "32", "no", None, 0.6), ("tree", "64", "no", None, 0.7), ("odd", "x", "no", None, 0.1)]
-_PREF = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in _PREF_ROWS) + ") v(model, n_components, thr_features, component_setting, accuracy)"
+# thirty learners: every third one has results with settings, every third one with flags, and every fifth one with other columns than its largest number
+_PREF = f"""(SELECT CAST(o_custkey % 30 AS VARCHAR) AS model, CASE WHEN o_custkey % 5 = 0 THEN 'x' ELSE {_sql_list(_COMPONENTS)}[o_orderkey % 7 + 1] END AS n_components, CASE WHEN o_custkey % 3 = 1 THEN ['true', 'no'][o_orderkey % 2 + 1] ELSE 'no' END AS thr_features,
+ CASE WHEN o_custkey % 3 = 0 THEN {_sql_list(_NAMED)}[o_orderkey % 8 + 1] END AS component_setting, o_custkey % 1000 / 1000.0 AS accuracy FROM orders WHERE o_custkey % 4 <> 0 OR o_orderkey % 7 <> 0) v"""
 
 
 @query(f"""WITH a AS (SELECT *, lower(coalesce(component_setting, '')) IN ('all', 'all_columns') AS ex, thr_features IN ('true', '1', 'yes') AS fl FROM {_PREF}),
@@ -191,8 +195,18 @@ b AS (SELECT *, bool_or(ex) OVER (PARTITION BY model) AS anyex, bool_or(fl) OVER
 d AS (SELECT *, bool_or(n_components = 'all') OVER (PARTITION BY model) AS anyall, max(TRY_CAST(n_components AS DOUBLE)) OVER (PARTITION BY model) AS top FROM c)
 SELECT model, n_components, thr_features, component_setting, CAST(accuracy AS DOUBLE) AS accuracy FROM d WHERE anyex OR CASE WHEN anyall THEN n_components = 'all' ELSE top IS NULL OR TRY_CAST(n_components AS DOUBLE) = top END""")
 def preferred_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_PREF_ROWS, "model string, n_components string, thr_features string, component_setting string, accuracy double")
-    return V.preferred_configuration(rows)
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (key % len(values)).cast("int"))
+    rows = table(spark, sf_dir, "orders").filter((customer % 4 != 0) | (key % 7 != 0))
+    return V.preferred_configuration(
+        rows.select(
+            (customer % 30).cast("string").alias("model"),
+            F.when(customer % 5 == 0, "x").otherwise(pick(_COMPONENTS)).alias("n_components"),
+            F.when(customer % 3 == 1, pick(["true", "no"])).otherwise("no").alias("thr_features"),
+            F.when(customer % 3 == 0, pick(_NAMED)).alias("component_setting"),
+            (customer % 1000 / 1000.0).alias("accuracy"),
+        )
+    )
 
 
 @query(f"SELECT m.model, c.n_components, f.fold FROM (SELECT DISTINCT model FROM {_PRED}) m, (VALUES ('all'), ('16'), ('64')) c(n_components), (SELECT CAST(i AS INTEGER) AS fold FROM range(0, 6) t(i)) f WHERE NOT EXISTS (SELECT 1 FROM {_PRED} p WHERE p.model = m.model AND p.n_components = c.n_components AND p.fold = f.fold)")

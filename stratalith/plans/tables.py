@@ -146,7 +146,8 @@ _NEW_SAMPLE_SQL = f"(SELECT o_orderkey, replace({_BROKEN_SQL}, '_', '--') AS s F
 def sample_name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _broken(_files(spark, sf_dir)).select("o_orderkey", N.sample_from_file(F.col("base")).alias("s"))
     c = F.col("s")
-    return s.select("o_orderkey", *[N.sample_field(c, f).alias(f) for f in ("date", "label", "well", "position")], N.without_position(c).alias("no_pos"), N.date_and_strain(c).alias("date_strain"), N.pool(c).alias("pool"))
+    fields = s.withColumn("fields", N.sample_fields(c))
+    return fields.select("o_orderkey", *[F.get("fields", F.lit(N.NAME_FIELDS.index(f))).alias(f) for f in ("date", "label", "well", "position")], N.without_position(c).alias("no_pos"), N.date_and_strain(c).alias("date_strain"), N.pool(c).alias("pool"))
 
 
 @query(f"SELECT t[1] AS date, t[1] || '::' || t[7] AS well, t[1] || '::' || t[7] || '::' || substr(t[8], 4) AS position, count(*) AS n FROM (SELECT string_split(s, '--') AS t FROM {_SAMPLE_SQL}) GROUP BY ALL")

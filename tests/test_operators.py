@@ -39,19 +39,20 @@ def test_reshape(spark):
     assert kept.columns == ["sample_name", "v"] and gone == ["Unnamed: 0-index"]
     a, b = spark.createDataFrame([(1, 3), (2, 4)], ["col1", "col2"]), spark.createDataFrame([(5,)], ["col1"])
     assert sorted(map(tuple, A.union_ragged(a, b).collect()), key=str) == sorted([(1, 3), (2, 4), (5, None)], key=str)
-    low = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], ["numeric", "strain"])
-    assert A.one_hot_where_useful(low, ["strain"]).columns == ["numeric", "strain_A", "strain_B"]
-    high = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], ["numeric", "sample_id"])
-    assert A.one_hot_where_useful(high, ["sample_id"]).columns == ["numeric"]
+    # five dishes in three media, each dish with a code of its own
+    dishes = spark.createDataFrame([(0.5, "agar", "q"), (0.7, "broth", "r"), (0.1, "agar", "s"), (0.2, None, "t"), (0.9, "milk", "u")], "load double, medium string, code string")
+    once = A.one_hot_where_useful(dishes, ["medium", "code"])
+    assert once.columns == ["load", "medium_agar", "medium_broth", "medium_milk"]
+    assert [tuple(r)[1:] for r in once.orderBy("load").collect()] == [(1, 0, 0), (0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
 
 
 def test_labels(spark):
-    rows = spark.createDataFrame([("p1", "L1"), ("p2", None), ("p3", "missing")], "sample_name string, label string")
-    assert [r[0] for r in Q.drop_unlabelled(rows).collect()] == ["p1"]
-    with pytest.raises(ValueError, match="2 rows have no label"):
+    rows = spark.createDataFrame([("t", None), ("u", " Missing "), ("v", "wild"), ("w", "missing"), ("x", "mutant"), ("y", None)], "sample_name string, label string")
+    assert sorted(r[0] for r in Q.drop_unlabelled(rows).collect()) == ["v", "x"]
+    with pytest.raises(ValueError, match="4 rows have no label"):
         Q.require_labels(rows)
-    dup = Q.duplicates(spark.createDataFrame([("same", "A"), ("same", "missing")], "sampleName string, label string"), ["sampleName"], "sampleName").first()
-    assert dup["duplicate_rows"] == 2
+    twins = spark.createDataFrame([(n, i) for i, n in enumerate(["k", "m", "k", None, "n", "k", None])], "name string, at long")
+    assert Q.duplicates(twins, ["name"], "name").agg(F.sum("duplicate_rows")).first()[0] == 5
 
 
 def test_spreading(spark):
