@@ -74,38 +74,113 @@ def pooled_sizes(rows: DataFrame, label: str, group: str, counts: Sequence[int])
     return picked.groupBy("n_pools", label).agg(F.sum("count").alias("n_rows"), F.count("*").alias("groups"))
 
 
-def grouped_folds(rows: DataFrame, label: str, group: str, most: int = 5) -> DataFrame:
-    """(group, fold): whole groups to folds, classes as even as can be, the largest k whose folds all train and test every class.
-
-    Only the counts by group and label are collected: `groups` rows of an experiment, not its samples.
-    """
+def _counts(rows: DataFrame, label: str, group: str) -> dict:
+    """Rows by group and label: as many numbers as an experiment has groups and labels, not its samples."""
     counts: dict = {}
     for r in rows.groupBy(group, label).count().collect():
         counts.setdefault(r[group], {})[r[label]] = r["count"]
-    labels = sorted({x for c in counts.values() for x in c})
+    return counts
+
+
+def _deal(counts: dict, k: int, home: dict) -> dict:
+    """Every group without a fold to the one where its classes are fewest, large groups first."""
+    labels = {x for c in counts.values() for x in c}
+    load = [dict.fromkeys(labels, 0) for _ in range(k)]
+    for g, f in home.items():
+        for x, n in counts[g].items():
+            load[f][x] += n
+    home = dict(home)
+    for g in sorted((g for g in counts if g not in home), key=lambda g: (-max(counts[g].values()), -sum(counts[g].values()), str(g))):
+        home[g] = min(range(k), key=lambda f: (sum((load[f][x] + counts[g].get(x, 0)) ** 2 - load[f][x] ** 2 for x in labels), sum(load[f].values()), f))
+        for x, n in counts[g].items():
+            load[home[g]][x] += n
+    return home
+
+
+def _covers(counts: dict, k: int) -> dict | None:
+    """Groups that give each of k folds every class, or None if no choice of groups does. Folds are filled one after the other, by trying and taking back.
+
+    Groups with the same classes are alike here, so they are tried once; the class with the fewest groups left is served first; what was
+    found impossible (groups left by kind, folds left, classes the open fold lacks) isn't tried again.
+    """
+    labels = frozenset(x for c in counts.values() for x in c)
+    kinds: dict[frozenset, list] = {}
+    for g in sorted(counts, key=lambda g: (sum(counts[g].values()), str(g))):
+        kinds.setdefault(frozenset(counts[g]), []).append(g)
+    order = sorted(kinds, key=lambda s: (len(s), sorted(map(str, s))))
+    left, hopeless = [len(kinds[s]) for s in order], set()
+    taken: list[tuple[int, int]] = []
+
+    def fill(fold: int, lacks: frozenset) -> bool:
+        if not lacks:
+            fold, lacks = fold + 1, labels
+        if fold == k:
+            return True
+        state = (tuple(left), fold, lacks)
+        if state in hopeless:
+            return False
+        supply = {x: sum(n for s, n in zip(order, left, strict=True) if x in s) for x in labels}
+        if all(supply[x] >= k - fold - (x not in lacks) for x in labels):
+            scarce = min(lacks, key=lambda x: (supply[x], str(x)))
+            for i in sorted((i for i, s in enumerate(order) if left[i] and scarce in s), key=lambda i: (-len(order[i] & lacks), len(order[i]))):
+                left[i] -= 1
+                taken.append((i, fold))
+                if fill(fold, lacks - order[i]):
+                    return True
+                left[i] += 1
+                taken.pop()
+        hopeless.add(state)
+        return False
+
+    if not labels or not fill(0, labels):
+        return None
+    return {kinds[order[i]].pop(): fold for i, fold in taken}
+
+
+def plan_groups(counts: dict, most: int) -> dict | None:
+    """(group -> fold) of the largest number of folds up to `most` in which every fold tests, and all others train, every class; None if not even two can."""
+    labels = {x for c in counts.values() for x in c}
     spread = min((sum(x in c for c in counts.values()) for x in labels), default=0)
     for k in range(min(most, spread), 1, -1):
-        home, load = {}, [dict.fromkeys(labels, 0) for _ in range(k)]
-        for g in sorted(counts, key=lambda g: (-max(counts[g].values()), -sum(counts[g].values()), str(g))):
-            best = min(range(k), key=lambda f: (sum((load[f][x] + counts[g].get(x, 0)) ** 2 - load[f][x] ** 2 for x in labels), sum(load[f].values()), f))
-            home[g] = best
-            for x, n in counts[g].items():
-                load[best][x] += n
-        totals = {x: sum(f[x] for f in load) for x in labels}
-        if all(0 < f[x] < totals[x] for f in load for x in labels):
-            return rows.sparkSession.createDataFrame(sorted(home.items(), key=str), T.StructType([rows.schema[group], T.StructField("fold", T.IntegerType())]))
-    raise ValueError("no grouped plan has every class in every training and test fold")
-
-
-def feasibility(rows: DataFrame, label: str, group: str, outer: int = 3, inner: int = 5) -> dict:
-    """Can grouped, nested cross-validation be done? status: suitable, limited or unavailable, with the reasons."""
-    per = rows.groupBy(label).agg(F.countDistinct(group).alias("groups")).collect()
-    least = min((r["groups"] for r in per), default=0)
-    out = {"classes": len(per), "groups_per_class": {str(r[0]): r["groups"] for r in per}, "outer": min(outer, least), "inner": min(inner, least - 1) if least else 0}
-    out["status"] = "unavailable" if len(per) < 2 or least < 2 else "limited" if out["inner"] < 2 or least < outer else "suitable"
-    out["ok"] = out["status"] != "unavailable" and out["inner"] >= 2
-    if not out["ok"]:
-        out["reason"] = "nested model tuning needs at least 3 groups in every class"
+        home = _deal(counts, k, {})
+        if any({x for g in counts if home[g] == f for x in counts[g]} != labels for f in range(k)):
+            cover = _covers(counts, k)
+            home = None if cover is None else _deal(counts, k, cover)
+        if home is not None:
+            return home
+    return None
+
+
+def grouped_folds(rows: DataFrame, label: str, group: str, most: int = 5) -> DataFrame:
+    """(group, fold): whole groups to folds, classes as even as can be, the largest k whose folds all train and test every class; an error only if no plan of two folds exists."""
+    home = plan_groups(_counts(rows, label, group), most)
+    if home is None:
+        raise ValueError("no grouped plan has every class in every training and test fold")
+    return rows.sparkSession.createDataFrame(sorted(home.items(), key=str), T.StructType([rows.schema[group], T.StructField("fold", T.IntegerType())]))
+
+
+def feasibility(rows: DataFrame, label: str, group: str, outer: int = 3, inner: int = 5, nested: bool = True) -> dict:
+    """Can grouped cross-validation be done, with tuning inside each outer fold if `nested`? Plans are made, not guessed: status suitable, limited (two folds somewhere) or unavailable, with the reasons."""
+    counts = _counts(rows.filter(F.col(group).isNotNull() & F.col(label).isNotNull()), label, group)
+    labels = sorted({x for c in counts.values() for x in c}, key=str)
+    out = {"classes": len(labels), "groups": len(counts), "groups_per_class": {str(x): sum(x in c for c in counts.values()) for x in labels}, "outer": 0, "inner": [], "warnings": [], "errors": []}
+    plan = plan_groups(counts, outer) if len(labels) > 1 else None
+    if plan is None:
+        out["errors"].append("fewer than two classes" if len(labels) < 2 else "no grouped plan has every class in every training and test fold")
+    else:
+        out["outer"] = max(plan.values()) + 1
+        for f in range(out["outer"] if nested else 0):
+            tuned = plan_groups({g: c for g, c in counts.items() if plan[g] != f}, inner)
+            if tuned is None:
+                out["errors"].append(f"nested model tuning has no plan of folds among the training groups of outer fold {f + 1}")
+                break
+            out["inner"].append(max(tuned.values()) + 1)
+    out["ok"] = not out["errors"]
+    if out["errors"]:
+        out["reason"] = out["errors"][0]
+    if out["ok"] and 2 in (out["outer"], *out["inner"]):
+        out["warnings"].append("only two folds at one stage at least: estimates may be unstable")
+    out["status"] = "unavailable" if out["errors"] else "limited" if out["warnings"] else "suitable"
     return out
 
 

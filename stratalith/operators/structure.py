@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as X
+from .gramian import block_correlations
 
 
 def ranked(scores: DataFrame, score: str = "score", feature: str = "feature") -> DataFrame:
@@ -34,26 +35,8 @@ def best_prefix(ablation: DataFrame) -> DataFrame:
 
 
 def correlations(vectors: DataFrame, names: Sequence[str], vec: str = "vec") -> DataFrame:
-    """Pearson correlation of every pair of named components of an array column, over rows where both are finite: (a, b, r, n), a before b.
-
-    All pairs of a row are folded on the map side into sums, so what is shuffled doesn't depend on the number of rows. A constant
-    component has no correlation (null).
-    """
-    cells = F.transform(F.col(vec), lambda v: X.finite(v.cast("double")))
-    indexed = vectors.select(cells.alias("_v"))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    at = lambda i: F.get("_v", F.lit(i))
-    aggs: list[Column] = []
-    for k, (i, j) in enumerate(pairs):
-        both = at(i).isNotNull() & at(j).isNotNull()
-        a, b = F.when(both, at(i)), F.when(both, at(j))
-        aggs += [F.struct(F.covar_pop(a, b).alias("c"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.count(a).alias("n")).alias(f"p{k}")]
-    if not pairs:
-        return vectors.sparkSession.createDataFrame([], "a string, b string, r double, n long")
-    sums = indexed.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"p{k}").alias("p")) for k, (i, j) in enumerate(pairs)])
-    out = sums.select(F.explode(rows).alias("x")).select("x.a", "x.b", "x.p")
-    return out.select("a", "b", F.try_divide(F.col("p.c"), F.col("p.sa") * F.col("p.sb")).alias("r"), F.col("p.n").alias("n"))
+    """Pearson correlation of every pair of named components of an array column, over rows where both are finite: (a, b, r, n), a before b. A constant component has none (null)."""
+    return block_correlations(vectors, names, vec)
 
 
 def correlation_clusters(names: Sequence[str], pairs: DataFrame, threshold: float = 0.8) -> list[tuple[str, str]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import benchmarks, extras, grids, learners, reports, tables  # noqa: F401  (register their queries)
+from . import benchmarks, estimators, extras, grids, learners, reports, tables  # noqa: F401  (register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

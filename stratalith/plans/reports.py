@@ -11,7 +11,7 @@ from ..sources import occupancy as O
 from ..sources import progress as P
 from .registry import query, table
 
-_DIMS = 12
+_DIMS = 64
 _NAMES = [f"d{i}" for i in range(_DIMS)]
 _LONG = f"(SELECT vec_id, label, 'd' || CAST(i - 1 AS VARCHAR) AS feature, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, {_DIMS + 1}) t(i))"
 _SCORES = f"(SELECT feature, round(var_pop(value), 9) AS score FROM {_LONG} GROUP BY feature)"

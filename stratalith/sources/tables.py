@@ -51,7 +51,7 @@ def read_split(spark: SparkSession, path: str, samples: DataFrame, sep: str = "\
 
 def write_tsv(frame: DataFrame, path: str, sep: str = "\t") -> None:
     """Parts of a table with headers; infinities and NaN as text."""
-    texts = [F.when(F.isnan(c), "nan").when(F.col(f"`{c}`") == float("inf"), "inf").when(F.col(f"`{c}`") == float("-inf"), "-inf").otherwise(F.col(f"`{c}`").cast("string")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in frame.dtypes]
+    texts = [F.when(F.isnan(F.col(f"`{c}`")), "nan").when(F.col(f"`{c}`") == float("inf"), "inf").when(F.col(f"`{c}`") == float("-inf"), "-inf").otherwise(F.col(f"`{c}`").cast("string")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in frame.dtypes]
     frame.select(*texts).write.mode("overwrite").options(sep=sep, header=True).csv(path)
 
 
