@@ -15,13 +15,14 @@ are nearly all links are menus outside the chosen container, or where the whole
 Defined results: null or empty html gives the empty text; of containers with equal points the first in the page is taken; unclosed and stray tags are
 tolerated, a comment or script that is never closed reaches to the end; character references are decoded once; white space (as Python has it) inside a
 block becomes one space. Repeated rows are read row by row; an empty table gives an empty result; other columns, whatever their names, are not read.
-All work on a page is linear in its length but for the depth at which misnested inline elements are closed.
+A tag ends at the first `>` outside its quotes; if one of its quotes is never closed, at the first `>`. All work on a page is linear in its length.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl menu table".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -80,11 +81,29 @@ class Page:
         self._read(source)
 
     def _read(self, s: str) -> None:
-        stack, open_count = [0], {}
+        stack = [0]
+        places: dict[str, list[int]] = {}  # of open elements by tag, and of open blocks: where they are in the stack
+        blocks_open = [0]
         pieces: list[str] = []
         linked = links_open = 0
         n, at = len(s), 0
-        plain_rest = False  # quotes don't balance any more: a tag ends at the next ">"
+        last_quote = {q: s.rfind(q) for q in "\"'"}
+        doomed: set[int] = set()  # opening quotes from which no tag ends, as one behind them is never closed
+
+        def tag_end(pos: int) -> int:
+            """Behind the `>` that ends a tag: not one in quotes, unless a quote of the tag is never closed; then the next one."""
+            begin, opened = pos, []
+            while (stop := _STOP.search(s, pos)) is not None:
+                q, mark = stop.start(), stop[0]
+                if mark == ">":
+                    return q + 1
+                if q in doomed or q == last_quote[mark]:
+                    break
+                opened.append(q)
+                pos = s.find(mark, q + 1) + 1
+            doomed.update(opened)
+            q = s.find(">", begin)
+            return n if q < 0 else q + 1
 
         def flush() -> None:
             nonlocal linked
@@ -96,28 +115,24 @@ class Page:
                 linked = 0
 
         def owner() -> int:
-            for x in reversed(stack):
-                if self.tag[x] in BLOCK or x == 0:
-                    return x
-            return 0
+            return stack[blocks_open[-1]]
 
         def pop() -> None:
             nonlocal links_open
-            x = stack.pop()
-            name = self.tag[x]
-            open_count[name] -= 1
+            name = self.tag[stack.pop()]
+            places[name].pop()
+            if not places[name]:
+                del places[name]
+            if name in BLOCK:
+                blocks_open.pop()
             if name == "a":
                 links_open -= 1
 
         def end(names: set, containers: set) -> None:
             """Close down to the outermost open element of `names` above the nearest container."""
-            lowest = None
-            for i in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[i]]
-                if name in names:
-                    lowest = i
-                elif name in containers:
-                    break
+            wall = max((at[-1] for name, at in places.items() if name in containers and name not in names), default=0)
+            above = [at[k] for name in names if (at := places.get(name)) and (k := bisect_right(at, wall)) < len(at)]
+            lowest = min(above, default=None)
             if lowest is not None:
                 flush()
                 while len(stack) > lowest:
@@ -155,25 +170,15 @@ class Page:
                     at += 1
                 continue
             name, closing = m[2].lower(), m[1] == "/"
-            rest = None if plain_rest else _REST.match(s, m.end())
-            if rest is None:
-                plain_rest = True
-                stop = s.find(">", m.end())
-                stop = n if stop < 0 else stop + 1
-            else:
-                stop = rest.end()
+            stop = tag_end(m.end())
             attributes, at = s[m.end() : stop - 1], stop
             if closing:
                 if name in BLOCK:
                     flush()
-                if open_count.get(name):
-                    wall = BLOCK if name not in BLOCK else ()
-                    depth = len(stack) - 1
-                    while depth > 0 and self.tag[stack[depth]] != name and self.tag[stack[depth]] not in wall:
-                        depth -= 1
-                    if depth > 0 and self.tag[stack[depth]] == name:
-                        while len(stack) > depth:
-                            pop()
+                depth = places[name][-1] if name in places else 0
+                if depth and (name in BLOCK or depth > blocks_open[-1]):
+                    while len(stack) > depth:
+                        pop()
                 continue
             if name == "br" or name == "wbr":
                 if name == "br":
@@ -181,11 +186,11 @@ class Page:
                 continue
             if name in BLOCK:
                 flush()
-                if name in CLOSES_P and open_count.get("p"):
+                if name in CLOSES_P and "p" in places:
                     end({"p"}, BLOCK - {"p"})
-                if name in ENDS and any(open_count.get(x) for x in ENDS[name][0]):
+                if name in ENDS and any(x in places for x in ENDS[name][0]):
                     end(*ENDS[name])
-            elif name == "a" and open_count.get("a"):
+            elif name == "a" and "a" in places:
                 end({"a"}, BLOCK)
             x = self._element(name, attributes, stack[-1])
             if name in VOID or (attributes.endswith("/") and name not in BLOCK):
@@ -197,8 +202,10 @@ class Page:
                 stop = s.find(">", close.start())
                 at = n if stop < 0 else stop + 1
                 continue
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks_open.append(len(stack))
             stack.append(x)
-            open_count[name] = open_count.get(name, 0) + 1
             if name == "a":
                 links_open += 1
         flush()

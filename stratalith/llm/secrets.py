@@ -1,7 +1,9 @@
 """Secret scans: assignment-aware lexing of source and configuration text, beside three plain patterns.
 
-The lexer reads assignments: a target name, a sign (`=`, `:`, `:=`, `=>`) and an expression; elements and attributes of markup
-(`<password>..</password>`, `key="password" value=".."`); and indented block values. An expression is read into literals, names and calls:
+The lexer reads assignments: a target name, a sign (`=`, `:`, `:=`, `=>`), with or without a type (`name: type =`, `var name type =`), and an expression;
+elements and attributes of markup (`<password>..</password>`, `key="password" value=".."`); indented block values; directives (`#define NAME ".."`,
+`ENV NAME ..`); calls that set something (`setPassword("..")`, `define('DB_PASSWD', '..')`); authorization schemes, passwords in addresses (`//user:..@host`)
+and private key blocks. An expression is read into literals, names and calls:
 strings with escapes, unquoted values, `+` chains, alternatives (`||`, `??`, `or`), literals side by side in parentheses, and the arguments of
 calls but for the key of a look-up (`getenv("KEY")`); comments and white space of any length are passed over. Names link assignments into a graph:
 a name stands for its last definition before, or the first one behind if there is none before. The sensitivity of a target's
@@ -55,7 +57,20 @@ _VALUE = re.compile(
 _BARE = 6
 _CALL = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*+(?=[(\[])", re.ASCII)
 _SPACE = re.compile(r"(?:\s|\\\r?\n)*+")
-_SIGNED = re.compile(r"[ \t]*(?::=|=>|[=:])")
+_SIGN = re.compile(r":=|=>|[=:]")
+_SIGNED = re.compile(r"[ \t]*+(?::=|=>|[=:])")
+#: A type between a colon and the sign of an assignment: `name: type = `.
+_TYPED = re.compile(r"""[ \t]*+[A-Za-z_][\w.]*+(?:\[[\w., |]*+(?:\[[\w., |]*+\][\w., |]*+)*+\]|<[\w., ]*+(?:<[\w., ]*+>[\w., ]*+)*+>)?+[?]?+(?:[ \t]++=(?![=>])(?=[ \t"'`])|[ \t]*+=(?=["'`]))""", re.ASCII)
+#: `var name type` before a sign, `#define NAME`, `ENV NAME` and the like before a value.
+_DECLARED = re.compile(r"\b(?:var|const|let)[ \t]+([A-Za-z_]\w*)[ \t]+[\w.\[\]*]*$", re.ASCII)
+_DIRECTIVE = re.compile(r"^[ \t]*+(?:#[ \t]*+define|ENV|ARG|setenv|setx|SetEnv|machine|login)[ \t]++([A-Za-z_]\w*+)[ \t]++(?=[^\s=])", re.MULTILINE | re.ASCII)
+#: Calls that set something: by their own name, or by a name they are given before the value.
+_SETTER = re.compile(r"""\b([A-Za-z_]\w*+)\(\s*+(?=["'`])""", re.ASCII)
+_NAMED_CALL = re.compile(r"""\b[A-Za-z_]\w*+\(\s*+(["'])([\w.:/-]++)\1\s*+,\s*+(?=["'`])""", re.ASCII)
+_ASKS = re.compile(r"(?:get|read|fetch|find|load|ask|prompt|input|is|has|check|valid|verify|require|lookup|print|log|warn|error|raise|test|assert|describe|it|label|message|msg)", re.IGNORECASE)
+_SCHEME = re.compile(r"""\b(?:proxy-)?authorization["']?\s*+[:=,]\s*+["']?(?:bearer|basic|token)[ \t]++([A-Za-z0-9._~+/-]++=*+)""", re.IGNORECASE | re.ASCII)
+_CREDENTIALS = re.compile(r"""://[^\s/:@"'<>]*+:([^\s/@"'<>:]++)@[\w\[]""")
+_KEY_BEGIN, _KEY_END = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"), "-----END "
 _JOIN = re.compile(r"\|\||\?\?|\?:|\+(?!=)|(?:or|else)\b|,")
 _BLOCK = re.compile(r"[ \t]*[|>][-+]?[0-9]?[ \t]*\r?\n((?:[ \t]*\r?\n)*([ \t]+)[^\n]*)")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>([^<>]++)</([\w.:-]++)\s*+>")
@@ -208,6 +223,7 @@ class Assignments:
                 self._add(m[1], [(s + len(m[2]) - len(m[2].lstrip()), s + len(m[2].rstrip()), True)], False)
         for m in _ATTRIBUTES.finditer(text):
             self._add(m[2], [(*m.span(4), True)], False)
+        self._read_calls()
 
     def _add(self, name: str, operands: list[tuple[int, int, bool]], names_count: bool = True) -> None:
         literals, names = [], []
@@ -224,13 +240,15 @@ class Assignments:
 
     def _read(self) -> None:
         text, done, blanks = self.text, 0, Blanks(self.text)
-        for sign in _SIGNED.finditer(text):
-            at = sign.end() - len(sign[0].lstrip(" \t"))
+        for sign in _SIGN.finditer(text):
+            at = sign.start()
             if at < done:  # inside a literal
                 continue
             if text[at : at + 2] == "==" or text[at : at + 3] == "://" or (at and text[at - 1] in "=!<>+-*/"):
                 continue
-            last = sign.start()
+            last = at
+            while last > done and text[last - 1] in " \t":
+                last -= 1
             while last > done and text[last - 1] in "\"']":
                 last -= 1
             first = last
@@ -240,12 +258,38 @@ class Assignments:
                 first += 1
             if first == last:
                 continue
-            operands, end = block_value(text, sign.end())
+            begin, name = sign.end(), text[first:last]
+            typed = _TYPED.match(text, begin) if sign[0] == ":" else None
+            declared = _DECLARED.search(text, max(done, first - 120), first) if sign[0] == "=" else None
+            if typed:
+                begin = typed.end()
+            elif declared:
+                name = declared[1]
+            operands, end = block_value(text, begin)
             if not operands:
-                operands, end = expression(text, sign.end(), blanks)
-            self._add(text[first:last], operands)
+                operands, end = expression(text, begin, blanks)
+            self._add(name, operands)
             done = max(done, end) if operands else done
 
+    def _read_calls(self) -> None:
+        """Values that no sign stands before: of directives, of calls that set something, of authorization schemes."""
+        text, blanks = self.text, Blanks(self.text)
+        for m in _DIRECTIVE.finditer(text):
+            if name_score(m[1]) > 0:
+                self._add(m[1], expression(text, m.end(), blanks)[0][:1])
+        for m in _SETTER.finditer(text):
+            # a name that asks or checks takes a key or words for a reader
+            if name_score(m[1]) > 0 and not _ASKS.match(m[1]) and m[1].lower() not in _LOOKUPS:
+                value = _VALUE.match(text, m.end())
+                if value and value.lastindex != _BARE:
+                    self._add(m[1], [(*value.span(value.lastindex), False)])
+        for m in _NAMED_CALL.finditer(text):
+            value = _VALUE.match(text, m.end())
+            if value and value.lastindex != _BARE and name_score(m[2]) > 0:
+                self._add(m[2], [(*value.span(value.lastindex), False)])
+        for m in _SCHEME.finditer(text):
+            self._add("authorization", [(*m.span(1), False)])
+
     def literals(self) -> list[tuple[int, int, float]]:
         """(start, end, score): every literal by the highest weight that reaches its assignment along names."""
         weights = [w for w, _, _ in self.made]
@@ -273,9 +317,21 @@ class Assignments:
 
 
 def lexed_literals(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of every literal that reaches a sensitive name."""
+    """(start, end, score) of every literal that reaches a sensitive name, of passwords in addresses and of private key blocks."""
     lower = text.lower()
-    return Assignments(text).literals() if any(h in lower for h in _HINTS) else []
+    found = Assignments(text).literals() if any(h in lower for h in _HINTS) else []
+    if "://" in text and "@" in text:
+        found += [(*m.span(1), literal_score(m[1])) for m in _CREDENTIALS.finditer(text)]
+    at = 0
+    while (begin := _KEY_BEGIN.search(text, at)) is not None:
+        end = text.find(_KEY_END, begin.end())
+        if end < 0:  # none ends any more
+            break
+        body = text[begin.end() : end]
+        if body.strip():
+            found.append((begin.end() + len(body) - len(body.lstrip()), begin.end() + len(body.rstrip()), 1.0))
+        at = end
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -293,9 +349,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan_text(text: str, threshold: float = 0.5) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans with the lexer's."""
     base = base_spans(text)
-    if "=" not in text and ":" not in text and "</" not in text:
-        return base, base
-    extra = sorted((s, 3, e) for s, e, w in lexed_literals(text) if w >= threshold)
+    extra = sorted({(s, 3, e) for s, e, w in lexed_literals(text) if w >= threshold})
     # base spans by start, with the farthest end so far, so that each literal looks once
     starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     extra = [x for x in extra if not (n := bisect_right(starts, x[0])) or ends[n - 1] < x[2]]

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from stratalith.llm import chat as C
 from stratalith.llm import licenses as L
 from stratalith.llm.main_text import extract_pages, main_text
@@ -268,3 +270,22 @@ def test_every_place_of_a_notice_is_verified(spark, docs_of):
     got = {r["doc_id"]: r for r in L.scan_licenses(docs_of([(1, broken + " filler " * 30 + mit), (2, broken), (3, mit + " x " + mit)])).collect()}
     assert (got[1]["labels"], got[1]["score"], got[2]["labels"]) == ("mit", 1.0, "")
     assert [m["start"] for m in got[1]["matches"]] == [len(broken.split()) + 30] and [m["start"] for m in got[3]["matches"]] == [0]
+
+
+@pytest.mark.parametrize("html", ["<span>" * 60_000 + "<p>x" * 60_000, "<b><div>" + "<i>" * 60_000 + "</b>" * 60_000, "<span>" * 60_000 + "x</p>" * 60_000, "<li>" + "<i>" * 50_000 + "<li>y" * 50_000, '<a "' + "<b x>" * 100_000, "<a '>" * 100_000 + '"', "<p>" + "<a \"<i '>\" " * 60_000, "<table>" + "<tr><td>z" * 50_000])
+def test_hostile_pages_are_read_in_linear_time(html):
+    import time
+
+    from stratalith.llm.main_text import Page
+
+    began = time.perf_counter()
+    Page(html)
+    assert time.perf_counter() - began < 5
+
+
+def test_quotes_that_never_close_end_one_tag_only():
+    from stratalith.llm.main_text import Page
+
+    source = "<div title=\"it's\"><p>one</p><p class=\"a > b\">two</p><p id='x > y'>three</p></div>"
+    assert [b[1] for b in Page(source).blocks] == ["one", "two", "three"]
+    assert [b[1] for b in Page('<p title="5 > 4">a</p><p>b <i x=\'>c</p><p title="6 > 4">d</p>').blocks] == ["a", "b c", "d"]
