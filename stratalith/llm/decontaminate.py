@@ -81,13 +81,7 @@ class WindowSet:
                 if same:
                     spans.append((i, i + size))
                     items.update(self.names[owners[k]] for k in same)
-        spans.sort()
-        runs: list[tuple[int, int]] = []
-        for s, e in spans:
-            if runs and s <= runs[-1][1]:
-                runs[-1] = (runs[-1][0], max(e, runs[-1][1]))
-            else:
-                runs.append((s, e))
+        runs = united(spans)
         return len(words), runs, items
 
 
@@ -140,28 +134,49 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """`docs` without benchmark text: mode "documents" drops every hit document, "spans" cuts the hit words out of the text.
 
     All columns of `docs` are returned as they are (in "spans" mode only `text_col` changes: from the first byte
-    of a hit run's first word to the last byte of its last). Blocks of a large benchmark are applied one after the other.
+    of a hit run's first word to the last byte of its last). Blocks of a large benchmark are looked for one after the other, all in the text as it
+    was: their runs are united, and the text is cut once.
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode must be 'documents' or 'spans'")
     blocked, blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
-    out, at = docs, docs.columns.index(text_col)
+    at, columns = docs.columns.index(text_col), docs.columns
+    beside = next(c for c in (f"_runs{i}" for i in range(len(columns) + 1)) if c not in columns)
+    kind = "array<struct<start:bigint,end:bigint>>"
+    out = docs if mode == "documents" else docs.withColumn(beside, F.array().cast(kind))
     for block in range(blocks):
         rows = blocked.filter(F.col("block") == block).select("item_id", "raw").collect()
         held = docs.sparkSession.sparkContext.broadcast(WindowSet([(r[0], bytes(r[1]) if r[1] is not None else None) for r in rows], n))
 
-        def fn(batch, held=held):
-            runs = [held.value.scan(raw or b"")[1] for raw in binary_values(batch.column(at))]
-            if mode == "documents":
-                batch = batch.filter(pa.array([not r for r in runs], pa.bool_()))
-            elif any(runs):
-                texts = [raw if not r else cut_runs(raw, r) for raw, r in zip(binary_values(batch.column(at)), runs, strict=True)]
-                cols = list(batch.columns)
-                cols[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-                batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-            yield batch
-
-        out = map_batches(out, docs.columns, fn, docs.schema)
+        def drop(batch, held=held):
+            yield batch.filter(pa.array([not held.value.scan(raw or b"")[1] for raw in binary_values(batch.column(at))], pa.bool_()))
+
+        def look(batch, held=held):
+            runs = [old.as_py() + [{"start": s, "end": e} for s, e in held.value.scan(raw or b"")[1]] for old, raw in zip(batch.column(len(columns)), binary_values(batch.column(at)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(runs, batch.schema.field(len(columns)).type)], schema=batch.schema)
+
+        out = map_batches(out, out.columns, drop if mode == "documents" else look, out.schema)
+    if mode == "documents":
+        return out
+
+    def cut(batch):
+        runs = [united([(r["start"], r["end"]) for r in found.as_py()]) for found in batch.column(len(columns))]
+        texts = [raw if not r else cut_runs(raw, r) for raw, r in zip(binary_values(batch.column(at)), runs, strict=True)]
+        cols = list(batch.columns[:-1])
+        cols[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
+        yield pa.RecordBatch.from_arrays(cols, names=columns)
+
+    return map_batches(out, out.columns, cut, docs.schema)
+
+
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (start, end) in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(runs):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
     return out
 
 

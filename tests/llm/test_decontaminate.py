@@ -83,3 +83,15 @@ def test_large_benchmark_in_little_memory():
     text = items[5][1].split()
     n, runs, found = made.scan(b" ".join([b"x"] * 3 + text[20:40] + [b"y"]))
     assert (n, runs, found) == (24, [(3, 23)], {"5"})
+
+
+def test_spans_are_the_same_for_any_number_of_blocks(spark, docs_of):
+    """Items that overlap in a document: cut from the text as it was, not from what another block left."""
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(i, " ".join(words[i * 4 : i * 4 + 14])) for i in range(6)] + [(9, "end of it")], "item_id long, text string")
+    rows = [(1, "start " + " ".join(words) + " end of it"), (2, None), (3, " ".join(words[:9])), (4, " ".join(words[2:12]) + " x " + " ".join(words[20:34])), (5, "")]
+    docs = docs_of(rows, extra="_runs0 string, runs string")
+    got = [sorted((r["doc_id"], r["text"], r["_runs0"]) for r in D.decontaminate(docs, items, mode="spans", block_bytes=b).collect()) for b in (1 << 20, 400, 100)]
+    assert got[0] == got[1] == got[2]
+    assert [x[1] for x in got[0]] == ["start  w34 w35 w36 w37 w38 w39 ", None, " ".join(words[:9]), " x ", ""]
+    assert D.decontaminate(docs, items, mode="spans", block_bytes=100).columns == docs.columns
