@@ -130,24 +130,30 @@ def part_hashes(shingles: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: Fraction, spare: int) -> DataFrame:
-    """(doc, size, stand_in, parts, near, digest): parts only for the first of equal sets in a task, which stands in for the others; no digest of an empty set.
+    """(doc, size, stand_in, root, parts, near, digest): parts only for the first of equal sets in a task, which stands in for the others; no digest of an empty set.
 
-    A task sends each part once; later sets with an equal part are joined with the one that sent it (`near`) at once. So
-    near copies of one template send no more rows for a part than there are tasks.
+    A task sends each part once; later sets with an equal part are joined with the one that sent it (`near`) at once. What a task has joined
+    already sends its parts under one name (`root`), so near copies of one template are one sender a task, however many parts they differ in.
     """
 
     def run(batches):
-        shingle, classes, seen, leads = Shingler(n), Classes(threshold, spare), {}, {}
+        shingle, classes, seen, leads, up = Shingler(n), Classes(threshold, spare), {}, {}, {}
         none = np.empty(0, np.int64)
+
+        def root_of(x):
+            while (above := up.get(x, x)) != x:
+                up[x] = x = up.get(above, above)
+            return x
+
         for batch in batches:
-            docs_, sizes, stands, near, parts, digests = batch.column(0).to_pylist(), [], [], [], [], []
+            docs_, sizes, stands, roots, near, parts, digests = batch.column(0).to_pylist(), [], [], [], [], [], []
             for doc, raw in zip(docs_, binary_values(batch.column(1)), strict=True):
                 s = shingle(raw)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 first = seen.setdefault(digests[-1], doc) if len(s) else doc
                 stands.append(first)
-                mine, beside = none, set()
+                mine, beside, joined = none, set(), []
                 if len(s) and first == doc:
                     mine = part_hashes(s, classes).view(np.int64)
                     new = []
@@ -156,22 +162,29 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
                         new.append(sender == doc)
                         if sender != doc:
                             beside.add(sender)
+                    for sender in sorted(beside):
+                        a, b = root_of(doc), root_of(sender)
+                        if a != b:
+                            up[a] = b
+                            joined.append(sender)
                     if beside:
                         mine = mine[new]
-                    if len(leads) > _KEPT_PARTS:
-                        leads.clear()
-                near.append(sorted(beside))
+                roots.append(root_of(doc))
+                if len(leads) > _KEPT_PARTS:
+                    leads.clear()
+                    up.clear()
+                near.append(joined)
                 parts.append(mine)
                 if len(seen) > 250_000:
                     seen.clear()
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), lists, pa.array(near, pa.list_(pa.int64())), pa.array(digests, pa.binary())], names=["doc", "size", "stand_in", "parts", "near", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(stands, pa.int64()), pa.array(roots, pa.int64()), lists, pa.array(near, pa.list_(pa.int64())), pa.array(digests, pa.binary())], names=["doc", "size", "stand_in", "root", "parts", "near", "digest"])
 
     def whole(batches):
         yield from run(b for b in batches if b.num_rows)
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(whole, "doc long, size long, stand_in long, parts array<long>, near array<long>, digest binary")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(whole, "doc long, size long, stand_in long, root long, parts array<long>, near array<long>, digest binary")
 
 
 def first_of_equal(prints: DataFrame) -> DataFrame:
@@ -199,7 +212,7 @@ def forest(edges: np.ndarray) -> np.ndarray:
 
 def star_edges(prints: DataFrame) -> DataFrame:
     """Edges that join every set with the least set with an equal part: a task's as a forest, so that it sends no more of them than it saw sets."""
-    parts = prints.filter(F.size("parts") > 0).select("doc", F.explode("parts").alias("part"))
+    parts = prints.filter(F.size("parts") > 0).select(F.col("root").alias("doc"), F.explode("parts").alias("part"))
     dealt = parts.repartition(F.col("part")).sortWithinPartitions("part", "doc")
 
     def run(batches):
@@ -449,7 +462,7 @@ def _byte_of(counts: np.ndarray) -> np.ndarray:
 
 
 def rare_shingles(texts: DataFrame, shingles: int, n: int, threshold: Fraction, chunk: int = 1 << 18, bucket: int = 4 << 20) -> DataFrame:
-    """(doc, parts, near) of `texts` (doc, g, text), as `star_edges` takes them: the first shingles of every set, of those that another set of the group g holds.
+    """(doc, root, parts, near) of `texts` (doc, g, text), as `star_edges` takes them: the first shingles of every set, of those that another set of the group g holds.
 
     `shingles` is the number of all, by which buckets are counted. A chunk of sets sends each shingle once and joins the sets that have one
     in common among their first at once.
@@ -514,19 +527,25 @@ def rare_shingles(texts: DataFrame, shingles: int, n: int, threshold: Fraction,
         leads = docs[owner][np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))] if len(token) else docs[:0]
         beside = leads != docs[owner]
         near = np.unique(np.stack([owner[beside], leads[beside]], axis=1), axis=0)
+        # what is joined here sends under the name of its least set, and one edge for each set is enough
+        joins = forest(np.stack([docs[near[:, 0]], near[:, 1]], axis=1)) if len(near) else np.empty((0, 2), np.int64)
+        at_doc = np.argsort(docs, kind="stable")
+        joined = at_doc[np.searchsorted(docs[at_doc], joins[:, 0])] if len(joins) else np.empty(0, np.int64)
+        roots = docs.copy()
+        roots[joined] = joins[:, 1]
 
         def lists(rows: np.ndarray, values: np.ndarray) -> pa.Array:
             by = np.argsort(rows, kind="stable")
             ends = np.append(0, np.cumsum(np.bincount(rows, minlength=len(docs)))).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[by], pa.int64()))
 
-        return pa.table({"doc": docs, "parts": lists(owner[new], token[new].view(np.int64)), "near": lists(near[:, 0], near[:, 1])})
+        return pa.table({"doc": docs, "root": roots, "parts": lists(owner[new], token[new].view(np.int64)), "near": lists(joined, joins[:, 1])})
 
     chunks = scratch_table(texts.select("doc", "g", "text").mapInArrow(pack, "chunk long, docs binary, sizes binary, keys binary"), "chunks")
     dealt = chunks.select("chunk", "keys").mapInArrow(deal, "chunk long, bucket long, lows binary, counts binary")
     answers = dealt.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, codes binary")
     both = chunks.withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
-    rows = scratch_table(both.groupBy("chunk").applyInArrow(first, "doc long, parts array<long>, near array<long>"), "rare")
+    rows = scratch_table(both.groupBy("chunk").applyInArrow(first, "doc long, root long, parts array<long>, near array<long>"), "rare")
     drop_scratch(chunks)
     return rows
 
