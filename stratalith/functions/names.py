@@ -187,6 +187,14 @@ def classification_scope(file_stem: Column) -> Column:
     return F.when(scope.isin("", "classification"), F.lit("")).otherwise(F.concat(safe, F.lit("_")))
 
 
+def classification_title(file_stem: Column) -> Column:
+    """Words for a benchmark variant, from the same name as its scope."""
+    scope = F.regexp_replace(file_stem, "^classification_", "")
+    words = F.lower(F.replace(scope, F.lit("_"), F.lit(" ")))
+    told = F.when(scope.isin("", "classification", "all"), "All generated columns").when(scope == "no_counts_features", "Without count-derived columns")
+    return told.otherwise(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000)))
+
+
 def disk_name(feature: Column) -> Column:
     """A feature name that can be a file name."""
     out = feature

@@ -77,3 +77,15 @@ def digitize(v: Column, top: Column, bins: int) -> Column:
 def planned_fits(search: str, splits: int, draws: int = 0, grid: int = 0) -> int:
     """How many models a search fits."""
     return {"random": draws * splits, "grid": grid * splits}.get(search, 1)
+
+
+# fixed values: bounds of arguments, low and high, and whether low itself is allowed
+BOUNDS = {"threshold": (0, 1, False), "workers": (1, 64, True), "top": (1, 500, True)}
+
+
+def bounded(name: str, value: float) -> float:
+    """The value, if it lies within the bounds of its name; an error that names them if not."""
+    low, high, closed = BOUNDS[name]
+    if not (low <= value <= high if closed else low < value <= high):
+        raise ValueError(f"{name} must be {'at least' if closed else 'above'} {low} and at most {high}, not {value}")
+    return value

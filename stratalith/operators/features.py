@@ -51,6 +51,20 @@ def drop_artifacts(frame: DataFrame) -> tuple[DataFrame, list[str]]:
     return frame.select(*[F.col(f"`{c}`") for c in frame.columns if c not in gone]), gone
 
 
+# fixed values: columns of a feature table that are no features
+METADATA = ("label", "date", "sampleName", "sample_name", "noPos")
+
+
+def feature_columns(frame: DataFrame, target: str | None = None) -> list[str]:
+    """Columns that are features: neither the target, nor about the sample, nor left by an exported index."""
+    return [c for c in frame.columns if c not in METADATA and c != target and not c.startswith("Unnamed:")]
+
+
+def without_counts(long: DataFrame) -> DataFrame:
+    """Without features made of counts: the second pass of a benchmark."""
+    return long.filter(~F.contains("feature", F.lit("counts")))
+
+
 def drop_artifact_rows(long: DataFrame) -> DataFrame:
     return long.filter(~F.startswith("feature", F.lit("Unnamed:")))
 

@@ -26,6 +26,20 @@ def stratified_folds(rows: DataFrame, label: str, key: str, k: int) -> DataFrame
     return numbered.join(before, [label, "_s"]).withColumn("fold", ((F.col("_before") + F.col("_n") - 1) % k).cast("int")).drop("_m", "_s", "_n", "_before")
 
 
+def ordered_folds(rows: DataFrame, label: str, key: str, k: int = 10) -> DataFrame:
+    """`fold` from 0 to k - 1, each label's rows in order of the key as k runs: stratified folds without a shuffle.
+
+    Labels in order are dealt to folds in turn as if they stood in one line, which tells how many rows of a label a fold has; its runs are of those lengths.
+    """
+    counts = rows.groupBy(label).count()
+    ends = counts.withColumn("_end", F.sum("count").over(Window.orderBy(label)))
+    upto = lambda n, i: F.floor((n - 1 - i) / k) + 1  # noqa: E731  places below n that are i modulo k
+    each = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (upto(F.col("_end"), i) - upto(F.col("_end") - F.col("count"), i)).cast("long"))
+    bounds = ends.select(label, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.aggregate(F.slice(each, F.lit(1), i), F.lit(0).cast("long"), lambda a, v: a + v)).alias("_bounds"))
+    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1)
+    return placed.join(bounds, label).withColumn("fold", F.size(F.filter("_bounds", lambda b: b <= F.col("_n"))).cast("int")).drop("_n", "_bounds")
+
+
 def fold_coverage(folded: DataFrame, label: str) -> DataFrame:
     """Per fold: rows, labels in it, and labels in all other folds."""
     counts = folded.groupBy("fold", label).count()

@@ -163,3 +163,12 @@ def mean_step(layers: DataFrame, key: str, order: str, value: str) -> DataFrame:
 def thin_layers(layers: DataFrame, z: str = "z") -> DataFrame:
     """Every other layer, from the first."""
     return layers.filter(F.col(z) % 2 == 0)
+
+
+def thin_stacks(layers: DataFrame, expected: int = 21) -> DataFrame:
+    """Every other layer, from the first, of stacks whose name ends in `expected` as their number of layers; those are renumbered, and their name ends in the
+    number that is left. Other stacks stay as they are."""
+    count = F.regexp_extract("sample_name", "([0-9]+)$", 1)
+    thins = count == str(expected)
+    renamed = F.when(thins, F.concat(F.regexp_replace("sample_name", "[0-9]+$", ""), F.lit(str((expected + 1) // 2)))).otherwise(F.col("sample_name"))
+    return layers.filter(~thins | (F.col("z") % 2 == 0)).withColumn("z", F.when(thins, F.floor(F.col("z") / 2)).otherwise(F.col("z")).cast(layers.schema["z"].dataType)).withColumn("sample_name", renamed)

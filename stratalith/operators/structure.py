@@ -116,3 +116,8 @@ def centroid_distances(vectors: DataFrame, label: str, n: int, vec: str = "vec")
     a, b = means.select(F.col(label).alias("a"), F.col("m").alias("x")), means.select(F.col(label).alias("b"), F.col("m").alias("y"))
     total = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.sqrt(total).alias("distance"))
+
+
+def ranked_columns(scores: DataFrame, columns: DataFrame, n: int, score: str = "score", feature: str = "feature") -> DataFrame:
+    """The first n of a ranking that a table has: `columns` (feature) are the table's, few and counted by their table's width."""
+    return top_features(scores.join(columns.select(feature), feature, "left_semi"), n, score, feature)

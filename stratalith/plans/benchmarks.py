@@ -37,6 +37,15 @@ def logo_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.leave_one_out(table(spark, sf_dir, "events"), "user_id", "event_id")
 
 
+@query("""WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, row_number() OVER (ORDER BY label, vec_id) - 1 AS place FROM embeddings),
+a AS (SELECT label, place % 10 AS f, count(*) AS c FROM r GROUP BY ALL), g AS (SELECT label, f FROM (SELECT DISTINCT label FROM r), range(0, 10) t(f)),
+b AS (SELECT g.label, sum(coalesce(a.c, 0)) OVER (PARTITION BY g.label ORDER BY g.f) AS upto FROM g LEFT JOIN a ON a.label = g.label AND a.f = g.f)
+SELECT vec_id, label, CAST((SELECT count(*) FROM b WHERE b.label = r.label AND b.upto <= r.n) AS INTEGER) AS fold FROM r""")
+def ordered_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten stratified folds without a shuffle."""
+    return S.ordered_folds(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id")
+
+
 @query("SELECT user_id, folds FROM (SELECT user_id, count(DISTINCT event_id % 2) AS folds FROM events GROUP BY user_id) WHERE folds > 1")
 def group_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.shared_groups(table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 2).alias("fold")), "user_id")

@@ -73,6 +73,8 @@ def test_report_names(spark):
     name = one(spark, N.safe_report_name(F.lit(long)))[0]
     assert len(name) <= 80 and name == one(spark, N.safe_report_name(F.lit(long)))[0] and len(name.rsplit("_", 1)[1]) == 12
     assert one(spark, N.canonical_learner(F.lit("RandomizedSearchCV(estimator=RandomForestClassifier())"))) == ("rf",)
+    titles = {"classification": "All generated columns", "classification_all": "All generated columns", "classification_no_counts_features": "Without count-derived columns", "classification_my_run-2": "My run-2"}
+    assert one(spark, *[N.classification_title(F.lit(k)) for k in titles]) == tuple(titles.values())
     assert one(spark, N.classification_scope(F.lit("classification_no_counts_features")), N.classification_scope(F.lit("classification"))) == ("no_counts_features_", "")
 
 

@@ -227,3 +227,36 @@ def test_linkage():
     assert [round(x[2], 6) for x in M.linkage(d, "single")] == [1, 2, 3]
     assert [round(x[2], 6) for x in M.linkage(d, "complete")] == [1, 2, 6]
     assert [round(x[2], 6) for x in M.linkage(d, "average")] == [1, 2, 4.5]
+
+
+def test_stacks_are_thinned_by_their_name(spark):
+    rows = spark.createDataFrame([(n, z) for n, k in (("a--z--5", 5), ("b--z--4", 4), ("c", 2)) for z in range(k)], "sample_name string, z long")
+    got = sorted(map(tuple, G.thin_stacks(rows, 5).collect()))
+    assert got == [("a--z--3", 0), ("a--z--3", 1), ("a--z--3", 2), *[("b--z--4", z) for z in range(4)], ("c", 0), ("c", 1)]
+
+
+def test_columns_of_a_ranking(spark):
+    scores = spark.createDataFrame([("x", 0.5), ("gone", 0.9), ("y", 0.7), ("z", 0.1)], "feature string, score double")
+    frame = spark.createDataFrame([("s", 1.0, 2.0, 3.0, "a", 0)], ["sample_name", "x", "y", "z", "label", "Unnamed: 0"])
+    assert A.feature_columns(frame) == ["x", "y", "z"] and A.feature_columns(frame, "z") == ["x", "y"]
+    columns = spark.createDataFrame([(c,) for c in A.feature_columns(frame)], "feature string")
+    assert [r["feature"] for r in R.ranked_columns(scores, columns, 2).collect()] == ["y", "x"]
+
+
+def test_ordered_folds(spark):
+    """Against the rule written out: labels in one line are dealt to folds in turn, and give each fold its number of rows of a label."""
+    rows = [(i, "ABC"[(i * i) % 7 % 3]) for i in range(47)]
+    got = {r["k"]: r["fold"] for r in S.ordered_folds(spark.createDataFrame(rows, "k int, label string"), "label", "k", 4).collect()}
+    line = sorted(x for _, x in rows)
+    for label in "ABC":
+        sizes = [line[f::4].count(label) for f in range(4)]
+        assert [got[i] for i, x in rows if x == label] == [f for f in range(4) for _ in range(sizes[f])]
+
+
+def test_bounds():
+    from stratalith.functions.numbers import bounded
+
+    assert bounded("threshold", 1) == 1 and bounded("workers", 1) == 1 and bounded("top", 500) == 500
+    for name, value in (("threshold", 0), ("threshold", 1.01), ("workers", 0), ("workers", 65), ("top", 501)):
+        with pytest.raises(ValueError, match=name):
+            bounded(name, value)
