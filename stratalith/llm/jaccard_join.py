@@ -2,7 +2,7 @@
 
 1. Every document becomes the set of its `n`-word shingles (64-bit hashes). A set with a partner shares at least J of its shingles with it, so sets of
    which fewer than J occur in any other row have none. Tasks send packed shingles to buckets whose number follows the bytes of texts, each shingle once
-   for some million; buckets tell which occur again (in 32 bits beside the bucket's: a collision keeps a set that could go, never the reverse).
+   for some million; buckets tell which occur again, packed for those who add up (in 32 bits beside the bucket's: a collision keeps a set that could go, never the reverse).
 2. Candidate groups of the sets that are left. Copies of one set within a task are replaced by one of them at once. Two sets with Jaccard >= J and sizes in neighbouring size classes differ in at most k shingles, k known from the class
    limits; dealing shingles by hash into k+1+spare parts leaves more than `spare` parts equal. Each set sends a hash of each part (parts
    without shingles only if the set has more of them than `spare`); sets with an equal part are joined in a star around the least of
@@ -291,8 +291,21 @@ def _deal(docs: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in zip(dealt, everything, strict=True)], names=list(_COUNTS))
 
 
+def _united(doc: np.ndarray, size: np.ndarray, least: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each document: the largest size, the least above 0 (0: none), the sum of repeated shingles."""
+    ids, at = np.unique(doc, return_inverse=True)
+    most, low, added = np.zeros(len(ids), np.int64), np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
+    np.maximum.at(most, at, size)
+    np.minimum.at(low, at[least > 0], least[least > 0])
+    np.add.at(added, at, repeated)
+    return ids, most, np.where(low == np.iinfo(np.int64).max, 0, low), added
+
+
 def repeated_shingles(docs: DataFrame, id_col: str, text_col: str, n: int, bucket_bytes: int = 32 << 20, flush: int = 1 << 20) -> DataFrame:
-    """(doc, size, least, repeated) of every id: largest and least size above 0 of its rows, and shingles of its rows that occur in another row."""
+    """(doc, size, least, repeated) of every id: largest and least size above 0 of its rows, and shingles of its rows that occur in another row.
+
+    A bucket answers with one packed row for each owner of documents (as many as buckets, by a hash of the id), not with a row a document.
+    """
 
     def run(batches):
         shingle, ids, sets, held = Shingler(n), [], [], 0
@@ -314,16 +327,26 @@ def repeated_shingles(docs: DataFrame, id_col: str, text_col: str, n: int, bucke
         again = _again(np.concatenate([keys, _unpacked(table["many"], np.uint32)]))[: len(keys)]
         counts = np.add.reduceat(again.astype(np.int64), np.cumsum(runs) - runs) if len(runs) else np.empty(0, np.int64)
         some = counts > 0
-        doc = np.concatenate([_unpacked(whole["docs"], np.int64), _unpacked(table["docs"], np.int64)[some]])
-        size = np.concatenate([_unpacked(whole["runs"], np.uint32).astype(np.int64), np.zeros(int(some.sum()), np.int64)])
-        return pa.table({"doc": doc, "size": size, "repeated": np.concatenate([_unpacked(whole["many"], np.uint32).astype(np.int64), counts[some]])})
+        ids = np.concatenate([_unpacked(whole["docs"], np.int64), _unpacked(table["docs"], np.int64)[some]])
+        sizes = np.concatenate([_unpacked(whole["runs"], np.uint32).astype(np.int64), np.zeros(int(some.sum()), np.int64)])
+        doc, size, least, repeated = _united(ids, sizes, sizes, np.concatenate([_unpacked(whole["many"], np.uint32).astype(np.int64), counts[some]]))
+        home = (_mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        present = np.unique(home)
+        at = np.append(np.searchsorted(home[order], present), len(home))
+        return pa.table([pa.array(present.astype(np.int32)), *[_packed(x[order], at) for x in (doc, size, least, repeated)]], names=["owner", *totals])
+
+    def total(table: pa.Table) -> pa.Table:
+        doc, size, least, repeated = _united(*[_unpacked(table[x], np.int64) for x in totals])
+        return pa.table({"doc": doc, "size": size, "least": pa.array(least, mask=least == 0), "repeated": repeated})
 
+    totals = ["doc", "size", "least", "repeated"]
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     weight = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0
     buckets = max(8, -(-weight // bucket_bytes))
     shape = "bucket int, whole boolean, keys binary, docs binary, runs binary, many binary"
-    found = texts.mapInArrow(run, shape).groupBy("bucket").applyInArrow(merge, "doc long, size long, repeated long")
-    return found.groupBy("doc").agg(F.max("size").alias("size"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.sum("repeated").alias("repeated"))
+    found = texts.mapInArrow(run, shape).groupBy("bucket").applyInArrow(merge, "owner int, doc binary, size binary, least binary, repeated binary")
+    return found.groupBy("owner").applyInArrow(total, "doc long, size long, least long, repeated long")
 
 
 class Search:
