@@ -2,13 +2,14 @@
 
 A record (a JSON text as a variant, or the rows of a table) has nested field paths: `$.messages`, `$.messages[].role`, ... Their hash is its
 fingerprint. The fingerprints of the declared layouts select the mapping at once; a record with more fields than a layout declares takes the
-first layout, in order of declaration, whose required paths it has. Names count, values don't: a null in a field is a field. The mapping
-turns the record into canonical turns (role, text). A table of turns has one schema, so its fingerprint is taken once, from
+first layout, in order of declaration, whose required paths it has. Names count, values don't: a null in a field is a field. A layout counts
+only if the values under its paths are texts: strings and other single values, lists of strings or of `{"type": "text", "text": ...}` parts (joined with
+nothing between), or one such part. The mapping turns the record into canonical turns (role, text); of a preference pair, the chosen answer. A table of turns has one schema, so its fingerprint is taken once, from
 the schema. Turns are then written in a template that marks every turn and escapes control strings inside roles and texts reversibly, with
 the spans of a loss mask over the texts of the assistant.
 
-Defined results: a null text is empty; a null or unknown role is kept as it is (null: empty); records that no layout fits keep layout null and
-have no turns, `layout_counts` tells how many; turns with equal order are sorted by role, then text; null turns come last; repeated rows are
+Defined results: a null text is empty; a null or unknown role is kept as it is (null: empty); records that no layout fits (empty lists of
+messages, parts that are no text, messages that call tools among them) keep layout null and have no turns, `layout_counts` tells how many; turns with equal order are sorted by role, then text; null turns come last; repeated rows are
 turns of their own. Columns of a table other than its conversation, turn, role and text are left aside, whatever their names; columns of records
 named layout, fingerprint or like the turns are replaced. A conversation is one output string, so its size is bounded by what a row can hold; its
 turns meet in one group for that reason alone.
@@ -17,23 +18,30 @@ turns meet in one group for that reason alone.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import chain, combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 # fixed values: control strings of the template
 START, END = "<|im_start|>", "<|im_end|>"
 
 #: name -> required paths, optional paths, mapping. A mapping is a list of (role, path), or an array path with its role and text fields,
-#: with turns before it. The first layout that fits counts.
+#: with turns before it; several array paths follow each other. The first layout that fits counts.
 LAYOUTS: dict[str, dict] = {
-    "messages": {"required": ["$.messages[].role", "$.messages[].content"], "optional": ["$.system"], "before": [("system", "$.system")], "each": ("$.messages", "role", "content")},
-    "conversations": {"required": ["$.conversations[].from", "$.conversations[].value"], "optional": ["$.system"], "before": [("system", "$.system")], "each": ("$.conversations", "from", "value")},
+    "messages": {"required": ["$.messages[].role", "$.messages[].content"], "optional": ["$.system", "$.messages[].content[].type", "$.messages[].content[].text"], "before": [("system", "$.system")], "each": (["$.messages"], "role", "content")},
+    "conversations": {"required": ["$.conversations[].from", "$.conversations[].value"], "optional": ["$.system"], "before": [("system", "$.system")], "each": (["$.conversations"], "from", "value")},
     "instruction": {"required": ["$.instruction", "$.output"], "optional": ["$.input", "$.system"], "turns": [("system", "$.system"), ("user", "$.instruction", "$.input"), ("assistant", "$.output")]},
+    "instruction_response": {"required": ["$.instruction", "$.response"], "optional": ["$.input", "$.system"], "turns": [("system", "$.system"), ("user", "$.instruction", "$.input"), ("assistant", "$.response")]},
     "prompt_completion": {"required": ["$.prompt", "$.completion"], "optional": ["$.system"], "turns": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion")]},
     "prompt_response": {"required": ["$.prompt", "$.response"], "optional": ["$.system"], "turns": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")]},
+    "prompt_completion_messages": {"required": ["$.prompt[].role", "$.prompt[].content", "$.completion[].role", "$.completion[].content"], "optional": [], "before": [], "each": (["$.prompt", "$.completion"], "role", "content")},
+    "preference": {"required": ["$.prompt", "$.chosen", "$.rejected"], "optional": ["$.system"], "turns": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.chosen")]},
+    "preference_messages": {"required": ["$.chosen[].role", "$.chosen[].content", "$.rejected[].role", "$.rejected[].content"], "optional": ["$.prompt"], "before": [], "each": (["$.chosen"], "role", "content")},
+    "preference_answers": {"required": ["$.prompt[].role", "$.prompt[].content", "$.chosen[].role", "$.chosen[].content"], "optional": ["$.rejected[].role", "$.rejected[].content"], "before": [], "each": (["$.prompt", "$.chosen"], "role", "content")},
     "question_answer": {"required": ["$.question", "$.answer"], "optional": ["$.context"], "turns": [("system", "$.context"), ("user", "$.question"), ("assistant", "$.answer")]},
     "turn": {"required": ["$.role", "$.text"], "optional": ["$.turn"], "one": ("$.role", "$.text")},
     "turn_content": {"required": ["$.role", "$.content"], "optional": ["$.turn"], "one": ("$.role", "$.content")},
@@ -41,6 +49,9 @@ LAYOUTS: dict[str, dict] = {
 }
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Types of parts that are texts, and fields of a message that are no text.
+TEXT_PARTS = ["text", "input_text", "output_text"]
+CALLS = ["tool_calls", "function_call"]
 
 _TURNS = "array<struct<role:string,text:string>>"
 
@@ -75,7 +86,8 @@ def schema_paths(kind: DataType, at: str = "$") -> list[str]:
 def schema_layout(schema: StructType, rows_of_turns: bool = False) -> str | None:
     """The layout of a table's rows by its schema: any, or only one of a turn a row."""
     paths = set(schema_paths(schema))
-    some = {name: x for name, x in LAYOUTS.items() if "one" in x or not rows_of_turns}
+    nested = {f"$.{f.name}" for f in schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))}
+    some = {name: x for name, x in LAYOUTS.items() if not nested & set(x.get("one", ())) and ("one" in x or not rows_of_turns)}
     exact = layout_hashes().get(path_hash(list(paths)))
     return exact if exact in some else next((name for name, x in some.items() if paths >= set(x["required"])), None)
 
@@ -98,8 +110,14 @@ def field_paths(record: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.aggregate(parts, state, step, lambda a: a["out"]), F.expr("cast(array() as array<string>)"))))
 
 
-def _turn(role: Column, text: Column) -> Column:
-    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+def _inside(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
+
+
+def _role(v: Column) -> Column:
+    """A role by its usual name; null if the value is a list or an object."""
+    nested = F.coalesce(F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)<"), F.lit(False))
+    return F.when(~nested, _named(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))))
 
 
 def _named(role: Column) -> Column:
@@ -107,28 +125,60 @@ def _named(role: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.coalesce(role, F.lit(""))), role)
 
 
+def _text(v: Column) -> Column:
+    """The text of a value (empty: null), null if it is no text."""
+
+    def part(p: Column) -> Column:
+        text = _inside(p, "$.text")
+        a_part = F.schema_of_variant(p).startswith("OBJECT<") & (F.schema_of_variant(text) == "STRING") & F.coalesce(F.try_variant_get(p, "$.type", "string"), F.lit("text")).isin(TEXT_PARTS)
+        return F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).when(a_part, F.try_variant_get(text, "$", "string"))
+
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), part)
+    listed = F.when(F.forall(parts, lambda p: p.isNotNull()), F.array_join(parts, ""))
+    return F.when(kind == "VOID", F.lit("")).when(kind.startswith("ARRAY<"), listed).when(kind.startswith("OBJECT<"), part(v)).otherwise(F.try_variant_get(v, "$", "string"))
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), text.alias("text"))
+
+
+def _message(m: Column, role: str, text: str) -> Column:
+    """A turn of a message; its text is null if it is no text, or if the message calls something."""
+    calls = [F.coalesce(F.schema_of_variant(_inside(m, f"$.{c}")), F.lit("VOID")).isin("VOID", "ARRAY<VOID>") for c in CALLS]
+    return _turn(_role(_inside(m, f"$.{role}")), F.when(reduce(and_, calls), _text(_inside(m, f"$.{text}"))))
+
+
 def _mapping(record: Column, x: dict) -> Column:
-    get = lambda p: F.try_variant_get(record, p, "string")
+    """Turns of a record by the layout `x`; null if a value under its paths is no text."""
+    get = lambda p: _inside(record, p)
+    said = lambda p: F.coalesce(F.schema_of_variant(get(p)), F.lit("VOID")) != "VOID"
+    there = lambda turns: F.filter(F.array(*turns), lambda t: t.isNotNull())
     if "one" in x:
-        return F.array(_turn(_named(get(x["one"][0])), get(x["one"][1])))
-    if "turns" in x:
-        # optional turns are there if they say something
-        made = [F.when(F.lit(t[1] in x["required"]) | get(t[1]).isNotNull(), _turn(F.lit(t[0]), F.concat_ws("\n", *[F.when(get(p) != "", get(p)) for p in t[1:]]) if len(t) > 2 else get(t[1]))) for t in x["turns"]]
-        return F.filter(F.array(*made), lambda t: t.isNotNull())
-    path, role, text = x["each"]
-    items = F.from_json(F.to_json(F.try_variant_get(record, path, "variant")), f"array<struct<`{role}`:string,`{text}`:string>>")
-    turns = F.transform(items, lambda m: _turn(_named(m[role]), m[text]))
-    return F.concat(F.filter(F.array(*[F.when(get(p).isNotNull(), _turn(F.lit(r), get(p))) for r, p in x["before"]]), lambda t: t.isNotNull()), turns)
+        turns = F.array(_turn(_role(get(x["one"][0])), _text(get(x["one"][1]))))
+    elif "turns" in x:
+        # optional turns are there if they say something; a text of several fields joins those that aren't empty
+        several = lambda paths: F.when(reduce(and_, [_text(get(p)).isNotNull() for p in paths]), F.concat_ws("\n", *[F.when(_text(get(p)) != "", _text(get(p))) for p in paths]))
+        turns = there([F.when(F.lit(t[1] in x["required"]) | said(t[1]), _turn(F.lit(t[0]), several(t[1:]) if len(t) > 2 else _text(get(t[1])))) for t in x["turns"]])
+    else:
+        paths, role, text = x["each"]
+        turns = F.concat(*[F.transform(F.try_variant_get(record, p, "array<variant>"), lambda m: _message(m, role, text)) for p in paths])
+        if x["before"]:
+            turns = F.concat(there([F.when(said(p), _turn(F.lit(r), _text(get(p)))) for r, p in x["before"]]), turns)
+    return F.when(F.forall(turns, lambda t: t["role"].isNotNull() & t["text"].isNotNull()), turns)
 
 
 def canonical_turns(records: DataFrame, record: Column, name: str = "turns") -> DataFrame:
     """`records` with `fingerprint`, `layout` (null: none fits) and the canonical turns of the variant `record`."""
     table = F.create_map(*[F.lit(v) for kv in layout_hashes().items() for v in kv])
     out = records.withColumn("_record", record).withColumn("_paths", field_paths(F.col("_record"))).withColumn("fingerprint", F.sha2(F.array_join("_paths", "\n"), 256))
-    fits = [F.when(F.size(F.array_except(F.array(*map(F.lit, x["required"])), F.col("_paths"))) == 0, F.lit(layout)) for layout, x in LAYOUTS.items()]
-    out = out.withColumn("layout", F.coalesce(F.try_element_at(table, F.col("fingerprint")), *fits))
-    cases = [F.when(F.col("layout") == layout, _mapping(F.col("_record"), x).cast(_TURNS)) for layout, x in LAYOUTS.items()]
-    return out.withColumn(name, F.coalesce(*cases, F.expr(f"cast(array() as {_TURNS})"))).drop("_record", "_paths")
+    exact = F.try_element_at(table, F.col("fingerprint"))
+    has = lambda x: F.size(F.array_except(F.array(*map(F.lit, x["required"])), F.col("_paths"))) == 0
+    out = out.withColumn("_made", F.struct(*[F.when(has(x), _mapping(F.col("_record"), x).cast(_TURNS)).alias(layout) for layout, x in LAYOUTS.items()]))
+    fits = {layout: F.col(f"_made.{layout}").isNotNull() for layout in LAYOUTS}
+    out = out.withColumn("layout", F.coalesce(*[F.when((exact == layout) & fit, F.lit(layout)) for layout, fit in fits.items()], *[F.when(fit, F.lit(layout)) for layout, fit in fits.items()]))
+    cases = [F.when(F.col("layout") == layout, F.col(f"_made.{layout}")) for layout in LAYOUTS]
+    return out.withColumn(name, F.coalesce(*cases, F.expr(f"cast(array() as {_TURNS})"))).drop("_record", "_paths", "_made")
 
 
 def layout_counts(found: DataFrame) -> DataFrame:

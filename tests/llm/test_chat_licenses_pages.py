@@ -67,6 +67,34 @@ def test_layouts_with_more_fields_and_nulls(spark):
     assert paths == ["$.messages", "$.messages[].content", "$.messages[].role", "$.meta", "$.meta.a b", "$.meta.a b[].x"]
 
 
+def test_layouts_with_nested_contents(spark):
+    said = '[{"role":"user","content":"q"}]'
+    answer = '[{"role":"assistant","content":[{"type":"text","text":"a"},"b"]}]'
+    texts = {
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"hi "},{"type":"text","text":"there"}]}]}': ("messages", [("user", "hi there")]),
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":[]},{"role":"assistant","content":{"type":"text","text":"x"}}]}': ("messages", [("user", "q"), ("assistant", ""), ("assistant", "x")]),
+        '{"messages":[{"role":"user","content":[{"type":"image_url","image_url":{"url":"u"}}]}]}': (None, []),
+        '{"messages":[{"role":"assistant","content":null,"tool_calls":[{"id":"1"}]}]}': (None, []),
+        '{"messages":[{"role":"assistant","content":"t","tool_calls":[],"function_call":null}]}': ("messages", [("assistant", "t")]),
+        '{"messages":[{"role":["user"],"content":"t"}]}': (None, []),
+        '{"messages":[null,{"role":"user","content":7}]}': ("messages", [("", ""), ("user", "7")]),
+        '{"prompt":"p","chosen":"c","rejected":"r"}': ("preference", [("user", "p"), ("assistant", "c")]),
+        f'{{"prompt":"p","chosen":{answer},"rejected":{said}}}': ("preference_messages", [("assistant", "ab")]),
+        f'{{"prompt":{said},"chosen":{answer},"rejected":{answer}}}': ("preference_answers", [("user", "q"), ("assistant", "ab")]),
+        f'{{"prompt":{said},"completion":{answer}}}': ("prompt_completion_messages", [("user", "q"), ("assistant", "ab")]),
+        '{"instruction":"do","input":"","response":"ok"}': ("instruction_response", [("user", "do"), ("assistant", "ok")]),
+        '{"prompt":["a","b"],"completion":"c"}': ("prompt_completion", [("user", "ab"), ("assistant", "c")]),
+        '{"prompt":{"x":1},"completion":"c"}': (None, []),
+        '{"question":"q","answer":[{"x":1}]}': (None, []),
+    }
+    found = C.canonical_turns(spark.createDataFrame(list(enumerate(texts)), "i int, j string"), C.from_json_text("j"))
+    got = {r["j"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in found.collect()}
+    assert got == texts
+    assert sum(r["n"] for r in C.layout_counts(found).collect() if r["layout"] is None) == 5
+    with pytest.raises(ValueError):
+        C.conversations_of(spark.createDataFrame([(1, 0, "user", ["x"])], "conv_id long, turn long, role string, text array<string>"))
+
+
 def test_extra_columns_named_like_paths(spark):
     rows = [(7, 1, "assistant", "a", "x", "p", None, "m"), (7, 0, "user", "q", "x", None, "o", "m")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, system string, prompt string, output string, messages string")
