@@ -90,12 +90,12 @@ def binned_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf_dir: str, k: int, metric: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("vec"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
     return S.neighbours(rows, rows.filter("vec_id % 100 = 0"), k, metric)
 
 
 def _near_sql(k: int, metric: str) -> str:
-    d = "sqrt(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, 17)]))" if metric == "euclidean" else "list_sum([abs(a.v[i] - b.v[i]) FOR i IN range(1, 17)])"
+    d = "sqrt(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, len(a.v) + 1)]))" if metric == "euclidean" else "list_sum([abs(a.v[i] - b.v[i]) FOR i IN range(1, len(a.v) + 1)])"
     v = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
     return f"(SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, b.label AS label, round({d}, 9) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({d}, 9), b.vec_id) AS place FROM {v} a JOIN {v} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE place <= {k})"
 
