@@ -9,7 +9,8 @@ from __future__ import annotations
 import ast
 import random
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -21,6 +22,7 @@ from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..shipping import ship
 
@@ -44,6 +46,12 @@ def indexed(rows: DataFrame, label: str = "label") -> tuple[DataFrame, StringInd
     return model.transform(rows.withColumn(label, F.col(label).cast("string"))), model
 
 
+def at_once(work: Callable, items: Sequence, most: int = 3) -> list:
+    """`work` of every item, in order, up to `most` at the same time: a fit's jobs are short and of few tasks and leave cores idle."""
+    with ThreadPoolExecutor(most) as pool:
+        return list(pool.map(inheritable_thread_target(work), items))
+
+
 def forest_importance(rows: DataFrame, names: Sequence[str], label: str = "label", trees: int = 200, seed: int = 1234) -> DataFrame:
     """(feature, score): importances of a forest that may use all features at every split, highest first."""
     data, _ = indexed(vectors(rows), label)
@@ -59,16 +67,18 @@ def learner(name: str, seed: int = 42, boosting_rounds: int = 100):
         "rf": lambda: RandomForestClassifier(**common, numTrees=50, seed=seed),
         "decisiontree": lambda: DecisionTreeClassifier(**common, maxDepth=10, seed=seed),
         "logistic": lambda: LogisticRegression(**common, family="multinomial", maxIter=100),
-        "xgb": lambda: OneVsRest(classifier=GBTClassifier(maxIter=boosting_rounds, maxDepth=3, stepSize=0.3, seed=seed), **common),
+        "xgb": lambda: OneVsRest(classifier=GBTClassifier(maxIter=boosting_rounds, maxDepth=3, stepSize=0.3, seed=seed), parallelism=3, **common),
     }[name]()
 
 
 def cross_validate(rows: DataFrame, name: str, k: int, fold: str = "fold") -> DataFrame:
-    """(fold, truth, predicted, key...) of every row, predicted by a model of the other folds."""
+    """(fold, truth, predicted, key...) of every row, predicted by a model of the other folds. The rows are worked out once for all fits; folds are fitted at the same time."""
     data, labels = indexed(vectors(rows))
+    kept = data.drop("vec").cache()
+    models = at_once(lambda f: learner(name).fit(kept.filter(F.col(fold) != f)), range(k))
+    kept.unpersist()
     out = None
-    for f in range(k):
-        model = learner(name).fit(data.filter(F.col(fold) != f))
+    for f, model in enumerate(models):
         part = model.transform(data.filter(F.col(fold) == f)).select(*[c for c in rows.columns if c != "vec"], "prediction")
         out = part if out is None else out.union(part)
     return out.withColumn("predicted", F.get(F.array(*[F.lit(x) for x in labels.labels]), F.col("prediction").cast("int"))).withColumnRenamed("label", "truth").drop("prediction")
@@ -78,14 +88,17 @@ def tuned_forest(rows: DataFrame, k: int, draws: int = 10, fold: str = "fold", s
     """Random search of a forest: (draw, parameters, weighted_f1) by falling score. Folds are those of the rows."""
     rng = random.Random(seed)
     data, _ = indexed(vectors(rows))
-    data = data.cache()
+    data = data.drop("vec").cache()
     scorer = MulticlassClassificationEvaluator(labelCol="label_idx", metricName="f1")
-    found = []
-    for d in range(draws):
-        chosen = {p: rng.choice(v) for p, v in FOREST_GRID.items()}
-        scores = [scorer.evaluate(RandomForestClassifier(labelCol="label_idx", seed=seed, **chosen).fit(data.filter(F.col(fold) != f)).transform(data.filter(F.col(fold) == f))) for f in range(k)]
-        found.append((d, str(sorted(chosen.items())), float(np.mean(scores))))
+    chosen = [{p: rng.choice(v) for p, v in FOREST_GRID.items()} for _ in range(draws)]
+
+    def score_of(evaluation: tuple[int, int]) -> float:
+        d, f = evaluation
+        return scorer.evaluate(RandomForestClassifier(labelCol="label_idx", seed=seed, **chosen[d]).fit(data.filter(F.col(fold) != f)).transform(data.filter(F.col(fold) == f)))
+
+    scores = np.reshape(at_once(score_of, [(d, f) for d in range(draws) for f in range(k)], 2), (draws, k))
     data.unpersist()
+    found = [(d, str(sorted(chosen[d].items())), float(np.mean(scores[d]))) for d in range(draws)]
     return rows.sparkSession.createDataFrame(sorted(found, key=lambda x: (-x[2], x[0])), "draw int, parameters string, weighted_f1 double")
 
 
@@ -119,12 +132,16 @@ def fold_features(train: DataFrame, test: DataFrame, n_components, threshold_fla
 
 def ablation(rows: DataFrame, names: Sequence[str], k: int, step: int = 20, fold: str = "fold", seed: int = 42) -> DataFrame:
     """(top_n, accuracy): mean accuracy over folds of the top 1, 1 + step, ... features, ranked once on all rows."""
+    rows = rows.cache()
     order = [list(names).index(r["feature"]) for r in forest_importance(rows, names, trees=50, seed=seed).collect()]
-    found = []
-    for n in range(1, len(names), step) if len(names) > 1 else [1]:
+
+    def accuracy_of(n: int) -> tuple[int, float]:
         part = rows.withColumn("vec", F.array(*[F.get("vec", F.lit(i)) for i in order[:n]]))
         right = cross_validate(part, "rf", k, fold).groupBy(fold).agg(F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("a")).agg(F.avg("a")).first()[0]
-        found.append((n, float(right)))
+        return n, float(right)
+
+    found = at_once(accuracy_of, list(range(1, len(names), step)) if len(names) > 1 else [1], 2)
+    rows.unpersist()
     return rows.sparkSession.createDataFrame(found, "top_n int, accuracy double")
 
 
