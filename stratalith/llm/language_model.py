@@ -24,7 +24,8 @@ up in their buckets then, with the same result. Other columns, whatever their na
 from __future__ import annotations
 
 import functools
-from collections import Counter
+import itertools
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FAR = np.uint64(1 << 63)  # marks ids that are hashes
 END = (1 << 63) - 1  # key of the end, which no word's hash is given
 _STEP = 1 << 20
-#: Bytes of words a worker remembers, and the longest word among them.
-_KEPT_BYTES, _LONGEST = 1 << 20, 64
+#: Bytes of words a worker remembers.
+_KEPT_BYTES = 1 << 20
 
 
 def held_out(id_col: str = "doc_id"):
@@ -172,30 +173,32 @@ class Reader:
     """Words of texts as ids: places in the lexicon (sorted hashes), else hashes with the top bit set. Without a lexicon, plain hashes."""
 
     def __init__(self, lexicon: np.ndarray | None = None):
-        self.lexicon, self.known, self.held = lexicon, {}, 0
+        self.lexicon = lexicon
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remembered words have places from 0, in order; a new one is given the next place while it is looked up."""
+        self.known: defaultdict[bytes, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.ids, self.held = np.zeros(1 << 12, np.uint64), 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            pass
+        known, before = self.known, len(self.known)
+        places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(known) > before:
+            new = list(itertools.islice(reversed(known), len(known) - before))[::-1]
+            ids = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)) % np.uint64(END)
+            if self.lexicon is not None:
+                at, found = looked_up(self.lexicon, ids)
+                ids = np.where(found, at.astype(np.uint64), ids | _FAR)
+            if len(known) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(known), np.uint64)])
+            self.ids[before : len(known)] = ids
+            self.held += sum(map(len, new))
+        out = self.ids[places]
         if self.held > _KEPT_BYTES:
-            known.clear()
-            self.held = 0
-        new = list({w for w in words if w not in known})
-        ids = np.array([token_hash(w) for w in new], np.uint64)
-        if self.lexicon is not None:
-            at, found = looked_up(self.lexicon, ids)
-            ids = np.where(found, at.astype(np.uint64), ids | _FAR)
-        more: dict[bytes, int] = {}
-        for w, i in zip(new, ids.tolist(), strict=True):
-            if len(w) > _LONGEST or self.held > 2 * _KEPT_BYTES:
-                more[w] = i
-            else:
-                known[w] = i
-                self.held += len(w)
-        return np.array([known[w] if w in known else more[w] for w in words], np.uint64)
+            self._forget()
+        return out
 
 
 def pair_keys(u: np.ndarray, w: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
