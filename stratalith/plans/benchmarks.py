@@ -131,7 +131,7 @@ def result_join_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT model, n_components, fold, CAST(i - 1 AS INTEGER) AS position, string_split(test_set, ',')[i] AS truth, string_split(predicted_set, ',')[i] AS predicted FROM {_LISTS}, range(1, 10000) t(i) WHERE i <= len(string_split(test_set, ',')) AND fold <> 3")
 def result_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = V.join_lists(predictions(spark, sf_dir), ["model", "n_components", "fold"], "vec_id")
-    broken = lists.withColumn("predicted_set", F.when(F.col("fold") == 3, F.concat("predicted_set", F.lit(",x"))).otherwise(F.col("predicted_set")))
+    broken = lists.withColumn("predicted_set", F.when(F.col("fold") != 3, F.col("predicted_set")).otherwise(F.concat("predicted_set", F.lit(",x"))))
     return V.explode_lists(broken)
 
 
